@@ -1,9 +1,16 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from strandwise.llm.fingerprints import op10_fingerprints
+from strandwise.llm.mixing import OP3_SQL, op3_mixing
+from strandwise.llm.sharding import OP5_SQL, op5_sharding
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_sharding": op5_sharding,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": OP3_SQL,
+    "op5_sharding": OP5_SQL,
+}
