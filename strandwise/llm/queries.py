@@ -2,9 +2,11 @@
 
 from strandwise.llm.fingerprints import op10_fingerprints
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
+from strandwise.llm.packing import op2_packing
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op10_fingerprints": op10_fingerprints,
