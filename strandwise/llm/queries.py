@@ -1,6 +1,7 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from strandwise.llm.fingerprints import op10_fingerprints
+from strandwise.llm.jaccard import op9_jaccard
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
@@ -9,6 +10,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
+    "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 
