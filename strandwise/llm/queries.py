@@ -5,8 +5,10 @@ from strandwise.llm.jaccard import op9_jaccard
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
+from strandwise.llm.substrings import op1_substrings
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
