@@ -4,6 +4,7 @@ from strandwise.llm.fingerprints import op10_fingerprints
 from strandwise.llm.jaccard import op9_jaccard
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
+from strandwise.llm.personal import op7_personal
 from strandwise.llm.quality import op6_quality
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
 from strandwise.llm.substrings import op1_substrings
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_personal": op7_personal,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
