@@ -6,6 +6,7 @@ from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.personal import op7_personal
 from strandwise.llm.quality import op6_quality
+from strandwise.llm.search import OP8_SQL, op8_search
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
 from strandwise.llm.substrings import op1_substrings
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_personal": op7_personal,
+    "op8_search": op8_search,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -23,4 +25,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op5_sharding": OP5_SQL,
+    "op8_search": OP8_SQL,
 }
