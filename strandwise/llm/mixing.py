@@ -128,6 +128,7 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     Sources in code point order, null last, weigh 1, 2, 3 and again 1, 2, 3.  Here each document has one source,
     so a membership pattern is one source.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         word_count(F.col("text")).alias("size"),
@@ -144,13 +145,35 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     flow = route({(p,): sizes[p] for p in names}, {p: int(wish[p] + 0.5) for p in names})
     wanted = {p: sum(v for (q, _), v in flow.items() if q == (p,)) for p in names}
     taken = select(rows, "pattern", wanted, sizes, seed)
-    spark = docs.sparkSession
     info = spark.createDataFrame([(p, sizes[p], float(wish[p])) for p in names], "pattern string, source_size long, target double")
-    return taken.join(F.broadcast(info), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+    return taken.join(F.broadcast(info), "pattern").select("doc_id", "size", "source_size", "target", "taken", "pattern")
+
+
+def taken_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mixed corpus: each row as often as it is taken whole, and the row at a cut once more with its first words.
+
+    Rows without words have nothing to repeat and stay once.
+    """
+    columns = docs.columns
+    mixed = mix_sources(docs, seed).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("pattern").alias("_pattern"), "taken")
+    mixed = mixed.groupBy("_id", "_size", "_pattern").agg(F.max("taken").alias("_taken"))  # equal rows differ at a cut only, by less than one document
+    pattern = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    joined = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_pattern", pattern)
+    joined = joined.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (joined["_size"] == mixed["_size"]) & (joined["_pattern"] == mixed["_pattern"])).drop(mixed["_size"]).drop(mixed["_pattern"])
+    parts = F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: F.least(F.col("_taken") - k * F.col("_size"), F.col("_size"))), lambda n: n > 0)
+    )
+    rows = joined.withColumn("_words", F.explode(parts))
+    cut = (F.col("_words") < F.col("_size")) & F.col("text").isNotNull()
+    words = F.array_join(F.slice(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("_words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(cut, words).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir))
+    return mix_sources(documents(spark, sf_dir)).drop("pattern")
 
 
 OP3_SQL = f"""

@@ -5,6 +5,7 @@ from strandwise.llm.jaccard import op9_jaccard
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.personal import op7_personal
+from strandwise.llm.preferences import OP4_SQL, op4_preferences
 from strandwise.llm.quality import op6_quality
 from strandwise.llm.search import OP8_SQL, op8_search
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
+    "op4_preferences": op4_preferences,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_personal": op7_personal,
@@ -24,6 +26,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op4_preferences": OP4_SQL,
     "op5_sharding": OP5_SQL,
     "op8_search": OP8_SQL,
 }
