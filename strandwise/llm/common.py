@@ -47,13 +47,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def bitmap_of(keys: DataFrame, column: Column, bits: int = BITMAP_BITS) -> np.ndarray:
+def bitmap_of(keys: DataFrame, *columns: Column, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap of ``bits`` bits in which each key sets one bit.
 
     Its size is fixed, so it may be broadcast.  Different keys may share a bit: a test for membership can
     say yes too often, never no, and its users only do some work more for that.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
     rows = keys.select(slot.alias("slot")).groupBy((F.col("slot") / 63).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 63 as int))")).alias("bits")
     )
@@ -63,6 +63,17 @@ def bitmap_of(keys: DataFrame, column: Column, bits: int = BITMAP_BITS) -> np.nd
     return words
 
 
+def within(df: DataFrame, bits, *columns: str) -> DataFrame:
+    """Rows of ``df`` whose columns may be keys of a broadcast bitmap, made of ``xxhash64(*columns)`` in the same order."""
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column("_slot").to_numpy())))
+
+    slots = df.withColumn("_slot", F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)))
+    return slots.mapInArrow(pick, slots.schema).drop("_slot")
+
+
 def in_bitmap(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Which of ``slots`` (pmod of xxhash64, made by Spark in the same way) have their bit set."""
     return (words[slots // 63] >> (slots % 63)) & 1 == 1

@@ -6,7 +6,7 @@ is a hash of what it stands for, so all tasks agree on it without asking, and eq
 except near their ends.  With each symbol goes the span of words that decided it: inside a window of WINDOW words, a
 symbol whose span the window holds is the same wherever the window stands.
 
-A window's anchor is the least-hashed such symbol of the last round.  Windows in a row with one anchor form a block.
+A window's anchor is the longest such symbol of the last round (ties by hash).  Windows in a row with one anchor form a block.
 
 1. A block's anchor is looked up over all documents.  An anchor in one document only means that none of its
    windows repeats.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BITMAP_BITS, bitmap_of, documents, in_bitmap, mix, stored, text_batches
+from strandwise.llm.common import BITMAP_BITS, bitmap_of, documents, in_bitmap, mix, stored, text_batches, within
 from strandwise.llm.words import Words, sequence_hashes
 
 WINDOW = 50
@@ -38,15 +38,15 @@ ROUNDS = 5
 _LAST = (1 << 63) - 1
 
 
-def recompress(symbols: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after so many rounds, and the span [lo, hi) of words that decided each.
+def recompress(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Symbols after so many rounds, the span [lo, hi) of words that decided each, and the sum of its words' weights.
 
     first: index of each document's first word, and the end.  A symbol decided by a document's edge has a span
     beyond the document, so that no window holds it.
     """
     n = len(symbols)
     far = np.int64(1 << 40)
-    name = symbols.copy()
+    name, weight = symbols.copy(), weights.copy()
     lo, hi = np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
 
@@ -69,7 +69,7 @@ def recompress(symbols: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) ->
         end = np.append(at[1:], len(name)) - 1
         length = end - at + 1
         name = np.where(length > 1, mix(name[at] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2 * r + 21), name[at])
-        lo, hi, doc = np.minimum(left[at], lo[at]), np.maximum(right[end], hi[end]), doc[at]
+        lo, hi, doc, weight = np.minimum(left[at], lo[at]), np.maximum(right[end], hi[end]), doc[at], np.add.reduceat(weight, at)
         # pairs
         left, right = beside(doc, lo, hi)
         is_left = (mix(name, 101 + r) & np.uint64(1)) == 0
@@ -83,9 +83,10 @@ def recompress(symbols: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) ->
         lo, hi = np.where(alone & ~is_left, np.minimum(lo, left), lo), np.where(alone & is_left, np.maximum(hi, right), hi)
         name[pair] = mix(name[pair] * np.uint64(0xC2B2AE3D27D4EB4F) + name[pair + 1], 2 * r + 22)
         lo[pair], hi[pair] = np.minimum(lo[pair], lo[pair + 1]), np.maximum(hi[pair], hi[pair + 1])
+        weight[pair] += weight[pair + 1]
         keep = ~second
-        name, lo, hi, doc = name[keep], lo[keep], hi[keep], doc[keep]
-    return name, lo, hi
+        name, lo, hi, doc, weight = name[keep], lo[keep], hi[keep], doc[keep], weight[keep]
+    return name, lo, hi, weight
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,11 +94,12 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = words.counts
     sizes = np.maximum(counts - WINDOW + 1, 0)
     starts = np.repeat(words.first[:-1], sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    name, lo, hi = recompress(mix(words.hashes, 5), words.first)
+    name, lo, hi, weight = recompress(mix(words.hashes, 5), words.first, words.ends - words.starts)
     fits = (hi - lo <= WINDOW) & (lo >= 0)
-    name, lo, hi = name[fits], lo[fits], hi[fits]
-    # A symbol lies in the windows that begin from hi - WINDOW to lo.  The least-ranked one wins each window.
-    rank = mix(name, 77)
+    name, lo, hi, weight = name[fits], lo[fits], hi[fits], weight[fits]
+    # A symbol lies in the windows that begin from hi - WINDOW to lo.  The least-ranked one wins each window: a
+    # symbol of many letters, as few common words rarely say where a window comes from.
+    rank = (np.uint64(255) - np.minimum(weight, 255).astype(np.uint64) << np.uint64(56)) | (mix(name, 77) >> np.uint64(8))
     which = np.full(len(words.hashes) + 1, -1, np.int64)
     order = np.argsort(rank, kind="stable")[::-1]
     from_, to = np.maximum(hi - WINDOW, 0)[order], lo[order]
@@ -142,7 +144,7 @@ def _blocks_table(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted) -> DataFrame:
-    """doc_id, w1, w2 (a window's hash), at: of windows without an anchor and of blocks in the bitmap, once a document each hash."""
+    """doc_id, w1, w2 (a window's hash), at, many: windows without an anchor and of blocks in the bitmap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -154,9 +156,14 @@ def _windows(docs: DataFrame, wanted) -> DataFrame:
             first = np.repeat(at, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
             doc = np.repeat(doc, many)
             w1, w2 = (sequence_hashes(words, first, first + WINDOW, s).view(np.int64) for s in (3, 4))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(w1), pa.array(w2), pa.array((first - words.first[doc]).astype(np.int32))], ["doc_id", "w1", "w2", "at"])
+            new = np.ones(len(first), bool)  # equal windows in a row, as in runs of a word, are one row
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (first[1:] != first[:-1] + 1) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            many = np.diff(np.append(at, len(first)))
+            arrays = [ids[doc[at]], w1[at], w2[at], (first - words.first[doc])[at].astype(np.int32), many.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "w1", "w2", "at", "many"])
 
-    return docs.mapInArrow(scan, "doc_id long, w1 long, w2 long, at int")
+    return docs.mapInArrow(scan, "doc_id long, w1 long, w2 long, at int, many int")
 
 
 def block_slots(ids: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -168,26 +175,31 @@ def block_slots(ids: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.nda
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, at, many: rows of windows (first word in the document, number) that also start in a smaller doc_id.  docs: doc_id, text."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     found = stored(_blocks_table(docs), "blocks")
-    by_words = found.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ends = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("words").alias("first"), F.max("words").alias("last"))
+    shared = stored(ends.where("low < high").select("anchor", (F.col("first") < F.col("last")).alias("unsure")), "shared")
+    # Few anchors are shared; a bitmap of them spares the other blocks the moves that follow.
+    some = stored(within(found, send(bitmap_of(shared, F.col("anchor"))), "anchor").join(shared, "anchor"), "shared-blocks")
+    by_words = some.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("unsure").alias("unsure"))
     by_words = stored(by_words, "sequences")
-    by_anchor = by_words.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("kinds"))
-    shared = by_anchor.where("low < high")
     # Equal blocks: all but the smallest doc_id's repeat.
-    same = found.join(by_words.where("low < high"), ["anchor", "words"]).where("doc_id > low").select("doc_id", "at", "many")
+    same = some.join(by_words.where("low < high").select("anchor", "words", "low"), ["anchor", "words"]).where("doc_id > low").select("doc_id", "at", "many")
     # Anchors with several blocks: their smallest holders send windows.
-    unsure = by_words.join(shared.where("kinds > 1").select("anchor"), "anchor").select(F.col("low").alias("doc_id"), "anchor", "words")
+    unsure = by_words.where("unsure").select(F.col("low").alias("doc_id"), "anchor", "words")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(block_slots(*(b.column(c).to_numpy() for c in ("doc_id", "anchor", "words")))))], ["slot"])
 
     bits = np.zeros(BITMAP_BITS // 63 + 1, np.int64)
-    words_ = unsure.mapInArrow(slots, "slot long").groupBy(F.expr("slot div 63").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 63 as int))")).alias("bits")).toArrow()
-    bits[words_["word"].to_numpy()] = words_["bits"].to_numpy()
-    sent = stored(_windows(docs, spark.sparkContext.broadcast(bits)), "windows")
+    table = unsure.mapInArrow(slots, "slot long").groupBy(F.expr("slot div 63").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 63 as int))")).alias("bits")).toArrow()
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
+    sent = stored(_windows(docs, send(bits)), "windows")
     low = sent.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    single = sent.join(low, ["w1", "w2"]).where("doc_id > low").select("doc_id", "at", F.lit(1).alias("many"))
+    low = stored(low, "repeated")
+    again = within(sent, send(bitmap_of(low, F.col("w1"), F.col("w2"))), "w1", "w2")
+    single = again.join(low, ["w1", "w2"]).where("doc_id > low").select("doc_id", "at", "many")
     return same.unionByName(single)
 
 
