@@ -11,7 +11,9 @@ each; a null doc_id stays null.  An empty table gives an empty result.  Other co
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,32 +26,65 @@ from strandwise.llm.common import documents, stored, text_batches
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 8
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Words, and stems of words, whose ids a worker remembers; a memory is emptied when it is full.
+REMEMBERED = 500_000
+#: Latin letters and then signs: two pre-tokens, the letters in lower case.  No apostrophe, which could make a third.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$%&*#|()\"-]*)")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds(dict):
+    """Ids of words, as bytes of uint16, made when first asked for.
+
+    No token of this kind crosses white space, so a word is encoded once; plain stems go to the merges directly.
+    """
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
-    return made, {}
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        self.merge = self.whole.model.tokenize
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in shown]
+        self.signs = {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet: these bytes have signs of their own
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text)
+        if plain is None:
+            ids = self[word] = self._encode(text)
+            return ids
+        stem, tail = plain[1].lower(), plain[2]
+        ids = self.stems.get(stem)
+        if ids is None:
+            mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.signs)
+            ids = self.stems[stem] = array("H", [t.id for t in self.merge(mapped)]).tobytes()
+        end = self.tails.get(tail)
+        if end is None:
+            end = self.tails[tail] = self._encode(tail)
+        self[word] = ids = ids + end
+        return ids
+
+
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids (uint16) of each text.  No token of this kind crosses white space, so words are encoded once each."""
-    made, known = _tokenizer(path)
-    words = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for ws in words for w in ws if w not in known})
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for w, e in zip(some, made.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint16).tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in ws]), np.uint16) for ws in words]
+    """Ids (uint16) of each text."""
+    known = _word_ids(path)
+    for memory in (known, known.stems):
+        if len(memory) > REMEMBERED:
+            memory.clear()
+    ids = known.__getitem__
+    return [np.frombuffer(b"".join(map(ids, (x or "").encode("utf-8", "surrogatepass").split())), np.uint16) for x in texts]
 
 
 @lru_cache(maxsize=1)
