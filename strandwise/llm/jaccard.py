@@ -37,8 +37,10 @@ COUNTED = 0.28
 #: A token in more documents than this is frequent; at most so many are told to all tasks (2 MB).
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 MOST_COMBINED = 16
-#: Lists up to this length give their pairs, longer ones are searched in blocks of BLOCK documents.
-SHORT_LIST, BLOCK = 16, 512
+#: Lists up to this length give their pairs, longer ones are searched in blocks of BLOCK documents by their bitmaps;
+#: groups are verified in blocks of GROUP_BLOCK documents by their texts.
+SHORT_LIST, BLOCK = 16, 4096
+GROUP_BLOCK = 128
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -313,7 +315,7 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
     some = ids.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(BITMAP_BITS))).mapInArrow(pick, "node long, text string, slot long").drop("slot")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / (BLOCK // 4)).cast("int").alias("blocks"))
+    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
     rows = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     rows = some.join(rows, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("component", "i", "j", "own", "node", "text")
