@@ -236,9 +236,9 @@ dist AS (SELECT g.rid, qname, CAST(CASE WHEN apart THEN NULL WHEN sm.rid IS NOT
   FROM g LEFT JOIN sm USING (rid) LEFT JOIN sz USING (rid))"""
 
 
-@query("SELECT * FROM dist", _DISTANCE_CTES)
+@query("SELECT rid, qname, coalesce(CAST(distance AS VARCHAR), 'NA') AS distance, label FROM dist", _DISTANCE_CTES)
 def inner_distance(spark, sf):
-    return G.inner_distance(D.reads(spark, sf), D.transcripts(spark, sf))
+    return G.inner_distance(D.reads(spark, sf), D.transcripts(spark, sf)).withColumn("distance", F.coalesce(F.col("distance").cast("string"), F.lit("NA")))
 
 
 @query("SELECT CAST(b AS BIGINT) AS bin_start, CAST(b + 5 AS BIGINT) AS bin_end, (SELECT count(*) FROM dist WHERE distance > b AND distance <= b + 5) AS pairs FROM range(-250, 250, 5) x(b)", _DISTANCE_CTES)
@@ -313,9 +313,9 @@ def split_reads(spark, sf):
     return O.split_reads(D.reads(spark, sf), D.transcripts(spark, sf)).select("rid", "category")
 
 
-@query("""SELECT rid, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 64 <> 0 THEN 'R1' ELSE 'R2' END AS output, CAST(CASE WHEN flag & 4 <> 0 THEN flag ELSE flag & 1808 END AS INTEGER) AS flag, CASE WHEN flag & 4 <> 0 THEN mate_pos0 END AS mate_pos0, CASE WHEN flag & 4 <> 0 THEN tlen ELSE 0 END AS tlen FROM reads""")
+@query("""SELECT rid, CASE WHEN flag & 4 <> 0 THEN 'unmapped' WHEN flag & 64 <> 0 THEN 'R1' ELSE 'R2' END AS output, CAST(CASE WHEN flag & 4 <> 0 THEN flag ELSE flag & 1808 END AS INTEGER) AS flag, coalesce(CAST(CASE WHEN flag & 4 <> 0 THEN mate_pos0 END AS VARCHAR), '*') AS mate_pos0, CASE WHEN flag & 4 <> 0 THEN tlen ELSE 0 END AS tlen FROM reads""")
 def split_pairs(spark, sf):
-    return O.split_pairs(D.reads(spark, sf)).select("rid", "output", "flag", "mate_pos0", "tlen")
+    return O.split_pairs(D.reads(spark, sf)).select("rid", "output", "flag", F.coalesce(F.col("mate_pos0").cast("string"), F.lit("*")).alias("mate_pos0"), "tlen")
 
 
 _FRAGMENTS = f"""w AS (SELECT r.*, greatest(span, 1) AS sp, CASE WHEN flag & 1 = 0 THEN 1.0 WHEN flag & 128 <> 0 OR flag & 12 = 12 THEN 0.0 ELSE 1.0 END AS w FROM reads r JOIN spans s ON r.t = s.t WHERE {_bits(512, 1024, 256)}),
