@@ -14,26 +14,46 @@ from pyspark.sql import functions as F
 from strandwise.functions import cigar as C
 from strandwise.operators import filters as R
 from strandwise.operators.genes import cds_exons, exons, flanks, introns, utr_exons
-from strandwise.operators.intervals import as_right, merge, overlap_join, point_join, subtract
+from strandwise.operators.intervals import BIN, as_right, merge, overlap_join, point_join
 from strandwise.sources.storage import stored
 
 GROUPS = ("CDS_Exons", "5'UTR_Exons", "3'UTR_Exons", "Introns", "TSS_up_1kb", "TSS_up_5kb", "TSS_up_10kb", "TES_down_1kb", "TES_down_5kb", "TES_down_10kb")
 
 
-def gene_regions(tx: DataFrame) -> DataFrame:
-    """region (1 to 10, the order of GROUPS), chrom, start, end: merged, and free of the regions that come before.
+def region_segments(tx: DataFrame) -> DataFrame:
+    """chrom, start, end, mask, before: runs of bases that lie in the same regions; bit k stands for region k of GROUPS.
 
-    Each step is as large as the gene model at most and is used by several later ones, so it is stored.
+    One sweep over the ends of all parts of all transcripts gives the counts of each kind at every base.  A kind is
+    taken out where one before it holds: UTRs give way to coding exons, introns to both, flanks to all of these.
+    ``before`` is the mask of the base before the run.
     """
     tx = tx.withColumn("chrom", F.upper("chrom"))
-    cds = stored(merge(cds_exons(tx)), "cds")
-    utr5, utr3 = (stored(subtract(utr_exons(tx, n), cds), f"utr{n}") for n in (5, 3))
-    gene = reduce(DataFrame.unionByName, [cds, utr5, utr3])
-    intron = stored(subtract(introns(tx), gene), "introns")
-    body = stored(merge(gene.unionByName(intron)), "bodies")
     sides = [flanks(tx, n, n) for n in (1000, 5000, 10000)]
-    parts = [cds, utr5, utr3, intron, *[subtract(s[0], body) for s in sides], *[subtract(s[1], body) for s in sides]]
-    return reduce(DataFrame.unionByName, [p.withColumn("region", F.lit(i + 1)) for i, p in enumerate(parts)])
+    kinds = [cds_exons(tx), utr_exons(tx, 5), utr_exons(tx, 3), introns(tx), *[s[0] for s in sides], *[s[1] for s in sides]]
+    parts = reduce(DataFrame.unionByName, [k.select("chrom", "start", "end", F.lit(i).alias("kind")) for i, k in enumerate(kinds)]).where("start < end")
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    names = [f"c{i}" for i in range(len(kinds))]
+    events = parts.select("chrom", "kind", ends.alias("e")).groupBy("chrom", F.col("e.pos").alias("start")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("e.d"))), F.lit(0)).alias(n) for i, n in enumerate(names)])
+    events = events.withColumn("_bin", F.floor(F.col("start") / BIN))
+    order = W.partitionBy("chrom").orderBy("_bin")  # a row for each bin that has events
+    bins = events.groupBy("chrom", "_bin").agg(*[F.sum(n).alias(n) for n in names], F.min("start").alias("_low"))
+    bins = bins.select("chrom", "_bin", *[(F.sum(n).over(order) - F.col(n)).alias(f"_{n}") for n in names], F.lead("_low").over(order).alias("_after"))
+    line = W.partitionBy("chrom", "_bin").orderBy("start")
+    placed = events.join(bins, ["chrom", "_bin"]).select("chrom", "start", F.coalesce(F.lead("start").over(line), "_after").alias("end"), *[F.struct((F.col(f"_{n}") + F.sum(n).over(line)).alias("now"), F.col(n).alias("d")).alias(n) for n in names])
+
+    def mask(count) -> Column:
+        inside = [count(F.col(n)) > 0 for n in names]
+        gene = inside[0] | inside[1] | inside[2]
+        kept = [inside[0], inside[1] & ~inside[0], inside[2] & ~inside[0], inside[3] & ~gene, *[f & ~gene & ~inside[3] for f in inside[4:]]]
+        return reduce(lambda x, y: x + y, [F.when(k, F.lit(1 << (i + 1))).otherwise(F.lit(0)) for i, k in enumerate(kept)])
+
+    return placed.select("chrom", "start", "end", mask(lambda c: c["now"]).alias("mask"), mask(lambda c: c["now"] - c["d"]).alias("before")).where("mask <> 0 and end is not null")
+
+
+def gene_regions(tx: DataFrame) -> DataFrame:
+    """region (1 to 10, the order of GROUPS), chrom, start, end: merged, and free of the regions that come before."""
+    bits = F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(GROUPS))), lambda k: F.get_bit(F.col("mask"), k) == 1))
+    return merge(region_segments(tx).select("chrom", "start", "end", bits.alias("region")), "region", "chrom")
 
 
 def _sum(condition: Column) -> Column:
@@ -42,11 +62,12 @@ def _sum(condition: Column) -> Column:
 
 def read_distribution(reads: DataFrame, tx: DataFrame) -> DataFrame:
     """name, bases, tags, tags_per_kb for ten regions: where the middles of match blocks fall, strictly inside."""
-    regions = stored(gene_regions(tx), "regions")
-    rows = reads.where(R.keeps("read_distribution")).select("rid", F.upper("chrom").alias("chrom"), F.posexplode(C.exon_blocks()).alias("i", "b"))
-    tags = rows.select("rid", "i", "chrom", (F.col("b.start") + F.floor((F.col("b.end") - F.col("b.start")) / 2)).alias("p"))
-    met = point_join(tags, "p", as_right(regions, "region"), strict=True)
-    per = met.groupBy("rid", "i").agg(F.bit_or(F.expr("shiftleft(1, region)")).alias("m"))
+    runs = stored(region_segments(tx), "regions")
+    rows = reads.where(R.keeps("read_distribution")).select(F.upper("chrom").alias("chrom"), F.explode(C.exon_blocks()).alias("b"))
+    tags = rows.select("chrom", (F.col("b.start") + F.floor((F.col("b.end") - F.col("b.start")) / 2)).alias("p"))
+    met = point_join(tags, "p", as_right(runs, "mask", "before"))
+    # A region's first base is not strictly inside it: there, only what holds the base before counts too.
+    per = met.select(F.when(F.col("p") == F.col("r_start"), F.col("mask").bitwiseAND(F.col("before"))).otherwise(F.col("mask")).alias("m"))
     inside = lambda k: F.col("m").bitwiseAND(F.lit(1 << k)) != 0
     spot = (
         F.when(inside(1), 1)
@@ -67,7 +88,9 @@ def read_distribution(reads: DataFrame, tx: DataFrame) -> DataFrame:
     groups = {1: k == 1, 2: k == 2, 3: k == 3, 4: k == 4, 5: k == 5, 6: k.between(5, 6), 7: k.between(5, 7), 8: k == 8, 9: k.between(8, 9), 10: k.between(8, 10)}
     counts = per.select(spot.alias("spot")).agg(*[_sum(c).alias(str(g)) for g, c in groups.items()])
     tags_by = counts.select(F.explode(F.array(*[F.struct(F.lit(g).alias("region"), F.col(str(g)).alias("tags")) for g in groups])).alias("x")).select("x.*")
-    sizes = regions.groupBy("region").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+    size = F.col("end") - F.col("start")
+    sums = runs.agg(*[F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << g)) != 0, size)).alias(str(g)) for g in groups])
+    sizes = sums.select(F.explode(F.array(*[F.struct(F.lit(g).alias("region"), F.col(str(g)).alias("bases")) for g in groups])).alias("x")).select("x.*")
     named = F.element_at(F.array(*map(F.lit, GROUPS)), F.col("region"))
     out = tags_by.join(sizes, "region", "left").select(named.alias("name"), F.coalesce("bases", F.lit(0)).cast("long").alias("bases"), "tags")
     return out.withColumn("tags_per_kb", F.col("tags") * 1000 / (F.col("bases") + 1))
