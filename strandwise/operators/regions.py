@@ -52,7 +52,7 @@ def region_segments(tx: DataFrame) -> DataFrame:
 
 def gene_regions(tx: DataFrame) -> DataFrame:
     """region (1 to 10, the order of GROUPS), chrom, start, end: merged, and free of the regions that come before."""
-    bits = F.explode(F.filter(F.sequence(F.lit(1), F.lit(len(GROUPS))), lambda k: F.get_bit(F.col("mask"), k) == 1))
+    bits = F.explode(F.expr(f"filter(sequence(1, {len(GROUPS)}), k -> getbit(mask, k) = 1)"))
     return merge(region_segments(tx).select("chrom", "start", "end", bits.alias("region")), "region", "chrom")
 
 
