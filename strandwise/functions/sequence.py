@@ -56,3 +56,18 @@ def strand_rule(text: str) -> dict[str, str]:
     if len(parts) not in (2, 4) or len({len(p) for p in parts}) != 1:
         raise ValueError(f"unknown strand rule: {text}")
     return {p[:-1]: p[-1] for p in parts}
+
+
+def name_bit(name: str) -> Column:
+    """The low bit of the 32-bit string hash (times 31, then mixed) that decides which of two overlapping mates keeps its qualities."""
+    cut = "4294967296L"
+    chars = f"split({name}, '')"
+    summed = f"aggregate({chars}, 0L, (h, c) -> if(c = '', h, pmod(h * 31 + ascii(c), {cut})))"
+    steps = [
+        "pmod(k + pmod(-1 - shiftleft(k, 15), {c}), {c})", "k ^ shiftright(k, 10)", "pmod(k + shiftleft(k, 3), {c})",
+        "k ^ shiftright(k, 6)", "pmod(k + pmod(-1 - pmod(shiftleft(k, 11), {c}), {c}), {c})", "k ^ shiftright(k, 16)",
+    ]
+    expr = summed
+    for step in steps:
+        expr = f"element_at(transform(array({expr}), k -> {step.format(c=cut)}), 1)"
+    return F.expr(f"{expr} & 1")

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
-from strandwise.functions.sequence import strand_rule
+from strandwise.functions.sequence import name_bit, strand_rule
 from strandwise.operators import filters as R
 from strandwise.operators.genes import exons, with_length
 from strandwise.operators.intervals import as_right, coverage, merge, overlap_join, point_join
+from strandwise.sources.storage import stored
 
 #: Reads that count at a position at most, in order of start, and the base quality that counts.
 DEPTH, BASE_QUALITY = 8000, 13
@@ -76,22 +77,49 @@ def percentile_positions(tx: DataFrame, shortest: int = 100, distinct: bool = Tr
 
 
 def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
-    """tx_id, pos, covered, visited: reads of good base quality at listed positions; gaps visit without covering.
+    """tx_id, pos, covered: reads of good base quality at listed positions.
 
-    Duplicates and improper pairs are left out.  At a position the first DEPTH reads count, by start and file order.
-    Mates that overlap count each; see the README.
+    Duplicates and improper pairs are left out.  Where two mates overlap, they count once: equal bases pool their
+    qualities, of unequal ones the better counts at 0.8 of its quality; a base against a deletion counts at 0.8 or not
+    at all, as the name's hash bit says.  At a position the first DEPTH reads count, by start and file order; there
+    mates count each.
     """
     rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null")
     rows = rows.withColumn("bare", F.filter("cigar", lambda c: ~c["op"].isin("S", "H", "P"))).where(C.reference_span() > 0)
-    rows = rows.select("chrom", F.col("pos0").alias("r_start"), (F.col("pos0") + C.reference_span()).alias("r_end"), "rid", "pos0", "qual", C.exon_blocks("pos0", "bare").alias("blocks"), C.read_ranges("M").alias("own"))
+    end = F.col("pos0") + C.reference_span()
+    far = (F.abs(F.coalesce("tlen", F.lit(0))) >= 2 * F.length("seq")) & (F.coalesce("mate_pos0", F.lit(-1)) >= end)
+    paired = R.has(R.PROPER) & R.lacks(R.MATE_UNMAPPED) & F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False)) & ~far
+    rows = rows.select(
+        "chrom", F.col("pos0").alias("r_start"), end.alias("r_end"), "rid", "qname", "pos0", "seq", "qual", paired.alias("paired"), C.exon_blocks("pos0", "bare").alias("blocks"), C.read_ranges("M").alias("own"),
+        F.expr("aggregate(bare, named_struct('p', pos0, 'out', cast(array() as array<struct<start:bigint,end:bigint>>)), (a, c) -> named_struct('p', a.p + if(c.op in ('M', 'D', 'N'), c.len, 0), 'out', if(c.op = 'D', array_append(a.out, named_struct('start', a.p, 'end', a.p + c.len)), a.out)), a -> a.out)").alias("gaps"),
+    )
     points = positions.select("tx_id", "chrom", F.explode("positions").alias("pos"))
-    at = point_join(points.withColumn("p0", F.col("pos") - 1), "p0", rows)
-    k = F.expr("array_position(transform(blocks, b -> b.start <= p0 and p0 < b.end), true)")
-    at = at.withColumn("k", k.cast("int"))
-    quality = F.expr("if(k > 0, coalesce(get(qual, cast(own[k - 1].start + p0 - blocks[k - 1].start as int)), 0), 0)")
-    ranked = at.select("tx_id", "pos", "rid", "pos0", quality.alias("q"))
-    crowded = ranked.groupBy("tx_id", "pos").agg(F.count("*").alias("n"), F.count_if(F.col("q") >= BASE_QUALITY).alias("good"))
+    at = point_join(points.withColumn("p0", F.col("pos") - 1), "p0", rows, size=256)
+    at = at.withColumn("k", F.expr("array_position(transform(blocks, b -> b.start <= p0 and p0 < b.end), true)").cast("int"))
+    offset = "cast(own[k - 1].start + p0 - blocks[k - 1].start as int)"
+    ranked = at.select(
+        "tx_id", "pos", "rid", "qname", "pos0", "paired", F.expr(f"if(k > 0, coalesce(get(qual, {offset}), 0), 0)").alias("q"),
+        F.expr(f"if(k > 0, substring(seq, {offset} + 1, 1), null)").alias("base"), F.expr("k = 0 and exists(gaps, g -> g.start <= p0 and p0 < g.end)").alias("gap"),
+    )
+    good = lambda q: (q >= BASE_QUALITY).cast("int")
+    named = ranked.groupBy("tx_id", "pos", "qname", F.when(~F.col("paired"), F.col("rid")).alias("alone")).agg(
+        F.count("*").alias("n"), F.sum(good(F.col("q"))).alias("good"), F.min_by(F.struct("q", "base", "gap"), "rid").alias("a"), F.max_by(F.struct("q", "base", "gap"), "rid").alias("b")
+    )
+    less = lambda q: good(F.floor(q * 0.8))
+    both = F.when(F.col("a.base") == F.col("b.base"), good(F.col("a.q") + F.col("b.q"))).otherwise(less(F.greatest("a.q", "b.q")))
+    bit = name_bit("qname")
+    pair = (
+        F.when(F.col("a.base").isNotNull() & F.col("b.base").isNotNull(), both)
+        .when(F.col("a.base").isNotNull() & F.col("b.gap"), F.when(bit == 1, less(F.col("a.q"))).otherwise(0))
+        .when(F.col("b.base").isNotNull() & F.col("a.gap"), F.when(bit == 0, less(F.col("b.q"))).otherwise(0))
+        .otherwise(F.col("good"))
+    )
+    counted = F.when((F.col("n") == 2) & F.col("alone").isNull(), pair).otherwise(F.col("good"))
+    crowded = named.groupBy("tx_id", "pos").agg(F.sum("n").alias("n"), F.sum(counted).alias("good"))
+    crowded = stored(crowded, "depth")  # a row for each listed position; crowded ones are rare, and ranked only where there are any
     few = crowded.where(F.col("n") <= DEPTH).select("tx_id", "pos", F.col("good").alias("covered"))
+    if not crowded.where(F.col("n") > DEPTH).limit(1).count():
+        return few
     deep = ranked.join(crowded.where(F.col("n") > DEPTH).select("tx_id", "pos"), ["tx_id", "pos"])
     order = F.row_number().over(W.partitionBy("tx_id", "pos").orderBy("pos0", "rid"))
     cut = deep.withColumn("r", order).where(F.col("r") <= DEPTH).groupBy("tx_id", "pos").agg(F.count_if(F.col("q") >= BASE_QUALITY).alias("covered"))

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIN = 1 << 14
+#: Bins in which range joins meet: short against bins are the reads, few are the bins that a transcript touches.
+JOIN_BIN = 1 << 11
 
 
 def _islands(df: DataFrame, *keys: str) -> DataFrame:
@@ -33,7 +35,7 @@ def _exploded(df: DataFrame, start: Column, end: Column, size: int) -> DataFrame
     return df.withColumn("_bin", F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(end - 1, start) / size))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = BIN) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = JOIN_BIN) -> DataFrame:
     """Pairs with left.start < right.end and right.start < left.end on one contig.
 
     left: chrom, start, end and others; right: chrom, r_start, r_end and others.  Both sides are sent to the bins they
@@ -47,7 +49,7 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", size: in
     return a.join(b, meet, how).drop("_chrom", "_bin", "_rbin")
 
 
-def point_join(points: DataFrame, at: str, regions: DataFrame, strict: bool = False, how: str = "inner", size: int = BIN) -> DataFrame:
+def point_join(points: DataFrame, at: str, regions: DataFrame, strict: bool = False, how: str = "inner", size: int = JOIN_BIN) -> DataFrame:
     """Points and the regions that hold them: r_start <= at < r_end, or r_start < at < r_end when strict."""
     a = points.withColumn("_bin", F.floor(F.col(at) / size))
     b = _exploded(regions, F.col("r_start"), F.col("r_end"), size).withColumnRenamed("chrom", "_chrom").withColumnRenamed("_bin", "_rbin")

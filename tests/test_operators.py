@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
-from strandwise.functions.sequence import md_mismatches, reverse_complement, strand_rule
+from strandwise.functions.sequence import md_mismatches, name_bit, reverse_complement, strand_rule
 from strandwise.operators import coverage as V
 from strandwise.operators import intervals as I
 from strandwise.operators import regions as G
@@ -229,3 +229,34 @@ def test_streaming_counters(spark, tmp_path):
         assert spark.sql("select total, `unique` from stat").first().asDict() == {"total": 20, "unique": 10}
     finally:
         q.stop()
+
+
+def test_name_bit(spark):
+    def bit(name):
+        h = 0
+        for c in name.encode():
+            h = (h * 31 + c) & 0xFFFFFFFF
+        k = (h + (~(h << 15) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        k ^= k >> 10
+        k = (k + (k << 3)) & 0xFFFFFFFF
+        k ^= k >> 6
+        k = (k + (~(k << 11) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        return (k ^ k >> 16) & 1
+
+    names = ["a", "read/1", "q123", "HWI-ST:1:2:3", "zz"] + [f"r{i}" for i in range(40)]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "qname string").coalesce(1).select(name_bit("qname")).collect()]
+    assert got == [bit(n) for n in names]
+
+
+def test_overlapping_mates_count_once(spark):
+    read = lambda i, name, flag, pos, mate, tlen, seq, qual: (i, name, flag, "c", pos, 60, [("M", 10)], "c", mate, tlen, seq, [qual] * 10)
+    rows = [
+        read(0, "same", 3 | 64, 100, 105, 15, "A" * 10, 10), read(1, "same", 3 | 128, 105, 100, -15, "A" * 10, 10),
+        read(2, "differ", 3 | 64, 200, 205, 15, "A" * 10, 15), read(3, "differ", 3 | 128, 205, 200, -15, "C" * 10, 14),
+        read(4, "lone", 0, 300, None, 0, "A" * 10, 20),
+    ]
+    reads = spark.createDataFrame(rows, "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>")
+    positions = spark.createDataFrame([("t", "c", [103, 108, 203, 208, 303])], "tx_id string, chrom string, positions array<bigint>")
+    got = {r["pos"]: r["covered"] for r in V.position_depth(reads, positions).collect()}
+    # 10 alone is too low, 10 + 10 is enough; 15 counts alone, 0.8 of it does not
+    assert got == {103: 0, 108: 1, 203: 1, 208: 0, 303: 1}
