@@ -208,8 +208,8 @@ _REGION_CTES = (
         f"f{k} AS (SELECT chrom, CASE WHEN strand {op} '-' THEN greatest(tx_start - {n}, 0) ELSE tx_end END AS start, CASE WHEN strand {op} '-' THEN tx_start ELSE tx_end + {n} END AS \"end\" FROM tx), " + _subtract_sql(f"f{k}", "body", f"r{k}")
         for k, n, op in ((5, 1000, "<>"), (6, 5000, "<>"), (7, 10000, "<>"), (8, 1000, "="), (9, 5000, "="), (10, 10000, "=")))
     + ", reg AS (" + " UNION ALL ".join(f"SELECT {k} AS k, chrom, start, \"end\" FROM r{k}" for k in range(1, 11)) + "), "
-    + f"tags AS (SELECT rid, i, r.chrom, pos0 + off + len // 2 AS p FROM {_JOIN} WHERE op = 'M' AND {_LIVE}), "
-    + "hit AS (SELECT rid, i, p, bit_or(1 << k) AS m FROM tags t JOIN reg ON reg.chrom = t.chrom AND start < p AND p < \"end\" GROUP BY rid, i, p), "
+    + f"tags AS (SELECT row_number() OVER () AS tid, r.chrom, pos0 + off + len // 2 AS p FROM {_JOIN} WHERE op = 'M' AND {_LIVE}), "
+    + "hit AS (SELECT tid, p, bit_or(1 << k) AS m FROM tags t JOIN reg ON reg.chrom = t.chrom AND start < p AND p < \"end\" GROUP BY tid, p), "
     + "spot AS (SELECT CASE WHEN m & 2 <> 0 THEN 1 WHEN m & 12 = 12 THEN 0 WHEN m & 4 <> 0 THEN 2 WHEN m & 8 <> 0 THEN 3 WHEN m & 16 <> 0 THEN 4 WHEN m & 128 <> 0 AND m & 1024 <> 0 THEN 0"
     + " WHEN m & 32 <> 0 THEN 5 WHEN m & 64 <> 0 THEN 6 WHEN m & 128 <> 0 THEN 7 WHEN m & 256 <> 0 THEN 8 WHEN m & 512 <> 0 THEN 9 WHEN m & 1024 <> 0 THEN 10 ELSE 0 END AS s FROM hit)"
 )
