@@ -26,8 +26,8 @@ from strandwise.llm.common import stored
 from strandwise.llm.jaccard import bounds, runs
 
 TOP, SCALE, EVERY = 10, 1024, 100
-#: Pivots, rows of a block, queries that meet a block at once, points of a leaf.
-PIVOTS, BLOCK, CHUNK, LEAF = 16, 4096, 4096, 48
+#: Pivots, rows of a block, queries that meet a block at once; points of a leaf among data and among queries.
+PIVOTS, BLOCK, CHUNK, LEAF, QUERY_LEAF = 16, 4096, 4096, 512, 32
 
 
 def integer_vectors(table: DataFrame) -> DataFrame:
@@ -47,13 +47,13 @@ class Node:
 
     __slots__ = ("centre", "norm", "radius", "points", "children")
 
-    def __init__(self, vectors: np.ndarray, points: np.ndarray, at: int) -> None:
+    def __init__(self, vectors: np.ndarray, points: np.ndarray, at: int, leaf: int = LEAF) -> None:
         self.centre = vectors[at]
         self.norm = float(np.linalg.norm(self.centre))
         gap = np.linalg.norm(vectors[points] - self.centre, axis=1)
         self.radius = float(gap.max()) * (1 + 1e-9) if len(points) else 0.0
         self.points, self.children = points, []
-        if len(points) <= LEAF or self.radius == 0:
+        if len(points) <= leaf or self.radius == 0:
             return
         # Cover the points with balls of half the radius, each round the farthest point that none holds yet.
         left, own, near = points, at, gap
@@ -69,10 +69,11 @@ class Node:
             near = np.linalg.norm(vectors[left] - vectors[own], axis=1)
             if len(self.children) >= 64:  # thin covers: the rest is cut by nearest centre
                 centres = [c for c, _ in self.children]
-                nearest = np.argmin(((vectors[left][:, None, :] - vectors[centres][None]) ** 2).sum(2), axis=1) if len(left) * len(centres) < 1 << 16 else np.concatenate([np.argmin(((vectors[p][:, None, :] - vectors[centres][None]) ** 2).sum(2), axis=1) for p in np.array_split(left, len(left) // 512 + 1)])
+                own_ = vectors[centres]
+                nearest = np.argmin((own_**2).sum(1)[None, :] - 2 * (vectors[left] @ own_.T), axis=1)
                 self.children = [(c, np.concatenate([p, left[nearest == k]])) for k, (c, p) in enumerate(self.children)]
                 left = left[:0]
-        self.children = [Node(vectors, p, c) if len(p) < len(points) else _leaf(vectors, p, c) for c, p in self.children]
+        self.children = [Node(vectors, p, c, leaf) if len(p) < len(points) else _leaf(vectors, p, c) for c, p in self.children]
 
 
 def _leaf(vectors: np.ndarray, points: np.ndarray, at: int) -> Node:
@@ -92,13 +93,12 @@ class Best:
     """The best scores of each query so far."""
 
     def __init__(self, n: int, floor: np.ndarray) -> None:
-        self.scores = np.zeros((n, 0), np.int64)
-        self.ids = np.zeros((n, 0), np.int64)
         self.rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n)]
         self.floor = floor.astype(np.float64)  # the k-th score known so far, -inf where there are fewer
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        for k, q in enumerate(queries):
+        for k in np.flatnonzero(scores.max(axis=1) >= self.floor[queries]):
+            q = queries[k]
             keep = (scores[k] >= self.floor[q]) & ~own[k]
             if keep.any():
                 s, i = np.concatenate([self.rows[q][0], scores[k][keep]]), np.concatenate([self.rows[q][1], ids[keep]])
@@ -113,7 +113,7 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
     qf, df = queries.astype(np.float64), data.astype(np.float64)
     small = data.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) < 2.0**52
     best = Best(len(queries), floor)
-    q_root = Node(qf, np.arange(len(queries)), 0)
+    q_root = Node(qf, np.arange(len(queries)), 0, QUERY_LEAF)
     d_root = Node(df, np.arange(len(data)), 0)
     stack = [(q_root, d_root, upper(q_root, d_root))]
     while stack:
