@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 
 #: Bits of a bitmap that is sent to every task: 2^26 bits are 8 MB, whatever the input's size.
 BITMAP_BITS = 1 << 26
-#: Text bytes that one numpy step works on; arrays of 8 bytes a character stay near 10 MB.
-SLICE_BYTES = 1 << 20
+#: Text bytes that one numpy step works on; arrays of 8 bytes a character stay near 2 MB.
+SLICE_BYTES = 1 << 18
+#: Bytes of an Arrow batch that goes to Python; a longer row makes a batch of its own.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB: a task's buffers, in Spark and in Python, then don't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -27,7 +27,7 @@ from strandwise.llm.common import documents, stored, text_batches
 LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 8
 #: Words, and stems of words, whose ids a worker remembers; a memory is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Latin letters and then signs: two pre-tokens, the letters in lower case.  No apostrophe, which could make a third.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?$%&*#|()\"-]*)")
 

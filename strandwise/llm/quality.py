@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from strandwise.llm.common import documents, mix, text_batches
+from strandwise.llm.common import documents, mix, small_batches, text_batches
 from strandwise.llm.words import Words
 
 #: Labelled rows that the fit may read.
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with a column score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = [c for c in docs.columns if c != "score"]
     rows = docs.select(*extra)
@@ -142,8 +144,6 @@ def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = np.full(batch.num_rows, 0.5) if shared.value is None else shared.value.score(term_counts(texts)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("score", DoubleType()))
 
 

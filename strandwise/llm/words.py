@@ -13,7 +13,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=5)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     inverse = pow(base, -1, 1 << 64)
