@@ -96,14 +96,16 @@ def read_distribution(reads: DataFrame, tx: DataFrame) -> DataFrame:
     return out.withColumn("tags_per_kb", F.col("tags") * 1000 / (F.col("bases") + 1))
 
 
-def inner_distance(reads: DataFrame, tx: DataFrame, sample: int = 1_000_000, q_cut: int = 30) -> DataFrame:
-    """rid, qname, distance, label: the gap between mates, at the mate that comes first.
+def inner_distance(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
+    """rid, qname, distance, label: the gap between mates, at the mate that comes first, over the first ``sample`` pairs (all if None).
 
     A transcript is looked up by name; the first of each contig in the model is not known to the lookup.
     """
     rows = reads.where(R.keeps("inner_distance", q_cut)).where(R.has(R.PAIRED) & R.lacks(R.MATE_UNMAPPED))
     rows = rows.where("pos0 is not null and mate_pos0 is not null and mate_pos0 >= pos0").where((F.col("mate_pos0") > F.col("pos0")) | ~R.has(R.READ1))
-    rows = rows.orderBy("rid").limit(sample).where("chrom is not null and mate_chrom is not null")
+    if sample is not None:
+        rows = rows.orderBy("rid").limit(sample)
+    rows = rows.where("chrom is not null and mate_chrom is not null")
     gaps = F.aggregate(C.intron_blocks(), F.lit(0).cast("long"), lambda a, b: a + b["end"] - b["start"])
     rows = rows.select("rid", "qname", F.upper("chrom").alias("chrom"), (F.col("chrom") != F.col("mate_chrom")).alias("apart"), "pos0", F.col("mate_pos0").alias("mate"), (F.col("pos0") + C.aligned_length() + gaps).alias("done"), C.exon_blocks().alias("blocks"))
     own = F.expr("aggregate(blocks, 0L, (a, b) -> a + greatest(0L, least(b.end, done) - greatest(b.start, mate)))")

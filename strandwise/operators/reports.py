@@ -112,15 +112,20 @@ def cycle_profile(reads: DataFrame, op: str, report: str, q_cut: int = 30, pairs
     return joined.select("mate", "pos", "with_op", (F.col("total") - F.col("with_op")).alias("without_op"))
 
 
-def deletion_profile(reads: DataFrame, length: int, most: int = 1_000_000, q_cut: int = 30) -> DataFrame:
-    """pos, deletions for read positions 0 to length - 1, over the first ``most`` reads with a deletion."""
+def deletion_profile(reads: DataFrame, length: int, most: int | None = None, q_cut: int = 30) -> DataFrame:
+    """pos, deletions for read positions 0 to length - 1, over the first ``most`` reads (all if None) with a deletion."""
     rows = reads.where(R.keeps("deletion_profile", q_cut)).where(F.exists("cigar", lambda c: c["op"] == "D"))
     rows = rows.where((F.length("seq") == length) & (C.length_of("MSI") == length))
-    rows = rows.select("rid", "flag", C.deletion_starts().alias("d")).orderBy("rid").limit(most)
+    rows = _first(rows.select("rid", "flag", C.deletion_starts().alias("d")), most)
     starts = rows.select("flag", F.explode("d").alias("d")).select(F.when(R.has(R.REVERSE), length - F.col("d.start")).otherwise(F.col("d.start")).alias("pos"))
     return _filled(starts.groupBy("pos").agg(F.count("*").alias("deletions")), length, ["deletions"])
 
 
+def _first(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` rows by rid; all if None."""
+    return rows if most is None else rows.orderBy("rid").limit(most)
+
+
 def _filled(counts: DataFrame, length: int, columns: list[str]) -> DataFrame:
     frame = counts.sparkSession.range(length).select(F.col("id").alias("pos"))
     return frame.join(counts, "pos", "left").select("pos", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in columns])
@@ -129,8 +134,8 @@ def _filled(counts: DataFrame, length: int, columns: list[str]) -> DataFrame:
 GENOTYPES = [f"{a}2{b}" for a in "ACGT" for b in "ACGT" if a != b]
 
 
-def mismatch_profile(reads: DataFrame, length: int, most: int = 1_000_000, q_cut: int = 30) -> DataFrame:
-    """pos, sum and a column for each of 12 genotypes, over the first ``most`` reads with mismatches and no deletion.
+def mismatch_profile(reads: DataFrame, length: int, most: int | None = None, q_cut: int = 30) -> DataFrame:
+    """pos, sum and a column for each of 12 genotypes, over the first ``most`` reads (all if None) with mismatches and no deletion.
 
     Reverse reads count from the other end; bases are not complemented.
     """
@@ -138,30 +143,29 @@ def mismatch_profile(reads: DataFrame, length: int, most: int = 1_000_000, q_cut
     nm = F.expr("element_at(tags, 'NM').i")
     rows = reads.where(R.keeps("mismatch_profile", q_cut)).where(nm.isNull() | (nm != 0)).where(md.isNull() | ~F.contains(md, F.lit("^")))
     rows = rows.where((F.length("seq") == length) & (C.length_of("M") == length) & ~F.contains("seq", F.lit("N")))
-    rows = rows.withColumn("md", md).select("rid", "flag", "seq", "md").orderBy("rid").limit(most).where("md is not null")
+    rows = _first(rows.withColumn("md", md).select("rid", "flag", "seq", "md"), most).where("md is not null")
     found = rows.select("flag", F.explode(md_mismatches("md", "seq")).alias("m"))
     found = found.select(F.when(R.has(R.REVERSE), length - 1 - F.col("m.pos")).otherwise(F.col("m.pos")).cast("long").alias("pos"), F.concat("m.ref", F.lit("2"), "m.read").alias("g"))
     counts = found.groupBy("pos").agg(F.count("*").alias("sum"), *[_count(F.col("g") == g, g) for g in GENOTYPES])
     return _filled(counts, length, ["sum", *GENOTYPES])
 
 
-def strand_inference(reads: DataFrame, tx: DataFrame, sample: int = 200_000, q_cut: int = 30) -> DataFrame:
-    """paired, key, reads: how read strand and gene strand go together over the first ``sample`` usable reads."""
+def strand_inference(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
+    """paired, key, reads: how read strand and gene strand go together over the first ``sample`` usable reads (all if None)."""
     rows = reads.where(R.keeps("infer_experiment", q_cut)).withColumn("paired", R.has(R.PAIRED))
     rows = rows.where(~F.col("paired") | R.has(R.READ1) | R.has(R.READ2))
     number = F.when(~F.col("paired"), "").when(R.has(R.READ1), "1").otherwise("2")
     rows = rows.select("rid", "chrom", F.col("pos0").alias("start"), (F.col("pos0") + C.aligned_length()).alias("end"), "paired", F.concat(number, R.strand()).alias("own"))
     genes = tx.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), F.col("strand").alias("gene"))
     met = overlap_join(rows, genes).groupBy("rid", "paired", "own").agg(F.array_join(F.array_sort(F.collect_set("gene")), ":").alias("genes"))
-    first = met.orderBy("rid").limit(sample)
-    return first.groupBy("paired", F.concat("own", "genes").alias("key")).agg(F.count("*").alias("reads"))
+    return _first(met, sample).groupBy("paired", F.concat("own", "genes").alias("key")).agg(F.count("*").alias("reads"))
 
 
 SPEC1, SPEC2 = ("1++", "1--", "2+-", "2-+"), ("1+-", "1-+", "2++", "2--")
 SINGLE1, SINGLE2 = ("++", "--"), ("+-", "-+")
 
 
-def infer_experiment(reads: DataFrame, tx: DataFrame, sample: int = 200_000, q_cut: int = 30) -> DataFrame:
+def infer_experiment(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
     """protocol, spec1, spec2, other: fractions of reads that each strand rule explains."""
     keys = strand_inference(reads, tx, sample, q_cut)
     sums = keys.agg(

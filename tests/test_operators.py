@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise import contract
 from strandwise.functions import cigar as C
 from strandwise.functions.sequence import md_mismatches, name_bit, reverse_complement, strand_rule
 from strandwise.operators import coverage as V
@@ -260,3 +261,28 @@ def test_overlapping_mates_count_once(spark):
     got = {r["pos"]: r["covered"] for r in V.position_depth(reads, positions).collect()}
     # 10 alone is too low, 10 + 10 is enough; 15 counts alone, 0.8 of it does not
     assert got == {103: 0, 108: 1, 203: 1, 208: 0, 303: 1}
+
+
+@pytest.mark.parametrize("name", ["infer_experiment_keys", "inner_distance", "inner_distance_histogram", "deletion_profile", "mismatch_profile"])
+def test_registered_reports_have_no_cap(spark, name):
+    plan = contract.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
+def test_reports_count_all_reads_unless_capped(spark):
+    n = 200_001
+    array = "cast(array(named_struct('op', 'M', 'len', 10), named_struct('op', 'D', 'len', 1), named_struct('op', 'M', 'len', 10)) as array<struct<op:string,len:int>>)"
+    reads = spark.range(n).selectExpr("id as rid", "concat('q', id) as qname", "0 as flag", "'c' as chrom", "100L as pos0", "60 as mapq", f"{array} as cigar", "cast(null as string) as mate_chrom", "cast(null as long) as mate_pos0", "0 as tlen", "repeat('A', 20) as seq")
+    tx = spark.createDataFrame([("t", "c", 0, 400, "+")], "tx_id string, chrom string, tx_start long, tx_end long, strand string")
+    assert [tuple(r) for r in P.strand_inference(reads, tx).collect()] == [(False, "++", n)]
+    assert [tuple(r) for r in P.strand_inference(reads, tx, sample=5).collect()] == [(False, "++", 5)]
+    few = reads.where("rid < 9")
+    assert P.deletion_profile(few, 20).agg(F.sum("deletions")).first()[0] == 9
+    assert P.deletion_profile(few, 20, most=4).agg(F.sum("deletions")).first()[0] == 4
+    odd = few.withColumn("cigar", F.expr("cast(array(named_struct('op', 'M', 'len', 20)) as array<struct<op:string,len:int>>)"))
+    odd = odd.withColumn("tags", F.expr("map('MD', named_struct('s', '5C14', 'i', cast(null as long)), 'NM', named_struct('s', cast(null as string), 'i', 1L))"))
+    assert P.mismatch_profile(odd, 20).agg(F.sum("sum")).first()[0] == 9
+    assert P.mismatch_profile(odd, 20, most=4).agg(F.sum("sum")).first()[0] == 4
+    pairs = odd.withColumns({"flag": F.lit(3 | 64), "mate_chrom": F.lit("c"), "mate_pos0": F.lit(150).cast("long")})
+    model = tx.withColumns({"blocks": F.expr("array(named_struct('start', 0L, 'end', 400L))"), "line": F.lit(0).cast("long")})
+    assert G.inner_distance(pairs, model).count() == 9 and G.inner_distance(pairs, model, sample=4).count() == 4
