@@ -10,7 +10,8 @@ Null text counts as empty.  Rows with equal doc_id and text have equal results e
 empty result.  Other columns are ignored.  Spans are in code points, end exclusive.
 
 The expressions are the contract's, written so that a Java regular expression neither recurses nor tries a run of
-signs again from its middle: possessive groups, and a start only where a run starts or the last match ended.
+signs again from its middle: possessive groups, and a start only where a run starts or the last match ended.  Only
+``id`` gives signs back, from the end of its run to the last letter or digit.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import documents, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
-_WORD = "A-Za-z0-9._%+-"
+_WORD = "A-Za-z0-9._%+-"  # last in a class: its hyphen is a sign, not a range
 FORMS = {
     "email": rf"(?:(?<![{_WORD}])|\G)[{_WORD}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": rf"(?<![{_WORD}@/])(?=[A-Za-z._%+@/-]*+[0-9])[{_WORD}@/]{{7,}}+(?<=[A-Za-z0-9])",
+    "id": rf"(?<![@/{_WORD}])(?=[A-Za-z._%+@/-]*+[0-9])[@/{_WORD}]{{6,}}[A-Za-z0-9]",
 }
 #: A sign that every match of a form holds; texts without it are not searched.
 _SIGN = {"email": "@", "ip": ".", "phone": "+"}

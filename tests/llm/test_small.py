@@ -234,6 +234,19 @@ def test_personal_bootstraps(spark):
     assert all(got[12 + i].startswith("id:16:") for i in range(3)) and got[15] == "" and got[16] == ""
 
 
+def test_personal_ids_end_at_punctuation(spark):
+    tails, heads = ["", ".", ",", ";", ":", "?", "...", "-", "/."], ["write to ", "write to:", "write to=", "write to,"]
+    forms = ["AB1234567", "123-45-6789", "A/1.b@2-C%+_9"]
+    cases = [(h, v, t) for h in heads for v in forms for t in tails]
+    texts = [f"{h}user{i}@mail.example.com today" for h in heads for i in range(200)] + [f"{h}{v}{t} now" for h, v, t in cases]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal.find_personal(table).where("doc_id >= 800").collect()}
+    assert got == {800 + i: f"id:{len(h)}:{len(h) + len(v)}" for i, (h, v, t) in enumerate(cases)}
+    long = spark.createDataFrame([(0, "a" * 50000 + "1" + "." * 50000), (1, "1" + "-" * 100000), (2, ("ab1" + "." * 9) * 9000)], "doc_id long, text string")
+    found = {r["doc_id"]: r["m"] for r in long.select("doc_id", personal.matches(F.col("text"), "id").alias("m")).collect()}
+    assert found[0][0]["many"] == 50001 and found[1] is None and found[2][0]["many"] == 9000 * 12 - 9
+
+
 def test_search(spark):
     rng = np.random.RandomState(0)
     v = rng.standard_normal((700, 12)).astype(np.float32)
