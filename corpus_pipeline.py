@@ -9,10 +9,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwise.llm import jaccard, mixing, packing, personal, quality
-from strandwise.llm.common import documents, shared_dir
+from strandwise.llm.common import documents, shared_dir, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,10 +25,29 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates stays; wordless and unnumbered ones stay too."""
-    groups = jaccard.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates stays, the one with the smallest doc_id (null last); wordless rows stay all.
+
+    Rows are told apart by _row, a hash of doc_id and text, so that a doc_id may be null or stand for several texts.
+    """
+    docs, ids = _rows(docs.select(*COLUMNS))
+    groups = jaccard.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias("_row"), "component_id").agg((F.max("n_shingles") > 0).alias("worded"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row"))
+    kept = groups.join(ids.select("_row", "id"), "_row").groupBy("component_id").agg(first.alias("first"), F.max("worded").alias("worded"))
+    kept = kept.select("first._row", "worded")
+    equal = W.partitionBy("_row").orderBy("lang", "source", "n_chars")  # rows of one doc_id and one text
+    return docs.join(kept, "_row").withColumn("_no", F.row_number().over(equal)).where("_no = 1 or not worded").select(*COLUMNS)
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _row, and a table of _row and id; another salt is taken where different rows have one hash."""
+    for salt in range(9):
+        named = docs.withColumn("_row", F.xxhash64(F.lit(salt), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text"))
+        ids = named.select("_row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).distinct()
+        ids = stored(ids, "rows")
+        if not ids.groupBy("_row").count().where("count > 1").limit(1).count():
+            return named, ids
+    raise ValueError("rows have no hashes of their own")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ A window's anchor is the longest such symbol of the last round (ties by hash).
    The blocks of step 3 are told to the second scan by a bitmap of fixed size; a false hit there only sends more.
 
 Null texts have no words.  Rows with one doc_id are the same document for the order of documents: neither removes
-from the other.  A null doc_id comes after all others.  An empty table gives an empty result.  Other columns are
+from the other.  What is removed from a row goes by its doc_id and its text's hash.  A null doc_id comes after all others.  An empty table gives an empty result.  Other columns are
 ignored.
 """
 
@@ -130,27 +130,27 @@ def _slot(*columns):
 
 
 def _blocks_table(docs: DataFrame) -> DataFrame:
-    """doc_id, anchor, words (hash), at (first word in the document), many: the anchored blocks of every document."""
+    """doc_id, key, anchor, words (hash), at (first word in the document), many: the anchored blocks of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             words = Words(batch.column("text"))
             doc, at, many, anchor, text, has = blocks(words)
-            ids = batch.column("doc_id").to_numpy()[doc]
-            arrays = [ids, anchor, text, (at - words.first[doc]).astype(np.int32), many.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[has]) for a in arrays], ["doc_id", "anchor", "words", "at", "many"])
+            ids, keys = (batch.column(c).to_numpy()[doc] for c in ("doc_id", "key"))
+            arrays = [ids, keys, anchor, text, (at - words.first[doc]).astype(np.int32), many.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[has]) for a in arrays], ["doc_id", "key", "anchor", "words", "at", "many"])
 
-    return docs.mapInArrow(run, "doc_id long, anchor long, words long, at int, many int")
+    return docs.mapInArrow(run, "doc_id long, key long, anchor long, words long, at int, many int")
 
 
 def _windows(docs: DataFrame, wanted) -> DataFrame:
-    """doc_id, w1, w2 (a window's hash), at, many: windows without an anchor and of blocks in the bitmap."""
+    """doc_id, key, w1, w2 (a window's hash), at, many: windows without an anchor and of blocks in the bitmap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             words = Words(batch.column("text"))
             doc, at, many, anchor, text, has = blocks(words)
-            ids = batch.column("doc_id").to_numpy()
+            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
             asked = in_bitmap(wanted.value, block_slots(ids[doc], anchor, text)) | ~has
             doc, at, many = doc[asked], at[asked], many[asked]
             first = np.repeat(at, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
@@ -160,10 +160,10 @@ def _windows(docs: DataFrame, wanted) -> DataFrame:
             new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (first[1:] != first[:-1] + 1) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             many = np.diff(np.append(at, len(first)))
-            arrays = [ids[doc[at]], w1[at], w2[at], (first - words.first[doc])[at].astype(np.int32), many.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "w1", "w2", "at", "many"])
+            arrays = [ids[doc[at]], keys[doc[at]], w1[at], w2[at], (first - words.first[doc])[at].astype(np.int32), many.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "key", "w1", "w2", "at", "many"])
 
-    return docs.mapInArrow(scan, "doc_id long, w1 long, w2 long, at int, many int")
+    return docs.mapInArrow(scan, "doc_id long, key long, w1 long, w2 long, at int, many int")
 
 
 def block_slots(ids: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def block_slots(ids: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.nda
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, at, many: rows of windows (first word in the document, number) that also start in a smaller doc_id.  docs: doc_id, text."""
+    """doc_id, key, at, many: rows of windows (first word in the document, number) that also start in a smaller doc_id.  docs: doc_id, key, text."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     found = stored(_blocks_table(docs), "blocks")
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     by_words = some.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("unsure").alias("unsure"))
     by_words = stored(by_words, "sequences")
     # Equal blocks: all but the smallest doc_id's repeat.
-    same = some.join(by_words.where("low < high").select("anchor", "words", "low"), ["anchor", "words"]).where("doc_id > low").select("doc_id", "at", "many")
+    same = some.join(by_words.where("low < high").select("anchor", "words", "low"), ["anchor", "words"]).where("doc_id > low").select("doc_id", "key", "at", "many")
     # Anchors with several blocks: their smallest holders send windows.
     unsure = by_words.where("unsure").select(F.col("low").alias("doc_id"), "anchor", "words")
 
@@ -199,17 +199,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     low = sent.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     low = stored(low, "repeated")
     again = within(sent, send(bitmap_of(low, F.col("w1"), F.col("w2"))), "w1", "w2")
-    single = again.join(low, ["w1", "w2"]).where("doc_id > low").select("doc_id", "at", "many")
+    single = again.join(low, ["w1", "w2"]).where("doc_id > low").select("doc_id", "key", "at", "many")
     return same.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words joined by one space) of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    covers = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "many")).alias("covers"))  # a document's own words bound the list
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    covers = repeats(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "many")).alias("covers"))  # a document's own words bound the list
     covers = stored(covers, "covers")
-    touched = spark.sparkContext.broadcast(bitmap_of(covers, F.col("doc_id")))
+    touched = spark.sparkContext.broadcast(bitmap_of(covers, F.col("doc_id"), F.col("key")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,11 +232,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(in_bitmap(touched.value, batch.column("slot").to_numpy()) == want))
 
-        return docs.withColumn("slot", _slot("doc_id")).mapInArrow(pick, "doc_id long, text string, slot long").drop("slot")
+        return docs.withColumn("slot", _slot("doc_id", "key")).mapInArrow(pick, "doc_id long, key long, text string, slot long").drop("slot")
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     whole = side(False).withColumn("covers", F.lit(None).cast("array<struct<at:int,many:int>>")).mapInArrow(cut, schema)
-    return whole.unionByName(side(True).join(covers, "doc_id", "left").mapInArrow(cut, schema))
+    return whole.unionByName(side(True).join(covers, ["doc_id", "key"], "left").mapInArrow(cut, schema))
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

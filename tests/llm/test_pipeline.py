@@ -65,3 +65,14 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, tmp_path):
     corpus(spark, str(tmp_path))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b, c, d, e = (make_text(60 + i, 80) for i in range(5))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c), (None, d), (None, d + " tail"), (None, d), (None, e), (None, e), (4, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicate(spark, docs, "").collect()]
+    of_d = [x for x in got if x[1] in (d, d + " tail")]
+    assert len(of_d) == 1 and of_d[0][0] is None
+    order = lambda rows: sorted(rows, key=str)
+    assert order(set(got) - set(of_d)) == order({(1, a), (2, b), (3, c), (None, e), (4, None), (None, "")}) and len(got) == 8

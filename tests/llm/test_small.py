@@ -71,6 +71,14 @@ def test_substrings(docs, rows, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    base, other = make_text(2, 130), make_text(51, 120)
+    rows = [(1, base), (None, base + " tail"), (None, other), (None, "short"), (7, "x y z"), (7, base), (7, other), (8, other), (7, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in substrings.remove_repeats(table).select("doc_id", "n_words", "n_removed", "kept_text").collect()}
+    assert got == {(1, 130, 0, base), (None, 131, 130, "tail"), (None, 120, 120, ""), (None, 1, 0, "short"), (7, 3, 0, "x y z"), (7, 130, 130, ""), (7, 120, 0, other), (8, 120, 120, ""), (7, 0, 0, "")}
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
