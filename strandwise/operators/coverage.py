@@ -15,6 +15,8 @@ from strandwise.sources.storage import stored
 
 #: Reads that count at a position at most, in order of start, and the base quality that counts.
 DEPTH, BASE_QUALITY = 8000, 13
+#: Ranges of rid that are counted at the start where DEPTH ends.
+RANGES = 4096
 
 
 def signal(reads: DataFrame, rule: str = "none", unique: bool = False, q_cut: int = 30) -> DataFrame:
@@ -81,8 +83,8 @@ def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
 
     Duplicates and improper pairs are left out.  Where two mates overlap, they count once: equal bases pool their
     qualities, of unequal ones the better counts at 0.8 of its quality; a base against a deletion counts at 0.8 or not
-    at all, as the name's hash bit says.  At a position the first DEPTH reads count, by start and file order; there
-    mates count each.
+    at all, as the name's hash bit says.  Of the reads so rewritten the first DEPTH count at a position, by start and
+    file order.
     """
     rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null")
     rows = rows.withColumn("bare", F.filter("cigar", lambda c: ~c["op"].isin("S", "H", "P"))).where(C.reference_span() > 0)
@@ -101,29 +103,51 @@ def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
         "tx_id", "pos", "rid", "qname", "pos0", "paired", F.expr(f"if(k > 0, coalesce(get(qual, {offset}), 0), 0)").alias("q"),
         F.expr(f"if(k > 0, substring(seq, {offset} + 1, 1), null)").alias("base"), F.expr("k = 0 and exists(gaps, g -> g.start <= p0 and p0 < g.end)").alias("gap"),
     )
-    good = lambda q: (q >= BASE_QUALITY).cast("int")
-    named = ranked.groupBy("tx_id", "pos", "qname", F.when(~F.col("paired"), F.col("rid")).alias("alone")).agg(
-        F.count("*").alias("n"), F.sum(good(F.col("q"))).alias("good"), F.min_by(F.struct("q", "base", "gap"), "rid").alias("a"), F.max_by(F.struct("q", "base", "gap"), "rid").alias("b")
+    # Mates at one position, by start and file order; the name's hash bit says which of two equal ones keeps the quality.
+    mates = W.partitionBy("tx_id", "pos", "qname", F.when(~F.col("paired"), F.col("rid"))).orderBy("pos0", "rid")
+    whole, own = mates.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.struct("q", "base", "gap")
+    pairs = ranked.withColumns({"n": F.count("*").over(whole), "a": F.first(own).over(whole), "b": F.last(own).over(whole), "is_a": F.row_number().over(mates) == 1})
+    keeps = F.col("is_a") == (name_bit("qname") == 1)
+    less = F.floor(F.col("q") * 0.8)
+    both = (
+        F.when(F.col("a.base") == F.col("b.base"), F.when(keeps, F.col("a.q") + F.col("b.q")))
+        .when(F.col("a.q") == F.col("b.q"), F.when(keeps, less))
+        .otherwise(F.when(F.col("is_a") == (F.col("a.q") > F.col("b.q")), less))
     )
-    less = lambda q: good(F.floor(q * 0.8))
-    both = F.when(F.col("a.base") == F.col("b.base"), good(F.col("a.q") + F.col("b.q"))).otherwise(less(F.greatest("a.q", "b.q")))
-    bit = name_bit("qname")
-    pair = (
-        F.when(F.col("a.base").isNotNull() & F.col("b.base").isNotNull(), both)
-        .when(F.col("a.base").isNotNull() & F.col("b.gap"), F.when(bit == 1, less(F.col("a.q"))).otherwise(0))
-        .when(F.col("b.base").isNotNull() & F.col("a.gap"), F.when(bit == 0, less(F.col("b.q"))).otherwise(0))
-        .otherwise(F.col("good"))
+    rewritten = (
+        F.when((F.col("n") != 2) | ~F.col("paired"), F.col("q"))
+        .when(F.col("a.base").isNotNull() & F.col("b.base").isNotNull(), F.coalesce(both, F.lit(0)))
+        .when((F.col("a.base").isNotNull() & F.col("b.gap")) | (F.col("b.base").isNotNull() & F.col("a.gap")), F.when(keeps & F.col("base").isNotNull(), less).otherwise(0))
+        .otherwise(F.col("q"))
     )
-    counted = F.when((F.col("n") == 2) & F.col("alone").isNull(), pair).otherwise(F.col("good"))
-    crowded = named.groupBy("tx_id", "pos").agg(F.sum("n").alias("n"), F.sum(counted).alias("good"))
-    crowded = stored(crowded, "depth")  # a row for each listed position; crowded ones are rare, and ranked only where there are any
+    counted = pairs.select("tx_id", "pos", "pos0", "rid", (rewritten >= BASE_QUALITY).cast("int").alias("good"))
+    crowded = stored(counted.groupBy("tx_id", "pos").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "depth")  # a row for each listed position
     few = crowded.where(F.col("n") <= DEPTH).select("tx_id", "pos", F.col("good").alias("covered"))
     if not crowded.where(F.col("n") > DEPTH).limit(1).count():
         return few
-    deep = ranked.join(crowded.where(F.col("n") > DEPTH).select("tx_id", "pos"), ["tx_id", "pos"])
-    order = F.row_number().over(W.partitionBy("tx_id", "pos").orderBy("pos0", "rid"))
-    cut = deep.withColumn("r", order).where(F.col("r") <= DEPTH).groupBy("tx_id", "pos").agg(F.count_if(F.col("q") >= BASE_QUALITY).alias("covered"))
-    return few.unionByName(cut)
+    deep = counted.join(crowded.where(F.col("n") > DEPTH).select("tx_id", "pos"), ["tx_id", "pos"])
+    return few.unionByName(_first_reads(stored(deep, "deep")))
+
+
+def _first_reads(deep: DataFrame) -> DataFrame:
+    """tx_id, pos, covered: good reads among the first DEPTH by pos0 and rid.
+
+    Counts by start, then by range of rid at the start where DEPTH ends, tell which rows count; only one range is ordered.
+    """
+    at = ["tx_id", "pos"]
+
+    def cut(rows: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+        """Sums of the steps that count wholly; the step that is cut, and how many of its rows count."""
+        sums = rows.groupBy(*at, step, "rest").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.min("rid").alias("low"), F.max("rid").alias("high"))
+        sums = sums.withColumn("left", F.col("rest") - F.sum("n").over(W.partitionBy(*at).orderBy(step)) + F.col("n"))
+        return sums.where("n <= left").select(*at, "good"), sums.where("left > 0 and n > left").select(*at, step, F.col("left").alias("rest"), "low", "high")
+
+    starts, start = cut(deep.withColumn("rest", F.lit(DEPTH).cast("long")), "pos0")
+    rows = deep.join(start, [*at, "pos0"]).withColumn("range", F.expr(f"(rid - low) div ((high - low) div {RANGES} + 1)")).drop("low", "high")
+    ranges, range_ = cut(rows, "range")
+    line = F.row_number().over(W.partitionBy(*at).orderBy("rid"))
+    last = rows.drop("rest").join(range_, [*at, "range"]).withColumn("r", line).where("r <= rest").select(*at, "good")
+    return starts.unionByName(ranges).unionByName(last).groupBy(*at).agg(F.sum("good").alias("covered"))
 
 
 def tin(reads: DataFrame, tx: DataFrame, least: int = 10, n: int = 100) -> DataFrame:

@@ -286,3 +286,36 @@ def test_reports_count_all_reads_unless_capped(spark):
     pairs = odd.withColumns({"flag": F.lit(3 | 64), "mate_chrom": F.lit("c"), "mate_pos0": F.lit(150).cast("long")})
     model = tx.withColumns({"blocks": F.expr("array(named_struct('start', 0L, 'end', 400L))"), "line": F.lit(0).cast("long")})
     assert G.inner_distance(pairs, model).count() == 9 and G.inner_distance(pairs, model, sample=4).count() == 4
+
+
+@pytest.mark.parametrize("depth", [1, 7, 12, 40, 8000])
+def test_deep_positions_pool_mates_before_the_cut(spark, monkeypatch, depth):
+    monkeypatch.setattr(V, "DEPTH", depth)
+    rng = np.random.RandomState(depth)
+    rows = []  # qname, flag, pos0, mate_pos0, tlen, seq, qual; mates overlap at 105 to 109
+    for i in range(30):
+        for flag, pos, mate in ((64, 100, 105), (128, 105, 100)):
+            rows.append((f"p{i}", 3 | flag, pos, mate, 15 if flag == 64 else -15, str(rng.choice(list("AC"))) * 10, int(rng.choice([5, 8, 12, 13, 16, 20, 30]))))
+    rows += [(f"s{i}", 0, 100 if i % 2 else 103, None, 0, "A" * 10, 10 + i % 7) for i in range(20)]
+    rows = [(k, *rows[j]) for k, j in enumerate(rng.permutation(len(rows)))]
+    table = [(rid, name, flag, "c", pos, 60, [("M", 10)], "c" if mate else None, mate, tlen, seq, [q] * 10) for rid, name, flag, pos, mate, tlen, seq, q in rows]
+    reads = spark.createDataFrame(table, "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>")
+    names = spark.createDataFrame([(f"p{i}",) for i in range(30)], "qname string").select("qname", name_bit("qname")).collect()
+    bits = {r[0]: r[1] for r in names}
+    want = {}
+    for p in (103, 107, 109):
+        over = sorted(([pos, rid, name, seq[0], q] for rid, name, _, pos, _, _, seq, q in rows if pos < p <= pos + 10), key=lambda r: r[:2])
+        for name, bit in bits.items():
+            two = [r for r in over if r[2] == name]
+            if len(two) < 2:
+                continue
+            (a, b), mul = two, (bit, 1 - bit)
+            if a[3] == b[3]:
+                a[4], b[4] = (m * (a[4] + b[4]) for m in mul)
+            elif a[4] == b[4]:
+                a[4], b[4] = (m * int(0.8 * a[4]) for m in mul)
+            else:
+                a[4], b[4] = (int(0.8 * x[4]) if x[4] > y[4] else 0 for x, y in ((a, b), (b, a)))
+        want[p] = sum(r[4] >= 13 for r in over[:depth])
+    positions = spark.createDataFrame([("t", "c", [103, 107, 109])], "tx_id string, chrom string, positions array<bigint>")
+    assert {r["pos"]: r["covered"] for r in V.position_depth(reads, positions).collect()} == want
