@@ -104,13 +104,16 @@ def pattern(before: Column) -> Column:
 
 
 def confident_patterns(spans: DataFrame) -> DataFrame:
-    """pattern, confidence, support of trusted patterns, after ROUNDS rounds over the pattern-instance graph."""
+    """pattern, confidence, support of trusted patterns, after ROUNDS rounds over the pattern-instance graph.
+
+    A pattern's support is the number of its instances that the round before left confident, seeds or not.
+    """
     edges = spans.select(pattern(F.col("before")).alias("pattern"), F.xxhash64("value").alias("instance"), (F.col("kind") != "id").cast("double").alias("seed"))
     edges = stored(edges.where("pattern <> ''").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
     known = edges.groupBy("instance").agg(F.max("seed").alias("confidence"))
     scored = None
     for r in range(ROUNDS):
-        scored = edges.join(known, "instance").groupBy("pattern").agg(F.avg("confidence").alias("confidence"), F.sum("seed").alias("support"))
+        scored = edges.join(known, "instance").groupBy("pattern").agg(F.avg("confidence").alias("confidence"), F.count_if(F.col("confidence") >= CONFIDENT).alias("support"))
         scored = stored(scored.where(F.col("support") >= SUPPORT), f"patterns{r}")
         if r + 1 < ROUNDS:
             votes = edges.join(scored.select("pattern", F.col("confidence").alias("p")), "pattern", "left")

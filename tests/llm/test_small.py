@@ -255,6 +255,15 @@ def test_personal_ids_end_at_punctuation(spark):
     assert found[0][0]["many"] == 50001 and found[1] is None and found[2][0]["many"] == 9000 * 12 - 9
 
 
+def test_personal_patterns_spread_beyond_seeds(spark):
+    ids = [f"QX{i}44Z{i}81" for i in range(9)]
+    texts = [f"{h} user{i}{h[:2]}@mail.example.com today" for h in ("write to", "reach via") for i in range(200)]
+    texts += [f"{h} {x} today" for h in ("write to", "reach via", "passport") for x in ids[:8]] + [f"passport {ids[8]} today", f"version {ids[8]}1 today"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in personal.find_personal(table).where("doc_id >= 400").collect()}
+    assert all(got[400 + i].startswith("id:") for i in range(25)) and got[425] == ""
+
+
 def test_search(spark):
     rng = np.random.RandomState(0)
     v = rng.standard_normal((700, 12)).astype(np.float32)
