@@ -6,17 +6,21 @@ is a hash of what it stands for, so all tasks agree on it without asking, and eq
 except near their ends.  With each symbol goes the span of words that decided it: inside a window of WINDOW words, a
 symbol whose span the window holds is the same wherever the window stands.
 
-A window's anchor is the longest such symbol of the last round (ties by hash).  Windows in a row with one anchor form a block.
+A window's anchor is the longest such symbol of the last round (ties by hash, then the first), or of the round before
+where the last has none, and so on for FALLBACKS rounds; at last two unequal words.  Windows in a row with one anchor form a block.  Equal
+windows have equal anchors in the same place.  Windows of one word again and again are their own anchors.
 
 1. A block's anchor is looked up over all documents.  An anchor in one document only means that none of its
    windows repeats.
 2. Blocks with one anchor and equal words are equal window for window: all but the smallest doc_id's are repeats.
-3. Where an anchor has blocks that differ, the smallest doc_id of each block sends its windows one by one, as
-   hashes of 128 bits, and so do windows without an anchor.  A window repeats if a smaller doc_id sent it.
-   The blocks of step 3 are told to the second scan by a bitmap of fixed size; a false hit there only sends more.
+3. Where an anchor has blocks that differ, the smallest doc_id of each block gives its words.  They are laid beside
+   those of one reference, the block in most documents, anchor on anchor: windows without a difference repeat
+   the reference's.  Only the windows over a difference are sent one by one, as hashes of 128 bits; such a window
+   repeats if a smaller doc_id sent it.
 
 Null texts have no words.  Rows with one doc_id are the same document for the order of documents: neither removes
-from the other.  What is removed from a row goes by its doc_id and its text's hash.  A null doc_id comes after all others.  An empty table gives an empty result.  Other columns are
+from the other.  What is removed from a row goes by its doc_id and its text's hash.  A null doc_id comes after all
+others, in one place with the largest number of 64 bits.  An empty table gives an empty result.  Other columns are
 ignored.
 """
 
@@ -26,20 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import BITMAP_BITS, bitmap_of, documents, in_bitmap, mix, stored, text_batches, within
-from strandwise.llm.words import Words, sequence_hashes
+from strandwise.llm.words import Words, sequence_hashes, sequence_values
 
 WINDOW = 50
 #: Rounds of recompression; after five a symbol is about four words and its span about thirty, well inside a window.
 ROUNDS = 5
+#: Rounds, from the last, in which a window may find its anchor.
+FALLBACKS = 3
 _LAST = (1 << 63) - 1
 
 
-def recompress(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Symbols after so many rounds, the span [lo, hi) of words that decided each, and the sum of its words' weights.
+def recompress(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, ...]]:
+    """For each round, the last first: its symbols, the span [lo, hi) of words that decided each, the sum of its words' weights.
 
     first: index of each document's first word, and the end.  A symbol decided by a document's edge has a span
     beyond the document, so that no window holds it.
@@ -58,6 +65,7 @@ def recompress(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray, roun
         right[:-1][same] = hi[1:][same]
         return left, right
 
+    states = []
     for r in range(rounds):
         if not len(name):
             break
@@ -86,90 +94,150 @@ def recompress(symbols: np.ndarray, first: np.ndarray, weights: np.ndarray, roun
         weight[pair] += weight[pair + 1]
         keep = ~second
         name, lo, hi, doc, weight = name[keep], lo[keep], hi[keep], doc[keep], weight[keep]
-    return name, lo, hi, weight
+        states.append((name, lo, hi, weight))
+    return states[::-1]
 
 
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of a slice of documents: their first words, and the anchor's name and whether there is one."""
+def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a slice of documents: first word, the anchor's name, its first word and whether there is one."""
     counts = words.counts
     sizes = np.maximum(counts - WINDOW + 1, 0)
-    starts = np.repeat(words.first[:-1], sizes) + (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    name, lo, hi, weight = recompress(mix(words.hashes, 5), words.first, words.ends - words.starts)
-    fits = (hi - lo <= WINDOW) & (lo >= 0)
-    name, lo, hi, weight = name[fits], lo[fits], hi[fits], weight[fits]
-    # A symbol lies in the windows that begin from hi - WINDOW to lo.  The least-ranked one wins each window: a
-    # symbol of many letters, as few common words rarely say where a window comes from.
-    rank = (np.uint64(255) - np.minimum(weight, 255).astype(np.uint64) << np.uint64(56)) | (mix(name, 77) >> np.uint64(8))
-    which = np.full(len(words.hashes) + 1, -1, np.int64)
-    order = np.argsort(rank, kind="stable")[::-1]
-    from_, to = np.maximum(hi - WINDOW, 0)[order], lo[order]
-    span = to - from_ + 1
-    where = np.repeat(from_, span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-    which[where] = np.repeat(order, span)  # the last write stays: the least rank
-    own = which[starts]
-    return starts, np.where(own >= 0, name[own] if len(name) else 0, 0).astype(np.uint64), own >= 0
+    starts = np.repeat(words.first[:-1], sizes) + _within(sizes)
+    name_at, lo_at = np.zeros(len(words.hashes) + 1, np.uint64), np.zeros(len(words.hashes) + 1, np.int64)
+    open_ = np.zeros(len(words.hashes) + 1, bool)
+    open_[starts] = True
+    symbols, letters = mix(words.hashes, 5), words.ends - words.starts
+    edge = np.flatnonzero(symbols[1:] != symbols[:-1])  # where long runs of words meet, only that names a window's place
+    edges = mix(symbols[edge] * np.uint64(0xC2B2AE3D27D4EB4F) + symbols[edge + 1], 20), edge, edge + 2, letters[edge] + letters[edge + 1]
+    for level, (name, lo, hi, weight) in enumerate([*recompress(symbols, words.first, letters)[:FALLBACKS], edges]):
+        if not open_.any():
+            break
+        # A symbol lies in the windows that begin from hi - WINDOW to lo.
+        before = np.append(0, np.cumsum(open_))
+        fits = np.flatnonzero((hi - lo <= WINDOW) & (lo >= 0))
+        fits = fits[before[lo[fits] + 1] > before[np.maximum(hi[fits] - WINDOW, 0)]]
+        name, lo, hi, weight = name[fits], lo[fits], hi[fits], weight[fits]
+        # The least-ranked one wins each window: a symbol of many letters, as few common words rarely say where a
+        # window comes from.
+        rank = (np.uint64(255) - np.minimum(weight, 255).astype(np.uint64) << np.uint64(56)) | (mix(name, 77) >> np.uint64(8))
+        order = np.argsort(rank, kind="stable")[::-1]
+        from_ = np.maximum(hi - WINDOW, 0)[order]
+        span = lo[order] - from_ + 1
+        where, of = np.repeat(from_, span) + _within(span), np.repeat(order, span)
+        where, of = where[open_[where]], of[open_[where]]
+        name_at[where], lo_at[where] = mix(name, 201 + level)[of], lo[of]  # the last write stays: the least rank
+        open_[where] = False
+    return starts, name_at[starts], lo_at[starts], ~open_[starts]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n of sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def blocks(words: Words) -> tuple[np.ndarray, ...]:
-    """Maximal rows of windows with one anchor: document, first window, number of windows, anchor, hash of its words, whether anchored."""
-    starts, name, has = anchors(words)
+    """Maximal rows of windows with one anchor: document, first window, number of windows, anchor, its place from the first word, hash of the words."""
+    starts, name, lo, has = anchors(words)
     if not len(starts):
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty, np.zeros(0, bool)
+        return empty, empty, empty, empty, empty, empty
     doc = words.doc[starts]
+    alone = np.flatnonzero(~has)  # equal windows in a row, as in a run of a word, have one anchor
+    name[alone], lo[alone] = sequence_hashes(words, starts[alone], starts[alone] + WINDOW, 3), -1
     new = np.ones(len(starts), bool)
-    new[1:] = (name[1:] != name[:-1]) | (has[1:] != has[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (name[1:] != name[:-1]) | (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     many = np.diff(np.append(at, len(starts)))
-    text = sequence_hashes(words, starts[at], starts[at] + many - 1 + WINDOW, 2)
-    return doc[at], starts[at], many, name[at].view(np.int64), text.view(np.int64), has[at]
-
-
-def _slot(*columns):
-    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    end = starts[at] + np.where(has[at], many - 1, 0) + WINDOW
+    text = sequence_hashes(words, starts[at], end, 2)
+    return doc[at], starts[at], many, name[at].view(np.int64), np.where(has[at], lo[at] - starts[at], 0), text.view(np.int64)
 
 
 def _blocks_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key, anchor, words (hash), at (first word in the document), many: the anchored blocks of every document."""
+    """doc_id, key, anchor, words (hash), at (first word in the document), many, lead (the anchor's place in the block): the blocks of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             words = Words(batch.column("text"))
-            doc, at, many, anchor, text, has = blocks(words)
+            doc, at, many, anchor, lead, text = blocks(words)
             ids, keys = (batch.column(c).to_numpy()[doc] for c in ("doc_id", "key"))
-            arrays = [ids, keys, anchor, text, (at - words.first[doc]).astype(np.int32), many.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[has]) for a in arrays], ["doc_id", "key", "anchor", "words", "at", "many"])
+            arrays = [ids, keys, anchor, text, (at - words.first[doc]).astype(np.int32), many.astype(np.int32), lead.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "key", "anchor", "words", "at", "many", "lead"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, anchor long, words long, at int, many int")
+    return docs.mapInArrow(run, "doc_id long, key long, anchor long, words long, at int, many int, lead int")
 
 
-def _windows(docs: DataFrame, wanted) -> DataFrame:
-    """doc_id, key, w1, w2 (a window's hash), at, many: windows without an anchor and of blocks in the bitmap."""
+def _slot(*columns):
+    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            words = Words(batch.column("text"))
-            doc, at, many, anchor, text, has = blocks(words)
-            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "key"))
-            asked = in_bitmap(wanted.value, block_slots(ids[doc], anchor, text)) | ~has
-            doc, at, many = doc[asked], at[asked], many[asked]
-            first = np.repeat(at, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            doc = np.repeat(doc, many)
-            w1, w2 = (sequence_hashes(words, first, first + WINDOW, s).view(np.int64) for s in (3, 4))
-            new = np.ones(len(first), bool)  # equal windows in a row, as in runs of a word, are one row
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (first[1:] != first[:-1] + 1) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            many = np.diff(np.append(at, len(first)))
-            arrays = [ids[doc[at]], keys[doc[at]], w1[at], w2[at], (first - words.first[doc])[at].astype(np.int32), many.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["doc_id", "key", "w1", "w2", "at", "many"])
 
-    return docs.mapInArrow(scan, "doc_id long, key long, w1 long, w2 long, at int, many int")
+def _block_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted (doc_id, key, at, many and others) with hashes, the 64-bit hashes of the block's words."""
+    others = [f for f in wanted.schema.fields if f.name not in ("doc_id", "key")]
+    lists = stored(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*[f.name for f in others])).alias("blocks")), "wanted")  # a document's own blocks bound the list
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap_of(lists, F.col("doc_id"), F.col("key")))
+    some = within(docs, touched, "doc_id", "key").dropDuplicates(["doc_id", "key"]).join(lists, ["doc_id", "key"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            words = Words(batch.column("text"))
+            lists_ = batch.column("blocks")
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists_.offsets.to_numpy()))
+            flat = lists_.flatten()
+            own = {f.name: flat.field(f.name) for f in others}
+            start = words.first[doc] + own["at"].to_numpy()
+            size = own["many"].to_numpy() + (WINDOW - 1)
+            hashes = words.hashes[np.repeat(start, size) + _within(size)].tobytes()
+            ends = np.append(0, np.cumsum(size * 8)).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(hashes)])
+            ids, keys = (batch.column(c).take(pa.array(doc)) for c in ("doc_id", "key"))
+            yield pa.RecordBatch.from_arrays([ids, keys, *own.values(), binary], ["doc_id", "key", *own, "hashes"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return some.select("doc_id", "key", "text", "blocks").mapInArrow(run, f"doc_id long, key long, {kinds}, hashes binary")
+
+
+def _beside(blocks_: DataFrame) -> DataFrame:
+    """doc_id, key, at, many, w1, w2: windows equal to the reference's in a smaller doc_id (w1 null), and hashes of all that are not.
+
+    blocks_: doc_id, key, anchor, at, many, lead, hashes, first (the anchor's smallest doc_id) and reference, of the anchor's
+    reference block.  The reference sends its windows where a smaller doc_id may hold some.
+    """
+    ours = blocks_.where("not reference or first < doc_id")
+    theirs = blocks_.where("reference").select("anchor", F.col("doc_id").alias("r_doc"), F.col("lead").alias("r_lead"), F.col("hashes").alias("r_hashes"))
 
-def block_slots(ids: np.ndarray, anchor: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """A block's bit in the bitmap."""
-    h = mix(mix(mix(ids.astype(np.int64).view(np.uint64), 31) + anchor.view(np.uint64), 32) + text.view(np.uint64), 33)
-    return (h & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, at, many, lead, r_doc, r_lead, is_ref = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key", "at", "many", "lead", "r_doc", "r_lead", "reference"))
+            hashes = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            r_hashes = [np.frombuffer(x, np.uint64) for x in batch.column("r_hashes").to_pylist()]
+            equal = [np.zeros(0, bool)]
+            for k, (x, y) in enumerate(zip(hashes, r_hashes)):
+                off = lead[k] - r_lead[k]  # word i here is word i - off there
+                a, b = max(0, off), min(len(x), len(y) + off)
+                differ = np.ones(len(x), np.int32)
+                if b > a and not is_ref[k]:
+                    differ[a:b] = x[a:b] != y[a - off : b - off]
+                sums = np.append(0, np.cumsum(differ))
+                equal.append(sums[WINDOW:] == sums[:-WINDOW] if r_doc[k] < ids[k] else np.zeros(many[k], bool))
+            equal = np.concatenate(equal)
+            row = np.repeat(np.arange(len(many)), many)
+            place = _within(many)
+            base = np.repeat(np.cumsum(many + (WINDOW - 1)) - (many + (WINDOW - 1)), many) + place
+            flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
+            w1, w2 = (sequence_values(flat, base, base + WINDOW, s).view(np.int64) for s in (3, 4))
+            # rows of windows that repeat, and of equal windows in a row, are one row each
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (equal[1:] != equal[:-1]) | (~equal[1:] & ((w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(row)))
+            row, gone = row[first], pa.array(equal[first])
+            arrays = [pa.array(ids[row]), pa.array(keys[row]), pa.array((at[row] + place[first]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            arrays += [pc.if_else(gone, pa.scalar(None, pa.int64()), pa.array(w[first])) for w in (w1, w2)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "at", "many", "w1", "w2"])
+
+    columns = ["doc_id", "key", "at", "many", "lead", "hashes", "reference", "r_doc", "r_lead", "r_hashes"]
+    return ours.join(theirs, "anchor").select(*columns).mapInArrow(run, "doc_id long, key long, at int, many int, w1 long, w2 long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -181,40 +249,39 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = stored(ends.where("low < high").select("anchor", (F.col("first") < F.col("last")).alias("unsure")), "shared")
     # Few anchors are shared; a bitmap of them spares the other blocks the moves that follow.
     some = stored(within(found, send(bitmap_of(shared, F.col("anchor"))), "anchor").join(shared, "anchor"), "shared-blocks")
-    by_words = some.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("unsure").alias("unsure"))
+    holder = F.struct("doc_id", "key", "at", "many", "lead")
+    by_words = some.groupBy("anchor", "words").agg(F.min(holder).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("copies"), F.first("unsure").alias("unsure"))
     by_words = stored(by_words, "sequences")
     # Equal blocks: all but the smallest doc_id's repeat.
-    same = some.join(by_words.where("low < high").select("anchor", "words", "low"), ["anchor", "words"]).where("doc_id > low").select("doc_id", "key", "at", "many")
-    # Anchors with several blocks: their smallest holders send windows.
-    unsure = by_words.where("unsure").select(F.col("low").alias("doc_id"), "anchor", "words")
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(block_slots(*(b.column(c).to_numpy() for c in ("doc_id", "anchor", "words")))))], ["slot"])
-
-    bits = np.zeros(BITMAP_BITS // 63 + 1, np.int64)
-    table = unsure.mapInArrow(slots, "slot long").groupBy(F.expr("slot div 63").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 63 as int))")).alias("bits")).toArrow()
-    bits[table["word"].to_numpy()] = table["bits"].to_numpy()
-    sent = stored(_windows(docs, send(bits)), "windows")
-    low = sent.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    low = by_words.where("low.doc_id < high").select("anchor", "words", F.col("low.doc_id").alias("low"))
+    same = some.join(low, ["anchor", "words"]).where("doc_id > low").select("doc_id", "key", "at", "many")
+    # Anchors with several blocks: the smallest holder of each lays its words beside the reference's.
+    unsure = by_words.where("unsure").select("low.*", "anchor", "words", "copies")
+    chosen = unsure.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.min(F.struct(-F.col("copies"), F.col("doc_id"), F.col("words"))).alias("top"))
+    marked = unsure.join(chosen, "anchor").select("doc_id", "key", "anchor", "at", "many", "lead", "first", (F.col("words") == F.col("top.words")).alias("reference"))
+    marked = stored(marked, "marked")
+    sent = stored(_beside(stored(_block_words(docs, marked), "unsure-blocks")), "windows")
+    near = sent.where("w1 is null").select("doc_id", "key", "at", "many")
+    windows = sent.where("w1 is not null")
+    low = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
     low = stored(low, "repeated")
-    again = within(sent, send(bitmap_of(low, F.col("w1"), F.col("w2"))), "w1", "w2")
+    again = within(windows, send(bitmap_of(low, F.col("w1"), F.col("w2"))), "w1", "w2")
     single = again.join(low, ["w1", "w2"]).where("doc_id > low").select("doc_id", "key", "at", "many")
-    return same.unionByName(single)
+    return same.unionByName(near).unionByName(single)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (words joined by one space) of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    covers = repeats(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "many")).alias("covers"))  # a document's own words bound the list
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"), "text", F.col("doc_id").isNull().alias("none"))
+    covers = repeats(docs.drop("none")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "many")).alias("covers"))  # a document's own words bound the list
     covers = stored(covers, "covers")
     touched = spark.sparkContext.broadcast(bitmap_of(covers, F.col("doc_id"), F.col("key")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, cover in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("covers").to_pylist()):
+            for doc, none, text, cover in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "none", "text", "covers"))):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 kept, n = words, len(words)
                 if cover:
@@ -222,7 +289,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     np.add.at(edge, [c["at"] for c in cover], 1)
                     np.add.at(edge, [c["at"] + c["many"] - 1 + WINDOW for c in cover], -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-                out.append((None if doc == _LAST else doc, n, n - len(kept), b" ".join(kept)))
+                out.append((None if none else doc, n, n - len(kept), b" ".join(kept)))
             if out:
                 ids, n, gone, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
@@ -232,7 +299,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(in_bitmap(touched.value, batch.column("slot").to_numpy()) == want))
 
-        return docs.withColumn("slot", _slot("doc_id", "key")).mapInArrow(pick, "doc_id long, key long, text string, slot long").drop("slot")
+        return docs.withColumn("slot", _slot("doc_id", "key")).mapInArrow(pick, "doc_id long, key long, text string, none boolean, slot long").drop("slot")
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     whole = side(False).withColumn("covers", F.lit(None).cast("array<struct<at:int,many:int>>")).mapInArrow(cut, schema)

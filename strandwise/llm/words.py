@@ -69,4 +69,9 @@ class Words:
 
 def sequence_hashes(words: Words, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """Hash of the word sequence [start, end) for each range; ``salt`` picks one of several independent hashes."""
-    return range_hashes(mix(words.hashes, 11 + salt), starts, ends, (0xD1342543DE82EF95 + 2 * salt * 0x5851F42D4C957F2D) | 1)
+    return sequence_values(words.hashes, starts, ends, salt)
+
+
+def sequence_values(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """sequence_hashes over an array of words' hashes."""
+    return range_hashes(mix(hashes, 11 + salt), starts, ends, (0xD1342543DE82EF95 + 2 * salt * 0x5851F42D4C957F2D) | 1)

@@ -50,33 +50,60 @@ def words_of(text):
     return (text or "").encode().split()
 
 
-def test_substrings(docs, rows, empty):
-    got = sorted(tuple(r) for r in substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect())
+def brute_removal(rows):
+    """doc_id, n_words, n_removed, kept text of rows of doc_id and text."""
     first = {}
-    for d, t, *_ in rows:
+    for d, t in rows:
         w = words_of(t)
         for i in range(len(w) - 49):
             k = tuple(w[i : i + 50])
             first[k] = min(first.get(k, d), d)
-    want = []
-    for d, t, *_ in rows:
+    out = []
+    for d, t in rows:
         w = words_of(t)
         gone = [False] * len(w)
         for i in range(len(w) - 49):
             if first[tuple(w[i : i + 50])] < d:
                 gone[i : i + 50] = [True] * 50
         kept = [x for x, g in zip(w, gone) if not g]
-        want.append((d, len(w), len(w) - len(kept), b" ".join(kept).decode()))
-    assert got == sorted(want) and any(x[2] for x in got)
+        out.append((d, len(w), len(w) - len(kept), b" ".join(kept).decode()))
+    return sorted(out)
+
+
+def removal(table):
+    return sorted(tuple(r) for r in substrings.remove_repeats(table).select("doc_id", "n_words", "n_removed", "kept_text").collect())
+
+
+def test_substrings(docs, rows, empty):
+    got = removal(docs)
+    assert got == brute_removal([r[:2] for r in rows]) and any(x[2] for x in got)
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_crowds_and_runs(spark):
+    """Near copies with a few changed words, words and phrases said again and again, and a passage in many places."""
+    rng = np.random.RandomState(8)
+    base, passage = make_text(60, 220).split(), make_text(61, 70).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for p in rng.randint(220, size=rng.randint(0, 4)):
+            w[p] = WORDS[rng.randint(len(WORDS))] + str(rng.randint(4))
+        rows.append((int(rng.randint(1000)), w))
+    rows += [(1000 + i, make_text(500 + i, rng.randint(5, 80)).split() + passage[rng.randint(9) : 70 - rng.randint(9)] + make_text(600 + i, rng.randint(5, 80)).split()) for i in range(40)]
+    rows += [(2000 + i, ["a"] * rng.randint(20, 130) + ["b"] * rng.randint(3, 130) + ["c"] * rng.randint(60, 90)) for i in range(12)]
+    rows += [(3000 + i, (["a", "b", "a", "c", "d"] * 60)[rng.randint(5) : 200 + rng.randint(90)]) for i in range(6)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert got == brute_removal(rows) and sum(x[2] > 0 for x in got) > 90
+
+
 def test_substrings_of_rows_that_share_an_id(spark):
     base, other = make_text(2, 130), make_text(51, 120)
-    rows = [(1, base), (None, base + " tail"), (None, other), (None, "short"), (7, "x y z"), (7, base), (7, other), (8, other), (7, None)]
+    rows = [(1, base), (None, base + " tail"), (None, other), (None, "short"), (7, "x y z"), (7, base), (7, other), (8, other), (7, None), (2**63 - 1, "x y z")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in substrings.remove_repeats(table).select("doc_id", "n_words", "n_removed", "kept_text").collect()}
-    assert got == {(1, 130, 0, base), (None, 131, 130, "tail"), (None, 120, 120, ""), (None, 1, 0, "short"), (7, 3, 0, "x y z"), (7, 130, 130, ""), (7, 120, 0, other), (8, 120, 120, ""), (7, 0, 0, "")}
+    assert got == {(1, 130, 0, base), (None, 131, 130, "tail"), (None, 120, 120, ""), (None, 1, 0, "short"), (7, 3, 0, "x y z"), (7, 130, 130, ""), (7, 120, 0, other), (8, 120, 120, ""), (7, 0, 0, ""), (2**63 - 1, 3, 0, "x y z")}
 
 
 def test_packing(docs, rows, empty):
