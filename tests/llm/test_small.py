@@ -111,7 +111,6 @@ def test_packing(docs, rows, empty):
 
     path = packing.default_tokenizer()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     ids = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in rows]
     got = packing.pack_documents(docs, path, 256).toPandas().sort_values(["sequence_id", "offset"])
     assert got.length.sum() == sum(map(len, ids))
@@ -131,9 +130,23 @@ def test_token_ids_are_the_tokenizers():
 
     path = packing.default_tokenizer()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    texts = ["don't we're É’s naïve ½ ﬁ İstanbul ΣΑΣ — «a», x,y 3.14 <|endoftext|> a\x1cb café…, ÀÉ! Áb", "", "ß ÿ z  q"]
-    assert [x.tolist() for x in packing.token_ids(texts, path)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["don't we're É’s naïve ½ ﬁ İstanbul ΣΑΣ — «a», x,y 3.14 <|endoftext|> a\x1cb café…, ÀÉ! Áb", "", "ß ÿ z  q", None, "hello <|startoftext|> w<|endoftext|>orld, <|STARTOFTEXT|>", " \t", "ªº µ aaaa aaa! bbbbbbbbb ababababab " + "é" * 39 + " " + "ab" * 30, make_text(9, 900)]
+    texts += ["".join(np.random.RandomState(i).choice(list("etaoinsrhldcumfpgwybvkxjqzÀéüñßÿ'.,!"), size=12)) for i in range(400)]
+    assert [x.tolist() for x in packing.token_ids(texts, path)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_of_other_files(tmp_path):
+    """Files of another kind are encoded text by text, with ids as wide as they need."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70000)} | {"?": 70000}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Metaspace()
+    made.save(str(tmp_path / "t.json"))
+    texts = ["w1 w69999", "", None, "w2"]
+    assert [x.tolist() for x in packing.token_ids(texts, str(tmp_path / "t.json"))] == [made.encode(t or "", add_special_tokens=False).ids for t in texts]
+    from strandwise.llm.packing import TextIds
+
+    assert TextIds(str(tmp_path / "t.json")).dtype.itemsize == 4
 
 
 def test_hilbert_neighbours_touch():
