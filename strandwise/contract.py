@@ -176,7 +176,7 @@ SELECT CASE WHEN flag & 16 <> 0 THEN 31 - k ELSE k END AS p, count(*) AS n, """
 FROM (SELECT flag, (rid - l) // 1001 % 200001 % 32 AS k, translate(c, 'ACGT', 'CGTA') || '2' || c AS g FROM (
   SELECT *, rid % 1001 AS l, substr(seq, CAST((rid - rid % 1001) // 1001 % 200001 % 32 + 1 AS INTEGER), 1) AS c FROM reads WHERE t IN (0, 1, 4, 5) AND nm = 1 AND {_FULL})) GROUP BY 1) ON p = x.i""")
 def mismatch_profile(spark, sf):
-    return P.mismatch_profile(D.reads(spark, sf), 32)
+    return P.mismatch_profile(D.reads(spark, sf, "MD", "NM"), 32)
 
 
 @query("""SELECT k AS kmer, coalesce(n, 0) AS reads, round(coalesce(n, 0) / (SELECT sum(n) FROM h), 12) AS frequency FROM (
@@ -393,7 +393,15 @@ def genebody_coverage(spark, sf):
     return V.genebody_coverage(D.reads(spark, sf), D.transcripts(spark, sf))
 
 
-@query("SELECT CAST(CASE WHEN strand = '-' THEN 100 - i ELSE i - 1 END AS INTEGER) AS slot, sum(value) AS value FROM pp JOIN ta ON ta.chrom = pp.chrom AND start <= pos - 1 AND pos - 1 < \"end\" GROUP BY 1", _BODY)
+#: Places of a list that is turned round first where the strand is reverse: base number n there is number length - 1 - n here.
+_TRACK_BODY = """eb AS (SELECT x.tx_id, start + x.i + 1 AS pos, CASE WHEN tx.strand = '-' THEN row_number() OVER (PARTITION BY x.tx_id ORDER BY start + x.i DESC) ELSE row_number() OVER (PARTITION BY x.tx_id ORDER BY start + x.i) END - 1 AS n
+  FROM (SELECT *, unnest(range("end" - start)) AS i FROM exons) x JOIN tx USING (tx_id)),
+bp AS (SELECT tx_id, chrom, i, (CAST(length AS BIGINT) - 1) * i AS k FROM tx, range(1, 101) x(i) WHERE length >= 100),
+tp AS (SELECT bp.chrom, i, CAST(CASE WHEN k % 100 = 0 THEN a.pos ELSE round_even(a.pos * (ceil(k / 100.0::DOUBLE) - k / 100.0::DOUBLE) + b.pos * (k / 100.0::DOUBLE - floor(k / 100.0::DOUBLE)), 0) END AS BIGINT) AS pos
+  FROM bp JOIN eb a ON a.tx_id = bp.tx_id AND a.n = k // 100 JOIN eb b ON b.tx_id = bp.tx_id AND b.n = (k + 99) // 100)"""
+
+
+@query("SELECT CAST(i - 1 AS INTEGER) AS slot, sum(value) AS value FROM tp JOIN ta ON ta.chrom = tp.chrom AND start <= pos - 1 AND pos - 1 < \"end\" GROUP BY 1", _TRACK_BODY)
 def genebody_from_track(spark, sf):
     return V.genebody_from_track(D.track(spark, sf, "a"), D.transcripts(spark, sf))
 
@@ -435,27 +443,27 @@ count(*) FILTER ({_OK} AND flag & 1024 = 0) AS not_duplicates, count(*) FILTER (
 count(*) FILTER ({_OK} AND tx IS NOT NULL) AS sense, count(*) FILTER ({_OK} AND tx IS NULL AND an IS NOT NULL) AS antisense, count(*) FILTER ({_OK} AND tx IS NULL AND an IS NULL) AS other_direction,
 count(*) FILTER ({_OK} AND chrom = 'chr3') AS mito, count(*) FILTER ({_OK} AND cb IS NOT NULL) AS with_cb, count(*) FILTER ({_OK} AND ub IS NOT NULL) AS with_ub FROM reads""")
 def single_cell_stat(spark, sf):
-    return S.single_cell_stat(D.reads(spark, sf), "chr3")
+    return S.single_cell_stat(D.reads(spark, sf, "xf", "RE", "TX", "AN", "CB", "UB"), "chr3")
 
 
 @query(f"SELECT CASE WHEN t = 0 THEN 'Map consecutively (M)' WHEN t = 1 THEN 'Map with splicing (MNM)' WHEN t IN (2, 6) THEN 'Map with clipping (SM or MS)' ELSE 'Others' END AS shape, count(*) AS reads FROM reads WHERE {_OK} GROUP BY 1")
 def single_cell_shapes(spark, sf):
-    return S.single_cell_shapes(D.reads(spark, sf))
+    return S.single_cell_shapes(D.reads(spark, sf, "xf"))
 
 
 @query("SELECT count(*) + 1 AS total, count(*) FILTER (cb IS NULL) AS missing, count(*) FILTER (cr = replace(cb, '-1', '')) AS same, count(*) FILTER (cr <> replace(cb, '-1', '')) AS edited FROM reads")
 def barcode_edit_summary(spark, sf):
-    return S.edit_summary(D.reads(spark, sf), "CR", "CB")
+    return S.edit_summary(D.reads(spark, sf, "CR", "CB"), "CR", "CB")
 
 
 @query("SELECT ub AS code, count(*) AS reads, min(rid) AS first_rid FROM reads WHERE ub IS NOT NULL GROUP BY 1")
 def umi_frequency(spark, sf):
-    return S.code_frequency(D.reads(spark, sf), "UR", "UB")
+    return S.code_frequency(D.reads(spark, sf, "UR", "UB"), "UR", "UB")
 
 
 @query("SELECT CAST(3 AS INTEGER) AS pos, substr(cr, 4, 1) || ':' || substr(cb, 4, 1) AS edit, count(*) AS reads FROM reads WHERE cr <> replace(cb, '-1', '') GROUP BY 2")
 def barcode_edit_matrix(spark, sf):
-    return S.edit_matrix(D.reads(spark, sf), "CR", "CB")
+    return S.edit_matrix(D.reads(spark, sf, "CR", "CB"), "CR", "CB")
 
 
 def _barcodes(spark, sf):

@@ -51,62 +51,95 @@ def scaled_signal(reads: DataFrame, target: float, rule: str = "none", unique: b
     return rows.select("strand", "chrom", "start", "end", "depth", (sign * F.col("depth") * F.lit(float(target)) / F.col("bases")).alias("value"))
 
 
+def _with_marks(tx: DataFrame) -> DataFrame:
+    """tx with length and marks: of each exon that holds bases, its start and how many bases come before it."""
+    marks = F.expr(
+        "aggregate(blocks, named_struct('n', 0L, 'out', cast(array() as array<struct<start:bigint,before:bigint>>)),"
+        " (a, b) -> if(b.end > b.start, named_struct('n', a.n + b.end - b.start, 'out', array_append(a.out, named_struct('start', b.start, 'before', a.n))), a), a -> a.out)"
+    )
+    return with_length(tx).withColumn("marks", marks)
+
+
+def _base(i: str) -> str:
+    """The 1-based position of a transcript's base number i, from the sums of exon lengths; bases are never listed."""
+    return f"aggregate(marks, 0L, (a, m) -> if(m.before <= {i}, m.start + {i} - m.before + 1, a))"
+
+
 def sampled_positions(tx: DataFrame, n: int = 100) -> DataFrame:
     """tx_id, chrom, positions (1-based, distinct), listed (how many the score divides by).
 
     Short transcripts list their range's ends and every exon base, ends twice; long ones exon ends and every
     (length / n)-th base, once.
     """
-    every = F.flatten(F.transform("blocks", lambda b: F.when(b["end"] > b["start"], F.sequence(b["start"] + 1, b["end"])).otherwise(F.array().cast("array<bigint>"))))
-    rows = with_length(tx).where("length > 0").withColumn("every", every)
-    ends = F.flatten(F.transform("blocks", lambda b: F.array(b["start"] + 1, b["end"])))
-    step = F.greatest(F.lit(1), F.floor(F.col("length") / n))
-    some = F.array_distinct(F.concat(ends, F.filter("every", lambda _, i: i % step == 0)))
+    rows = _with_marks(tx).where("length > 0").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("length") / n)))
     short = F.col("length") <= n
-    full = F.concat(F.array(F.col("tx_start") + 1, F.col("tx_end")), "every")
-    return rows.select("tx_id", "chrom", "tx_start", "tx_end", F.when(short, F.array_distinct(full)).otherwise(some).alias("positions"), F.when(short, F.size(full)).otherwise(F.size(some)).alias("listed"))
+    ends = F.when(short, F.array(F.col("tx_start") + 1, F.col("tx_end"))).otherwise(F.flatten(F.transform("blocks", lambda b: F.array(b["start"] + 1, b["end"]))))
+    some = F.expr(f"transform(sequence(0L, length - 1, step), i -> {_base('i')})")
+    rows = rows.withColumn("positions", F.array_distinct(F.concat(ends, some)))
+    return rows.select("tx_id", "chrom", "tx_start", "tx_end", "positions", F.when(short, F.col("length").cast("int") + 2).otherwise(F.size("positions")).alias("listed"))
+
 
+def percentile_positions(tx: DataFrame, shortest: int = 100, distinct: bool = True, from_end: bool = False) -> DataFrame:
+    """tx_id, chrom, strand, positions (1-based): 100 places along the transcript's bases, blended and rounded half to even.
 
-def percentile_positions(tx: DataFrame, shortest: int = 100, distinct: bool = True) -> DataFrame:
-    """tx_id, chrom, strand, positions (1-based): 100 places along the transcript's bases, blended and rounded half to even."""
-    every = F.flatten(F.transform("blocks", lambda b: F.when(b["end"] > b["start"], F.sequence(b["start"] + 1, b["end"])).otherwise(F.array().cast("array<bigint>"))))
-    rows = with_length(tx).where(F.col("length") >= shortest).withColumn("every", every)
+    from_end: bases of the reverse strand are counted from the last to the first.
+    """
+    rows = _with_marks(tx).where(F.col("length") >= shortest)
+    rows = rows.withColumn("back", (F.col("strand") == "-") & F.lit(from_end))
     at = "(length - 1) * i / 100D"
-    blend = f"every[int(floor({at}))] * (ceil({at}) - {at}) + every[int(ceil({at}))] * ({at} - floor({at}))"
-    places = F.expr(f"transform(sequence(1, 100), i -> if((length - 1) * i % 100 = 0, every[int(floor({at}))], cast(rint({blend}) as bigint)))")
+    low, high = (_base(f"if(back, length - 1 - bigint({f}({at})), bigint({f}({at})))") for f in ("floor", "ceil"))
+    blend = f"({low}) * (ceil({at}) - {at}) + ({high}) * ({at} - floor({at}))"
+    places = F.expr(f"transform(sequence(1, 100), i -> if((length - 1) * i % 100 = 0, {low}, cast(rint({blend}) as bigint)))")
     made = rows.select("tx_id", "chrom", "strand", places.alias("positions"))
     return made.withColumn("positions", F.array_distinct("positions")) if distinct else made
 
 
+#: Parts of a read along the reference: range, place in the read of a base part (null in gaps), and the operation.
+_PARTS = (
+    "aggregate(cigar, named_struct('p', pos0, 'r', 0L, 'out', cast(array() as array<struct<start:bigint,end:bigint,off:bigint,op:string>>)), (a, c) -> named_struct("
+    "'p', a.p + if(c.op in ('M', '=', 'X', 'D', 'N'), c.len, 0), 'r', a.r + if(c.op in ('M', '=', 'X', 'I', 'S'), c.len, 0),"
+    " 'out', if(c.op in ('M', '=', 'X', 'D', 'N'), array_append(a.out, named_struct('start', a.p, 'end', a.p + c.len, 'off', if(c.op in ('D', 'N'), null, a.r), 'op', c.op)), a.out)), a -> a.out)"
+)
+
+
+def _pileup_parts(reads: DataFrame) -> DataFrame:
+    """chrom, rid, qname, pos0, paired, meets (a mate overlaps), and of each part op, r_start, r_end, bases and quals."""
+    rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null").where(C.reference_span() > 0)
+    end = F.col("pos0") + C.reference_span()
+    far = (F.abs(F.coalesce("tlen", F.lit(0))) >= 2 * F.length("seq")) & (F.coalesce("mate_pos0", F.lit(-1)) >= end)
+    paired = R.has(R.PROPER) & R.lacks(R.MATE_UNMAPPED) & F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False)) & ~far & F.col("qname").isNotNull()
+    rows = rows.select("chrom", "rid", "qname", F.col("pos0").cast("long").alias("pos0"), end.alias("r_end"), paired.alias("paired"), "seq", "qual", "cigar")
+    mates = W.partitionBy("chrom", "qname", F.when(~F.col("paired"), F.col("rid"))).orderBy("pos0", "rid")
+    reach, coming = F.max("r_end").over(mates.rowsBetween(W.unboundedPreceding, -1)), F.lead("pos0").over(mates)
+    meets = F.coalesce(reach > F.col("pos0"), F.lit(False)) | F.coalesce(coming < F.col("r_end"), F.lit(False))
+    rows = rows.withColumn("meets", F.col("paired") & meets)
+    parts = rows.select("chrom", "rid", "qname", "pos0", "paired", "meets", "seq", "qual", F.explode_outer(F.expr(_PARTS)).alias("p"))
+    own = "int(p.off + 1), int(p.end - p.start)"
+    return parts.select("chrom", "rid", "qname", "pos0", "paired", "meets", F.col("p.op").alias("op"), F.col("p.start").alias("r_start"), F.col("p.end").alias("r_end"), F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
+
+
 def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
     """tx_id, pos, covered: reads of good base quality at listed positions.
 
     Duplicates and improper pairs are left out.  Where two mates overlap, they count once: equal bases pool their
     qualities, of unequal ones the better counts at 0.8 of its quality; a base against a deletion counts at 0.8 or not
     at all, as the name's hash bit says.  Of the reads so rewritten the first DEPTH count at a position, by start and
-    file order.
+    file order.  Positions that several transcripts list are counted once.  Builds tables while the query is made.
     """
-    rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null")
-    rows = rows.withColumn("bare", F.filter("cigar", lambda c: ~c["op"].isin("S", "H", "P"))).where(C.reference_span() > 0)
-    end = F.col("pos0") + C.reference_span()
-    far = (F.abs(F.coalesce("tlen", F.lit(0))) >= 2 * F.length("seq")) & (F.coalesce("mate_pos0", F.lit(-1)) >= end)
-    paired = R.has(R.PROPER) & R.lacks(R.MATE_UNMAPPED) & F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False)) & ~far
-    rows = rows.select(
-        "chrom", F.col("pos0").alias("r_start"), end.alias("r_end"), "rid", "qname", "pos0", "seq", "qual", paired.alias("paired"), C.exon_blocks("pos0", "bare").alias("blocks"), C.read_ranges("M").alias("own"),
-        F.expr("aggregate(bare, named_struct('p', pos0, 'out', cast(array() as array<struct<start:bigint,end:bigint>>)), (a, c) -> named_struct('p', a.p + if(c.op in ('M', 'D', 'N'), c.len, 0), 'out', if(c.op = 'D', array_append(a.out, named_struct('start', a.p, 'end', a.p + c.len)), a.out)), a -> a.out)").alias("gaps"),
-    )
-    points = positions.select("tx_id", "chrom", F.explode("positions").alias("pos"))
-    at = point_join(points.withColumn("p0", F.col("pos") - 1), "p0", rows, size=256)
-    at = at.withColumn("k", F.expr("array_position(transform(blocks, b -> b.start <= p0 and p0 < b.end), true)").cast("int"))
-    offset = "cast(own[k - 1].start + p0 - blocks[k - 1].start as int)"
-    ranked = at.select(
-        "tx_id", "pos", "rid", "qname", "pos0", "paired", F.expr(f"if(k > 0, coalesce(get(qual, {offset}), 0), 0)").alias("q"),
-        F.expr(f"if(k > 0, substring(seq, {offset} + 1, 1), null)").alias("base"), F.expr("k = 0 and exists(gaps, g -> g.start <= p0 and p0 < g.end)").alias("gap"),
-    )
+    parts = stored(_pileup_parts(reads), "pileup")
+    listed = positions.select("tx_id", "chrom", F.explode_outer("positions").alias("pos")).where("pos is not null")
+    listed = stored(listed, "listed")
+    points = listed.select("chrom", "pos", (F.col("pos") - 1).alias("p0")).distinct()
+    quality = F.expr("coalesce(get(quals, int(p0 - r_start)), 0)")
+    own = ["chrom", "pos", "pos0", "rid"]
+    alone = point_join(points, "p0", parts.where("not meets and op <> 'N'").drop("bases"), size=256).select(*own, (quality >= BASE_QUALITY).cast("int").alias("good"))
+    skipped = point_join(points, "p0", parts.where("op = 'N'").drop("bases", "quals")).select(*own, F.lit(0).alias("good"))
+    at = point_join(points, "p0", parts.where("meets and op <> 'N'"), size=256)
+    ranked = at.select(*own, "qname", quality.alias("q"), F.expr("if(op = 'D', null, substring(bases, int(p0 - r_start + 1), 1))").alias("base"), (F.col("op") == "D").alias("gap"))
     # Mates at one position, by start and file order; the name's hash bit says which of two equal ones keeps the quality.
-    mates = W.partitionBy("tx_id", "pos", "qname", F.when(~F.col("paired"), F.col("rid"))).orderBy("pos0", "rid")
-    whole, own = mates.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.struct("q", "base", "gap")
-    pairs = ranked.withColumns({"n": F.count("*").over(whole), "a": F.first(own).over(whole), "b": F.last(own).over(whole), "is_a": F.row_number().over(mates) == 1})
+    mates = W.partitionBy("chrom", "pos", "qname").orderBy("pos0", "rid")
+    whole, this = mates.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.struct("q", "base", "gap")
+    pairs = ranked.withColumns({"n": F.count("*").over(whole), "a": F.first(this).over(whole), "b": F.last(this).over(whole), "is_a": F.row_number().over(mates) == 1})
     keeps = F.col("is_a") == (name_bit("qname") == 1)
     less = F.floor(F.col("q") * 0.8)
     both = (
@@ -115,26 +148,27 @@ def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
         .otherwise(F.when(F.col("is_a") == (F.col("a.q") > F.col("b.q")), less))
     )
     rewritten = (
-        F.when((F.col("n") != 2) | ~F.col("paired"), F.col("q"))
+        F.when(F.col("n") != 2, F.col("q"))
         .when(F.col("a.base").isNotNull() & F.col("b.base").isNotNull(), F.coalesce(both, F.lit(0)))
         .when((F.col("a.base").isNotNull() & F.col("b.gap")) | (F.col("b.base").isNotNull() & F.col("a.gap")), F.when(keeps & F.col("base").isNotNull(), less).otherwise(0))
         .otherwise(F.col("q"))
     )
-    counted = pairs.select("tx_id", "pos", "pos0", "rid", (rewritten >= BASE_QUALITY).cast("int").alias("good"))
-    crowded = stored(counted.groupBy("tx_id", "pos").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "depth")  # a row for each listed position
-    few = crowded.where(F.col("n") <= DEPTH).select("tx_id", "pos", F.col("good").alias("covered"))
-    if not crowded.where(F.col("n") > DEPTH).limit(1).count():
-        return few
-    deep = counted.join(crowded.where(F.col("n") > DEPTH).select("tx_id", "pos"), ["tx_id", "pos"])
-    return few.unionByName(_first_reads(stored(deep, "deep")))
+    met = pairs.select(*own, (rewritten >= BASE_QUALITY).cast("int").alias("good"))
+    counted = alone.unionByName(skipped).unionByName(met)
+    crowded = stored(counted.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "depth")  # a row for each listed position
+    depth = crowded.where(F.col("n") <= DEPTH).select("chrom", "pos", F.col("good").alias("covered"))
+    if crowded.where(F.col("n") > DEPTH).limit(1).count():
+        deep = counted.join(crowded.where(F.col("n") > DEPTH).select("chrom", "pos"), ["chrom", "pos"])
+        depth = depth.unionByName(_first_reads(stored(deep, "deep")))
+    return listed.join(depth, ["chrom", "pos"]).select("tx_id", "pos", "covered")
 
 
 def _first_reads(deep: DataFrame) -> DataFrame:
-    """tx_id, pos, covered: good reads among the first DEPTH by pos0 and rid.
+    """chrom, pos, covered: good reads among the first DEPTH by pos0 and rid.
 
     Counts by start, then by range of rid at the start where DEPTH ends, tell which rows count; only one range is ordered.
     """
-    at = ["tx_id", "pos"]
+    at = ["chrom", "pos"]
 
     def cut(rows: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
         """Sums of the steps that count wholly; the step that is cut, and how many of its rows count."""
@@ -150,13 +184,34 @@ def _first_reads(deep: DataFrame) -> DataFrame:
     return starts.unionByName(ranges).unionByName(last).groupBy(*at).agg(F.sum("good").alias("covered"))
 
 
-def tin(reads: DataFrame, tx: DataFrame, least: int = 10, n: int = 100) -> DataFrame:
-    """tx_id, tin: how even the coverage is, 100 for equal depth everywhere; 0 where few reads start in the transcript."""
+def intron_noise(reads: DataFrame, tx: DataFrame) -> DataFrame:
+    """tx_id, noise: bases of the reads that start in a transcript and touch no exon, for each base of its introns.
+
+    Transcripts without introns or such reads have no row.
+    """
+    rows = reads.where(R.keeps("pileup")).where("chrom is not null").select("rid", "chrom", "pos0", F.length("seq").cast("long").alias("many"))
+    spans = rows.withColumns({"start": F.col("pos0"), "end": F.col("pos0") + F.col("many")})
+    touching = overlap_join(spans, as_right(merge(exons(tx)))).select("rid").distinct()
+    model = with_length(tx).withColumn("gaps", F.col("tx_end") - F.col("tx_start") - F.col("length")).where("gaps > 0")
+    regions = model.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), "tx_id", "gaps")
+    inside = point_join(rows.join(touching, "rid", "left_anti"), "pos0", regions)
+    return inside.groupBy("tx_id").agg((F.sum("many") / F.first("gaps")).alias("noise"))
+
+
+def tin(reads: DataFrame, tx: DataFrame, least: int = 10, n: int = 100, subtract: bool = False) -> DataFrame:
+    """tx_id, tin: how even the coverage is, 100 for equal depth everywhere; 0 where few reads start in the transcript.
+
+    subtract: take the introns' noise off every position's depth, down to whole reads and not below none.
+    """
     listed = sampled_positions(tx, n)
     starts = reads.where(R.keeps("pileup")).where("chrom is not null").select("chrom", "pos0").distinct()
     inside = point_join(starts, "pos0", tx.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), "tx_id"))
     enough = inside.groupBy("tx_id").agg(F.count("*").alias("n")).where(F.col("n") > least).select("tx_id")
-    depth = position_depth(reads, listed.join(enough, "tx_id", "left_semi")).where("covered > 0")
+    depth = position_depth(reads, listed.join(enough, "tx_id", "left_semi"))
+    if subtract:
+        left = F.floor(F.col("covered") - F.coalesce("noise", F.lit(0.0)))
+        depth = depth.join(intron_noise(reads, tx), "tx_id", "left").select("tx_id", "pos", left.alias("covered"))
+    depth = depth.where("covered > 0")
     # With total S = sum(v), the entropy is ln S - sum(v ln v) / S.
     sums = depth.groupBy("tx_id").agg(F.sum("covered").alias("s"), F.sum(F.col("covered") * F.log("covered")).alias("l"))
     joined = listed.select("tx_id", "listed").join(sums, "tx_id", "left")
@@ -172,7 +227,7 @@ def tin_summary(scores: DataFrame) -> DataFrame:
 def genebody_coverage(reads: DataFrame, tx: DataFrame, shortest: int = 100) -> DataFrame:
     """slot, covered: depth summed over transcripts by place along them, 5' to 3'."""
     listed = percentile_positions(tx, shortest)
-    slots = listed.select("tx_id", "strand", F.size("positions").alias("n"), F.posexplode(F.array_sort("positions")).alias("i", "pos"))
+    slots = listed.select("tx_id", "strand", F.size("positions").alias("n"), F.posexplode_outer(F.array_sort("positions")).alias("i", "pos"))
     slots = slots.select("tx_id", "pos", F.when(F.col("strand") == "-", F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("slot"))
     depth = position_depth(reads, listed)
     sums = slots.join(depth, ["tx_id", "pos"], "left").groupBy("slot").agg(F.sum(F.coalesce("covered", F.lit(0))).cast("long").alias("covered"))
@@ -192,17 +247,21 @@ def curve_shape(curve: DataFrame) -> DataFrame:
     return shape.join(F.broadcast(skew), "sample")
 
 
-def genebody_from_track(track: DataFrame, tx: DataFrame) -> DataFrame:
-    """slot, value: a track's values summed by place along transcripts.
+def genebody_from_track(track: DataFrame, tx: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """slot, value: a track's values summed by place along transcripts, 5' to 3'.
 
-    A transcript is used if its first exon has 100 bases; on the reverse strand bases are listed from the end first.
+    A transcript is used if its first exon has 100 bases; on the reverse strand bases are listed from the end first,
+    which is not the forward list turned round.  sizes (chrom, size): a place beyond its contig is an error.
     """
     used = tx.where(F.expr("blocks[0].end - blocks[0].start") >= 100)
-    listed = percentile_positions(used, 100, distinct=False)
-    points = listed.select("tx_id", "chrom", "strand", F.posexplode("positions").alias("i", "pos"))
+    listed = percentile_positions(used, 100, distinct=False, from_end=True)
+    points = listed.select("chrom", F.posexplode_outer("positions").alias("slot", "pos"))
+    if sizes is not None:
+        beyond = F.when((F.col("pos") < 1) | (F.col("pos") > F.col("size")), F.raise_error(F.concat_ws(" ", F.lit("outside its contig:"), "chrom", "pos")).cast("long"))
+        points = points.join(sizes.select("chrom", "size"), "chrom", "left").select("chrom", "slot", F.coalesce(beyond, F.col("pos")).alias("pos"))
+    points = points.groupBy("chrom", "slot", "pos").agg(F.count("*").alias("times"))  # places of several transcripts are looked up once
     at = point_join(points.withColumn("p0", F.col("pos") - 1), "p0", track.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "value"))
-    slot = F.when(F.col("strand") == "-", 99 - F.col("i")).otherwise(F.col("i"))
-    return at.where(~F.isnan("value")).groupBy(slot.alias("slot")).agg(F.sum(F.col("value").cast("double")).alias("value"))
+    return at.where(~F.isnan("value")).groupBy("slot").agg(F.sum(F.col("value").cast("double") * F.col("times")).alias("value"))
 
 
 def exon_coverage(reads: DataFrame, tx: DataFrame) -> DataFrame:

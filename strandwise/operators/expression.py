@@ -101,7 +101,8 @@ def rpkm_saturation(reads: DataFrame, tx: DataFrame, low: int = 5, high: int = 1
     rows = reads.where(R.keeps("rpkm_saturation", q_cut)).select("rid", F.upper("chrom").alias("chrom"), F.posexplode(C.exon_blocks()).alias("i", "b"))
     points = rows.select("rid", "i", "chrom", (F.col("b.start") + F.floor((F.col("b.end") - F.col("b.start")) / 2)).alias("p"))
     draw = seeded_rank(points, F.concat_ws("|", "rid", "i"), seed) * 100
-    points = points.withColumn("percent", reduce(lambda acc, p: F.when(draw < p, F.lit(p)).otherwise(acc), reversed(percents), F.lit(100)))
+    points = points.withColumn("draw", draw)  # once, then compared
+    points = points.select("chrom", "p", reduce(lambda acc, p: F.when(F.col("draw") < p, F.lit(p)).otherwise(acc), reversed(percents), F.lit(100)).alias("percent"))
     totals = points.groupBy("percent").agg(F.count("*").alias("n"))
     sizes = totals.agg(*[F.coalesce(F.sum(F.when(F.col("percent") <= p, F.col("n"))), F.lit(0)).alias(f"n{p}") for p in percents])
     parts = as_right(exons(tx.withColumn("chrom", F.upper("chrom")), "tx_id"), "tx_id")

@@ -14,7 +14,7 @@ CODES = "ACGT"
 
 def hexamer_counts(seqs: DataFrame, k: int = 6) -> DataFrame:
     """kmer, reads, frequency for all 4^k words of ACGT; words with other letters count neither here nor in the total."""
-    words = seqs.select(F.explode(kmers("seq", k)).alias("kmer")).where(F.rlike("kmer", F.lit(f"^[ACGT]{{{k}}}$")))
+    words = seqs.select(F.explode_outer(kmers("seq", k)).alias("kmer")).where(F.translate("kmer", CODES, "") == "")
     counts = words.groupBy("kmer").agg(F.count("*").alias("reads"))
     spark = seqs.sparkSession
     digit = lambda i: F.substring(F.lit(CODES), ((F.shiftright(F.col("id"), 2 * (k - 1 - i)) % 4) + 1).cast("int"), F.lit(1))

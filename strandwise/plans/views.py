@@ -5,10 +5,10 @@ The projections are plain SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import re
 
-from strandwise.functions.cigar import parse_cigar
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Alignment shapes; every one covers 32 read bases.
 TEMPLATES = ["32M", "10M100N22M", "4S28M", "16M2I14M", "10M5D22M", "12M80N8M60N12M", "28M4S"]
@@ -56,16 +56,33 @@ TRANSCRIPTS = {
 TRANSCRIPTS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in TRANSCRIPTS.items()) + " FROM part"
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{e} AS {n}" for n, e in READS.items()])
-    cigar = F.element_at(F.array(*[parse_cigar(F.lit(c)) for c in TEMPLATES]), F.col("t") + 1)
-    tags = {"MD": "md", "RE": "re", "TX": "tx", "AN": "an", "CR": "cr", "CB": "cb", "UR": "ur", "UB": "ub"}
-    entries = [F.struct(F.lit(k).alias("key"), F.struct(F.lit("Z").alias("t"), F.lit(None).cast("long").alias("i"), F.col(c).alias("s")).alias("value")) for k, c in tags.items()]
-    entries += [F.struct(F.lit(k).alias("key"), F.struct(F.lit("i").alias("t"), F.col(c).cast("long").alias("i"), F.lit(None).cast("string").alias("s")).alias("value")) for k, c in (("NM", "nm"), ("xf", "xf"))]
+#: Tags of the projected reads and the columns that hold their values.
+TAGS = {"MD": "md", "RE": "re", "TX": "tx", "AN": "an", "CR": "cr", "CB": "cb", "UR": "ur", "UB": "ub", "NM": "nm", "xf": "xf"}
+#: Read bases and qualities are worked out once; what is cut from them refers to these.
+_ONCE = ("seq", "qual_text")
+
+
+def _cigar(text: str) -> Column:
+    """A template's operations as a constant."""
+    parts = re.findall("([0-9]+)([MIDNSHP=X])", text)
+    return F.array(*[F.struct(F.lit(op).alias("op"), F.lit(int(n)).alias("len")) for n, op in parts])
+
+
+def reads(spark: SparkSession, sf_dir: str, *tags: str) -> DataFrame:
+    """The projected reads, with the tags that are asked for."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kept = [n for n in READS if n not in _ONCE and n not in TAGS.values()]
+    plain = {n: READS[n].replace(_SEQ, "seq") for n in (TAGS[t] for t in tags)}
+    rows = table.selectExpr("*", *[f"{READS[n]} AS {n}" for n in _ONCE]).selectExpr(*_ONCE, *[f"{READS[n]} AS {n}" for n in kept], *[f"{e} AS {n}" for n, e in plain.items()])
+    cigar = F.element_at(F.array(*[_cigar(c) for c in TEMPLATES]), F.col("t") + 1)
+    kinds = {t: "i" if t in ("NM", "xf") else "Z" for t in tags}
+    value = lambda t, kind: F.col(TAGS[t]) if kinds[t] == kind else F.lit(None)
+    entries = [F.struct(F.lit(t).alias("key"), F.struct(F.lit(k).alias("t"), value(t, "i").cast("long").alias("i"), value(t, "Z").cast("string").alias("s")).alias("value")) for t, k in kinds.items()]
     present = F.filter(F.array(*entries), lambda e: e["value"]["i"].isNotNull() | e["value"]["s"].isNotNull())
+    made = F.map_from_entries(present) if tags else F.lit(None).cast("map<string,struct<t:string,i:bigint,s:string>>")
     qual = F.transform(F.split("qual_text", ""), lambda c: F.ascii(c) - 33)
-    made = rows.withColumns({"cigar": cigar, "qual": qual, "tags": F.map_from_entries(present)})
-    return made.select("rid", "qname", "flag", "chrom", "pos0", "mapq", "cigar", "mate_chrom", "mate_pos0", "tlen", "seq", "qual", "tags")
+    rows = rows.withColumns({"cigar": cigar, "qual": qual, "tags": made})
+    return rows.select("rid", "qname", "flag", "chrom", "pos0", "mapq", "cigar", "mate_chrom", "mate_pos0", "tlen", "seq", "qual", "tags")
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

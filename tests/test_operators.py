@@ -1,5 +1,6 @@
 """Kernels, intervals, readers and reports on small hand-made inputs."""
 
+import math
 import struct
 import zlib
 
@@ -319,3 +320,66 @@ def test_deep_positions_pool_mates_before_the_cut(spark, monkeypatch, depth):
         want[p] = sum(r[4] >= 13 for r in over[:depth])
     positions = spark.createDataFrame([("t", "c", [103, 107, 109])], "tx_id string, chrom string, positions array<bigint>")
     assert {r["pos"]: r["covered"] for r in V.position_depth(reads, positions).collect()} == want
+
+
+def test_track_bases_are_listed_from_the_end_on_the_reverse_strand(spark):
+    """250 bases 1 to 250: place i of the forward list is base 1 + 2.49 i, of the reverse list base 250 - 2.49 i, half to even."""
+    block = "array<struct<start:bigint,end:bigint>>"
+    tx = spark.createDataFrame([("f", "c", 0, 250, "+", [(0, 250)]), ("r", "d", 0, 250, "-", [(0, 250)]), ("s", "d", 0, 900, "-", [(0, 99), (300, 900)])], f"tx_id string, chrom string, tx_start long, tx_end long, strand string, blocks {block}")
+    track = spark.createDataFrame([(c, p, p + 1, float(p + 1)) for c in "cd" for p in range(250)], "chrom string, start long, end long, value double")
+    for chrom, want in (("c", [round(1 + 249 * i / 100) for i in range(1, 101)]), ("d", [round(250 - 249 * i / 100) for i in range(1, 101)])):
+        got = {r["slot"]: r["value"] for r in V.genebody_from_track(track.where(F.col("chrom") == chrom), tx).collect()}
+        assert got == dict(enumerate(map(float, want)))
+    assert want[:3] == [248, 245, 243]
+    sizes = spark.createDataFrame([("c", 250), ("d", 249)], "chrom string, size long")
+    assert V.genebody_from_track(track, tx.where("chrom = 'c'"), sizes).count() == 100
+    assert V.genebody_from_track(track, tx.where("tx_id = 'r'"), sizes).count() == 100  # base 250 itself is not among the places
+    with pytest.raises(Exception, match="outside its contig"):
+        V.genebody_from_track(track, tx, sizes.withColumn("size", F.lit(200).cast("long"))).collect()
+
+
+def test_places_are_those_of_listed_bases(spark):
+    """Positions from sums of exon lengths against lists of all bases."""
+    rng = np.random.RandomState(2)
+    rows = []
+    for i in range(40):
+        at, blocks = int(rng.randint(500)), []
+        for _ in range(rng.randint(1, 6)):
+            size = int(rng.choice([0, 1, 7, 60, 180]))
+            blocks.append((at, at + size))
+            at += size + int(rng.randint(1, 90))
+        rows.append((f"t{i}", "c", blocks[0][0], blocks[-1][1], "+-"[i % 2], blocks))
+    tx = spark.createDataFrame(rows, "tx_id string, chrom string, tx_start long, tx_end long, strand string, blocks array<struct<start:bigint,end:bigint>>")
+    every = {r[0]: [p for a, b in r[5] for p in range(a + 1, b + 1)] for r in rows}
+    listed, ends = {}, {r[0]: r for r in rows}
+    for t, bases in every.items():
+        _, _, a, b, _, blocks = ends[t]
+        if not bases:
+            continue
+        full = [a + 1, b, *bases] if len(bases) <= 100 else list(dict.fromkeys([p for x, y in blocks for p in (x + 1, y)] + bases[:: max(1, len(bases) // 100)]))
+        listed[t] = (set(full), len(full))
+    got = {r["tx_id"]: (set(r["positions"]), r["listed"]) for r in V.sampled_positions(tx).collect()}
+    assert got == listed
+    for from_end in (False, True):
+        got = {r["tx_id"]: r["positions"] for r in V.percentile_positions(tx, 100, False, from_end).collect()}
+        for t, bases in every.items():
+            if len(bases) >= 100:
+                line = sorted(bases, reverse=from_end and ends[t][4] == "-")
+                k = [(len(line) - 1) * i / 100 for i in range(1, 101)]
+                assert got[t] == [round(line[math.floor(x)] * (math.ceil(x) - x) + line[math.ceil(x)] * (x - math.floor(x))) if x % 1 else line[int(x)] for x in k]
+
+
+def test_noise_of_introns_is_taken_off(spark):
+    """Two exons of 60 bases and an intron of 80: eight reads of 10 bases inside it are one base of noise for each of its bases."""
+    block = "array<struct<start:bigint,end:bigint>>"
+    tx = spark.createDataFrame([("t", "c", 0, 200, "+", [(0, 60), (140, 200)])], f"tx_id string, chrom string, tx_start long, tx_end long, strand string, blocks {block}")
+    rows = [(i, f"q{i}", 0, "c", p, 60, [("M", 10)], None, None, 0, "A" * 10, [30] * 10) for i, p in enumerate([60 + 5 * k for k in range(8)] + list(range(0, 50)) + list(range(0, 50, 2)) + [145])]
+    reads = spark.createDataFrame(rows, "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>")
+    assert V.intron_noise(reads, tx).first()["noise"] == 1.0
+    starts = [r[4] for r in rows]
+    values = [max(0, sum(s < p <= s + 10 for s in starts) - 1) for p in [*range(1, 61), *range(141, 201)]]
+    # 120 bases and step 1: every base is listed, and the exons' ends are among them
+    shares = [v / sum(values) for v in values if v]
+    want = 100 * math.exp(-sum(x * math.log(x) for x in shares)) / 120
+    assert abs(V.tin(reads, tx, subtract=True).first()["tin"] - want) < 1e-9
+    assert V.tin(reads, tx).first()["tin"] > want
