@@ -383,3 +383,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {WORDS - 1}], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS c FROM sh GROUP BY doc_id),
+classes AS (SELECT c, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY c),
+ws AS MATERIALIZED (SELECT rep, n, s FROM classes JOIN sh ON sh.doc_id = rep),
+links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM ws a JOIN ws b ON a.s = b.s AND a.rep <> b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+low AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(sets.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (c) LEFT JOIN low USING (rep)
+"""

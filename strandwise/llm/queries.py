@@ -1,7 +1,7 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
 from strandwise.llm.fingerprints import op10_fingerprints
-from strandwise.llm.jaccard import op9_jaccard
+from strandwise.llm.jaccard import OP9_SQL, op9_jaccard
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.personal import op7_personal
@@ -9,7 +9,7 @@ from strandwise.llm.preferences import OP4_SQL, op4_preferences
 from strandwise.llm.quality import op6_quality
 from strandwise.llm.search import OP8_SQL, op8_search
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
-from strandwise.llm.substrings import op1_substrings
+from strandwise.llm.substrings import OP1_SQL, op1_substrings
 
 QUERIES = {
     "op1_substrings": op1_substrings,
@@ -25,8 +25,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substrings": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op4_preferences": OP4_SQL,
     "op5_sharding": OP5_SQL,
     "op8_search": OP8_SQL,
+    "op9_jaccard": OP9_SQL,
 }

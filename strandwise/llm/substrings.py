@@ -309,3 +309,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = remove_repeats(documents(spark, sf_dir))
     return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS p FROM win JOIN low USING (h) WHERE low < doc_id),
+kept AS (
+  SELECT r, count(gone.p) AS n, string_agg(CASE WHEN gone.p IS NULL THEN x END, ' ' ORDER BY p) AS t
+  FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
