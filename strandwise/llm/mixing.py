@@ -2,11 +2,13 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to).  A flow network sends token
 capacity from patterns to source quotas: a pattern offers its tokens once at no cost and again at a rising cost
-for each repeat, up to a limit.  The small network is solved on the driver; each pattern then knows how many
-tokens of it every source takes, and Spark selects the documents in a seeded order.
+for each repeat, up to a limit.  Patterns that share no source, not even by way of others, are networks of their
+own; each is solved in a task, so neither patterns nor sources meet on the driver.  Then each pattern's documents
+stand in a seeded order, and its sources take the line one after the other.
 
-Null text has size 0; a null source is a source of its own, ordered last; repeated rows count each.  Where
-nothing has a size, every target is 0.  An empty table gives an empty result.  Other columns are ignored.
+Null text has size 0; a null source, and an empty or null array of sources, is a source of its own, ordered last;
+repeated rows count each, and equal rows take their turns.  Where nothing has a size, every target is 0.  An empty
+table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from strandwise.llm.common import documents, stored
+from strandwise.llm.components import components
 
 #: A document is taken so often at most, a source's target is so many times its size at most.
 MOST_REPEATS = 3
 #: Ranges of the seeded order that are summed before the one range that a quota cuts is ordered document by document.
 RANGES = 1 << 12
-#: Patterns that the driver's network may hold; an input with more must merge sources first.
-MOST_PATTERNS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -101,75 +103,151 @@ def route(capacity: dict, quota: dict) -> dict:
             arcs[i ^ 1][1] += push
 
 
-def select(rows: DataFrame, pattern: str, wanted: dict, totals: dict, seed: int) -> DataFrame:
-    """taken: each document is taken as often as its pattern's tokens go wholly, the rest in seeded order.
+def _members(docs: DataFrame) -> Column:
+    """The row's sources in order: each after an s, and n for none."""
+    coded = lambda c: F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c))
+    if not isinstance(docs.schema["source"].dataType, ArrayType):
+        return F.array(coded(F.col("source")))
+    some = F.array_sort(F.array_distinct(F.transform("source", coded)))
+    return F.when(F.size("source") > 0, some).otherwise(F.array(F.lit("n")))
 
-    rows need doc_id and size.  The seeded order is cut in RANGES by hash, whose sums tell how many tokens come
-    before each; documents are then ordered inside their range, so no task orders a whole pattern.  The document
-    at which the quota ends gives the words still missing.
+
+def source_targets(patterns: DataFrame) -> DataFrame:
+    """source, size, target, quota (the target in whole words).  patterns: members, tokens.
+
+    Sources in code point order, null last, weigh 1, 2, 3 and again.  Those whose target would be above MOST_REPEATS
+    sizes are the first by size for weight; the rest share what is left.
     """
-    spark = rows.sparkSession
-    plan = [(p, wanted.get(p, 0) // t if t else 0, wanted.get(p, 0) % t if t else 0) for p, t in totals.items()]
-    plan_df = F.broadcast(spark.createDataFrame(plan, f"{pattern} string, whole long, rest long"))  # a row for each pattern
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    sizes = patterns.select(F.explode("members").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("size"))
+    total = patterns.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    ranked = sizes.withColumn("w", (F.row_number().over(W.orderBy(F.col("source") == "n", "source")) - 1) % 3 + 1)  # a row for each source
+    before = W.orderBy(F.col("size") / F.col("w"), "source").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.partitionBy()
+    ranked = ranked.crossJoin(F.broadcast(total))  # one row
+    ranked = ranked.withColumns({
+        "left": F.col("total") - F.coalesce(F.sum(MOST_REPEATS * F.col("size")).over(before), F.lit(0)),
+        "open": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)),
+    })
+    ranked = ranked.withColumn("full", F.col("w") * F.col("left") > MOST_REPEATS * F.col("size") * F.col("open"))
+    ranked = ranked.withColumns({
+        "left": F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), MOST_REPEATS * F.col("size"))).over(everything), F.lit(0)),
+        "open": F.sum(F.when(~F.col("full"), F.col("w"))).over(everything),
+    })
+    share = (F.col("w") * F.col("left")).cast("double") / F.col("open").cast("double")
+    target = F.when(F.col("full"), (MOST_REPEATS * F.col("size")).cast("double")).otherwise(share)
+    return ranked.select("source", "size", target.alias("target"), F.floor(target + 0.5).cast("long").alias("quota"))
+
+
+def routed(patterns: DataFrame, quotas: DataFrame) -> DataFrame:
+    """pattern, source, tokens: the flow.  patterns: pattern, members, tokens; quotas: source, quota."""
+    ties = patterns.where(F.size("members") > 1).select(F.xxhash64(F.col("members")[0]).alias("a"), F.explode("members").alias("source")).select("a", F.xxhash64("source").alias("b"))
+    ties = stored(ties.where("a <> b").distinct(), "ties")
+    pairs = patterns.select("pattern", "tokens", F.explode("members").alias("source")).join(quotas.select("source", "quota"), "source")
+    node = F.xxhash64("source")
+    if ties.limit(1).count():
+        pairs = pairs.withColumn("node", node).join(components(ties), "node", "left").withColumn("network", F.coalesce("component", "node"))
+    else:
+        pairs = pairs.withColumn("network", node)
+
+    def solve(rows):
+        import pandas as pd
+
+        members = rows.groupby("pattern")["source"].apply(lambda x: tuple(sorted(x)))
+        names = dict(zip(members.values, members.index))
+        tokens = rows.groupby("pattern")["tokens"].first()
+        flow = route({p: int(tokens[k]) for p, k in names.items()}, {s: int(q) for s, q in zip(rows["source"], rows["quota"])})
+        return pd.DataFrame([(names[p], s, v) for (p, s), v in flow.items()], columns=["pattern", "source", "tokens"])
+
+    return pairs.select("network", "pattern", "source", "tokens", "quota").groupBy("network").applyInPandas(solve, "pattern string, source string, tokens long")
+
+
+def select(rows: DataFrame, patterns: DataFrame, flow: DataFrame, seed: int) -> DataFrame:
+    """rows with takes: array of source, tokens.  rows: _pattern, _size, _key (what tells rows apart) and others.
+
+    The seeded order of a pattern's rows is cut in RANGES by hash, whose sums tell how many tokens come before each;
+    rows are then ordered inside their range, so no task orders a whole pattern.  The line of all rows is laid
+    MOST_REPEATS times, and the pattern's sources take it one after the other; the row at a cut gives the words
+    still missing.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_key")))
     rows = rows.withColumn("_order", order).withColumn("_range", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    sums = rows.groupBy(pattern, "_range").agg(F.sum("size").alias("_in"))
-    before = F.sum("_in").over(W.partitionBy(pattern).orderBy("_range")) - F.col("_in")  # RANGES rows a pattern at most
-    starts = sums.select(pattern, "_range", before.alias("_before")).join(plan_df, pattern)
-    line = W.partitionBy(pattern, "_range").orderBy("_order", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("_sofar", F.sum("size").over(line) - F.col("size")).join(starts, [pattern, "_range"])
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_before") - F.col("_sofar")))
-    return placed.withColumn("taken", (F.col("whole") * F.col("size") + more).cast("long"))
+    sums = rows.groupBy("_pattern", "_range").agg(F.sum("_size").alias("_in"))
+    before = F.sum("_in").over(W.partitionBy("_pattern").orderBy("_range")) - F.col("_in")  # RANGES rows a pattern at most
+    ends = F.sum("tokens").over(W.partitionBy("pattern").orderBy("source"))
+    parts = flow.withColumn("to", ends).groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("source", (F.col("to") - F.col("tokens")).alias("from"), "to"))).alias("_parts"))
+    plan = patterns.join(parts, "pattern", "left").select(F.col("pattern").alias("_pattern"), F.col("tokens").alias("_all"), "_parts")  # a row for each pattern
+    starts = sums.select("_pattern", "_range", before.alias("_before")).join(plan, "_pattern")
+    line = W.partitionBy("_pattern", "_range").orderBy("_order", "_size").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("_sofar", F.sum("_size").over(line) - F.col("_size")).join(starts, ["_pattern", "_range"])
+    repeats = " + ".join(f"greatest(0L, least(_before + _sofar + _size + {k} * _all, p.to) - greatest(_before + _sofar + {k} * _all, p.from))" for k in range(MOST_REPEATS))
+    takes = F.expr(f"coalesce(transform(_parts, p -> named_struct('source', p.source, 'tokens', {repeats})), array())")
+    return placed.withColumn("takes", takes).drop("_order", "_range", "_before", "_sofar", "_all", "_parts")
 
 
-def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
+def _mixed(docs: DataFrame, rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """rows with takes, and the sources' targets.  docs: doc_id, text, source; rows: those of docs that are to be placed."""
+    slim = stored(docs.select(_pattern(_members(docs)).alias("pattern"), _members(docs).alias("members"), word_count(F.col("text")).alias("size")), "sizes")
+    patterns = stored(slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("tokens")), "patterns")
+    info = stored(source_targets(patterns), "targets")
+    flow = stored(routed(patterns, info), "flow")
+    return select(rows, patterns, flow, seed), info
+
 
-    Sources in code point order, null last, weigh 1, 2, 3 and again 1, 2, 3.  Here each document has one source,
-    so a membership pattern is one source.
+def _pattern(members: Column) -> Column:
+    return F.to_json(members)
+
+
+def _key(docs: DataFrame) -> Column:
+    """What the seeded order hashes: id and text, so that rows without an id, or of one id, are spread as well."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _rows(docs: DataFrame, *columns: Column) -> DataFrame:
+    return docs.select(*columns, _pattern(_members(docs)).alias("_pattern"), word_count(F.col("text")).alias("_size"), _key(docs).alias("_key"))
+
+
+def _sum(takes: str) -> Column:
+    return F.expr(f"aggregate({takes}, 0L, (a, t) -> a + t.tokens)")
+
+
+def mix_memberships(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: a row for each source of each row of docs.
+
+    source is a string or an array of them; taken are the row's words, repeats counted, that go to this source.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        word_count(F.col("text")).alias("size"),
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("pattern"),
-    )
-    rows = stored(rows, "sizes")
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()  # a row for each pattern
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    sizes = {r["pattern"]: int(r["size"]) for r in found}
-    names = sorted(sizes, key=lambda p: (p == "n", p.encode()))
-    weights = {p: i % 3 + 1 for i, p in enumerate(names)}
-    wish = targets(sizes, weights)
-    flow = route({(p,): sizes[p] for p in names}, {p: int(wish[p] + 0.5) for p in names})
-    wanted = {p: sum(v for (q, _), v in flow.items() if q == (p,)) for p in names}
-    taken = select(rows, "pattern", wanted, sizes, seed)
-    info = spark.createDataFrame([(p, sizes[p], float(wish[p])) for p in names], "pattern string, source_size long, target double")
-    return taken.join(F.broadcast(info), "pattern").select("doc_id", "size", "source_size", "target", "taken", "pattern")
+    rows, info = _mixed(docs, _rows(docs, F.col("doc_id").cast("long").alias("doc_id"), _members(docs).alias("members")), seed)
+    each = rows.select("doc_id", F.col("_size").alias("size"), F.explode("members").alias("source"), "takes")
+    taken = F.expr("aggregate(filter(takes, t -> t.source = source), 0L, (a, t) -> a + t.tokens)")
+    each = each.withColumn("taken", taken).join(info.select("source", F.col("size").alias("source_size"), "target"), "source")
+    return each.select("doc_id", F.expr("if(source = 'n', null, substring(source, 2))").alias("source"), "size", "source_size", "target", "taken")
+
+
+def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, pattern of every row of documents that have one source each."""
+    rows, info = _mixed(docs, stored(_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), _members(docs)[0].alias("source")), "rows"), seed)
+    joined = rows.join(info.select("source", F.col("size").alias("source_size"), "target"), "source")
+    return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", _sum("takes").alias("taken"), F.col("source").alias("pattern"))
 
 
 def taken_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus: each row as often as it is taken whole, and the row at a cut once more with its first words.
 
-    Rows without words have nothing to repeat and stay once.
+    Rows without words have nothing to repeat and stay once.  Columns of docs may have any names.
     """
     columns = docs.columns
-    mixed = mix_sources(docs, seed).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("pattern").alias("_pattern"), "taken")
-    mixed = mixed.groupBy("_id", "_size", "_pattern").agg(F.max("taken").alias("_taken"))  # equal rows differ at a cut only, by less than one document
-    pattern = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
-    joined = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_pattern", pattern)
-    joined = joined.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (joined["_size"] == mixed["_size"]) & (joined["_pattern"] == mixed["_pattern"])).drop(mixed["_size"]).drop(mixed["_pattern"])
+    rows = _rows(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    rows, _ = _mixed(docs, rows, seed)
+    rows = rows.withColumn("_taken", _sum("takes"))
     parts = F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
         F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: F.least(F.col("_taken") - k * F.col("_size"), F.col("_size"))), lambda n: n > 0)
     )
-    rows = joined.withColumn("_words", F.explode(parts))
-    cut = (F.col("_words") < F.col("_size")) & F.col("text").isNotNull()
-    words = F.array_join(F.slice(F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("_words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(cut, words).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    rows = rows.withColumn("_words", F.explode(parts))
+    text = F.col("_row.text")
+    cut = (F.col("_words") < F.col("_size")) & text.isNotNull()
+    words = F.array_join(F.slice(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("_words").cast("int")), " ")
+    shown = F.when(cut, words).otherwise(text)
+    own = {"text": shown, "n_chars": F.when(cut, F.length(shown).cast("long")).otherwise(F.col("_row").getField("n_chars")) if "n_chars" in columns else None}
+    return rows.select(*[(own[c] if c in own else F.col("_row").getField(c)).alias(c) for c in columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +258,7 @@ OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS pattern,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-    md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o
+    md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS o
   FROM documents),
 s AS (SELECT pattern, sum(size) AS size FROM d GROUP BY pattern),
 w AS (SELECT pattern, size, (row_number() OVER (ORDER BY pattern = 'n', pattern) - 1) % 3 + 1 AS w FROM s),

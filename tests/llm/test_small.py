@@ -183,6 +183,53 @@ def test_flow_spreads_overlapping_patterns():
     assert sum(max(0, out[p] - c) for p, c in {("a",): 10, ("a", "b"): 10, ("b",): 5}.items()) == 1  # 26 wanted of 25 once
 
 
+def test_mixing_of_overlapping_sources(spark):
+    """Quotas of sources that share documents are met by the flow's optimum, and a row takes no more than it may."""
+    rng = np.random.RandomState(12)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "c", "c"], ["c", None], ["e"], [], None]
+    rows = [(int(i), "w " * int(rng.randint(1, 40)), kinds[i % 8]) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source array<string>").withColumns({"size": F.lit(1), "pattern": F.lit(1), "members": F.lit(1)})
+    got = mixing.mix_memberships(table).toPandas()
+    pattern = lambda k: tuple(sorted({"n" if x is None else "s" + x for x in k or [None]}))
+    capacity, sizes = collections.Counter(), collections.Counter()
+    for _, t, k in rows:
+        capacity[pattern(k)] += len(t.split())
+        for s in pattern(k):
+            sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s == "n", s))
+    total, wish = sum(capacity.values()), {}
+    left, open_ = total, set(names)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    while True:
+        full = {s for s in open_ if weight[s] * left > 3 * sizes[s] * sum(weight[x] for x in open_)}
+        if not full:
+            wish |= {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
+            break
+        wish |= {s: 3.0 * sizes[s] for s in full}
+        left, open_ = left - sum(3 * sizes[s] for s in full), open_ - full
+    flow = mixing.route(dict(capacity), {s: int(wish[s] + 0.5) for s in names})
+    into = collections.Counter()
+    for (_, s), v in flow.items():
+        into[s] += v
+    shown = got.fillna({"source": "~"}).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert {("n" if s == "~" else "s" + s): (int(r.taken), round(r.target, 6)) for s, r in shown.iterrows()} == {s: (into[s], round(wish[s], 6)) for s in names}
+    by_row = got.groupby("doc_id").agg(taken=("taken", "sum"), size=("size", "first"))
+    assert (by_row.taken <= 3 * by_row["size"]).all() and len(by_row) == 240
+    assert sorted(map(str, mixing.mix_memberships(table.repartition(7)).collect())) == sorted(map(str, mixing.mix_memberships(table).collect()))
+
+
+def test_mixing_of_equal_rows_and_many_sources(spark):
+    """Equal rows without an id take their turns, so the source meets its target; there may be any number of sources."""
+    table = spark.createDataFrame([(None, "a b c d e f g h i j", "x")] * 20 + [(1, "w " * 200, "y")], "doc_id long, text string, source string")
+    text = mixing.taken_documents(table.withColumn("_row", F.lit(2)).withColumn("_size", F.lit(3))).toPandas()
+    got = mixing.mix_sources(table).toPandas()
+    assert got.taken.sum() == 400 and sum(len(t.split()) for t in text[text.source == "x"].text) == got[got.pattern == "sx"].taken.sum() == 133
+    assert text.columns.tolist() == ["doc_id", "text", "source", "_row", "_size"] and (text._row == 2).all()
+    many = spark.range(10_500).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.col("id").cast("string").alias("source"))
+    got = mixing.mix_sources(many).agg(F.sum("taken"), F.count("*"), F.max(F.abs(F.col("taken") - F.col("target")))).first()
+    assert got[1] == 10_500 and got[2] <= 0.5
+
+
 def test_targets_reshare():
     got = mixing.targets({"a": 10, "b": 1000, "c": 10}, {"a": 1, "b": 2, "c": 3})
     assert got["c"] == 30 and got["a"] == 30 and got["b"] == 960
