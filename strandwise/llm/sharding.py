@@ -3,7 +3,8 @@
 Shards are leaves of a tree region > rack > shard.  A document descends it: at each level every child draws
 ``-ln(u) / weight``, u in (0, 1] being a hash of the document's key and the child's name, and the least draw wins.
 A child's chance is its share of the weights, and a change of weights moves keys only into or out of the
-subtrees whose weights changed.  A new shard opens a region of its own, so growth moves keys to it alone.
+subtrees whose weights changed.  The shards of the start make whole regions; each shard that is added opens a region
+of its own and keeps it for good, so growth from any number of shards moves keys to the new one alone.
 
 Null text has size 1; a null doc_id is a key of its own; repeated rows share a shard and have slots each.  An
 empty table gives an empty result.  Other columns are ignored.
@@ -18,17 +19,22 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import documents, stored
 
 RACKS, SHARDS = 2, 2
+#: Shards at the start, unless another number is given.
+FOUNDED = 8
 #: Hexadecimal digits of a hash that cut each shard in parts, numbered apart; no task numbers a whole shard.
 PART_DIGITS = 3
 
 
-def tree(n_shards: int) -> dict[str, dict[str, list[int]]]:
-    """region > rack > shards, for equal shards: whole regions of RACKS x SHARDS, then one region for each shard left."""
-    full = n_shards // (RACKS * SHARDS) * RACKS * SHARDS
+def tree(n_shards: int, founded: int | None = None) -> dict[str, dict[str, list[int]]]:
+    """region > rack > shards, for equal shards: those of the start in regions of RACKS x SHARDS, the others each in its own.
+
+    founded: the number at the start, FOUNDED at most where not given; it must stay the same when shards are added.
+    """
+    founded = min(n_shards, FOUNDED) if founded is None else founded
     out: dict[str, dict[str, list[int]]] = {}
     for i in range(n_shards):
-        region = f"r{i // (RACKS * SHARDS)}" if i < full else f"x{i}"
-        out.setdefault(region, {}).setdefault(f"{region}k{i // SHARDS % RACKS if i < full else 0}", []).append(i)
+        region = f"r{i // (RACKS * SHARDS)}" if i < founded else f"x{i}"
+        out.setdefault(region, {}).setdefault(f"{region}k{i // SHARDS % RACKS if i < founded else 0}", []).append(i)
     return out
 
 
@@ -49,10 +55,10 @@ def _least(draws: list[Column], values: list[Column]) -> Column:
     return out
 
 
-def tree_shard(key: Column, n_shards: int, weights: dict[int, float] | None = None) -> Column:
+def tree_shard(key: Column, n_shards: int, weights: dict[int, float] | None = None, founded: int | None = None) -> Column:
     """The shard of ``key`` (a string column) among shards 0 to n_shards - 1; weights: of shards, 1 where not given."""
     weight = lambda i: (weights or {}).get(i, 1.0)
-    regions, region_draws, region_values = tree(n_shards), [], []
+    regions, region_draws, region_values = tree(n_shards, founded), [], []
     for region, racks in regions.items():
         rack_draws, rack_values = [], []
         for rack, shards in racks.items():
@@ -74,16 +80,17 @@ def numbered(rows: DataFrame, group: str, key: Column, order: list[str], name: s
     return placed.withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_base", "_at")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, founded: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
+    founded = min(n_shards, FOUNDED) if founded is None else founded
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        tree_shard(key, n_shards).alias("shard"),
-        tree_shard(key, n_shards + 1).alias("grown_shard"),
+        tree_shard(key, n_shards, None, founded).alias("shard"),
+        tree_shard(key, n_shards + 1, None, founded).alias("grown_shard"),
     )
     order = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = stored(rows, "shards")
