@@ -1,15 +1,16 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-Vectors become integers floor(1024 x).  Each is dealt to the nearest of a few pivots (cells), and cells to blocks of
-bounded size.  Queries first search their own cell, which gives each a k-th score.  A cell is visited by a group of
-queries only if a bound from centres and covering radii reaches the group's worst k-th score.  Where queries and a
+Vectors become integers floor(1024 x).  Each is dealt to the nearest of some pivots (cells; more of them for more
+vectors), and cells to blocks of bounded size; the queries of a cell make groups of bounded size.  Queries first search
+their own cell, which gives each a k-th score.  A cell is visited by a group of queries only if a bound from centres and
+covering radii reaches the group's worst k-th score, and its vectors are sent to the groups that visit it alone.  Where queries and a
 block meet, a cover tree over either side is walked in pairs of nodes; a pair is pruned when its bound is below the
 worst k-th score among the query node's queries.  Bounds round up, so no result is lost.
 
 Vectors that are null or hold null or non-finite components take no part; vectors of another length than the query's
 are no candidates.  Rows with one vec_id are candidates each, and queries each; only a query's own row is left out.
 Ties go to the smaller vec_id.  An empty table gives an empty result.  Other columns are ignored.
-Components are taken to be below 2^20 in size, so scores fit 64 bits.
+A score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from strandwise.llm.common import stored
 from strandwise.llm.jaccard import bounds, runs
 
 TOP, SCALE, EVERY = 10, 1024, 100
-#: Pivots, rows of a block, queries that meet a block at once; points of a leaf among data and among queries.
-PIVOTS, BLOCK, CHUNK, LEAF, QUERY_LEAF = 16, 4096, 4096, 512, 32
+#: Fewest and most pivots, and vectors for each; rows of a block, queries that meet a block at once; points of a leaf
+#: among data and among queries.
+PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 1024, 1 << 16
+BLOCK, CHUNK, LEAF, QUERY_LEAF = 4096, 4096, 512, 32
 
 
 def integer_vectors(table: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ class Best:
 def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data: np.ndarray, d_uid: np.ndarray, d_id: np.ndarray) -> Best:
     """The TOP products of each query with the data that reach its floor, by a walk over pairs of nodes."""
     qf, df = queries.astype(np.float64), data.astype(np.float64)
-    small = data.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) < 2.0**52
+    most = data.shape[1] * float(np.abs(qf).max(initial=0)) * float(np.abs(df).max(initial=0))
     best = Best(len(queries), floor)
     q_root = Node(qf, np.arange(len(queries)), 0, QUERY_LEAF)
     d_root = Node(df, np.arange(len(data)), 0)
@@ -121,7 +124,15 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
         if bound < best.floor[q.points].min():
             continue
         if not q.children and not d.children:
-            scores = (qf[q.points] @ df[d.points].T).astype(np.int64) if small else queries[q.points] @ data[d.points].T
+            if most < 2.0**52:
+                scores = (qf[q.points] @ df[d.points].T).astype(np.int64)
+            elif most < 2.0**62:
+                scores = queries[q.points] @ data[d.points].T
+            else:
+                exact = queries[q.points].astype(object) @ data[d.points].astype(object).T
+                if max(map(abs, exact.flat)) >= 1 << 63:
+                    raise OverflowError("a score is beyond 64 bits")
+                scores = exact.astype(np.int64)
             best.offer(q.points, scores, d_id[d.points], d_uid[d.points][None, :] == q_uid[q.points][:, None])
             continue
         if q.children and (not d.children or q.radius >= d.radius):
@@ -165,12 +176,16 @@ def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFram
     spark = table.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(integer_vectors(table), "vectors")
-    picked = rows.orderBy(F.xxhash64("uid")).limit(PIVOTS).select("dims", "v").collect()  # PIVOTS rows
+    n_pivots = min(MOST_PIVOTS, max(PIVOTS, rows.count() // PER_PIVOT))
+    picked = rows.orderBy(F.xxhash64("uid")).limit(n_pivots).select("dims", "v").collect()  # MOST_PIVOTS rows at most
     pivots = {}
     for r in picked:
         pivots.setdefault(r["dims"], []).append(r["v"])
     pivots = {d: np.array(p, np.int64) for d, p in pivots.items()}
 
+    def centres_of(dims: int) -> np.ndarray:
+        return pivots.get(dims, np.zeros((1, dims))).astype(np.float64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dims").to_numpy()
@@ -178,47 +193,55 @@ def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFram
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 v = matrix(batch.column("v").take(pa.array(own)), d).astype(np.float64)
-                centres = pivots.get(d, np.zeros((1, d))).astype(np.float64)
-                gaps = np.stack([np.linalg.norm(v - c, axis=1) for c in centres], axis=1)
+                gaps = np.stack([np.linalg.norm(v - c, axis=1) for c in centres_of(d)], axis=1)
                 cell[own], far[own] = np.argmin(gaps, axis=1), gaps.min(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
 
     dealt = stored(rows.mapInArrow(deal, "uid long, vec_id long, dims int, v array<bigint>, cell int, far double"), "cells")
     cells = dealt.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("queries"))
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("queries") / CHUNK)).cast("int"))
-    cells = stored(cells, "cell-sizes")  # PIVOTS rows and one for each other length
+    cells = stored(cells, "cell-sizes")  # MOST_PIVOTS rows and one for each other length
+    at = ["dims", "cell"]
     block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")))
-    blocked = dealt.join(F.broadcast(cells.select("dims", "cell", "blocks")), ["dims", "cell"]).withColumn("block", block).drop("blocks")
-    queries = dealt.where(F.pmod("vec_id", F.lit(every)) == 0)
-    all_chunks = int(cells.agg(F.coalesce(F.sum("queries"), F.lit(0))).first()[0]) // CHUNK + 1
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("uid", F.lit(2)), F.lit(all_chunks)).cast("int"))
-    block_list = cells.select("dims", "cell", F.explode(F.expr("transform(sequence(0, blocks - 1), b -> concat_ws('-', cell, b))")).alias("block"))
-    data = blocked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(all_chunks - 1))))
+    blocked = dealt.join(cells.select(*at, "blocks"), at).withColumn("block", block).drop("blocks")
+    # A group of queries is a part of one cell's.
+    group = F.concat_ws("-", "cell", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("chunks")))
+    queries = dealt.where(F.pmod("vec_id", F.lit(every)) == 0).join(cells.select(*at, "chunks"), at).withColumn("chunk", group).drop("chunks")
+    block_list = cells.select(*at, F.explode(F.expr("transform(sequence(0, blocks - 1), b -> concat_ws('-', cell, b))")).alias("block"))
+
+    def met(asking: DataFrame, visits: DataFrame) -> DataFrame:
+        """The products of queries (with floor) and the cells that their groups visit.  visits: dims, cell, chunk."""
+        sent = asking.drop("cell").join(visits, ["dims", "chunk"]).join(block_list, at)
+        return _meet(sent, blocked.join(visits, at), n_parts)
 
     # First the own cell, which gives each query a k-th score.
-    own = queries.join(F.broadcast(block_list), ["dims", "cell"]).withColumn("floor", F.lit(None).cast("double"))
-    first = stored(_meet(own, data, n_parts), "own-cell")
+    own = queries.select(*at, "chunk").distinct()
+    first = stored(met(queries.withColumn("floor", F.lit(None).cast("double")), own), "own-cell")
     rank = W.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select("uid", F.col("score").cast("double").alias("floor"))
     known = stored(queries.join(kth, "uid", "left"), "queries")
 
-    # Then the cells that a group of queries (those of one cell) may gain from.
-    groups = known.groupBy("dims", F.col("cell").alias("home")).agg(F.max("far").alias("reach"), F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("worst")).collect()  # a row for each cell
+    # Then the cells that a group of queries may gain from.
+    groups = known.groupBy("dims", F.col("cell").alias("home"), "chunk").agg(F.max("far").alias("reach"), F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("worst"))
     radii = {(r["dims"], r["cell"]): r["radius"] for r in cells.collect()}
-    visits = []
-    for g in groups:
-        for (dims, cell), radius in radii.items():
-            if dims == g["dims"] and cell != g["home"]:
-                centres = pivots.get(dims, np.zeros((1, dims))).astype(np.float64)
-                p, q = centres[g["home"]], centres[cell]
-                bound = float(p @ q) + np.linalg.norm(p) * radius + np.linalg.norm(q) * g["reach"] + radius * g["reach"]
-                if bound + abs(bound) * 1e-9 + 1e-6 >= g["worst"]:
-                    visits.append((dims, g["home"], cell))
-    found = first
-    if visits:
-        visit = spark.createDataFrame(visits, "dims int, home int, cell int")
-        sent = known.withColumnRenamed("cell", "home").join(F.broadcast(visit), ["dims", "home"]).join(F.broadcast(block_list), ["dims", "cell"])
-        found = first.unionByName(_meet(sent, data, n_parts))
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g in batch.to_pylist():
+                mine = np.array([c for d, c in radii if d == g["dims"] and c != g["home"]], np.int64)
+                if not len(mine):
+                    continue
+                centres, radius = centres_of(g["dims"]), np.array([radii[g["dims"], c] for c in mine])
+                p, q = centres[g["home"]], centres[mine]
+                bound = q @ p + np.linalg.norm(p) * radius + np.linalg.norm(q, axis=1) * g["reach"] + radius * g["reach"]
+                out += [(g["dims"], c, g["chunk"]) for c in mine[bound + np.abs(bound) * 1e-9 + 1e-6 >= g["worst"]].tolist()]
+            if out:
+                dims, cell, chunk = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(cell, pa.int32()), pa.array(chunk, pa.string())], ["dims", "cell", "chunk"])
+
+    visits = stored(groups.mapInArrow(visited, "dims int, cell int, chunk string"), "visits")
+    found = first.unionByName(met(known, visits))
     ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.join(known.select("uid", F.col("vec_id").alias("query_id")), "uid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
