@@ -62,8 +62,12 @@ def bitmap_of(keys: DataFrame, *columns: Column, bits: int = BITMAP_BITS) -> np.
     Its size is fixed, so it may be broadcast.  Different keys may share a bit: a test for membership can
     say yes too often, never no, and its users only do some work more for that.
     """
-    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    rows = keys.select(slot.alias("slot")).groupBy((F.col("slot") / 63).cast("long").alias("word")).agg(
+    return bitmap_of_slots(keys.select(F.pmod(F.xxhash64(*columns), F.lit(bits)).alias("slot")), bits)
+
+
+def bitmap_of_slots(slots: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """bitmap_of from the bits' numbers, a column slot."""
+    rows = slots.groupBy((F.col("slot") / 63).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 63 as int))")).alias("bits")
     )
     words = np.zeros(bits // 63 + 1, np.int64)

@@ -20,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BITMAP_BITS, bitmap_of, documents, in_bitmap, text_batches
+from strandwise.llm.common import BITMAP_BITS, bitmap_of_slots, documents, in_bitmap, text_batches
 
 _LOWEST = -(1 << 63)
+#: Hexadecimal digits of a fingerprint that give its bit in the bitmap.
+_DIGITS = 12
 
 
 def canonical(text: str | None) -> bytes:
@@ -53,22 +55,20 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     shared = fingerprints(docs).groupBy("fingerprint").count().where("count > 1")
-    bits = spark.sparkContext.broadcast(bitmap_of(shared, F.col("fingerprint")))
+    bits = spark.sparkContext.broadcast(bitmap_of_slots(shared.select((F.conv(F.substring("fingerprint", 1, _DIGITS), 16, 10).cast("long") % BITMAP_BITS).alias("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            rows = [(d, xxhash.xxh3_128_hexdigest(c), c) for d, c in zip(batch.column("doc_id").to_pylist(), map(canonical, batch.column("text").to_pylist()))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary()))], ["doc_id", "fingerprint", "canonical"])
-
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, canonical binary")
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = in_bitmap(bits.value, batch.column("slot").to_numpy())
-            yield batch.filter(pa.array(keep))
-
-    slots = keyed.withColumn("slot", F.pmod(F.xxhash64("fingerprint"), F.lit(BITMAP_BITS)))
-    some = slots.mapInArrow(pick, "doc_id long, fingerprint string, canonical binary, slot long")
+            forms = [canonical(x) for x in batch.column("text").to_pylist()]
+            prints = [xxhash.xxh3_128_hexdigest(c) for c in forms]
+            slots = np.array([int(x[:_DIGITS], 16) for x in prints], np.int64) % BITMAP_BITS
+            kept = np.flatnonzero(in_bitmap(bits.value, slots))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(kept)), pa.array([prints[i] for i in kept], pa.string()), pa.array([forms[i] for i in kept], pa.binary())],
+                ["doc_id", "fingerprint", "canonical"],
+            )
+
+    some = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, canonical binary")
     return some.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1")
 
 
@@ -114,24 +114,23 @@ def with_next(docs: DataFrame, edit, schema: str) -> DataFrame:
 
 
 def _bisect(key, cuts):
-    """Number of cuts below ``key`` as a tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
+    """Number of cuts below ``key``, by halving steps over one array."""
+    if not cuts:
+        return F.lit(0)
+    listed, n = F.lit(cuts), len(cuts)
+    steps = F.lit([1 << k for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: low + F.when((low + step <= n) & (F.get(listed, low + step - 1) < key), step).otherwise(0))
 
 
 def _edited(batch_ids: pa.Array, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
     ids, n_chars, sha, own, other, near_e, near_n = batch_ids, [], [], [], [], [], []
+    known = None, ""  # the next document's digest is its own when its turn comes
     for text, following in zip(texts, nexts):
         n = len(text)
         third = n // 3
         changed = text[: n - third] + following[:third]
-        a, b, c = digest(text), digest(changed), digest(following)
+        a, b, c = known[1] if text == known[0] else digest(text), digest(changed), digest(following)
+        known = following, c
         n_chars.append(n)
         sha.append(hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest())
         own.append(a)
