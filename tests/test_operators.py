@@ -383,3 +383,13 @@ def test_noise_of_introns_is_taken_off(spark):
     want = 100 * math.exp(-sum(x * math.log(x) for x in shares)) / 120
     assert abs(V.tin(reads, tx, subtract=True).first()["tin"] - want) < 1e-9
     assert V.tin(reads, tx).first()["tin"] > want
+
+
+def test_stored_tables_are_dropped(spark):
+    from strandwise.sources import storage
+
+    storage.drop_stored(spark)
+    table = storage.stored(spark.range(3).toDF("id"), "three")
+    assert table.count() == 3 and storage.drop_stored(spark) == 1 and storage.drop_stored(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0])
