@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.sources import storage
+
 #: Bits of a bitmap that is sent to every task: 2^26 bits are 8 MB, whatever the input's size.
 BITMAP_BITS = 1 << 26
 #: Text bytes that one numpy step works on; arrays of 8 bytes a character stay near 2 MB.
@@ -25,22 +25,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """storage.stored, with small batches for the readers of the table."""
+    small_batches(df.sparkSession)
+    return storage.stored(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

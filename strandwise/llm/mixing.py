@@ -14,7 +14,9 @@ table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from pyspark.sql.types import ArrayType
 
 from strandwise.llm.common import documents, stored
 from strandwise.llm.components import components
+from strandwise.llm.jaccard import bounds, runs
 
 #: A document is taken so often at most, a source's target is so many times its size at most.
 MOST_REPEATS = 3
@@ -149,16 +152,23 @@ def routed(patterns: DataFrame, quotas: DataFrame) -> DataFrame:
     else:
         pairs = pairs.withColumn("network", node)
 
-    def solve(rows):
-        import pandas as pd
-
-        members = rows.groupby("pattern")["source"].apply(lambda x: tuple(sorted(x)))
-        names = dict(zip(members.values, members.index))
-        tokens = rows.groupby("pattern")["tokens"].first()
-        flow = route({p: int(tokens[k]) for p, k in names.items()}, {s: int(q) for s, q in zip(rows["source"], rows["quota"])})
-        return pd.DataFrame([(names[p], s, v) for (p, s), v in flow.items()], columns=["pattern", "source", "tokens"])
-
-    return pairs.select("network", "pattern", "source", "tokens", "quota").groupBy("network").applyInPandas(solve, "pattern string, source string, tokens long")
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["network"]):
+            at, rows, out = bounds(table, ["network"]), table.to_pylist(), []
+            for a, b in zip(at[:-1], at[1:]):
+                members, tokens = {}, {}
+                for r in rows[a:b]:
+                    members.setdefault(r["pattern"], []).append(r["source"])
+                    tokens[r["pattern"]] = r["tokens"]
+                names = {tuple(sorted(m)): p for p, m in members.items()}
+                flow = route({m: tokens[p] for m, p in names.items()}, {r["source"]: r["quota"] for r in rows[a:b]})
+                out += [(names[m], s, v) for (m, s), v in flow.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64()))], ["pattern", "source", "tokens"])
+
+    n_parts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("network", "pattern", "source", "tokens", "quota").repartition(n_parts, "network").sortWithinPartitions("network")
+    return pairs.mapInArrow(solve, "pattern string, source string, tokens long")
 
 
 def select(rows: DataFrame, patterns: DataFrame, flow: DataFrame, seed: int) -> DataFrame:
@@ -184,10 +194,9 @@ def select(rows: DataFrame, patterns: DataFrame, flow: DataFrame, seed: int) ->
     return placed.withColumn("takes", takes).drop("_order", "_range", "_before", "_sofar", "_all", "_parts")
 
 
-def _mixed(docs: DataFrame, rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """rows with takes, and the sources' targets.  docs: doc_id, text, source; rows: those of docs that are to be placed."""
-    slim = stored(docs.select(_pattern(_members(docs)).alias("pattern"), _members(docs).alias("members"), word_count(F.col("text")).alias("size")), "sizes")
-    patterns = stored(slim.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("tokens")), "patterns")
+def _mixed(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """rows with takes, and the sources' targets."""
+    patterns = stored(rows.groupBy(F.col("_pattern").alias("pattern")).agg(F.first("_members").alias("members"), F.sum("_size").alias("tokens")), "patterns")
     info = stored(source_targets(patterns), "targets")
     flow = stored(routed(patterns, info), "flow")
     return select(rows, patterns, flow, seed), info
@@ -203,7 +212,7 @@ def _key(docs: DataFrame) -> Column:
 
 
 def _rows(docs: DataFrame, *columns: Column) -> DataFrame:
-    return docs.select(*columns, _pattern(_members(docs)).alias("_pattern"), word_count(F.col("text")).alias("_size"), _key(docs).alias("_key"))
+    return docs.select(*columns, _members(docs).alias("_members"), _pattern(_members(docs)).alias("_pattern"), word_count(F.col("text")).alias("_size"), _key(docs).alias("_key"))
 
 
 def _sum(takes: str) -> Column:
@@ -215,8 +224,8 @@ def mix_memberships(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     source is a string or an array of them; taken are the row's words, repeats counted, that go to this source.
     """
-    rows, info = _mixed(docs, _rows(docs, F.col("doc_id").cast("long").alias("doc_id"), _members(docs).alias("members")), seed)
-    each = rows.select("doc_id", F.col("_size").alias("size"), F.explode("members").alias("source"), "takes")
+    rows, info = _mixed(stored(_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), "rows"), seed)
+    each = rows.select("doc_id", F.col("_size").alias("size"), F.explode("_members").alias("source"), "takes")
     taken = F.expr("aggregate(filter(takes, t -> t.source = source), 0L, (a, t) -> a + t.tokens)")
     each = each.withColumn("taken", taken).join(info.select("source", F.col("size").alias("source_size"), "target"), "source")
     return each.select("doc_id", F.expr("if(source = 'n', null, substring(source, 2))").alias("source"), "size", "source_size", "target", "taken")
@@ -224,8 +233,8 @@ def mix_memberships(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, pattern of every row of documents that have one source each."""
-    rows, info = _mixed(docs, stored(_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), _members(docs)[0].alias("source")), "rows"), seed)
-    joined = rows.join(info.select("source", F.col("size").alias("source_size"), "target"), "source")
+    rows, info = _mixed(stored(_rows(docs, F.col("doc_id").cast("long").alias("doc_id")), "rows"), seed)
+    joined = rows.withColumn("source", F.col("_members")[0]).join(info.select("source", F.col("size").alias("source_size"), "target"), "source")
     return joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", _sum("takes").alias("taken"), F.col("source").alias("pattern"))
 
 
@@ -236,7 +245,7 @@ def taken_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     columns = docs.columns
     rows = _rows(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    rows, _ = _mixed(docs, rows, seed)
+    rows, _ = _mixed(rows, seed)
     rows = rows.withColumn("_taken", _sum("takes"))
     parts = F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
         F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: F.least(F.col("_taken") - k * F.col("_size"), F.col("_size"))), lambda n: n > 0)

@@ -1,7 +1,8 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
 Vectors become integers floor(1024 x).  Each is dealt to the nearest of some pivots (cells; more of them for more
-vectors), and cells to blocks of bounded size; the queries of a cell make groups of bounded size.  Queries first search
+vectors), and cells to blocks of bounded size; queries of a few cells, or of a part of one, make groups of bounded size.
+Queries first search
 their own cell, which gives each a k-th score.  A cell is visited by a group of queries only if a bound from centres and
 covering radii reaches the group's worst k-th score, and its vectors are sent to the groups that visit it alone.  Where queries and a
 block meet, a cover tree over either side is walked in pairs of nodes; a pair is pruned when its bound is below the
@@ -171,6 +172,17 @@ def _meet(queries: DataFrame, data: DataFrame, n_parts: int) -> DataFrame:
     return both.mapInArrow(run, "uid long, vec_id long, score long")
 
 
+def packed(cells: list) -> list[tuple]:
+    """dims, cell, pack, chunks: cells in order are packed up to CHUNK queries; one with more is a pack of several chunks."""
+    out, pack, held = [], 0, 0
+    for dims, cell, n in sorted(map(tuple, cells)):
+        if out and (out[-1][0] != dims or held + n > CHUNK):
+            pack, held = pack + 1, 0
+        held += n
+        out.append((dims, cell, str(pack), max(1, -(-n // CHUNK))))
+    return out
+
+
 def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest products."""
     spark = table.sparkSession
@@ -199,24 +211,24 @@ def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFram
 
     dealt = stored(rows.mapInArrow(deal, "uid long, vec_id long, dims int, v array<bigint>, cell int, far double"), "cells")
     cells = dealt.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("queries"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("queries") / CHUNK)).cast("int"))
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cells = stored(cells, "cell-sizes")  # MOST_PIVOTS rows and one for each other length
     at = ["dims", "cell"]
     block = F.concat_ws("-", "cell", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")))
     blocked = dealt.join(cells.select(*at, "blocks"), at).withColumn("block", block).drop("blocks")
-    # A group of queries is a part of one cell's.
-    group = F.concat_ws("-", "cell", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("chunks")))
-    queries = dealt.where(F.pmod("vec_id", F.lit(every)) == 0).join(cells.select(*at, "chunks"), at).withColumn("chunk", group).drop("chunks")
+    group = F.concat_ws("-", "pack", F.pmod(F.xxhash64("uid", F.lit(2)), F.col("chunks")))
+    packs = spark.createDataFrame(packed(cells.select(*at, "queries").collect()), "dims int, cell int, pack string, chunks int")  # a row for each cell
+    queries = dealt.where(F.pmod("vec_id", F.lit(every)) == 0).join(packs, at).withColumn("chunk", group).drop("chunks", "pack")
     block_list = cells.select(*at, F.explode(F.expr("transform(sequence(0, blocks - 1), b -> concat_ws('-', cell, b))")).alias("block"))
 
-    def met(asking: DataFrame, visits: DataFrame) -> DataFrame:
-        """The products of queries (with floor) and the cells that their groups visit.  visits: dims, cell, chunk."""
-        sent = asking.drop("cell").join(visits, ["dims", "chunk"]).join(block_list, at)
-        return _meet(sent, blocked.join(visits, at), n_parts)
+    def met(asking: DataFrame, visits: DataFrame, home: bool) -> DataFrame:
+        """The products of queries (with floor) and the cells that their groups visit: their own cell, or the others.  visits: dims, cell, chunk."""
+        sent = asking.withColumnRenamed("cell", "home").join(visits, ["dims", "chunk"]).where((F.col("home") == F.col("cell")) == F.lit(home))
+        return _meet(sent.join(block_list, at), blocked.join(visits, at), n_parts)
 
     # First the own cell, which gives each query a k-th score.
     own = queries.select(*at, "chunk").distinct()
-    first = stored(met(queries.withColumn("floor", F.lit(None).cast("double")), own), "own-cell")
+    first = stored(met(queries.withColumn("floor", F.lit(None).cast("double")), own, True), "own-cell")
     rank = W.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select("uid", F.col("score").cast("double").alias("floor"))
     known = stored(queries.join(kth, "uid", "left"), "queries")
@@ -240,8 +252,8 @@ def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFram
                 dims, cell, chunk = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(cell, pa.int32()), pa.array(chunk, pa.string())], ["dims", "cell", "chunk"])
 
-    visits = stored(groups.mapInArrow(visited, "dims int, cell int, chunk string"), "visits")
-    found = first.unionByName(met(known, visits))
+    visits = stored(groups.mapInArrow(visited, "dims int, cell int, chunk string").distinct(), "visits")
+    found = first.unionByName(met(known, visits, False))
     ranked = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.join(known.select("uid", F.col("vec_id").alias("query_id")), "uid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

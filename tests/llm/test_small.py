@@ -247,6 +247,19 @@ def test_preferences(spark):
     assert preferences.format_preferences(preferences.preference_pairs(made.limit(0)), "conv_id").count() == 0
 
 
+def test_preferences_of_long_conversations_and_ties(spark):
+    """A turn table with repeated rows, turns of one number, null ids and a conversation of 5000 turns; masks against running sums."""
+    rng = np.random.RandomState(7)
+    long = [(9, i, ["user", "assistant"][i % 2], "x" * int(rng.randint(9))) for i in range(5000)]
+    turns = [*long, (8, 0, "user", "q"), (8, 0, "user", "q"), (8, 0, "assistant", "b"), (8, 0, "assistant", "a"), (None, 0, "assistant", "n"), (None, 1, "user", None), (10, 0, "user", "no"), (10, 1, "assistant", "")]
+    made = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("chosen", F.lit(1))
+    got = {r["conv_id"]: r for r in preferences.format_preferences(preferences.preference_pairs(made), "conv_id").collect()}
+    assert set(got) == {8, 9, 10, None} and got[8]["prompt_turns"] == 1 and got[8]["chosen"].startswith("<|assistant|>\nb")  # turns of one number by role, then text
+    whole = preferences.format_preferences(spark.createDataFrame([(1, [(r, t) for _, _, r, t in long], [("user", "other")])], "id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"), "id").first()
+    spans = [tuple(map(int, s.split(":"))) for s in whole["chosen_mask"].split(",")]
+    assert [whole["chosen"][a:b] for a, b in spans] == [t + "\n<|end|>\n" for _, _, r, t in long if r == "assistant"] and whole["rejected_mask"] == ""
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.shard_documents(docs, 8).toPandas()
     assert len(got) == len(rows)
@@ -258,6 +271,16 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("founded", [1, 8])
+def test_growth_moves_keys_to_the_new_shard_alone(spark, founded):
+    numbers = range(founded, 22)
+    ids = spark.range(1500).select(F.col("id").cast("string").alias("k"))
+    got = ids.select(*[sharding.tree_shard(F.col("k"), n, None, founded).alias(str(n)) for n in numbers]).toPandas()
+    for n in numbers[:-1]:
+        moved = got[got[str(n)] != got[str(n + 1)]][str(n + 1)]
+        assert set(moved) == {n} and abs(len(moved) - 1500 / (n + 1)) < 5 * (1500 / (n + 1)) ** 0.5
+
+
 def test_shard_weights(spark):
     ids = spark.range(20000).select(F.col("id").cast("string").alias("k"))
     even = ids.select("k", sharding.tree_shard(F.col("k"), 8).alias("a"), sharding.tree_shard(F.col("k"), 8, {0: 3.0}).alias("b")).toPandas()
@@ -368,6 +391,25 @@ def test_search(spark):
     assert search.top_products(table.limit(0)).count() == 0
 
 
+def test_search_of_groups_and_large_components(spark, monkeypatch):
+    for name, value in (("BLOCK", 40), ("CHUNK", 3), ("PER_PIVOT", 36)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.RandomState(1)
+    v = rng.standard_normal((900, 6)) + 8 * rng.standard_normal((12, 6))[np.arange(900) % 12]  # 25 pivots
+    table = spark.createDataFrame([(i * 10, [float(x) for x in v[i]]) for i in range(900)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, search.top_products(table).select("query_id", "rank", "vec_id", "score").collect()))
+    whole = np.floor(1024 * v).astype(np.int64)
+    want = []
+    for q in range(0, 900, 10):
+        s = sorted((-int(whole[q] @ whole[j]), j * 10) for j in range(900) if j != q)[:10]
+        want += [(q * 10, r + 1, i, -x) for r, (x, i) in enumerate(s)]
+    assert got == sorted(want)
+    big = lambda x: spark.createDataFrame([(0, [x]), (1, [x]), (100, [1.0])], "vec_id long, embedding array<double>")
+    assert search.top_products(big(2.0**21)).where("query_id = 0 and rank = 1").first()["score"] == 2**62
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        search.top_products(big(2.0**32)).collect()
+
+
 def shingles(text):
     w = tuple(words_of(text.lower() if text else text))
     w = tuple((text or "").encode().lower().split())
@@ -483,3 +525,9 @@ def test_fingerprints(docs, rows, empty):
     low = {d: min(s) for s in forms.values() for d in s}
     assert {r.doc_id: r.copy_of for r in got.itertuples()} == low
     assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_ranges_of_cuts(spark):
+    for cuts in ([], [5], [1, 3, 3, 8], list(range(0, 3000, 7))):
+        got = spark.range(-3, 60).select("id", fingerprints._bisect(F.col("id"), cuts).alias("r")).collect()
+        assert all(r["r"] == sum(c < r["id"] for c in cuts) for r in got)
