@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwise.llm import jaccard, mixing, packing, personal, quality
-from strandwise.llm.common import documents, shared_dir, stored
+from strandwise.llm.common import documents, stored
+from strandwise.sources.storage import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
