@@ -305,6 +305,31 @@ def test_quality(spark, docs, empty):
     assert quality.fit(table, labels.limit(0)) is None and quality.score_quality(table, None).toPandas().score.eq(0.5).all()
 
 
+def test_quality_on_the_given_labels(spark):
+    """Scores against plain nearest neighbours over the model's vectors, and held-out labels of the smallest tables."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = quality.score_quality(docs, model).withColumn("h", quality.held_out(F.col("doc_id"))).toPandas()
+    for text, score in zip(got.text[:60], got.score[:60]):
+        counts = quality.term_counts(pa.array([text]))
+        if not counts.sum():
+            assert score == 0
+            continue
+        x = np.sqrt(counts[0] / counts[0].sum()) * model.idf
+        x = (x / np.linalg.norm(x) - model.mean) @ model.basis
+        x = x / np.linalg.norm(x)
+        near = sorted(((float(x @ v), float(label)) for v, label in zip(model.vectors, model.labels)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 1e-6) ** 4 for c, _ in near]
+        assert abs(sum(w * label for w, (_, label) in zip(weights, near)) / sum(weights) - score) < 1e-3
+    both = got[got.h].merge(labels.toPandas(), on="doc_id")
+    good, bad = both[both.quality == 1].score, both[both.quality == 0].score
+    assert len(good) and len(bad) and np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.9
+
+
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
