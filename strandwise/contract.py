@@ -186,6 +186,13 @@ def read_hexamer(spark, sf):
     return S.hexamer_counts(D.reads(spark, sf)).withColumn("frequency", F.round("frequency", 12))
 
 
+@query("""SELECT side, k AS kmer, coalesce(n, 0) AS reads, round(coalesce(n, 0) / (SELECT sum(n) FROM h WHERE h.g = side), 12) AS frequency FROM (
+  SELECT side, a.c || b.c || c.c || d.c || e.c || f.c AS k FROM l a, l b, l c, l d, l e, l f, (VALUES ('+'), ('-')) v(side)) LEFT JOIN h ON h.w = k AND h.g = side""",
+       "l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), h AS (SELECT CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS g, substr(seq, CAST(i + 1 AS INTEGER), 6) AS w, count(*) AS n FROM reads, range(27) x(i) GROUP BY 1, 2)")
+def read_hexamer_sides(spark, sf):
+    return S.hexamer_counts(D.reads(spark, sf).select("seq", R.strand().alias("side")), by="side").withColumn("frequency", F.round("frequency", 12))
+
+
 @query(f"""SELECT paired, own || g AS key, count(*) AS reads FROM (
   SELECT rid, any_value(paired) AS paired, any_value(own) AS own, string_agg(DISTINCT strand, ':' ORDER BY strand) AS g FROM (
     SELECT r.rid, flag & 1 <> 0 AS paired, CASE WHEN flag & 1 = 0 THEN '' WHEN flag & 64 <> 0 THEN '1' ELSE '2' END || CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS own, tx.strand
@@ -246,6 +253,12 @@ def inner_distance_histogram(spark, sf):
     return G.inner_distance_histogram(G.inner_distance(D.reads(spark, sf), D.transcripts(spark, sf)))
 
 
+@query("SELECT round(avg(c), 6) AS mean, round(quantile_cont(c, 0.5), 6) AS median, round(stddev_samp(c), 6) AS std FROM (SELECT (bin_start + bin_end) / 2.0::DOUBLE AS c, unnest(range(pairs)) FROM (" + ORACLES["inner_distance_histogram"] + "))")
+def inner_distance_summary(spark, sf):
+    rows = G.inner_distance_histogram(G.inner_distance(D.reads(spark, sf), D.transcripts(spark, sf)))
+    return G.distance_summary(rows).select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
 @query("""SELECT tx_id, coalesce(n, 0) AS fragments, round(CASE WHEN n >= 3 THEN mean ELSE 0 END, 6) AS mean, round(CASE WHEN n >= 3 THEN med ELSE 0 END, 6) AS median, round(CASE WHEN n >= 3 THEN sd ELSE 0 END, 6) AS std
 FROM tx LEFT JOIN (SELECT tx_id, count(*) AS n, avg(size) AS mean, quantile_cont(size, 0.5) AS med, stddev_pop(size) AS sd FROM fs GROUP BY tx_id) USING (tx_id)""",
        f"""fr AS (SELECT r.rid, chrom, pos0, span, least(pos0, mate_pos0) AS lo, greatest(pos0, mate_pos0) AS hi FROM reads r JOIN spans s ON r.t = s.t WHERE {_bits(512, 1024, 256)} AND mapq >= 30 AND flag & 1 <> 0 AND flag & 128 = 0 AND flag & 8 = 0),
@@ -292,6 +305,12 @@ def bam2wig_signal(spark, sf):
     return V.signal(D.reads(spark, sf))
 
 
+@query("""SELECT strand, chrom, start, "end", depth, round(CASE WHEN strand = '-' THEN -1 ELSE 1 END * depth * 1e6::DOUBLE / (SELECT sum("end" - start) FROM mb), 6) AS value FROM runs""",
+       f"""mb AS (SELECT CASE WHEN (flag & 64 <> 0) = (flag & 16 = 0) THEN '+' ELSE '-' END AS strand, r.chrom, pos0 + off AS start, pos0 + off + len AS "end" FROM {_JOIN} WHERE op = 'M' AND {_LIVE} AND flag & 1 <> 0), """ + _coverage_sql("mb", "strand, chrom"))
+def bam2wig_stranded(spark, sf):
+    return V.scaled_signal(D.reads(spark, sf).where(R.has(R.PAIRED)), 1e6, "1++,1--,2+-,2-+").withColumn("value", F.round("value", 6))
+
+
 @query(f"SELECT CAST(sum(len) AS BIGINT) AS bases FROM {_JOIN} WHERE op = 'M' AND {_LIVE}")
 def bam2wig_sum(spark, sf):
     return V.signal_sum(D.reads(spark, sf))
@@ -379,6 +398,21 @@ def tin(spark, sf):
     return V.tin(D.reads(spark, sf), D.transcripts(spark, sf)).select("tx_id", F.round("tin", 6).alias("tin"))
 
 
+
+@query("SELECT round(avg(tin), 6) AS mean, round(quantile_cont(tin, 0.5), 6) AS median, round(stddev_pop(tin), 6) AS std FROM (SELECT 100 * exp(ln(s) - l / s) / k AS tin FROM (SELECT tx_id, count(*) AS k FROM ps GROUP BY tx_id) JOIN sc USING (tx_id)) WHERE tin > 0", _TIN)
+def tin_summary(spark, sf):
+    return V.tin_summary(V.tin(D.reads(spark, sf), D.transcripts(spark, sf))).select(*[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
+@query("SELECT tx_id, round(coalesce(100 * exp(ln(s) - l / s) / k, 0), 6) AS tin FROM (SELECT tx_id, count(*) AS k FROM ps GROUP BY tx_id) LEFT JOIN sn USING (tx_id)",
+       _TIN + f""", nz AS (SELECT tx_id, CAST(sum(32) AS DOUBLE) / any_value(tx_end - tx_start - length) AS noise FROM (
+  SELECT chrom, pos0 FROM reads r WHERE {_bits(512, 256, 4)} AND NOT EXISTS (SELECT 1 FROM exons e WHERE e.chrom = r.chrom AND e.start < pos0 + 32 AND pos0 < e."end")) r
+  JOIN tx ON tx.chrom = r.chrom AND tx_start <= pos0 AND pos0 < tx_end WHERE tx_end - tx_start > length GROUP BY tx_id),
+sn AS (SELECT tx_id, sum(v) AS s, sum(v * ln(v)) AS l FROM (SELECT tx_id, floor(v - coalesce(noise, 0)) AS v FROM dp LEFT JOIN nz USING (tx_id) WHERE tx_id IN (SELECT tx_id FROM st)) WHERE v > 0 GROUP BY tx_id)""")
+def tin_subtracted(spark, sf):
+    return V.tin(D.reads(spark, sf), D.transcripts(spark, sf), subtract=True).select("tx_id", F.round("tin", 6).alias("tin"))
+
+
 _BODY = f"""eb AS (SELECT tx_id, start + x.i + 1 AS pos, row_number() OVER (PARTITION BY tx_id ORDER BY start, x.i) - 1 AS n FROM (SELECT *, unnest(range("end" - start)) AS i FROM exons) x),
 kk AS (SELECT *, k // 100 AS kl, (k + 99) // 100 AS kh FROM (SELECT tx_id, chrom, strand, i, (CAST(length AS BIGINT) - 1) * i AS k FROM tx, range(1, 101) x(i) WHERE length >= 100)),
 p1 AS (SELECT kk.*, eb.pos AS lo FROM kk JOIN eb ON eb.tx_id = kk.tx_id AND eb.n = kl),

@@ -115,11 +115,11 @@ def rpkm_saturation(reads: DataFrame, tx: DataFrame, low: int = 5, high: int = 1
 
 def saturation_errors(series: DataFrame, least: float = 0.01) -> DataFrame:
     """quartile, percent, error: mean relative distance of samples from the whole, by quartile of mean RPKM."""
-    final = series.where("percent = 100").select("tx_id", F.col("rpkm").alias("true"))
+    final = series.where("percent = 100").select("tx_id", F.col("rpkm").alias("whole"))
     stats = series.groupBy("tx_id").agg(F.avg("rpkm").alias("mean"), F.max("rpkm").alias("top"), F.min("rpkm").alias("low"))
-    kept = stats.where((F.col("top") > 0) & (F.col("top") > F.col("low")) & (F.col("mean") >= least)).join(final, "tx_id").where("true > 0")
+    kept = stats.where((F.col("top") > 0) & (F.col("top") > F.col("low")) & (F.col("mean") >= least)).join(final, "tx_id").where("whole > 0")
     cuts = kept.agg(F.percentile("mean", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     placed = kept.crossJoin(F.broadcast(cuts))  # one row
     quartile = F.when(F.col("mean") < F.col("q")[0], 1).when(F.col("mean") < F.col("q")[1], 2).when(F.col("mean") < F.col("q")[2], 3).otherwise(4)
-    rows = placed.select("tx_id", "true", quartile.alias("quartile")).join(series, "tx_id")
-    return rows.groupBy("quartile", "percent").agg(F.avg(F.abs(F.col("rpkm") - F.col("true")) / F.col("true")).alias("error"))
+    rows = placed.select("tx_id", "whole", quartile.alias("quartile")).join(series, "tx_id")
+    return rows.groupBy("quartile", "percent").agg(F.avg(F.abs(F.col("rpkm") - F.col("whole")) / F.col("whole")).alias("error"))

@@ -27,8 +27,14 @@ def _islands(df: DataFrame, *keys: str) -> DataFrame:
 def merge(df: DataFrame, *keys: str) -> DataFrame:
     """Sorted disjoint union; touching intervals join, empty ones go.  keys: chrom unless given."""
     keys = keys or ("chrom",)
-    rows = df.where("start < end").select(*keys, "start", "end").distinct().withColumn("_bin", F.floor(F.col("start") / BIN))
-    return _islands(_islands(rows, *keys, "_bin").drop("_bin"), *keys)
+    kinds = {c: df.schema[c].dataType for c in ("start", "end")}
+    rows = _exploded(df.where("start < end").select(*keys, "start", "end").distinct(), F.col("start"), F.col("end"), BIN)
+    low, high = F.col("_bin") * BIN, (F.col("_bin") + 1) * BIN
+    cut = rows.withColumns({"start": F.greatest("start", low), "end": F.least("end", high)})
+    # Islands that reach no edge of their bin are whole; the others, two a bin at most, are joined across bins.
+    alone = F.when((F.col("start") > low) & (F.col("end") < high), F.col("start"))
+    islands = _islands(_islands(cut, *keys, "_bin").withColumn("_alone", alone).drop("_bin"), *keys, "_alone")
+    return islands.select(*keys, *[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
 
 
 def _exploded(df: DataFrame, start: Column, end: Column, size: int) -> DataFrame:

@@ -146,6 +146,14 @@ def inner_distance_histogram(distances: DataFrame, low: int = -250, high: int =
     return frame.join(counts, "bin_start", "left").select("bin_start", (F.col("bin_start") + step).alias("bin_end"), F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"))
 
 
+def distance_summary(histogram: DataFrame) -> DataFrame:
+    """One row: mean, median and sample deviation of the pairs, each at the middle of its range; nulls without pairs."""
+    rows = histogram.where("pairs > 0").select((F.col("bin_start") + F.col("bin_end")).alias("twice"), "pairs")
+    sums = rows.agg(F.sum("pairs").alias("n"), F.sum(F.col("twice") * F.col("pairs")).alias("s"), F.sum(F.col("twice") * F.col("twice") * F.col("pairs")).alias("q"), F.percentile("twice", 0.5, F.col("pairs")).alias("m"))
+    spread = F.when(F.col("n") > 1, F.sqrt((F.col("q") - F.col("s") * (F.col("s") / F.col("n"))) / (F.col("n") - 1)) / 2)
+    return sums.select((F.col("s") / F.col("n") / 2).alias("mean"), (F.col("m") / 2).alias("median"), spread.alias("std"))
+
+
 def fragment_size(reads: DataFrame, tx: DataFrame, least: int = 3, q_cut: int = 30) -> DataFrame:
     """tx_id, fragments, mean, median, std (population): exon bases between mates plus the read; zeros below ``least``.
 

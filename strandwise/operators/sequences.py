@@ -12,17 +12,24 @@ from strandwise.operators import filters as R
 CODES = "ACGT"
 
 
-def hexamer_counts(seqs: DataFrame, k: int = 6) -> DataFrame:
-    """kmer, reads, frequency for all 4^k words of ACGT; words with other letters count neither here nor in the total."""
-    words = seqs.select(F.explode_outer(kmers("seq", k)).alias("kmer")).where(F.translate("kmer", CODES, "") == "")
-    counts = words.groupBy("kmer").agg(F.count("*").alias("reads"))
+def hexamer_counts(seqs: DataFrame, k: int = 6, by: str | None = None) -> DataFrame:
+    """kmer, reads, frequency for all 4^k words of ACGT; words with other letters count neither here nor in the total.
+
+    by: a column, such as the input file, whose values have a table each; it comes first.  Values without words have one of zeros.
+    """
+    keys = [by] if by else []
+    words = seqs.select(*keys, F.explode_outer(kmers("seq", k)).alias("kmer")).where(F.translate("kmer", CODES, "") == "")
+    counts = words.groupBy(*keys, "kmer").agg(F.count("*").alias("reads"))
     spark = seqs.sparkSession
     digit = lambda i: F.substring(F.lit(CODES), ((F.shiftright(F.col("id"), 2 * (k - 1 - i)) % 4) + 1).cast("int"), F.lit(1))
     frame = spark.range(4**k).select(F.concat(*[digit(i) for i in range(k)]).alias("kmer"))
-    total = counts.agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("total"))
-    joined = frame.join(counts, "kmer", "left").crossJoin(F.broadcast(total))  # the total is one row
+    if by:
+        frame = seqs.select(by).distinct().crossJoin(F.broadcast(frame))  # 4^k words for each input file
+    joined = frame.join(counts, [*keys, "kmer"], "left")
+    total = counts.groupBy(*keys).agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("total"))
+    joined = joined.join(total, by, "left") if by else joined.crossJoin(F.broadcast(total))  # the total is one row
     n = F.coalesce("reads", F.lit(0)).cast("long")
-    return joined.select("kmer", n.alias("reads"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(F.lit(0.0)).alias("frequency"))
+    return joined.select(*keys, "kmer", n.alias("reads"), F.when(F.col("total") > 0, n / F.col("total")).otherwise(F.lit(0.0)).alias("frequency"))
 
 
 def logo_counts(seqs: DataFrame, most: int | None = None, without_n: bool = False) -> DataFrame:
@@ -58,32 +65,40 @@ def tag_number(name: str):
     return F.expr(f"element_at(tags, '{name}').i")
 
 
-def _codes(reads: DataFrame, raw: str, corrected: str) -> DataFrame:
+def _codes(reads: DataFrame, raw: str, corrected: str, limit: int | None) -> DataFrame:
+    if limit is not None:
+        if limit <= 0:
+            raise ValueError("the limit must be above zero")
+        reads = reads.orderBy("rid").limit(limit)
     clean = lambda t: F.replace(tag_text(t), F.lit("-1"), F.lit(""))
     return reads.select("rid", clean(raw).alias("raw"), clean(corrected).alias("code"))
 
 
-def edit_summary(reads: DataFrame, raw: str, corrected: str) -> DataFrame:
-    """total, missing, same, edited.  The total is one above the records, as the report that this stands for prints it."""
-    rows = _codes(reads, raw, corrected)
+def edit_summary(reads: DataFrame, raw: str, corrected: str, limit: int | None = None) -> DataFrame:
+    """total, missing, same, edited over the first ``limit`` reads (all if None).
+
+    Where the reads end before the limit the total is one above them, as the report that this stands for prints it.
+    """
+    rows = _codes(reads, raw, corrected, limit)
     both = F.col("raw").isNotNull() & F.col("code").isNotNull()
+    total = F.count("*") + 1
     return rows.agg(
-        (F.count("*") + 1).alias("total"),
+        (total if limit is None else F.least(total, F.lit(limit))).alias("total"),
         F.count_if(~both).alias("missing"),
         F.count_if(both & (F.col("raw") == F.col("code"))).alias("same"),
         F.count_if(both & (F.col("raw") != F.col("code"))).alias("edited"),
     )
 
 
-def code_frequency(reads: DataFrame, raw: str, corrected: str) -> DataFrame:
+def code_frequency(reads: DataFrame, raw: str, corrected: str, limit: int | None = None) -> DataFrame:
     """code, reads, first_rid: order by reads descending, then first_rid."""
-    rows = _codes(reads, raw, corrected).where("raw is not null and code is not null")
+    rows = _codes(reads, raw, corrected, limit).where("raw is not null and code is not null")
     return rows.groupBy("code").agg(F.count("*").alias("reads"), F.min("rid").alias("first_rid"))
 
 
-def edit_matrix(reads: DataFrame, raw: str, corrected: str) -> DataFrame:
+def edit_matrix(reads: DataFrame, raw: str, corrected: str, limit: int | None = None) -> DataFrame:
     """pos, edit (from:to), reads: where raw and corrected codes of equal length differ."""
-    rows = _codes(reads, raw, corrected).where("raw <> code")
+    rows = _codes(reads, raw, corrected, limit).where("raw <> code")
     found = rows.select(F.explode(differences("raw", "code")).alias("d"))
     return found.groupBy(F.col("d.pos").alias("pos"), F.concat_ws(":", "d.old", "d.new").alias("edit")).agg(F.count("*").alias("reads"))
 

@@ -1,7 +1,7 @@
 """Readers of alignments.
 
-SAM text is split by Spark and decoded by expressions.  BAM is a Python data source: a partition decodes one file's
-BGZF blocks, as record bounds inside a file are known only by walking it; convert large files to Parquet once.
+SAM text is split by Spark and decoded by expressions.  BAM is a Python data source: record bounds inside a file are
+known only by walking it or from its index, so a file beside which an index stands is read in parts and others whole.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from strandwise.functions.cigar import parse_cigar
 
@@ -21,6 +22,8 @@ SAM_SCHEMA = (
     "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>,"
     " mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>, tags map<string,struct<t:string,i:bigint,s:string>>"
 )
+#: Parts of text files up to which their table is broadcast, of less than 1 kB each.
+FEW_PARTS = 10_000
 SAM, BAM, CRAM = (".sam",), (".bam",), (".cram",)
 
 
@@ -37,28 +40,34 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown kind of alignment file: {path}")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line: lines of text with their number in the file (from 0).
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """value, file, line: lines of text with their number (from 0) over all files, in order of path.
 
-    zipWithIndex counts each partition first, so no task sees the whole file.
+    keep: a condition on value; other lines are not counted.  Each part of a file counts its own lines, and a table
+    with a row for each part tells how many lines come before it, so no task sees a whole file.
     """
-    lines = spark.read.text(path)
-    return lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, line long")
+    text = spark.read.text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    lines = (lines if keep is None else lines.where(keep)).withColumn("at", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("file", "part")) - F.col("n")  # a row for each part of a file
+    parts = parts.select("file", "part", "first", before.alias("before"))
+    if len(text.inputFiles()) + 2 * text.rdd.getNumPartitions() <= FEW_PARTS:  # no more parts than that
+        parts = F.broadcast(parts)
+    return lines.join(parts, ["file", "part"]).select("value", "file", (F.col("at") - F.col("first") + F.col("before")).alias("line"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of a SAM file; rid is the record's place in it."""
-    lines = numbered_lines(spark, path)
-    heads = lines.where(F.rlike("value", F.lit("^@[A-Z]{2}\t"))).agg(F.count("*").alias("heads"))
-    body = lines.where(~F.rlike("value", F.lit("^@[A-Z]{2}\t"))).where("value <> ''")
-    return decode_sam(body.crossJoin(F.broadcast(heads)).withColumn("rid", F.col("line") - F.col("heads")))  # one row
+    """Reads of SAM text; rid is the record's place over all files, in order of path, without headers and blank lines."""
+    return decode_sam(numbered_lines(spark, path, ~F.rlike("value", F.lit("^@[A-Z]{2}\t")) & (F.col("value") != "")).withColumnRenamed("line", "rid"))
 
 
 def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
-    """ref_id, chrom, length of the header, in its order."""
-    lines = numbered_lines(spark, path).where(F.startswith("value", F.lit("@SQ\t")))
+    """ref_id, chrom, length of the headers, in their order; a contig of several files comes once."""
+    lines = numbered_lines(spark, path, F.startswith("value", F.lit("@SQ\t")))
     rows = lines.select("line", F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", "\tLN:([0-9]+)", 1).cast("long").alias("length"))
-    return rows.select(F.expr("row_number() over (order by line) - 1").cast("int").alias("ref_id"), "chrom", "length")  # a header is small
+    rows = rows.groupBy("chrom").agg(F.min_by("length", "line").alias("length"), F.min("line").alias("line"))
+    return rows.select(F.expr("row_number() over (order by line) - 1").cast("int").alias("ref_id"), "chrom", "length")  # a row for each contig
 
 
 def decode_sam(lines: DataFrame) -> DataFrame:
@@ -78,8 +87,8 @@ def decode_sam(lines: DataFrame) -> DataFrame:
     )
 
 
-def bgzf_blocks(raw: io.BufferedIOBase) -> Iterator[bytes]:
-    """Decompressed blocks of a BGZF stream, one member after the other."""
+def bgzf_blocks(raw: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """Offset and decompressed bytes of each block of a BGZF stream that stands at offset at."""
     while head := raw.read(18):
         if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
             raise ValueError("not a BGZF block")
@@ -88,26 +97,38 @@ def bgzf_blocks(raw: io.BufferedIOBase) -> Iterator[bytes]:
         body = raw.read(size - 18)
         if len(body) < size - 18:
             raise ValueError("a BGZF block is cut short")
-        yield zlib.decompress(body[extra - 6 : -8], -15)
+        yield at, zlib.decompress(body[extra - 6 : -8], -15)
+        at += size
 
 
 class _Stream:
-    """Bytes of all blocks as one stream."""
+    """Bytes of all blocks as one stream; knows where in the file the next byte lies."""
 
-    def __init__(self, raw: io.BufferedIOBase) -> None:
-        self.blocks, self.held = bgzf_blocks(raw), b""
+    def __init__(self, raw: io.BufferedIOBase, at: int = 0) -> None:
+        self.blocks, self.block, self.held, self.used = bgzf_blocks(raw, at), at, b"", 0
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.held], len(self.held)
-        while have < n:
-            block = next(self.blocks, None)
-            if block is None:
-                break
-            parts.append(block)
-            have += len(block)
-        data = b"".join(parts)
-        self.held = data[n:]
-        return data[:n]
+        parts, have = [], 0
+        while True:
+            part = self.held[self.used : self.used + n - have]
+            parts.append(part)
+            have += len(part)
+            self.used += len(part)
+            if have == n or not self._next():
+                return b"".join(parts)
+
+    def _next(self) -> bool:
+        found = next(self.blocks, None)
+        if found:
+            self.block, self.held = found
+            self.used = 0
+        return found is not None
+
+    def place(self) -> int:
+        """The virtual offset of the next byte: its block's offset and its place there."""
+        while self.used == len(self.held) and self._next():
+            pass
+        return self.block << 16 | self.used
 
 
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
@@ -143,9 +164,8 @@ def _tags(data: bytes) -> dict:
     return out
 
 
-def bam_records(raw: io.BufferedIOBase) -> Iterator[tuple]:
-    """Rows of SAM_SCHEMA from a BAM stream."""
-    stream = _Stream(raw)
+def _names(stream: _Stream) -> list[str]:
+    """The contigs of a BAM header."""
     if stream.take(4) != b"BAM\1":
         raise ValueError("not a BAM file")
     stream.take(struct.unpack("<i", stream.take(4))[0])
@@ -153,27 +173,68 @@ def bam_records(raw: io.BufferedIOBase) -> Iterator[tuple]:
     for _ in range(struct.unpack("<i", stream.take(4))[0]):
         names.append(stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode())
         stream.take(4)
-    rid = 0
+    return names
+
+
+def bam_records(raw: io.BufferedIOBase) -> Iterator[tuple]:
+    """Rows of SAM_SCHEMA from a BAM stream; rid counts them."""
+    stream = _Stream(raw)
+    names, rid = _names(stream), 0
     while head := stream.take(4):
-        b = stream.take(struct.unpack("<i", head)[0])
-        ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate_ref, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
-        at = 32 + l_name
-        ops = struct.unpack_from(f"<{n_ops}I", b, at)
-        at += 4 * n_ops
-        packed = b[at : at + (l_seq + 1) // 2]
-        at += (l_seq + 1) // 2
-        seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:l_seq]
-        qual = [] if l_seq and b[at] == 255 else list(b[at : at + l_seq])
-        name = lambda r: names[r] if r >= 0 else None
-        yield (
-            rid, b[32 : at if l_name == 0 else 32 + l_name - 1].decode(), flag, name(ref), pos if pos >= 0 else None, mapq, [(_OPS[o & 15], o >> 4) for o in ops],
-            name(mate_ref), mate_pos if mate_pos >= 0 else None, tlen, seq, qual, _tags(b[at + l_seq :]),
-        )
+        yield _record(rid, stream.take(struct.unpack("<i", head)[0]), names)
         rid += 1
 
 
+def bam_part(raw: io.BufferedIOBase, start: int, end: int) -> Iterator[tuple]:
+    """Rows whose virtual offset, which is their rid, is in [start, end); start is 0 for the first record."""
+    stream = _Stream(raw)
+    names = _names(stream)
+    if start:
+        raw.seek(start >> 16)
+        stream = _Stream(raw, start >> 16)
+        stream.take(start & 0xFFFF)
+    while (place := stream.place()) < end and (head := stream.take(4)):
+        yield _record(place, stream.take(struct.unpack("<i", head)[0]), names)
+
+
+def _record(rid: int, b: bytes, names: list[str]) -> tuple:
+    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate_ref, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
+    at = 32 + l_name
+    ops = struct.unpack_from(f"<{n_ops}I", b, at)
+    at += 4 * n_ops
+    packed = b[at : at + (l_seq + 1) // 2]
+    at += (l_seq + 1) // 2
+    seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:l_seq]
+    qual = [] if l_seq and b[at] == 255 else list(b[at : at + l_seq])
+    name = lambda r: names[r] if r >= 0 else None
+    return (
+        rid, b[32 : 32 + l_name - 1].decode() if l_name else "", flag, name(ref), pos if pos >= 0 else None, mapq, [(_OPS[o & 15], o >> 4) for o in ops],
+        name(mate_ref), mate_pos if mate_pos >= 0 else None, tlen, seq, qual, _tags(b[at + l_seq :]),
+    )
+
+
+def index_places(data: bytes) -> list[int]:
+    """Virtual offsets at which records start, from the linear parts of a .bai index."""
+    if data[:4] != b"BAI\1":
+        raise ValueError("not a BAM index")
+    at, out = 8, set()
+    for _ in range(struct.unpack_from("<i", data, 4)[0]):
+        n_bins, at = struct.unpack_from("<i", data, at)[0], at + 4
+        for _ in range(n_bins):
+            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
+        n, at = struct.unpack_from("<i", data, at)[0], at + 4
+        out.update(struct.unpack_from(f"<{n}Q", data, at))
+        at += 8 * n
+    return sorted(out - {0})
+
+
 class BamSource(DataSource):
-    """``spark.read.format("bgzf_alignments").option("path", ...)``"""
+    """``spark.read.format("bgzf_alignments").option("path", ...)``, and ``write`` with the contigs as option.
+
+    split: bytes that a part of an indexed file should have.  rid of a file read whole counts its records; of one
+    read in parts it is the record's virtual offset, which orders records as the file does.
+    contigs: for writing, name and length of each contig as JSON.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -183,19 +244,47 @@ class BamSource(DataSource):
         return SAM_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _BamReader(self.options["path"])
+        return _BamReader(self.options["path"], int(self.options.get("split", 1 << 26)))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        from strandwise.sources.bam_writer import BamWriter
+
+        return BamWriter(self.options["path"], self.options["contigs"])
+
+
+def _file(path: str):
+    """The file system of a path, and the path there."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class _BamReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.paths = path.split(",")
+    def __init__(self, path: str, split: int) -> None:
+        self.paths, self.split = path.split(","), split
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition((p, a, b)) for p in self.paths for a, b in self._parts(p)]
+
+    def _parts(self, path: str) -> list[tuple[int, int]]:
+        """Ranges of virtual offsets of about split bytes; none (0, 0) for a small file or one without an index."""
+        where, inner = _file(path)
+        if where.get_file_info(inner).size <= self.split or not where.get_file_info(inner + ".bai").is_file:
+            return [(0, 0)]
+        with where.open_input_file(inner + ".bai") as raw:
+            places = index_places(raw.read())
+        cuts = [0]
+        for place in places:
+            if (place >> 16) - (cuts[-1] >> 16) >= self.split:
+                cuts.append(place)
+        return list(zip(cuts, [*cuts[1:], 1 << 63]))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import pyarrow.fs as fs
-
-        where, path = fs.FileSystem.from_uri(partition.value) if "://" in partition.value else (fs.LocalFileSystem(), partition.value)
-        with where.open_input_stream(path, compression=None) as raw:
-            yield from bam_records(raw)
+        path, start, end = partition.value
+        where, inner = _file(path)
+        if end:
+            with where.open_input_file(inner) as raw:
+                yield from bam_part(raw, start, end)
+        else:
+            with where.open_input_stream(inner, compression=None) as raw:
+                yield from bam_records(raw)

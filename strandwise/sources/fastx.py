@@ -34,7 +34,6 @@ def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """rec_no, seq, qual: records are every four lines that are not blank."""
-    text = spark.read.text(path).where(F.trim("value") != "")
-    lines = text.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, line long")
+    lines = numbered_lines(spark, path, F.trim("value") != "")
     rows = lines.groupBy(F.floor(F.col("line") / 4).alias("rec_no")).agg(*[F.max(F.when(F.col("line") % 4 == i, F.trim("value"))).alias(n) for i, n in ((1, "seq"), (3, "qual"))])
     return rows.select("rec_no", "seq", "qual")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.sources.alignments import numbered_lines
@@ -42,24 +42,87 @@ def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
     return f.select(at(0).alias("chrom"), at(1).cast("long").alias("start"), at(2).cast("long").alias("end"), at(3).cast("float").alias("value"))
 
 
+def float_text(value: Column) -> Column:
+    """A double as the shortest text that reads back as it: 5.0, 0.25, 1e-05, 1.5e+16, nan, inf."""
+    value = value.cast("double")
+    text, size = value.cast("string"), F.abs(value)
+    digits = F.when(size < 1e-3, value.cast("decimal(38,25)").cast("string")).otherwise(value.cast("decimal(38,18)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), "[.]$", ".0")
+    power = F.regexp_extract(text, "E-?([0-9]+)", 1)
+    short = F.concat(F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), "[.]0$", ""), F.when(F.contains(text, F.lit("E-")), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+    named = F.when(F.isnan(value), "nan").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+    return F.coalesce(named, F.when(~F.contains(text, F.lit("E")), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short))
+
+
 def write_bedgraph(track: DataFrame, path: str) -> None:
-    """Lines chrom, start, end, value with two decimals, in order inside ranges of contig and start."""
-    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.format_string("%.2f", F.col("value").cast("double")))
+    """Lines chrom, start, end, value, in order inside ranges of contig and start."""
+    line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), float_text(F.col("value")))
     track.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start").select(line).write.mode("errorifexists").text(path)
 
 
+def write_wig(track: DataFrame, path: str, sizes: DataFrame) -> None:
+    """variableStep text: a line for each base, values with two decimals, contigs in the order of sizes (line, chrom).
+
+    A listed contig without rows has its head line; rows of other contigs are left out.
+    """
+    heads = sizes.select("line", F.lit(0).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrom").alias("text"))
+    rows = track.where("start < end").join(sizes.select("line", "chrom"), "chrom").select("line", "value", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("pos"))
+    body = rows.select("line", F.col("pos").cast("long").alias("pos"), F.concat_ws("\t", F.col("pos").cast("string"), F.format_string("%.2f", F.col("value").cast("double"))).alias("text"))
+    heads.unionByName(body).repartitionByRange("line", "pos").sortWithinPartitions("line", "pos").select("text").write.mode("errorifexists").text(path)
+
+
+def write_table(rows: DataFrame, path: str, order: list[str], sep: str = "\t") -> None:
+    """Rows as text with a head line in each file, in order inside ranges of the given columns; doubles as float_text."""
+    shown = [float_text(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*shown).write.mode("errorifexists").option("sep", sep).option("header", True).csv(path)
+
+
 def write_fastq(rows: DataFrame, path: str, compression: str = "none") -> None:
     """Four lines a record, in file order inside ranges."""
     text = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
     rows.repartitionByRange("rid").sortWithinPartitions("rid").select(text).write.mode("errorifexists").option("compression", compression).text(path)
 
 
-def write_junction_bed(junctions: DataFrame, path: str) -> None:
-    """BED12 lines of junctions with one base on either side."""
-    size = (F.col("end") - F.col("start") + 2).cast("string")
-    line = F.concat_ws("\t", "chrom", (F.col("start") - 1).cast("string"), (F.col("end") + 1).cast("string"), "kind", F.col("reads").cast("string"), F.lit("."), (F.col("start") - 1).cast("string"), (F.col("end") + 1).cast("string"),
-                       F.lit("0,0,0"), F.lit("2"), F.lit("1,1"), F.concat(F.lit("0,"), (size.cast("long") - 1).cast("string")))
-    junctions.repartitionByRange("first_rid").sortWithinPartitions("first_rid").select(line).write.mode("errorifexists").text(path)
+# The colours by which browsers show kinds of junctions.
+COLOURS = {"annotated": "205,0,0", "partial_novel": "0,205,0", "complete_novel": "0,0,205"}
+
+
+def _flanked(junctions: DataFrame, size: int) -> DataFrame:
+    """Junctions with their ends moved out by size, as low and high, and a colour."""
+    colour = F.coalesce(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])[F.col("kind")], F.lit("0,0,0"))
+    return junctions.withColumns({"low": F.col("start") - size, "high": F.col("end") + size, "colour": colour})
+
+
+def _write_in_order(rows: DataFrame, path: str) -> None:
+    """The column text of rows, in order of the junctions' first reads inside ranges; nulls come first."""
+    order = ["first_rid", "start", "end"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("errorifexists").text(path)
+
+
+def _tabbed(*columns) -> Column:
+    return F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+
+
+def write_junction_bed(junctions: DataFrame, path: str, size: int = 1) -> None:
+    """BED12 lines of junctions with ``size`` bases on either side."""
+    rows = _flanked(junctions, size)
+    line = _tabbed("chrom", "low", "high", "kind", "reads", F.lit("."), "low", "high", "colour", F.lit(2), F.lit(f"{size},{size}"), F.concat(F.lit("0,"), (F.col("high") - size - F.col("low")).cast("string")))
+    _write_in_order(rows.withColumn("text", line), path)
+
+
+def write_interact(junctions: DataFrame, path: str, title: str, size: int = 1) -> None:
+    """A line that names the track, then 18 columns that browsers read as arcs between the two sides of a junction."""
+    span = lambda a, b: F.concat("chrom", F.lit(":"), a.cast("string"), F.lit("-"), b.cast("string"))
+    low, high = F.col("low"), F.col("high")
+    line = _tabbed(
+        "chrom", low, high, F.concat(span(low, high), F.lit("_"), "kind"), "reads", F.concat(F.col("reads").cast("string"), F.lit(".0")), F.lit("RNAseq_junction"), "colour",
+        "chrom", low, low + size, span(low, low + size), F.lit("."), "chrom", high - size, high, span(high - size, high), F.lit("."),
+    )
+    rows = _flanked(junctions, size).select("first_rid", "start", "end", line.alias("text"))
+    head = f'track type=interact name="Splice junctions" description="Splice junctions detected from {title}" maxHeightPixels=200:200:50 visibility=full'
+    none = F.lit(None).cast("long")
+    first = junctions.sparkSession.range(1).select(none.alias("first_rid"), none.alias("start"), none.alias("end"), F.lit(head).alias("text"))
+    _write_in_order(first.unionByName(rows), path)
 
 
 def percent_text(numerator: int, denominator: int) -> str:
