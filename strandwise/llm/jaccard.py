@@ -11,7 +11,8 @@ indexed alone too and searched for pairs with such a document.
 
 Documents that share a key are candidates.  A parity bitmap of each token set bounds the symmetric difference
 from below, which drops nearly all other candidates; the rest are verified on their whole texts.  Lists of a key
-are searched in blocks and give a spanning forest of their links, not all pairs.
+are searched in blocks and give a spanning forest of their links, not all pairs.  A key all of whose tokens stand in
+more than BLOCK documents is hot: its rows are dealt by document and never meet in one task.
 
 Equal word sequences are one class and searched once.  Null and wordless texts have no tokens and no links.
 Rows with one doc_id are one node; a null doc_id links with nothing.  An empty table gives an empty result.
@@ -21,13 +22,15 @@ Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BITMAP_BITS, bitmap_of, documents, in_bitmap, mix, stored, text_batches
+from strandwise.llm.common import BITMAP_BITS, bitmap_of, bitmap_of_slots, documents, in_bitmap, mix, stored, text_batches
 from strandwise.llm.components import components
 from strandwise.llm.words import Words, sequence_hashes
 
@@ -91,55 +94,77 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, bits binary")
 
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens of the counted range, sorted; their number is bounded, and any set of them gives right results."""
+def counted_tokens(docs: DataFrame) -> DataFrame:
+    """token, count of all tokens of the counted range, and of others that a prefix reaches, in more than FREQUENT documents."""
     limit = np.uint64(int(COUNTED * 2.0**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             _, sets = token_sets(batch.column("text"))
-            low = [s[: np.searchsorted(s, limit)] for s in sets]
+            low = [s[: max(np.searchsorted(s, limit), prefix(len(s)) + 1)] for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low).view(np.int64))], ["token"])
 
-    counts = docs.select("text").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
-    top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()["token"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    return docs.select("text").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
+
+
+def frequent_tokens(counts: DataFrame) -> np.ndarray:
+    """The most frequent tokens of the counted range, sorted; their number is bounded, and any set of them gives right results."""
+    limit = int(COUNTED * 2.0**64)  # below 2^63, so the counted tokens are those that are not negative and below it
+    top = counts.where(F.col("token").between(0, limit - 1)).orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
+    return np.sort(top.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefix(n: int) -> int:
+    """Tokens in a prefix of a set of n."""
+    return n - (4 * n + 4) // 5 + 1
 
 
 def index_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     """Keys of a document, which of them are single frequent tokens, and whether those may meet any document."""
+    return keys_and_heat(tokens, frequent, np.zeros(len(tokens), bool))[:3]
+
+
+def keys_and_heat(tokens: np.ndarray, frequent: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool, np.ndarray]:
+    """What index_keys gives, and which keys are hot: those all of whose tokens are marked in ``many``."""
     n = len(tokens)
-    p = n - (4 * n + 4) // 5 + 1
+    p = prefix(n)
     at = np.searchsorted(frequent, tokens)
     is_frequent = np.zeros(n, bool)
     if len(frequent):
         at[at == len(frequent)] = 0
         is_frequent = frequent[at] == tokens
     if n <= 2:  # an overlap of 0.8 may be a single token
-        return tokens, np.zeros(n, bool), True
+        return tokens, np.zeros(n, bool), True, many
     kind = np.where(tokens >= np.uint64(int(COUNTED * 2.0**64)), 2, is_frequent.astype(np.int8))
     order = np.lexsort((tokens, kind))[: p + 1]
-    often = tokens[order][is_frequent[order]]
+    often = order[is_frequent[order]]
     if not len(often):
-        return tokens[order[:p]], np.zeros(p, bool), True
-    single = tokens[order][~is_frequent[order]]
+        return tokens[order[:p]], np.zeros(p, bool), True, many[order[:p]]
+    single = order[~is_frequent[order]]
     long = len(often) > MOST_COMBINED
-    keys, alone = [single, often], [np.zeros(len(single), bool), np.ones(len(often), bool)]
+    alone = [np.zeros(len(single), bool), np.ones(len(often), bool)]
+    keys, heavy = [tokens[single], tokens[often]], [many[single], many[often]]
     if not long:
         i, j = np.triu_indices(len(often), 1)
-        keys.append(mix(often[i] * _MULTIPLIERS[0] + often[j] * _MULTIPLIERS[1], 5))
+        i, j = often[i], often[j]
+        keys.append(mix(tokens[i] * _MULTIPLIERS[0] + tokens[j] * _MULTIPLIERS[1], 5))
         alone.append(np.zeros(len(i), bool))
-    return np.concatenate(keys), np.concatenate(alone), long
+        heavy.append(many[i] & many[j])
+    return np.concatenate(keys), np.concatenate(alone), long, np.concatenate(heavy)
+
 
+def index(docs: DataFrame, frequent, hot) -> DataFrame:
+    """key, h1, n, alone, long, hot: a row for each key of a document; equal word sequences give equal rows.
 
-def index(docs: DataFrame, frequent) -> DataFrame:
-    """key, h1, n, alone, long: a row for each key of a document; equal word sequences give equal rows."""
+    hot: a bitmap of tokens in more than BLOCK documents, by their lowest bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             words, sets = token_sets(batch.column("text"))
             h1 = sequence_hashes(words, words.first[:-1], words.first[1:], 1).view(np.int64)
-            made = [(h, len(s), *index_keys(s, frequent.value)) for h, s in zip(h1, sets) if len(s)]
+            many = lambda s: in_bitmap(hot.value, (s & np.uint64(BITMAP_BITS - 1)).astype(np.int64))
+            made = [(h, len(s), *keys_and_heat(s, frequent.value, many(s))) for h, s in zip(h1, sets) if len(s)]
             if made:
                 sizes = [len(m[2]) for m in made]
                 yield pa.RecordBatch.from_arrays(
@@ -149,11 +174,12 @@ def index(docs: DataFrame, frequent) -> DataFrame:
                         pa.array(np.repeat(np.array([m[1] for m in made], np.int32), sizes)),
                         pa.array(np.concatenate([m[3] for m in made])),
                         pa.array(np.repeat(np.array([m[4] for m in made]), sizes)),
+                        pa.array(np.concatenate([m[5] for m in made])),
                     ],
-                    ["key", "h1", "n", "alone", "long"],
+                    ["key", "h1", "n", "alone", "long", "hot"],
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, h1 long, n int, alone boolean, long boolean")
+    return docs.select("text").mapInArrow(run, "key long, h1 long, n int, alone boolean, long boolean, hot boolean")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -187,42 +213,63 @@ def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
-def near_enough(bits: list[np.ndarray], sizes: np.ndarray, long: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that sizes and bitmaps allow to be linked; left: only pairs across the two sides."""
-    order = np.argsort(sizes, kind="stable")
-    root = list(range(len(sizes)))
+class _Plane:
+    """Members whose bitmaps have one length, by size; what has been reached is struck out."""
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray]):
+        self.members, self.sizes, self.open = members, sizes[members], np.ones(len(members), bool)
+        self.at = {int(i): k for k, i in enumerate(members)}
+        self.same = np.stack([bits[i] for i in members])
+        half = self.same.shape[1] // 2
+        self.folded = self.same[:, :half] ^ self.same[:, half:]
+
+    def strike(self, at: np.ndarray) -> None:
+        self.open[at] = False
+        if 2 * self.open.sum() < len(self.open):
+            keep = self.open
+            self.members, self.sizes, self.same, self.folded, self.open = (x[keep] for x in (self.members, self.sizes, self.same, self.folded, self.open))
+            self.at = {int(i): k for k, i in enumerate(self.members)}
 
+
+def near_enough(bits: list[np.ndarray], sizes: np.ndarray, long: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and bitmaps allow to be linked; left: only pairs across the two sides.
+
+    Breadth first: each member is laid beside those not yet reached, so a crowd that its first member reaches costs one step.
+    """
+    order = np.argsort(sizes, kind="stable")
     ms = np.array([len(b) for b in bits])
-    planes = {m: np.flatnonzero(ms[order] == m) for m in np.unique(ms)}
-    same = {m: np.stack([bits[order[k]] for k in v]) for m, v in planes.items()}
-    folded = {m: same[m][:, : m // 2] ^ same[m][:, m // 2 :] for m in planes if m > 1}
-    out = []
-    for k, i in enumerate(order):
-        m, top = ms[i], sizes[i] * 1.25 + 1e-9
-        for table, members in ((same[m], planes[m]), (folded.get(2 * m), planes.get(2 * m))):
-            if members is None:
-                continue
-            lo, hi = np.searchsorted(members, k + 1), np.searchsorted(sizes[order[members]], top, "right")
-            if hi <= lo:
-                continue
-            others = order[members[lo:hi]]
-            differ = np.bitwise_count(table[lo:hi] ^ bits[i]).sum(axis=1)
-            ok = 9 * differ <= sizes[i] + sizes[others]
-            if long is not None and not long[i]:
-                ok &= long[others]
-            if left is not None:
-                ok &= left[others] != left[i]
-            for j in others[ok]:
-                a, b = find(i), find(j)
-                if a != b:
-                    root[a] = b
-                    out.append((int(i), int(j)))
+    planes = {int(m): _Plane(order[ms[order] == m], sizes, bits) for m in np.unique(ms)}
+    seen, out = np.zeros(len(sizes), bool), []
+    for start in order:
+        if seen[start]:
+            continue
+        seen[start] = True
+        planes[int(ms[start])].strike(planes[int(ms[start])].at[int(start)])
+        waiting = [int(start)]
+        while waiting:
+            i = waiting.pop()
+            m, x = int(ms[i]), bits[i]
+            for length in (m, 2 * m, m // 2):
+                plane = planes.get(length)
+                if plane is None or not len(plane.members):
+                    continue
+                lo, hi = np.searchsorted(plane.sizes, sizes[i] * 0.8 - 1e-9), np.searchsorted(plane.sizes, sizes[i] * 1.25 + 1e-9, "right")
+                if hi <= lo:
+                    continue
+                table = plane.folded if length > m else plane.same
+                y = x[:length] ^ x[length:] if length < m else x
+                others = plane.members[lo:hi]
+                ok = plane.open[lo:hi] & (9 * np.bitwise_count(table[lo:hi] ^ y).sum(axis=1) <= sizes[i] + sizes[others])
+                if long is not None and not long[i]:
+                    ok &= long[others]
+                if left is not None:
+                    ok &= left[others] != left[i]
+                found = others[ok]
+                if len(found):
+                    plane.strike(lo + np.flatnonzero(ok))
+                    seen[found] = True
+                    waiting.extend(found.tolist())
+                    out.extend((i, j) for j in found.tolist())
     return out
 
 
@@ -230,11 +277,21 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: pairs of classes whose components hold every link.  classes: h1, rep, n, bits."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
+    counts = stored(counted_tokens(docs), "tokens")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(counts))
+    slots = counts.where(F.col("count") > BLOCK).select(F.col("token").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("slot"))
+    heavy = spark.sparkContext.broadcast(bitmap_of_slots(slots))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of short lists (key null); rows of long ones and of frequent tokens."""
-        for table in runs(batches, ["key"]):
+        """Rows of hot keys, which come first, as they are; pairs of short lists (key null); rows of long ones and of frequent tokens."""
+        batches, cold = iter(batches), []
+        for batch in batches:
+            b = batch.filter(batch.column("hot"))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("h1"), pa.nulls(b.num_rows, pa.int64()), pc.or_(b.column("long"), pc.invert(b.column("alone"))), b.column("hot")], names)
+            if b.num_rows < batch.num_rows:
+                cold = [batch.slice(b.num_rows)]
+                break
+        for table in runs(chain(cold, batches), ["key"]):
             at = bounds(table, ["key"])
             sizes = np.diff(at)
             h1, n, key = table["h1"].to_numpy(), table["n"].to_numpy(), table["key"].to_numpy()
@@ -255,12 +312,15 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 pairs[1].append(np.maximum(h1[i], h1[j]))
             if pairs[0]:
                 found = np.unique(np.stack([np.concatenate(pairs[0]), np.concatenate(pairs[1])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.nulls(found.shape[1], pa.int64()), pa.array(found[0]), pa.array(found[1]), pa.nulls(found.shape[1], pa.bool_())], ["key", "a", "b", "long"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(found.shape[1], pa.int64()), pa.array(found[0]), pa.array(found[1]), *[pa.nulls(found.shape[1], pa.bool_())] * 2], names)
             if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(h1[rows]), pa.nulls(int(rows.sum()), pa.int64()), pa.array((long | ~alone)[rows])], ["key", "a", "b", "long"])
+                count = int(rows.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(h1[rows]), pa.nulls(count, pa.int64()), pa.array((long | ~alone)[rows]), pa.array(np.zeros(count, bool))], names)
 
-    keyed = index(docs, frequent).groupBy("key", "h1").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("long").alias("long"))
-    found = stored(keyed.repartition(n_parts, "key").sortWithinPartitions("key", "h1").mapInArrow(lists, "key long, a long, b long, long boolean"), "lists")
+    names = ["key", "a", "b", "long", "hot"]
+    keyed = index(docs, frequent, heavy).groupBy("key", "h1").agg(*[F.first(c).alias(c) for c in ("n", "alone", "long", "hot")])
+    dealt = keyed.repartition(n_parts, "key", F.when(F.col("hot"), F.col("h1"))).sortWithinPartitions(F.desc("hot"), "key", "h1")
+    found = stored(dealt.mapInArrow(lists, "key long, a long, b long, long boolean, hot boolean"), "lists")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +339,14 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = found.where("key is null").select(F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
     pairs = pairs.join(side("ha", "a", "na", "xa"), "ha").join(side("hb", "b", "nb", "xb"), "hb").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(check, "a long, b long")
 
-    rows = found.where("key is not null").select("key", F.col("a").alias("h1"), "long")
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = found.where("key is not null").select("key", F.col("a").alias("h1"), "long", "hot")
+    whole = rows.where("not hot").select("key", "h1", "long", F.lit(0).alias("own"), F.lit(0).alias("other"))  # no more than BLOCK rows
+    salted = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("h1", F.lit(7)), F.lit(n_parts)).cast("int"))
+    blocks = salted.groupBy("key").agg(F.count("*").alias("rows"), F.max("long").alias("useful")).where("rows > 1 and useful")
+    blocks = blocks.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("salt"))
+    cut = salted.join(blocks, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("h1", F.lit(3)), F.col("blocks")).cast("int"))
+    cut = cut.select("key", "h1", "long", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = whole.unionByName(cut).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     rows = rows.join(classes.select("h1", "rep", "n", "bits"), "h1").select("key", "i", "j", F.col("own") == F.col("i"), "rep", "n", "bits", "long").toDF("key", "i", "j", "left", "rep", "n", "bits", "long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +365,51 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: a spanning forest of the true links inside each group.  groups: node, component.
+    """a, b: links whose components are those of all true links inside each group.  groups: node, component.
 
-    A group's texts meet in blocks: each block with itself and with every other.
+    A group's texts are cut into blocks, and each block is compared by itself.  Groups of several blocks go on with
+    one text for each part found so far.  Where a group still has several parts, texts outside its largest part meet
+    every block; those of the largest part are not set against one another again.
+    """
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
+    groups = groups.join(sizes, "component")
+    itself = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    links = stored(compared(docs, groups.select("component", "node", F.col("node").alias("part"), itself.alias("own")).selectExpr("*", "own as i", "own as j")), "links")
+    large = stored(groups.where("blocks > 1").select("component", "node"), "large")
+    if not large.limit(1).count():
+        return links
+
+    parts = stored(_parts(large, links), "parts")
+    firsts = parts.where("node = part").select("component", "node", "part")
+    count = firsts.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"), F.count("*").alias("parts")).where("parts > 1")
+    firsts = firsts.join(count, "component").select("component", "node", "part", itself.alias("own")).selectExpr("*", "own as i", "own as j")
+    links = stored(links.unionByName(compared(docs, firsts)), "links")
+
+    parts = stored(_parts(large, links), "parts")
+    by_part = parts.groupBy("component", "part").agg(F.count("*").alias("size"))
+    main = by_part.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all")
+    main = main.withColumn("few", F.ceil((F.col("all") - F.col("most")) / GROUP_BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("most") / GROUP_BLOCK).cast("int"))
+    rest = parts.join(main, "component").withColumn("own", F.when(F.col("part") == F.col("main"), F.col("few") + itself).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("few")).cast("int")))
+    last = F.when(F.col("part") == F.col("main"), F.col("few") - 1).otherwise(F.col("few") + F.col("blocks") - 1)
+    cells = rest.select("component", "node", "part", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    cells = cells.select("component", "node", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return links.unionByName(compared(docs, cells))
+
+
+def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """component, node, part: the smallest node that links reach from each member."""
+    labels = components(links.join(members.select(F.col("node").alias("a")), "a", "left_semi")).select("node", F.col("component").alias("part"))
+    return members.join(labels, "node", "left").select("component", "node", F.coalesce("part", "node").alias("part"))
+
+
+def compared(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the true links in each cell.  cells: component, i, j, own, node, part.
+
+    A cell with i = j holds one block; in others only texts of different blocks are compared.  Nodes of one part are linked already.
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = spark.sparkContext.broadcast(bitmap_of(groups, F.col("node")))
+    wanted = spark.sparkContext.broadcast(bitmap_of(cells.select("node").distinct(), F.col("node")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,30 +417,34 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     ids = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
     some = ids.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(BITMAP_BITS))).mapInArrow(pick, "node long, text string, slot long").drop("slot")
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    rows = some.join(rows, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).select("component", "i", "j", "own", "node", "text")
+    rows = some.join(cells, "node").select("component", "i", "j", "own", "part", "node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs((s for b in batches for s in text_batches([b])), ["component", "i", "j"]):
             at = bounds(table, ["component", "i", "j"])
-            node, own, cross = table["node"].to_numpy(), table["own"].to_numpy(), table["i"].to_numpy() != table["j"].to_numpy()
+            node, own, part, cross = (table[c].to_numpy() for c in ("node", "own", "part", "i"))
+            cross = cross != table["j"].to_numpy()
             sets = [s for b in table.to_batches() for t in text_batches([b]) for s in token_sets(t.column("text"))[1]]
             edges = []
             for a, b in zip(at[:-1], at[1:]):
-                edges += [(node[a + i], node[a + j]) for i, j in true_links(sets[a:b], own[a:b] if cross[a] else None)]
+                edges += [(node[a + i], node[a + j]) for i, j in true_links(sets[a:b], own[a:b] if cross[a] else None, part[a:b])]
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
 
     return rows.repartition(n_parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(check, "a long, b long")
 
 
-def true_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
-    """A spanning forest of pairs with 100 * intersection >= 80 * union; side: only pairs with different sides."""
+def true_links(sets: list[np.ndarray], side: np.ndarray | None, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of pairs with 100 * intersection >= 80 * union.
+
+    side: only pairs with different sides; part: sets of one part are linked from the start.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     bits = [parity(s) for s in sets]
     root = list(range(len(sets)))
+    if part is not None:
+        _, first, of = np.unique(part, return_index=True, return_inverse=True)
+        root = [int(first[k]) for k in of]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -374,8 +480,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = base.where("n > 0 and doc_id is not null")
     classes = stored(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     groups = stored(components(candidates(docs, classes)), "groups")
-    links = stored(verified(docs, groups), "links")
-    labels = components(links)
+    labels = components(verified(docs, groups))
     reps = classes.select("h1", "h2", F.col("rep").alias("node")).join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     shown = base.select("doc_id", "n", "h1", "h2").join(reps, ["h1", "h2"], "left")
     return shown.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

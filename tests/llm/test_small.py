@@ -485,6 +485,34 @@ def test_jaccard_crowd(spark):
     assert got == want and len(set(want.values())) > 41
 
 
+def test_jaccard_crosses_its_blocks(spark, monkeypatch):
+    """Hot keys, groups of many blocks and groups of many parts, against brute force with small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 5)
+    rng = np.random.RandomState(8)
+    rows = []
+    for crowd, edits in enumerate((4, 9, 30)):
+        base = make_text(60 + crowd, 100).split()
+        for _ in range(45):
+            w = list(base)
+            for p in rng.randint(100, size=rng.randint(0, edits)):
+                w[p] = f"e{rng.randint(1000)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    passage = make_text(70, 40)
+    rows += [(2000 + i, make_text(500 + i, 9) + " " + passage + " " + make_text(700 + i, 9)) for i in range(30)]
+    want = brute_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 30 < len(set(want.values())) < 140
+
+
+def test_jaccard_crowd_beyond_a_block(spark):
+    """More near copies than BLOCK: each adds a word of its own to one of two texts, so each text's crowd is one component."""
+    rows = [(i, make_text(80 + i % 2, 60) + f" own{i}") for i in range(2 * jaccard.BLOCK + 600)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i, _ in rows}
+
+
 def test_prefix_keys_meet():
     """Linked sets share a key under any choice of frequent tokens; long prefixes meet every other."""
     rng = np.random.RandomState(3)
