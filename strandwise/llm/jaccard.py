@@ -382,12 +382,18 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
     parts = stored(_parts(large, links), "parts")
     firsts = parts.where("node = part").select("component", "node", "part")
     count = firsts.groupBy("component").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks"), F.count("*").alias("parts")).where("parts > 1")
+    count = stored(count, "open")
+    if not count.limit(1).count():
+        return links
     firsts = firsts.join(count, "component").select("component", "node", "part", itself.alias("own")).selectExpr("*", "own as i", "own as j")
     links = stored(links.unionByName(compared(docs, firsts)), "links")
 
     parts = stored(_parts(large, links), "parts")
     by_part = parts.groupBy("component", "part").agg(F.count("*").alias("size"))
     main = by_part.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all")
+    main = stored(main, "main")
+    if not main.limit(1).count():
+        return links
     main = main.withColumn("few", F.ceil((F.col("all") - F.col("most")) / GROUP_BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("most") / GROUP_BLOCK).cast("int"))
     rest = parts.join(main, "component").withColumn("own", F.when(F.col("part") == F.col("main"), F.col("few") + itself).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("few")).cast("int")))
     last = F.when(F.col("part") == F.col("main"), F.col("few") - 1).otherwise(F.col("few") + F.col("blocks") - 1)
