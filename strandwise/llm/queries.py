@@ -2,6 +2,7 @@
 
 from strandwise.llm.fingerprints import op10_fingerprints
 from strandwise.llm.jaccard import OP9_SQL, op9_jaccard
+from strandwise.llm.merkle import OP11_SQL, op11_merkle
 from strandwise.llm.mixing import OP3_SQL, op3_mixing
 from strandwise.llm.packing import op2_packing
 from strandwise.llm.personal import op7_personal
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_search": op8_search,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op5_sharding": OP5_SQL,
     "op8_search": OP8_SQL,
     "op9_jaccard": OP9_SQL,
+    "op11_merkle": OP11_SQL,
 }
