@@ -22,11 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under the shared folder and read back.  What is made of it must be used before drop_stored()."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder not yet there, which drop_stored() deletes."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared folder and read back.  What is made of it must be used before drop_stored()."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
