@@ -11,6 +11,7 @@ from strandwise.llm.quality import op6_quality
 from strandwise.llm.search import OP8_SQL, op8_search
 from strandwise.llm.sharding import OP5_SQL, op5_sharding
 from strandwise.llm.substrings import OP1_SQL, op1_substrings
+from strandwise.llm.warc import OP12_SQL, op12_warc
 
 QUERIES = {
     "op1_substrings": op1_substrings,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
     "op11_merkle": op11_merkle,
+    "op12_warc": op12_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op8_search": OP8_SQL,
     "op9_jaccard": OP9_SQL,
     "op11_merkle": OP11_SQL,
+    "op12_warc": OP12_SQL,
 }
