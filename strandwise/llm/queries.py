@@ -1,5 +1,6 @@
 """The queries of the training-data operators and, where SQL can express them, their SQL."""
 
+from strandwise.llm.alignment import op13_alignment
 from strandwise.llm.fingerprints import op10_fingerprints
 from strandwise.llm.jaccard import OP9_SQL, op9_jaccard
 from strandwise.llm.merkle import OP11_SQL, op11_merkle
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_merkle": op11_merkle,
     "op12_warc": op12_warc,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
