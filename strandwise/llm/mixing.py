@@ -239,24 +239,17 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def taken_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed corpus: each row as often as it is taken whole, and the row at a cut once more with its first words.
+    """The mixed corpus: each row as often as it is taken, to the nearest whole number (a half counts as one).
 
-    Rows without words have nothing to repeat and stay once.  Columns of docs may have any names.
+    Only rows at a cut are taken in part, so a source misses its target by half such a row at most for each cut of its
+    pattern.  Rows without words have nothing to repeat and stay once.  Columns of docs may have any names.
     """
     columns = docs.columns
     rows = _rows(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     rows, _ = _mixed(rows, seed)
-    rows = rows.withColumn("_taken", _sum("takes"))
-    parts = F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(
-        F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)), lambda k: F.least(F.col("_taken") - k * F.col("_size"), F.col("_size"))), lambda n: n > 0)
-    )
-    rows = rows.withColumn("_words", F.explode(parts))
-    text = F.col("_row.text")
-    cut = (F.col("_words") < F.col("_size")) & text.isNotNull()
-    words = F.array_join(F.slice(F.split(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +"), F.lit(1), F.col("_words").cast("int")), " ")
-    shown = F.when(cut, words).otherwise(text)
-    own = {"text": shown, "n_chars": F.when(cut, F.length(shown).cast("long")).otherwise(F.col("_row").getField("n_chars")) if "n_chars" in columns else None}
-    return rows.select(*[(own[c] if c in own else F.col("_row").getField(c)).alias(c) for c in columns])
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.floor((2 * _sum("takes") + F.col("_size")) / (2 * F.col("_size")))).cast("int")
+    rows = rows.select("_row", F.explode(F.array_repeat(F.lit(0), times)))
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
