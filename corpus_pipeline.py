@@ -40,15 +40,24 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "_row").withColumn("_no", F.row_number().over(equal)).where("_no = 1 or not worded").select(*COLUMNS)
 
 
-def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with _row, and a table of _row and id; another salt is taken where different rows have one hash."""
-    for salt in range(9):
-        named = docs.withColumn("_row", F.xxhash64(F.lit(salt), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text"))
+def _rows(docs: DataFrame, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs with _row, and a table of _row and id.
+
+    Different rows that share a 64-bit hash (about n^2 / 2^65 of n rows, so hundreds in 10^11) are hashed anew with another salt, they
+    alone, until none share one.  slots: so few values for the hash, for tests.
+    """
+    hashed = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text")
+    place = lambda h: h if slots is None else F.pmod(h, F.lit(slots))
+    row, salt = place(hashed(0)), 0
+    while True:
+        named = docs.withColumn("_row", row)
         ids = named.select("_row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).distinct()
         ids = stored(ids, "rows")
-        if not ids.groupBy("_row").count().where("count > 1").limit(1).count():
+        shared = [r["_row"] for r in ids.groupBy("_row").count().where("count > 1").select("_row").collect()]
+        if not shared:
             return named, ids
-    raise ValueError("rows have no hashes of their own")
+        salt += 1
+        row = F.when(row.isin(shared), place(hashed(salt))).otherwise(row)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +67,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them, the one at a source's cut with its first words only."""
+    """Documents stand as often as the mix takes them; the one at a source's cut stands whole or not, whichever is nearer."""
     return mixing.taken_documents(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
