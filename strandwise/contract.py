@@ -311,6 +311,13 @@ def bam2wig_stranded(spark, sf):
     return V.scaled_signal(D.reads(spark, sf).where(R.has(R.PAIRED)), 1e6, "1++,1--,2+-,2-+").withColumn("value", F.round("value", 6))
 
 
+@query("""SELECT strand, chrom, start, "end", depth, round(depth * 1e6::DOUBLE / (SELECT sum("end" - start) FROM mb), 6) AS value FROM runs""",
+       f"""mb AS (SELECT '.' AS strand, r.chrom, pos0 + off AS start, pos0 + off + len AS "end" FROM {_JOIN} WHERE op = 'M' AND {_LIVE} AND r.chrom IN ('chr1', 'chr3')), """ + _coverage_sql("mb", "strand, chrom"))
+def bam2wig_listed(spark, sf):
+    contigs = spark.createDataFrame([("chr1", 1_000_500), ("chr3", 1_000_500)], "chrom string, length long")
+    return V.scaled_signal(D.reads(spark, sf), 1e6, contigs=contigs).withColumn("value", F.round("value", 6))
+
+
 @query(f"SELECT CAST(sum(len) AS BIGINT) AS bases FROM {_JOIN} WHERE op = 'M' AND {_LIVE}")
 def bam2wig_sum(spark, sf):
     return V.signal_sum(D.reads(spark, sf))
@@ -428,14 +435,17 @@ def genebody_coverage(spark, sf):
 
 
 #: Places of a list that is turned round first where the strand is reverse: base number n there is number length - 1 - n here.
-_TRACK_BODY = """eb AS (SELECT x.tx_id, start + x.i + 1 AS pos, CASE WHEN tx.strand = '-' THEN row_number() OVER (PARTITION BY x.tx_id ORDER BY start + x.i DESC) ELSE row_number() OVER (PARTITION BY x.tx_id ORDER BY start + x.i) END - 1 AS n
-  FROM (SELECT *, unnest(range("end" - start)) AS i FROM exons) x JOIN tx USING (tx_id)),
-bp AS (SELECT tx_id, chrom, i, (CAST(length AS BIGINT) - 1) * i AS k FROM tx, range(1, 101) x(i) WHERE length >= 100),
-tp AS (SELECT bp.chrom, i, CAST(CASE WHEN k % 100 = 0 THEN a.pos ELSE round_even(a.pos * (ceil(k / 100.0::DOUBLE) - k / 100.0::DOUBLE) + b.pos * (k / 100.0::DOUBLE - floor(k / 100.0::DOUBLE)), 0) END AS BIGINT) AS pos
-  FROM bp JOIN eb a ON a.tx_id = bp.tx_id AND a.n = k // 100 JOIN eb b ON b.tx_id = bp.tx_id AND b.n = (k + 99) // 100)"""
+_TRACK_BODY = """ex AS (SELECT tx_id, start - before AS off, before, before + len AS after FROM (
+  SELECT tx_id, start, "end" - start AS len, coalesce(sum("end" - start) OVER (PARTITION BY tx_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM exons)),
+bp AS (SELECT tx_id, chrom, i, (CAST(length AS BIGINT) - 1) * i AS k, CAST(length AS BIGINT) - 1 AS last, strand = '-' AS back FROM tx, range(1, 101) x(i) WHERE length >= 100),
+bn AS (SELECT *, CASE WHEN back THEN last - k // 100 ELSE k // 100 END AS lo, CASE WHEN back THEN last - (k + 99) // 100 ELSE (k + 99) // 100 END AS hi FROM bp),
+tp AS (SELECT bn.chrom, i, CAST(CASE WHEN k % 100 = 0 THEN a.off + lo + 1 ELSE round_even((a.off + lo + 1) * (ceil(k / 100.0::DOUBLE) - k / 100.0::DOUBLE) + (b.off + hi + 1) * (k / 100.0::DOUBLE - floor(k / 100.0::DOUBLE)), 0) END AS BIGINT) AS pos
+  FROM bn JOIN ex a ON a.tx_id = bn.tx_id AND a.before <= lo AND lo < a.after JOIN ex b ON b.tx_id = bn.tx_id AND b.before <= hi AND hi < b.after),
+tv AS (SELECT i, sum(value) AS v FROM (SELECT chrom, i, pos, pos // 16 AS c FROM tp) p
+  JOIN (SELECT chrom, start, "end", value, unnest(range((start + 1) // 16, "end" // 16 + 1)) AS c FROM ta) t ON t.chrom = p.chrom AND t.c = p.c AND start <= pos - 1 AND pos - 1 < "end" GROUP BY i)"""
 
 
-@query("SELECT CAST(i - 1 AS INTEGER) AS slot, sum(value) AS value FROM tp JOIN ta ON ta.chrom = tp.chrom AND start <= pos - 1 AND pos - 1 < \"end\" GROUP BY 1", _TRACK_BODY)
+@query("SELECT CAST(i - 1 AS INTEGER) AS slot, coalesce(v, 0.0::DOUBLE) AS value FROM (SELECT DISTINCT i FROM tp) LEFT JOIN tv USING (i)", _TRACK_BODY)
 def genebody_from_track(spark, sf):
     return V.genebody_from_track(D.track(spark, sf, "a"), D.transcripts(spark, sf))
 

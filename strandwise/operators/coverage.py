@@ -19,10 +19,19 @@ DEPTH, BASE_QUALITY = 8000, 13
 RANGES = 4096
 
 
-def signal(reads: DataFrame, rule: str = "none", unique: bool = False, q_cut: int = 30) -> DataFrame:
-    """strand (+, - or . without a rule), chrom, start, end, depth of match blocks."""
+def _listed(reads: DataFrame, contigs: DataFrame | None) -> DataFrame:
+    """Reads on the listed contigs (a column chrom); on any if None."""
+    rows = reads.where("chrom is not null and pos0 is not null")
+    return rows if contigs is None else rows.join(contigs.select("chrom").distinct(), "chrom", "left_semi").select(*reads.columns)
+
+
+def signal(reads: DataFrame, rule: str = "none", unique: bool = False, q_cut: int = 30, contigs: DataFrame | None = None) -> DataFrame:
+    """strand (+, - or . without a rule), chrom, start, end, depth of match blocks.
+
+    contigs: the size list's contigs (chrom), outside which no read counts.
+    """
     strands = strand_rule(rule)
-    rows = reads.where(R.keeps("signal_unique" if unique else "signal", q_cut)).where("chrom is not null and pos0 is not null")
+    rows = _listed(reads.where(R.keeps("signal_unique" if unique else "signal", q_cut)), contigs)
     if strands:
         number = F.when(~R.has(R.PAIRED), "").when(R.has(R.READ1), "1").when(R.has(R.READ2), "2").otherwise("")
         mapped = F.create_map(*[F.lit(x) for kv in strands.items() for x in kv])
@@ -34,20 +43,22 @@ def signal(reads: DataFrame, rule: str = "none", unique: bool = False, q_cut: in
     return coverage(parts.select("strand", "chrom", F.col("b.start").alias("start"), F.col("b.end").alias("end")), None, "strand", "chrom")
 
 
-def signal_sum(reads: DataFrame, unique: bool = False) -> DataFrame:
-    """One row, bases: match bases of kept reads.  Here unique means no tag of H0, H1, H2, IH, NH above 1."""
-    rows = reads.where(R.keeps("signal")).where("chrom is not null")
+def signal_sum(reads: DataFrame, unique: bool = False, contigs: DataFrame | None = None) -> DataFrame:
+    """One row, bases: match bases of kept reads on the listed contigs.  Here unique means no tag of H0, H1, H2, IH, NH above 1."""
+    rows = _listed(reads.where(R.keeps("signal")), contigs)
     if unique:
         many = [F.coalesce(F.expr(f"element_at(tags, '{t}').i"), F.lit(0)) > 1 for t in ("H0", "H1", "H2", "IH", "NH")]
         rows = rows.where(~(many[0] | many[1] | many[2] | many[3] | many[4]))
     return rows.agg(F.coalesce(F.sum(C.length_of("M")), F.lit(0)).cast("long").alias("bases"))
 
 
-def scaled_signal(reads: DataFrame, target: float, rule: str = "none", unique: bool = False, q_cut: int = 30) -> DataFrame:
+def scaled_signal(reads: DataFrame, target: float, rule: str = "none", unique: bool = False, q_cut: int = 30, contigs: DataFrame | None = None) -> DataFrame:
     """signal with a column value = depth * target / bases; the reverse strand is negative."""
-    bases = signal_sum(reads, unique)
+    if target <= 0:
+        raise ValueError("the target sum must be above zero")
+    bases = signal_sum(reads, unique, contigs)
     sign = F.when(F.col("strand") == "-", -1.0).otherwise(1.0)
-    rows = signal(reads, rule, unique, q_cut).crossJoin(F.broadcast(bases))  # one row
+    rows = signal(reads, rule, unique, q_cut, contigs).crossJoin(F.broadcast(bases))  # one row
     return rows.select("strand", "chrom", "start", "end", "depth", (sign * F.col("depth") * F.lit(float(target)) / F.col("bases")).alias("value"))
 
 
@@ -226,6 +237,8 @@ def tin_summary(scores: DataFrame) -> DataFrame:
 
 def genebody_coverage(reads: DataFrame, tx: DataFrame, shortest: int = 100) -> DataFrame:
     """slot, covered: depth summed over transcripts by place along them, 5' to 3'."""
+    if shortest < 100:
+        raise ValueError("the shortest transcript must have 100 bases or more")
     listed = percentile_positions(tx, shortest)
     slots = listed.select("tx_id", "strand", F.size("positions").alias("n"), F.posexplode_outer(F.array_sort("positions")).alias("i", "pos"))
     slots = slots.select("tx_id", "pos", F.when(F.col("strand") == "-", F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("slot"))
@@ -261,7 +274,9 @@ def genebody_from_track(track: DataFrame, tx: DataFrame, sizes: DataFrame | None
         points = points.join(sizes.select("chrom", "size"), "chrom", "left").select("chrom", "slot", F.coalesce(beyond, F.col("pos")).alias("pos"))
     points = points.groupBy("chrom", "slot", "pos").agg(F.count("*").alias("times"))  # places of several transcripts are looked up once
     at = point_join(points.withColumn("p0", F.col("pos") - 1), "p0", track.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "value"))
-    return at.where(~F.isnan("value")).groupBy("slot").agg(F.sum(F.col("value").cast("double") * F.col("times")).alias("value"))
+    sums = at.where(~F.isnan("value")).groupBy("slot").agg(F.sum(F.col("value").cast("double") * F.col("times")).alias("value"))
+    slots = points.select("slot").distinct()  # places without signal have a row as well
+    return slots.join(sums, "slot", "left").select("slot", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def exon_coverage(reads: DataFrame, tx: DataFrame) -> DataFrame:

@@ -393,3 +393,27 @@ def test_stored_tables_are_dropped(spark):
     assert table.count() == 3 and storage.drop_stored(spark) == 1 and storage.drop_stored(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(table.inputFiles()[0])
+
+
+def test_track_slots_without_signal_are_zero(spark):
+    """A track over a third of a transcript's bases still gives a hundred slots."""
+    tx = spark.createDataFrame([("t", "c", 100, 400, "+", 100, 400, [(100, 400)], 0)], "tx_id string, chrom string, tx_start long, tx_end long, strand string, cds_start long, cds_end long, blocks array<struct<start:long,end:long>>, line long")
+    track = spark.createDataFrame([("c", 100, 200, 2.0)], "chrom string, start long, end long, value double")
+    got = {r["slot"]: r["value"] for r in V.genebody_from_track(track, tx).collect()}
+    places = {i: 101 + 299 * (i + 1) / 100 for i in range(100)}
+    assert got == {i: 2.0 if round(p) <= 200 else 0.0 for i, p in places.items()}
+    assert V.genebody_from_track(track, tx.where("false")).count() == 0
+
+
+def test_signal_of_listed_contigs(spark):
+    rows = [(i, f"q{i}", 0, c, 10 * i, 60, [("M", 10)], None, None, 0, "A" * 10, [30] * 10, None) for i, c in enumerate(["a", "a", "b", "x"])]
+    from strandwise.sources.alignments import SAM_SCHEMA
+
+    reads = spark.createDataFrame(rows, SAM_SCHEMA)
+    some = spark.createDataFrame([("a",), ("b",), ("b",)], "chrom string")
+    assert V.signal_sum(reads).first()["bases"] == 40 and V.signal_sum(reads, contigs=some).first()["bases"] == 30
+    got = V.scaled_signal(reads, 300.0, contigs=some).collect()
+    assert {r["chrom"] for r in got} == {"a", "b"} and all(r["value"] == 10.0 * r["depth"] for r in got)
+    for wrong in (lambda: V.scaled_signal(reads, 0.0), lambda: V.genebody_coverage(reads, some, 99)):
+        with pytest.raises(ValueError):
+            wrong()
