@@ -1,29 +1,18 @@
 """Readers of alignments.
 
-SAM text is split by Spark and decoded by expressions.  BAM is a Python data source: record bounds inside a file are
-known only by walking it or from its index, so a file beside which an index stands is read in parts and others whole.
+SAM text is split by Spark and decoded by expressions.  BAM is a Python data source over byte ranges, see bam.
 """
 
 from __future__ import annotations
 
-import io
-import struct
-import zlib
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
 
 from strandwise.functions.cigar import parse_cigar
+from strandwise.sources.bam import FEW_PARTS, SAM_SCHEMA, BamSource, read_bam
 
-SAM_SCHEMA = (
-    "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>,"
-    " mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>, tags map<string,struct<t:string,i:bigint,s:string>>"
-)
-#: Parts of text files up to which their table is broadcast, of less than 1 kB each.
-FEW_PARTS = 10_000
+__all__ = ["SAM_SCHEMA", "BamSource", "decode_sam", "numbered_lines", "read_alignments", "read_sam", "sam_contigs"]
 SAM, BAM, CRAM = (".sam",), (".bam",), (".cram",)
 
 
@@ -33,8 +22,7 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     if name.endswith((*SAM, ".sam.gz", ".sam.bz2")):
         return read_sam(spark, path)
     if name.endswith(BAM):
-        spark.dataSource.register(BamSource)
-        return spark.read.format("bgzf_alignments").option("path", path).load()
+        return read_bam(spark, path)
     if name.endswith(CRAM):
         raise NotImplementedError("CRAM is not read; convert it to BAM or SAM")
     raise ValueError(f"unknown kind of alignment file: {path}")
@@ -85,206 +73,3 @@ def decode_sam(lines: DataFrame) -> DataFrame:
         F.when(f[6] == "=", chrom).otherwise(star(f[6])).alias("mate_chrom"), place(f[7]).alias("mate_pos0"), f[8].cast("int").alias("tlen"), F.when(f[9] != "*", f[9]).otherwise("").alias("seq"),
         F.when(f[10] != "*", F.transform(F.split(f[10], ""), lambda c: F.ascii(c) - 33)).otherwise(F.array().cast("array<int>")).alias("qual"), F.map_from_entries(tags).alias("tags"),
     )
-
-
-def bgzf_blocks(raw: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, bytes]]:
-    """Offset and decompressed bytes of each block of a BGZF stream that stands at offset at."""
-    while head := raw.read(18):
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a BGZF block")
-        extra = struct.unpack_from("<H", head, 10)[0]
-        size = struct.unpack_from("<H", head, 16)[0] + 1
-        body = raw.read(size - 18)
-        if len(body) < size - 18:
-            raise ValueError("a BGZF block is cut short")
-        yield at, zlib.decompress(body[extra - 6 : -8], -15)
-        at += size
-
-
-class _Stream:
-    """Bytes of all blocks as one stream; knows where in the file the next byte lies."""
-
-    def __init__(self, raw: io.BufferedIOBase, at: int = 0) -> None:
-        self.blocks, self.block, self.held, self.used = bgzf_blocks(raw, at), at, b"", 0
-
-    def take(self, n: int) -> bytes:
-        parts, have = [], 0
-        while True:
-            part = self.held[self.used : self.used + n - have]
-            parts.append(part)
-            have += len(part)
-            self.used += len(part)
-            if have == n or not self._next():
-                return b"".join(parts)
-
-    def _next(self) -> bool:
-        found = next(self.blocks, None)
-        if found:
-            self.block, self.held = found
-            self.used = 0
-        return found is not None
-
-    def place(self) -> int:
-        """The virtual offset of the next byte: its block's offset and its place there."""
-        while self.used == len(self.held) and self._next():
-            pass
-        return self.block << 16 | self.used
-
-
-_OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
-_NUMBERS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
-
-
-def _tags(data: bytes) -> dict:
-    out, at = {}, 0
-    while at < len(data):
-        key, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in _NUMBERS:
-            out[key] = {"t": "i", "i": struct.unpack_from(_NUMBERS[kind], data, at)[0], "s": None}
-            at += struct.calcsize(_NUMBERS[kind])
-        elif kind == "A":
-            out[key] = {"t": "A", "i": None, "s": chr(data[at])}
-            at += 1
-        elif kind == "f":
-            out[key] = {"t": "f", "i": None, "s": repr(struct.unpack_from("<f", data, at)[0])}
-            at += 4
-        elif kind in "ZH":
-            end = data.index(b"\0", at)
-            out[key] = {"t": kind, "i": None, "s": data[at:end].decode()}
-            at = end + 1
-        elif kind == "B":
-            sub, n = chr(data[at]), struct.unpack_from("<i", data, at + 1)[0]
-            form = _NUMBERS.get(sub, "<f")
-            size = struct.calcsize(form)
-            out[key] = {"t": "B", "i": None, "s": ",".join([sub, *(str(struct.unpack_from(form, data, at + 5 + k * size)[0]) for k in range(n))])}
-            at += 5 + n * size
-        else:
-            raise ValueError(f"unknown tag type {kind}")
-    return out
-
-
-def _names(stream: _Stream) -> list[str]:
-    """The contigs of a BAM header."""
-    if stream.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    stream.take(struct.unpack("<i", stream.take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", stream.take(4))[0]):
-        names.append(stream.take(struct.unpack("<i", stream.take(4))[0])[:-1].decode())
-        stream.take(4)
-    return names
-
-
-def bam_records(raw: io.BufferedIOBase) -> Iterator[tuple]:
-    """Rows of SAM_SCHEMA from a BAM stream; rid counts them."""
-    stream = _Stream(raw)
-    names, rid = _names(stream), 0
-    while head := stream.take(4):
-        yield _record(rid, stream.take(struct.unpack("<i", head)[0]), names)
-        rid += 1
-
-
-def bam_part(raw: io.BufferedIOBase, start: int, end: int) -> Iterator[tuple]:
-    """Rows whose virtual offset, which is their rid, is in [start, end); start is 0 for the first record."""
-    stream = _Stream(raw)
-    names = _names(stream)
-    if start:
-        raw.seek(start >> 16)
-        stream = _Stream(raw, start >> 16)
-        stream.take(start & 0xFFFF)
-    while (place := stream.place()) < end and (head := stream.take(4)):
-        yield _record(place, stream.take(struct.unpack("<i", head)[0]), names)
-
-
-def _record(rid: int, b: bytes, names: list[str]) -> tuple:
-    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate_ref, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
-    at = 32 + l_name
-    ops = struct.unpack_from(f"<{n_ops}I", b, at)
-    at += 4 * n_ops
-    packed = b[at : at + (l_seq + 1) // 2]
-    at += (l_seq + 1) // 2
-    seq = "".join(_BASES[x >> 4] + _BASES[x & 15] for x in packed)[:l_seq]
-    qual = [] if l_seq and b[at] == 255 else list(b[at : at + l_seq])
-    name = lambda r: names[r] if r >= 0 else None
-    return (
-        rid, b[32 : 32 + l_name - 1].decode() if l_name else "", flag, name(ref), pos if pos >= 0 else None, mapq, [(_OPS[o & 15], o >> 4) for o in ops],
-        name(mate_ref), mate_pos if mate_pos >= 0 else None, tlen, seq, qual, _tags(b[at + l_seq :]),
-    )
-
-
-def index_places(data: bytes) -> list[int]:
-    """Virtual offsets at which records start, from the linear parts of a .bai index."""
-    if data[:4] != b"BAI\1":
-        raise ValueError("not a BAM index")
-    at, out = 8, set()
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        n_bins, at = struct.unpack_from("<i", data, at)[0], at + 4
-        for _ in range(n_bins):
-            at += 8 + 16 * struct.unpack_from("<i", data, at + 4)[0]
-        n, at = struct.unpack_from("<i", data, at)[0], at + 4
-        out.update(struct.unpack_from(f"<{n}Q", data, at))
-        at += 8 * n
-    return sorted(out - {0})
-
-
-class BamSource(DataSource):
-    """``spark.read.format("bgzf_alignments").option("path", ...)``, and ``write`` with the contigs as option.
-
-    split: bytes that a part of an indexed file should have.  rid of a file read whole counts its records; of one
-    read in parts it is the record's virtual offset, which orders records as the file does.
-    contigs: for writing, name and length of each contig as JSON.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "bgzf_alignments"
-
-    def schema(self) -> str:
-        return SAM_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _BamReader(self.options["path"], int(self.options.get("split", 1 << 26)))
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        from strandwise.sources.bam_writer import BamWriter
-
-        return BamWriter(self.options["path"], self.options["contigs"])
-
-
-def _file(path: str):
-    """The file system of a path, and the path there."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, path: str, split: int) -> None:
-        self.paths, self.split = path.split(","), split
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((p, a, b)) for p in self.paths for a, b in self._parts(p)]
-
-    def _parts(self, path: str) -> list[tuple[int, int]]:
-        """Ranges of virtual offsets of about split bytes; none (0, 0) for a small file or one without an index."""
-        where, inner = _file(path)
-        if where.get_file_info(inner).size <= self.split or not where.get_file_info(inner + ".bai").is_file:
-            return [(0, 0)]
-        with where.open_input_file(inner + ".bai") as raw:
-            places = index_places(raw.read())
-        cuts = [0]
-        for place in places:
-            if (place >> 16) - (cuts[-1] >> 16) >= self.split:
-                cuts.append(place)
-        return list(zip(cuts, [*cuts[1:], 1 << 63]))
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path, start, end = partition.value
-        where, inner = _file(path)
-        if end:
-            with where.open_input_file(inner) as raw:
-                yield from bam_part(raw, start, end)
-        else:
-            with where.open_input_stream(inner, compression=None) as raw:
-                yield from bam_records(raw)

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from strandwise.sources.bigwig import CONTIGS, FILE, INDEX, bigwig_contigs, read_bigwig
+from strandwise.sources.bigwig import CONTIGS, FILE, INDEX, BigWigReader, bigwig_contigs, read_bigwig
 
 
 def bigwig(path, packed):
@@ -25,7 +25,8 @@ def bigwig(path, packed):
         places.append((at + len(data), len(m)))
         data += m
     index = at + len(data)
-    leaf = struct.pack("<BBH", 1, 0, 3) + b"".join(struct.pack("<IIIIQQ", 0, 0, 1, 1000, *p) for p in places)
+    bounds = [(0, 100, 0, 160), (0, 300, 0, 310), (1, 10, 1, 40)]
+    leaf = struct.pack("<BBH", 1, 0, 3) + b"".join(struct.pack("<IIIIQQ", *b, *p) for b, p in zip(bounds, places))
     tail = struct.pack("<IIQIIIIQII", INDEX, 4, 3, 0, 0, 1, 300, index, 2, 0) + struct.pack("<BBH", 0, 0, 1) + struct.pack("<IIIIQ", 0, 0, 1, 300, index + 48 + 28) + leaf
     head = struct.pack("<IHHQQQHHQQI", FILE, 4, 0, 64, at, index, 0, 0, 0, 0, 4096 if packed else 0).ljust(64, b"\0")
     path.write_bytes(head + tree + data + tail)
@@ -54,3 +55,26 @@ def test_input_lists(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         alignment_files(spark, "nowhere.bam")
     assert sample_name("/x/1-a.b.bam") == "V1_a_b"
+
+
+@pytest.mark.parametrize("where, n_blocks", [
+    ("chrom = 'chr1'", 2), ("chrom = 'chr10' and start < 25", 1), ("chrom = 'chr1' and end > 155 and start < 300", 1), ("chrom = 'chr1' and start < 150", 1), ("chrom = 'chr1' and start >= 160", 2),
+    ("chrom = 'chr2'", 0), ("chrom = 'chr1' and end >= 310", 1), ("chrom = 'chr1' and end > 311", 0), ("chrom = 'chr1' and start = 305", 1), ("start > 0", 3), ("chrom in ('chr1', 'chr10') and start = 10", 3),
+])
+def test_regions_choose_blocks(spark, tmp_path, where, n_blocks):
+    bigwig(tmp_path / "a.bw", True)
+    whole = read_bigwig(spark, str(tmp_path / "a.bw"))
+    kept = spark.createDataFrame(whole.collect(), whole.schema).where(where)
+    got = whole.where(where)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept.collect()))
+    from pyspark.sql import datasource as ds
+
+    kinds = {"=": ds.EqualTo, "<": ds.LessThan, ">": ds.GreaterThan, ">=": ds.GreaterThanOrEqual, "<=": ds.LessThanOrEqual}
+    filters = []
+    for part in where.split(" and "):
+        name, op, value = part.split(" ", 2)
+        if op in kinds:
+            filters.append(kinds[op]((name,), value.strip("'") if name == "chrom" else int(value)))
+    reader = BigWigReader(str(tmp_path / "a.bw"))
+    reader.pushFilters(filters)
+    assert sum(len(p.blocks) for p in reader.partitions()) == n_blocks

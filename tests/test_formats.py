@@ -6,6 +6,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandwise.operators import coverage as V
@@ -13,7 +14,7 @@ from strandwise.operators import expression as X
 from strandwise.operators import intervals as I
 from strandwise.operators import regions as G
 from strandwise.operators import sequences as S
-from strandwise.sources import alignments, bam_writer, fastx, inputs, tables
+from strandwise.sources import alignments, bam, bam_writer, bgzf, fastx, inputs, tables
 from strandwise.streaming import counters
 
 HEAD = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:100000\n@SQ\tSN:chr2\tLN:500\n"
@@ -61,27 +62,114 @@ def test_bam_comes_back_as_written(spark, folder, tmp_path):
         bam_writer.write_bam(reads, str(tmp_path / "out"), contigs)
 
 
-def test_indexed_bam_is_read_in_parts(spark, folder, tmp_path, monkeypatch):
-    reads = alignments.read_sam(spark, folder).coalesce(1)
-    monkeypatch.setattr(bam_writer, "BLOCK", 150)  # records cross blocks
-    ids, held = {"chr1": 0, "chr2": 1}, b"BAM\1" + struct.pack("<ii", 0, 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 9) for n in (b"chr1", b"chr2"))
-    starts, rows = [], reads.orderBy("rid").collect()
+def small_blocks(path, rows, n_contigs=2, size=150):
+    """A BAM file whose blocks hold ``size`` bytes, so that records cross them."""
+    names = [f"chr{i + 1}".encode() for i in range(n_contigs)]
+    held = b"BAM\1" + struct.pack("<ii", 0, n_contigs) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 9) for n in names)
     for r in rows:
-        starts.append(len(held))
-        held += bam_writer.record(r, ids)
-    data, at = b"", {}
-    for i in range(0, len(held), 150):
-        at[i // 150] = len(data)
-        data += bam_writer.bgzf_block(held[i : i + 150])
-    path = tmp_path / "a.bam"
-    path.write_bytes(data + bam_writer.bgzf_block(b""))
-    places = [at[s // 150] << 16 | s % 150 for s in starts]
-    (tmp_path / "a.bam.bai").write_bytes(b"BAI\1" + struct.pack("<iii", 1, 1, 4681) + struct.pack("<iQQ", 1, places[0], places[-1]) + struct.pack("<i", 5) + struct.pack("<5Q", 0, *places[2::3]))
-    spark.dataSource.register(alignments.BamSource)
-    parts = spark.read.format("bgzf_alignments").option("path", str(path)).option("split", 200).load()
-    assert parts.rdd.getNumPartitions() > 2
-    got = parts.orderBy("rid").collect()
-    assert [r["rid"] for r in got] == places and [r.asDict(True) | {"rid": 0} for r in got] == [r.asDict(True) | {"rid": 0} for r in rows]
+        held += bam_writer.record(r, {n.decode(): i for i, n in enumerate(names)})
+    path.write_bytes(b"".join(bam_writer.bgzf_block(held[i : i + size]) for i in range(0, len(held), size)) + bam_writer.bgzf_block(b""))
+
+
+@pytest.mark.parametrize("split", [60, 200, 333, 1000, 10**6])
+def test_bam_is_read_in_parts(spark, folder, tmp_path, split):
+    """Without an index; rid counts records over parts and files, wherever parts begin."""
+    rows = alignments.read_sam(spark, folder).orderBy("rid").collect()
+    small_blocks(tmp_path / "a.bam", rows)
+    small_blocks(tmp_path / "b.bam", rows[:5], size=40)
+    small_blocks(tmp_path / "c.bam", [])
+    paths = ",".join(str(tmp_path / n) for n in ("a.bam", "c.bam", "b.bam"))
+    assert len(bam.BamReader({"path": paths, "split": split}).partitions()) >= (3 if split == 10**6 else 5)
+    got = bam.read_bam(spark, paths, split).orderBy("rid").collect()
+    want = [*rows, *rows[:5]]
+    assert [r.asDict(True) for r in got] == [r.asDict(True) | {"rid": i} for i, r in enumerate(want)]
+
+
+def test_long_records_and_damage(spark, folder, tmp_path):
+    """A record over many blocks and parts, unmapped reads, reads without bases or qualities."""
+    row = alignments.read_sam(spark, folder).orderBy("rid").first()
+    long = Row(**row.asDict() | {"cigar": [], "seq": "ACGTN" * 40_000, "qual": [7] * 200_000})
+    bare = Row(**row.asDict() | {"chrom": None, "pos0": None, "mapq": None, "cigar": [], "seq": "", "qual": [], "tags": {}, "flag": 4})
+    plain = Row(**row.asDict() | {"seq": "ACG", "qual": [], "cigar": []})
+    rows = [row, long, bare, plain, long, *[row] * 40]
+    small_blocks(tmp_path / "a.bam", rows, size=20_000)
+    got = bam.read_bam(spark, str(tmp_path / "a.bam"), 5_000).orderBy("rid").collect()
+    assert [r["rid"] for r in got] == list(range(len(rows))) and [len(r["seq"]) for r in got] == [len(r["seq"]) for r in rows]
+    assert got[1]["seq"] == long["seq"] and got[2]["mapq"] == 255 and got[2]["chrom"] is None and got[2]["tags"] == {} and got[3]["qual"] == [] and got[3]["seq"] == "ACG"
+    data = (tmp_path / "a.bam").read_bytes()
+    (tmp_path / "cut.bam").write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception, match="cut short"):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
+def placed_reads(spark):
+    """Reads over two contigs, in no order."""
+    draw = random.Random(3)
+    rows = []
+    for n in range(900):
+        chrom = draw.choice(["chr1", "chr2", None])
+        span = draw.choice([20, 500, 40_000])
+        pos = None if chrom is None else draw.randrange(400_000)
+        rows.append((n, f"q{n}", 0 if chrom else 4, chrom, pos, 30, [("M", 10), ("N", span), ("M", 10)] if chrom else [], None, None, 0, "ACGTA" * 4, [20] * 20, {"RG": ("Z", None, "g")}))
+    return spark.createDataFrame(rows, alignments.SAM_SCHEMA)
+
+
+CONTIGS = [(0, "chr1", 500_000), (1, "chr2", 500_000)]
+LINES = ["@HD\tVN:1.6\tSO:unsorted", "@SQ\tSN:chr1\tLN:500000\tM5:abc", "@RG\tID:g\tSM:s", "@PG\tID:p", "@CO\tfree text"]
+
+
+def test_one_file_with_header_and_index(spark, tmp_path, monkeypatch):
+    reads, contigs = placed_reads(spark).repartition(5), spark.createDataFrame(CONTIGS, "ref_id int, chrom string, length long")
+    path = str(tmp_path / "one.bam")
+    bam_writer.write_bam(reads, path, contigs, LINES, single=True, by_place=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one.bam", "one.bam.bai"]
+    assert bam.bam_header(spark, path) == ["@HD\tVN:1.6\tSO:coordinate", LINES[1], "@SQ\tSN:chr2\tLN:500000", *LINES[2:]]
+    got = bam.read_bam(spark, path, 3_000).orderBy("rid").collect()
+    order = sorted(reads.collect(), key=lambda r: (r["chrom"] is None, r["chrom"] or "", r["pos0"] or 0, r["rid"]))
+    assert [r.asDict(True) | {"rid": 0} for r in got] == [r.asDict(True) | {"rid": 0} for r in order]
+    for chrom, start, end in (("chr1", 100_000, 130_000), ("chr2", 0, 1), ("chr2", 399_000, 500_000), ("chr1", 250_000, 250_001), ("chrX", 0, 9)):
+        found = sorted(r["qname"] for r in bam.read_region(spark, path, chrom, start, end).collect())
+        assert found == sorted(r["qname"] for r in order if r["chrom"] == chrom and r["pos0"] < end and r["pos0"] + sum(c["len"] for c in r["cigar"]) > start)
+        within = (F.col("chrom") == chrom) & (F.col("pos0") >= start) & (F.col("pos0") < end)
+        assert sorted(r["qname"] for r in bam.read_indexed(spark, path).where(within).collect()) == sorted(r["qname"] for r in order if r["chrom"] == chrom and start <= r["pos0"] < end)
+
+
+def test_a_region_reads_only_its_blocks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    reads, contigs = placed_reads(spark).where("chrom is not null and size(cigar) > 0 and cigar[1].len < 1000"), spark.createDataFrame(CONTIGS, "ref_id int, chrom string, length long")
+    more = reads.crossJoin(spark.range(70)).drop("id").withColumn("rid", F.monotonically_increasing_id())
+    bam_writer.write_bam(more.coalesce(1), str(tmp_path / "a.bam"), contigs, single=True, by_place=True)
+    read = []
+    old = bgzf.bgzf_blocks
+
+    def counted(raw, at=0):
+        for found in old(raw, at):
+            read.append(found[0])
+            yield found
+
+    monkeypatch.setattr(bgzf, "bgzf_blocks", counted)
+    monkeypatch.setattr(bgzf, "RUN", 1)
+
+    def rows(filters):
+        read.clear()
+        reader = bam.IndexedBamReader({"path": str(tmp_path / "a.bam")})
+        assert list(reader.pushFilters(filters)) == filters
+        return sum(b.num_rows for p in reader.partitions() for b in reader.read(p)), len(set(read))
+
+    everything, blocks = rows([])
+    some, fewer = rows([EqualTo(("chrom",), "chr2"), GreaterThanOrEqual(("pos0",), 200_000), LessThan(("pos0",), 210_000)])
+    assert everything == more.count() and 0 < some < everything / 5 and fewer < blocks / 4
+    assert some >= more.where("chrom = 'chr2' and pos0 >= 200000 and pos0 < 210000").count() > 0
+
+
+def test_writes_that_append_and_overwrite(spark, folder, tmp_path):
+    reads, contigs = alignments.read_sam(spark, folder), alignments.sam_contigs(spark, folder)
+    path = str(tmp_path / "out")
+    for mode, n in (("append", 12), ("append", 24), ("overwrite", 12)):
+        bam_writer.write_bam(reads, path, contigs, mode=mode)
+        assert bam.read_bam(spark, ",".join(sorted(glob.glob(f"{path}/*.bam")))).count() == n
+        assert len(glob.glob(f"{path}/*.bai")) == len(glob.glob(f"{path}/*.bam"))
 
 
 def test_samples_and_gene_tables(spark, folder, tmp_path):
