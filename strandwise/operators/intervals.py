@@ -41,27 +41,98 @@ def _exploded(df: DataFrame, start: Column, end: Column, size: int) -> DataFrame
     return df.withColumn("_bin", F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(end - 1, start) / size))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", size: int = JOIN_BIN) -> DataFrame:
+#: Each level of bins of a join over mixed lengths has bins so many times as wide as the one below.
+WIDER, LEVELS = 8, 6
+
+
+def _leveled(rows: DataFrame, start: Column, end: Column, size: int, lifted: Column | None) -> DataFrame:
+    """rows with _own (the first level whose bins are no shorter than the row, so that it touches two at most), _level, _bin and _way.
+
+    Way 0 is a row's own level; way 1 are the levels of ``lifted`` (an array) above it.
+    """
+    length = end - start
+    own = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        own = F.when(length <= size * WIDER**k, k).otherwise(own)
+    rows = rows.withColumn("_own", own)
+    mine = F.array(F.struct(F.col("_own").alias("level"), F.lit(0).alias("way")))
+    if lifted is not None:
+        above = F.filter(lifted, lambda k: k > F.col("_own"))
+        mine = F.concat(mine, F.transform(above, lambda k: F.struct(k.alias("level"), F.lit(1).alias("way"))))
+    rows = rows.withColumn("_at", F.explode(mine))
+    width = F.lit(size) * F.element_at(F.array(*[F.lit(WIDER**k).cast("long") for k in range(LEVELS)]), F.col("_at.level") + 1)
+    bins = F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(end - 1, start) / width)))
+    return rows.withColumns({"_level": F.col("_at.level"), "_way": F.col("_at.way"), "_width": width}).withColumn("_bin", bins).drop("_at")
+
+
+def _salted(a: DataFrame, b: DataFrame, keys: dict[str, str], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _salt: rows of the left side's bins above ``hot`` rows are dealt into parts, and the right side's stand in each part.
+
+    A table with a row for each such bin, so one for ``hot`` rows at most, is broadcast.
+    """
+    crowded = a.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).withColumn("_parts", F.ceil(F.col("_n") / hot)).drop("_n")
+    kinds = [c for c, t in a.dtypes if "map<" not in t]
+    left = a.join(F.broadcast(crowded), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*kinds), F.coalesce("_parts", F.lit(1)))).select(*a.columns, "_salt")
+    for key, other in keys.items():
+        crowded = crowded.withColumnRenamed(key, other)
+    right = b.join(F.broadcast(crowded), list(keys.values()), "left")
+    right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).select(*b.columns, "_rsalt")
+    return left, right
+
+
+def _renamed(b: DataFrame, *names: str) -> DataFrame:
+    """The right side's own columns under other names: chrom as _chrom and _bin as _rbin."""
+    for name in ("chrom", "_bin", *names):
+        b = b.withColumnRenamed(name, "_chrom" if name == "chrom" else f"_r{name[1:]}")
+    return b
+
+
+def _met(a: DataFrame, b: DataFrame, keys: dict[str, str], meet: Column, hot: int | None) -> DataFrame:
+    """Rows of both sides that are in one bin and meet."""
+    if hot is not None:
+        a, b = _salted(a, b, keys, hot)
+        keys = keys | {"_salt": "_rsalt"}
+    for key, other in keys.items():
+        meet &= F.col(key) == F.col(other)
+    return a.join(b, meet)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, size: int = JOIN_BIN, mixed: bool = False, hot: int | None = None) -> DataFrame:
     """Pairs with left.start < right.end and right.start < left.end on one contig.
 
     left: chrom, start, end and others; right: chrom, r_start, r_end and others.  Both sides are sent to the bins they
     touch and a pair is kept in the bin of its later start only, so it comes once.
-    """
-    a = _exploded(left, F.col("start"), F.col("end"), size)
-    b = _exploded(right, F.col("r_start"), F.col("r_end"), size).withColumnRenamed("chrom", "_chrom").withColumnRenamed("_bin", "_rbin")
-    meet = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin"))
-    meet &= (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
-    meet &= F.col("_bin") == F.floor(F.greatest("start", "r_start") / size)
-    return a.join(b, meet, how).drop("_chrom", "_bin", "_rbin")
 
-
-def point_join(points: DataFrame, at: str, regions: DataFrame, strict: bool = False, how: str = "inner", size: int = JOIN_BIN) -> DataFrame:
-    """Points and the regions that hold them: r_start <= at < r_end, or r_start < at < r_end when strict."""
+    mixed: bins of several widths, for sides that both hold long ranges.  A row is in the two bins at most of its own level; a pair meets
+    on the higher of its levels: right rows are lifted to all levels above theirs, left rows only to those that right rows have (the right
+    side is worked out twice for that).  Where the right side is a model of genes, its rows in many short bins are cheaper than
+    reads on several levels, so it is off unless asked for.
+    hot: rows of the left side above which a bin is split (its rows are counted first, so the left side is worked out twice).
+    """
+    own = ["_bin", "_chrom", "_rbin", "_level", "_rlevel", "_way", "_rway", "_own", "_rown", "_width", "_rwidth", "_salt", "_rsalt"]
+    meet = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    keys = {"chrom": "_chrom", "_bin": "_rbin"}
+    if mixed:
+        levels = _leveled(right, F.col("r_start"), F.col("r_end"), size, None).agg(F.collect_set("_own").alias("_levels"))
+        a = _leveled(left.crossJoin(F.broadcast(levels)), F.col("start"), F.col("end"), size, F.col("_levels")).drop("_levels")  # one row
+        b = _leveled(right, F.col("r_start"), F.col("r_end"), size, F.array(*map(F.lit, range(LEVELS))))
+        # left rows on their own level meet all that stands there, lifted ones only rows whose own level it is
+        b = _renamed(b, "_level", "_way", "_own", "_width").withColumn("_rway", F.explode(F.when(F.col("_rway") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        keys |= {"_level": "_rlevel", "_way": "_rway"}
+        meet &= F.col("_bin") == F.floor(F.greatest("start", "r_start") / F.col("_width"))
+    else:
+        a = _exploded(left, F.col("start"), F.col("end"), size)
+        b = _renamed(_exploded(right, F.col("r_start"), F.col("r_end"), size))
+        meet &= F.col("_bin") == F.floor(F.greatest("start", "r_start") / size)
+    return _met(a, b, keys, meet, hot).drop(*own)
+
+
+def point_join(points: DataFrame, at: str, regions: DataFrame, strict: bool = False, size: int = JOIN_BIN, hot: int | None = None) -> DataFrame:
+    """Points and the regions that hold them: r_start <= at < r_end, or r_start < at < r_end when strict.  hot: as in overlap_join."""
     a = points.withColumn("_bin", F.floor(F.col(at) / size))
-    b = _exploded(regions, F.col("r_start"), F.col("r_end"), size).withColumnRenamed("chrom", "_chrom").withColumnRenamed("_bin", "_rbin")
+    b = _renamed(_exploded(regions, F.col("r_start"), F.col("r_end"), size))
     low = F.col("r_start") < F.col(at) if strict else F.col("r_start") <= F.col(at)
-    meet = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin")) & low & (F.col(at) < F.col("r_end"))
-    return a.join(b, meet, how).drop("_chrom", "_bin", "_rbin")
+    return _met(a, b, {"chrom": "_chrom", "_bin": "_rbin"}, low & (F.col(at) < F.col("r_end")), hot).drop("_chrom", "_bin", "_rbin", "_salt", "_rsalt")
 
 
 def as_right(df: DataFrame, *keep: str) -> DataFrame:

@@ -289,15 +289,16 @@ class Range:
         self.chrom, self.start, self.end = None, 0, 1 << 40
 
     def take(self, filters: Iterable, start: str, end: str) -> None:
-        """start: the column below whose range's end, end: the column above whose start rows begin (both pos0 for reads)."""
+        """start, end: the columns between which a row lies (both pos0 for reads, whose ends are not columns)."""
         for f in filters:
             name, value = (f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None), getattr(f, "value", None)
             if name == "chrom" and isinstance(f, EqualTo):
                 self.chrom = value
-            if name == start and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
-                self.end = min(self.end, value + (not isinstance(f, LessThan)))
-            if name == end and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
-                self.start = max(self.start, value)
+            elif name in (start, end):
+                if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                    self.end = min(self.end, value + (not isinstance(f, LessThan)))
+                if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                    self.start = max(self.start, value)
 
 
 class IndexedBamSource(BamSource):

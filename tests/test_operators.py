@@ -417,3 +417,28 @@ def test_signal_of_listed_contigs(spark):
     for wrong in (lambda: V.scaled_signal(reads, 0.0), lambda: V.genebody_coverage(reads, some, 99)):
         with pytest.raises(ValueError):
             wrong()
+
+
+@pytest.mark.parametrize("mixed, hot", [(True, None), (False, 40), (True, 40)])
+def test_range_join_of_mixed_lengths_and_hot_bins(spark, mixed, hot):
+    draw = np.random.RandomState(7)
+    lengths = [1, 30, I.JOIN_BIN, I.JOIN_BIN + 1, 20_000, 300_000, 40_000_000]
+    make = lambda n: [(i, "ab"[draw.randint(2)], s, s + lengths[draw.randint(len(lengths))]) for i, s in enumerate(draw.randint(0, 50_000_000, n).tolist())]
+    left, right = make(300) + [(1000 + i, "a", 5_000 + i % 7, 5_030 + i % 7) for i in range(400)], make(200) + [(900, "a", 5_000, 5_003), (901, "a", 4_000, 900_000)]
+    a = spark.createDataFrame(left, "id long, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "r_id long, chrom string, r_start long, r_end long")
+    got = I.overlap_join(a, b, mixed=mixed, hot=hot)
+    assert sorted((r["id"], r["r_id"]) for r in got.collect()) == sorted((i, j) for i, c, s, e in left for j, d, t, f in right if c == d and s < f and t < e)
+    assert got.columns == ["id", "chrom", "start", "end", "r_id", "r_start", "r_end"]
+    got = I.point_join(a, "start", b, hot=hot)
+    assert sorted((r["id"], r["r_id"]) for r in got.collect()) == sorted((i, j) for i, c, s, e in left for j, d, t, f in right if c == d and t <= s < f)
+
+
+def test_long_ranges_have_few_rows_and_a_hot_bin_many_parts(spark):
+    long = spark.createDataFrame([(0, 1_000_000_000), (7, 1_000_007)], "start long, end long")
+    rows = I._leveled(long, F.col("start"), F.col("end"), I.JOIN_BIN, F.array(*map(F.lit, range(I.LEVELS))))
+    assert rows.where("end > 2000000").count() <= 16 and rows.where("end < 2000000").count() <= 2 * I.LEVELS
+    reads = spark.range(4000).select("id", F.lit("c").alias("chrom"), F.when(F.col("id") < 2000, 5).otherwise(F.col("id") * 4000).alias("start")).withColumn("end", F.col("start") + 30)
+    a, b = I._salted(I._exploded(reads, F.col("start"), F.col("end"), I.JOIN_BIN), I._renamed(I._exploded(reads, F.col("start"), F.col("end"), I.JOIN_BIN)), {"chrom": "_chrom", "_bin": "_rbin"}, 100)
+    assert a.groupBy("chrom", "_bin", "_salt").count().agg(F.max("count")).first()[0] < 200 and a.where("_bin = 0").select("_salt").distinct().count() == 20
+    assert b.where("_rbin = 0").count() == 20 * 2000
