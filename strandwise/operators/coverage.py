@@ -11,6 +11,7 @@ from strandwise.functions.sequence import name_bit, strand_rule
 from strandwise.operators import filters as R
 from strandwise.operators.genes import exons, with_length
 from strandwise.operators.intervals import as_right, coverage, merge, overlap_join, point_join
+from strandwise.operators.order import ordered_mean_std
 from strandwise.sources.storage import stored
 
 #: Reads that count at a position at most, in order of start, and the base quality that counts.
@@ -230,8 +231,16 @@ def tin(reads: DataFrame, tx: DataFrame, least: int = 10, n: int = 100, subtract
     return joined.select("tx_id", F.coalesce(score, F.lit(0.0)).alias("tin"))
 
 
-def tin_summary(scores: DataFrame) -> DataFrame:
-    """One row: mean, median and population deviation of the scores above zero."""
+def tin_summary(scores: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row: mean, median and population deviation of the scores above zero.
+
+    order: columns of scores that give the model's order; mean and deviation are then those of an array in it to the last bit.
+    """
+    if order:
+        kept = scores.where("tin > 0")
+        mean, std = ordered_mean_std(kept, "tin", order)
+        number = lambda x, name: F.when(F.lit(x == x), F.lit(x)).alias(name)
+        return kept.agg(F.percentile("tin", 0.5).alias("median")).select(number(mean, "mean"), "median", number(std, "std"))
     return scores.where("tin > 0").agg(F.avg("tin").alias("mean"), F.percentile("tin", 0.5).alias("median"), F.stddev_pop("tin").alias("std"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandwise.functions import cigar as C
 from strandwise.operators import filters as R
 from strandwise.operators.genes import cds_exons, exons, flanks, introns, utr_exons
+from strandwise.operators.order import first_rows
 from strandwise.operators.intervals import BIN, as_right, merge, overlap_join, point_join
 from strandwise.sources.storage import stored
 
@@ -62,12 +63,20 @@ def _sum(condition: Column) -> Column:
 
 def read_distribution(reads: DataFrame, tx: DataFrame) -> DataFrame:
     """name, bases, tags, tags_per_kb for ten regions: where the middles of match blocks fall, strictly inside."""
+    rows = reads.where(R.keeps("read_distribution")).select(F.upper("chrom").alias("chrom"), F.explode(block_middles()).alias("p"))
+    return distribution_of(rows.groupBy("chrom", "p").agg(F.count("*").alias("n")), tx)
+
+
+def block_middles() -> Column:
+    return F.transform(C.exon_blocks(), lambda b: b["start"] + F.floor((b["end"] - b["start"]) / 2))
+
+
+def distribution_of(tags: DataFrame, tx: DataFrame) -> DataFrame:
+    """read_distribution of block middles (chrom in upper case, p, and n, how many)."""
     runs = stored(region_segments(tx), "regions")
-    rows = reads.where(R.keeps("read_distribution")).select(F.upper("chrom").alias("chrom"), F.explode(C.exon_blocks()).alias("b"))
-    tags = rows.select("chrom", (F.col("b.start") + F.floor((F.col("b.end") - F.col("b.start")) / 2)).alias("p"))
     met = point_join(tags, "p", as_right(runs, "mask", "before"))
     # A region's first base is not strictly inside it: there, only what holds the base before counts too.
-    per = met.select(F.when(F.col("p") == F.col("r_start"), F.col("mask").bitwiseAND(F.col("before"))).otherwise(F.col("mask")).alias("m"))
+    per = met.select(F.when(F.col("p") == F.col("r_start"), F.col("mask").bitwiseAND(F.col("before"))).otherwise(F.col("mask")).alias("m"), "n")
     inside = lambda k: F.col("m").bitwiseAND(F.lit(1 << k)) != 0
     spot = (
         F.when(inside(1), 1)
@@ -86,7 +95,7 @@ def read_distribution(reads: DataFrame, tx: DataFrame) -> DataFrame:
     )
     k = F.col("spot")
     groups = {1: k == 1, 2: k == 2, 3: k == 3, 4: k == 4, 5: k == 5, 6: k.between(5, 6), 7: k.between(5, 7), 8: k == 8, 9: k.between(8, 9), 10: k.between(8, 10)}
-    counts = per.select(spot.alias("spot")).agg(*[_sum(c).alias(str(g)) for g, c in groups.items()])
+    counts = per.select(spot.alias("spot"), "n").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(str(g)) for g, c in groups.items()])
     tags_by = counts.select(F.explode(F.array(*[F.struct(F.lit(g).alias("region"), F.col(str(g)).alias("tags")) for g in groups])).alias("x")).select("x.*")
     size = F.col("end") - F.col("start")
     sums = runs.agg(*[F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << g)) != 0, size)).alias(str(g)) for g in groups])
@@ -103,8 +112,7 @@ def inner_distance(reads: DataFrame, tx: DataFrame, sample: int | None = None, q
     """
     rows = reads.where(R.keeps("inner_distance", q_cut)).where(R.has(R.PAIRED) & R.lacks(R.MATE_UNMAPPED))
     rows = rows.where("pos0 is not null and mate_pos0 is not null and mate_pos0 >= pos0").where((F.col("mate_pos0") > F.col("pos0")) | ~R.has(R.READ1))
-    if sample is not None:
-        rows = rows.orderBy("rid").limit(sample)
+    rows = first_rows(rows, sample)
     rows = rows.where("chrom is not null and mate_chrom is not null")
     gaps = F.aggregate(C.intron_blocks(), F.lit(0).cast("long"), lambda a, b: a + b["end"] - b["start"])
     rows = rows.select("rid", "qname", F.upper("chrom").alias("chrom"), (F.col("chrom") != F.col("mate_chrom")).alias("apart"), "pos0", F.col("mate_pos0").alias("mate"), (F.col("pos0") + C.aligned_length() + gaps).alias("done"), C.exon_blocks().alias("blocks"))

@@ -13,15 +13,16 @@ from strandwise.functions import cigar as C
 from strandwise.functions.sequence import md_mismatches, oriented
 from strandwise.operators import filters as R
 from strandwise.operators.intervals import as_right, overlap_join
+from strandwise.operators.order import first_rows
 
 
 def _count(condition: Column, name: str) -> Column:
     return F.count_if(condition).cast("long").alias(name)
 
 
-def bam_stat(reads: DataFrame, q_cut: int = 30) -> DataFrame:
-    """One row of counters; a read falls in the first bucket that fits."""
-    bucket = (
+def stat_bucket(q_cut: int = 30) -> Column:
+    """The first bucket that fits a read."""
+    return (
         F.when(R.has(R.QC_FAIL), "qc_fail")
         .when(R.has(R.DUPLICATE), "duplicate")
         .when(R.has(R.SECONDARY), "non_primary")
@@ -29,20 +30,41 @@ def bam_stat(reads: DataFrame, q_cut: int = 30) -> DataFrame:
         .when(~R.good_quality(q_cut), "multi")
         .otherwise("unique")
     )
-    rows = reads.select("flag", "chrom", "mate_chrom", bucket.alias("bucket"), F.exists("cigar", lambda c: c["op"] == "N").alias("spliced"))
+
+
+def spliced() -> Column:
+    return F.coalesce(F.exists("cigar", lambda c: c["op"] == "N"), F.lit(False))
+
+
+def elsewhere() -> Column:
+    """Whether the mate lies on another contig."""
+    return F.coalesce(F.col("chrom") != F.col("mate_chrom"), F.lit(False))
+
+
+def bam_stat(reads: DataFrame, q_cut: int = 30) -> DataFrame:
+    """One row of counters; a read falls in the first bucket that fits."""
+    return stat_of(reads.select("flag", stat_bucket(q_cut).alias("bucket"), spliced().alias("spliced"), elsewhere().alias("elsewhere"), F.lit(1).alias("n")))
+
+
+def stat_of(rows: DataFrame) -> DataFrame:
+    """bam_stat of rows flag, bucket, spliced, elsewhere that stand for n reads each."""
+
+    def count(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long").alias(name)
+
     unique = F.col("bucket") == "unique"
     proper = unique & R.has(R.PROPER)
     return rows.agg(
-        F.count("*").alias("total"),
-        *[_count(F.col("bucket") == b, b) for b in ("qc_fail", "duplicate", "non_primary", "unmapped", "multi", "unique")],
-        _count(unique & R.has(R.READ1), "read1"),
-        _count(unique & R.has(R.READ2), "read2"),
-        _count(unique & ~R.has(R.REVERSE), "forward"),
-        _count(unique & R.has(R.REVERSE), "reverse"),
-        _count(unique & ~F.col("spliced"), "non_splice"),
-        _count(unique & F.col("spliced"), "splice"),
-        _count(proper, "proper_pair"),
-        _count(proper & F.col("chrom").isNotNull() & F.col("mate_chrom").isNotNull() & (F.col("chrom") != F.col("mate_chrom")), "proper_other_contig"),
+        count(F.lit(True), "total"),
+        *[count(F.col("bucket") == b, b) for b in ("qc_fail", "duplicate", "non_primary", "unmapped", "multi", "unique")],
+        count(unique & R.has(R.READ1), "read1"),
+        count(unique & R.has(R.READ2), "read2"),
+        count(unique & ~R.has(R.REVERSE), "forward"),
+        count(unique & R.has(R.REVERSE), "reverse"),
+        count(unique & ~F.col("spliced"), "non_splice"),
+        count(unique & F.col("spliced"), "splice"),
+        count(proper, "proper_pair"),
+        count(proper & F.col("elsewhere"), "proper_other_contig"),
     )
 
 
@@ -52,29 +74,42 @@ def filter_matrix(reads: DataFrame, q_cut: int = 30) -> DataFrame:
     return kept.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(p).alias("k"), F.col(p).alias("v")) for p in R.POLICIES]))).alias("report", "kept"))
 
 
+def gc_bases() -> Column:
+    return F.length("seq") - F.length(F.translate("seq", "GC", ""))
+
+
 def read_gc(reads: DataFrame, q_cut: int = 30) -> DataFrame:
     """gc, length, reads, first_rid: the few distinct (gc, length) pairs; ``percent_text`` makes their key at the sink."""
     rows = reads.where(R.keeps("read_gc", q_cut)).where(F.length("seq") > 0)
-    gc = F.length("seq") - F.length(F.translate("seq", "GC", ""))
-    return rows.groupBy(gc.alias("gc"), F.length("seq").alias("length")).agg(F.count("*").alias("reads"), F.min("rid").alias("first_rid"))
+    return rows.groupBy(gc_bases().alias("gc"), F.length("seq").alias("length")).agg(F.count("*").alias("reads"), F.min("rid").alias("first_rid"))
 
 
 def read_nvc(reads: DataFrame, q_cut: int = 30) -> DataFrame:
     """pos, A, C, G, T, N, X: letters by read position, as read; as many rows as the last record is long."""
     rows = reads.where(R.keeps("read_nvc", q_cut)).select("rid", oriented(F.col("seq"), F.col("flag")).alias("seq"))
-    last = rows.agg(F.max_by(F.length("seq"), "rid").alias("n"))
-    frame = last.select(F.explode(F.expr("if(n > 0, sequence(0, n - 1), cast(array() as array<int>))")).alias("pos"))
+    last = rows.agg(F.max_by(F.length("seq"), "rid").alias("last"))
     letters = rows.select(F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
-    counts = letters.groupBy("pos").agg(*[_count(F.col("base") == b, b) for b in "ACGTNX"])
+    return nvc_of(letters.groupBy("pos", "base").agg(F.count("*").alias("n")), last)
+
+
+def nvc_of(letters: DataFrame, last: DataFrame) -> DataFrame:
+    """read_nvc of counts (pos, base, n) and the last record's length (one row, last)."""
+    frame = last.select(F.explode(F.expr("if(last > 0, sequence(0, int(last) - 1), cast(array() as array<int>))")).alias("pos"))
+    counts = letters.groupBy("pos").agg(*[F.sum(F.when(F.col("base") == b, F.col("n"))).alias(b) for b in "ACGTNX"])
     return frame.join(counts, "pos", "left").select("pos", *[F.coalesce(F.col(b), F.lit(0)).cast("long").alias(b) for b in "ACGTNX"])
 
 
+def unclipped_qualities() -> Column:
+    """Qualities without soft clips, as read."""
+    lead, tail = C.clip_lengths()
+    kept = F.slice("qual", lead + 1, F.greatest(F.size("qual") - lead - tail, F.lit(0)))
+    return F.when(R.has(R.REVERSE), F.reverse(kept)).otherwise(kept)
+
+
 def read_quality(reads: DataFrame, q_cut: int = 30) -> DataFrame:
     """pos, quality, reads: qualities without soft clips, as read; positions up to the last record's sequence length."""
-    lead, tail = C.clip_lengths()
     rows = reads.where(R.keeps("read_quality", q_cut))
-    kept = F.slice("qual", lead + 1, F.greatest(F.size("qual") - lead - tail, F.lit(0)))
-    rows = rows.select("rid", F.length("seq").alias("n"), F.when(R.has(R.REVERSE), F.reverse(kept)).otherwise(kept).alias("q"))
+    rows = rows.select("rid", F.length("seq").alias("n"), unclipped_qualities().alias("q"))
     last = rows.agg(F.max_by("n", "rid").alias("last"))
     counts = rows.select(F.posexplode("q").alias("pos", "quality")).groupBy("pos", "quality").agg(F.count("*").alias("reads"))
     return counts.join(F.broadcast(last), F.col("pos") < F.col("last")).drop("last")
@@ -82,6 +117,12 @@ def read_quality(reads: DataFrame, q_cut: int = 30) -> DataFrame:
 
 def duplication(reads: DataFrame, by: str, q_cut: int = 30) -> DataFrame:
     """occurrence, keys: how many sequences (by='sequence') or placements (by='position') occur so often."""
+    once = duplication_keys(reads, by, q_cut)
+    return once.groupBy(*once.columns).agg(F.count("*").alias("occurrence")).groupBy("occurrence").agg(F.count("*").alias("keys"))
+
+
+def duplication_keys(reads: DataFrame, by: str, q_cut: int = 30) -> DataFrame:
+    """The key of each kept read: its sequence, or its placement."""
     rows = reads.where(R.keeps("read_duplication", q_cut))
     if by == "position":
         rows = rows.withColumn("_lost", F.when(F.col("chrom").isNull() | F.col("pos0").isNull(), F.raise_error(F.lit("a mapped read has no place"))))
@@ -89,8 +130,7 @@ def duplication(reads: DataFrame, by: str, q_cut: int = 30) -> DataFrame:
         rows = rows.withColumn("_blocks", C.exon_blocks()).where(F.col("_lost").isNull())
     else:
         keys = ["seq"]
-    once = rows.groupBy(*keys).agg(F.count("*").alias("occurrence"))
-    return once.groupBy("occurrence").agg(F.count("*").alias("keys"))
+    return rows.select(*keys)
 
 
 def cycle_profile(reads: DataFrame, op: str, report: str, q_cut: int = 30, pairs: bool = False) -> DataFrame:
@@ -102,31 +142,43 @@ def cycle_profile(reads: DataFrame, op: str, report: str, q_cut: int = 30, pairs
     mate = F.when(R.has(R.READ1), 1).otherwise(2) if pairs else F.lit(0)
     if pairs:
         rows = rows.where(R.has(R.PAIRED))
-    rows = rows.select("rid", mate.alias("mate"), C.expanded_length().alias("n"), C.read_ranges(op).alias("ranges"), R.has(R.REVERSE).alias("reverse"))
+    rows = rows.select("rid", mate.alias("mate"), C.expanded_length().alias("n"), cycles(op).alias("at"))
     sizes = rows.groupBy("mate").agg(F.count("*").alias("total"), F.max_by("n", "rid").alias("last"))
-    at = F.explode(F.flatten(F.transform("ranges", lambda r: F.when(r["end"] > r["start"], F.sequence(r["start"], r["end"] - 1)))))
-    hits = rows.where(F.size("ranges") > 0).select("mate", "n", "reverse", at.alias("p")).select("mate", F.when(F.col("reverse"), F.col("n") - 1 - F.col("p")).otherwise(F.col("p")).alias("pos"))
-    hits = hits.groupBy("mate", "pos").agg(F.count("*").alias("with_op"))
+    hits = rows.where(F.size("at") > 0).select("mate", F.explode("at").alias("pos")).groupBy("mate", "pos").agg(F.count("*").alias("with_op"))
+    return cycles_of(sizes, hits)
+
+
+def cycles(op: str) -> Column:
+    """Read positions, as read, of the bases that ``op`` covers."""
+    n = C.expanded_length()
+    at = F.flatten(F.transform(C.read_ranges(op), lambda r: F.when(r["end"] > r["start"], F.sequence(r["start"], r["end"] - 1)).otherwise(F.array().cast("array<bigint>"))))
+    return F.when(R.has(R.REVERSE), F.transform(at, lambda p: n - 1 - p)).otherwise(at)
+
+
+def cycles_of(sizes: DataFrame, hits: DataFrame) -> DataFrame:
+    """cycle_profile of sizes (mate, total, last) and hits (mate, pos, with_op)."""
     frame = sizes.where("last > 0").select("mate", "total", F.explode(F.expr("sequence(0L, last - 1)")).alias("pos"))
     joined = frame.join(hits, ["mate", "pos"], "left").withColumn("with_op", F.coalesce("with_op", F.lit(0)).cast("long"))
     return joined.select("mate", "pos", "with_op", (F.col("total") - F.col("with_op")).alias("without_op"))
 
 
+def shows_deletions(length: int, q_cut: int = 30) -> Column:
+    return R.keeps("deletion_profile", q_cut) & F.exists("cigar", lambda c: c["op"] == "D") & (F.length("seq") == length) & (C.length_of("MSI") == length)
+
+
 def deletion_profile(reads: DataFrame, length: int, most: int | None = None, q_cut: int = 30) -> DataFrame:
     """pos, deletions for read positions 0 to length - 1, over the first ``most`` reads (all if None) with a deletion."""
-    rows = reads.where(R.keeps("deletion_profile", q_cut)).where(F.exists("cigar", lambda c: c["op"] == "D"))
-    rows = rows.where((F.length("seq") == length) & (C.length_of("MSI") == length))
-    rows = _first(rows.select("rid", "flag", C.deletion_starts().alias("d")), most)
-    starts = rows.select("flag", F.explode("d").alias("d")).select(F.when(R.has(R.REVERSE), length - F.col("d.start")).otherwise(F.col("d.start")).alias("pos"))
-    return _filled(starts.groupBy("pos").agg(F.count("*").alias("deletions")), length, ["deletions"])
+    rows = reads.where(shows_deletions(length, q_cut))
+    rows = first_rows(rows.select("rid", deletion_places(length).alias("d")), most)
+    return filled(rows.select(F.explode("d").alias("pos")).groupBy("pos").agg(F.count("*").alias("deletions")), length, ["deletions"])
 
 
-def _first(rows: DataFrame, most: int | None) -> DataFrame:
-    """The first ``most`` rows by rid; all if None."""
-    return rows if most is None else rows.orderBy("rid").limit(most)
+def deletion_places(length: int) -> Column:
+    """Read positions of deletions; reverse reads count from the other end."""
+    return F.transform(C.deletion_starts(), lambda d: F.when(R.has(R.REVERSE), length - d["start"]).otherwise(d["start"]))
 
 
-def _filled(counts: DataFrame, length: int, columns: list[str]) -> DataFrame:
+def filled(counts: DataFrame, length: int, columns: list[str]) -> DataFrame:
     frame = counts.sparkSession.range(length).select(F.col("id").alias("pos"))
     return frame.join(counts, "pos", "left").select("pos", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in columns])
 
@@ -139,26 +191,55 @@ def mismatch_profile(reads: DataFrame, length: int, most: int | None = None, q_c
 
     Reverse reads count from the other end; bases are not complemented.
     """
-    md = F.expr("element_at(tags, 'MD').s")
+    rows = first_rows(reads.where(shows_mismatches(length, q_cut)).select("rid", "flag", "seq", _md().alias("md")), most).where("md is not null")
+    found = rows.select(F.explode(mismatches("md", length)).alias("m"))
+    return mismatches_of(found.groupBy("m.pos", "m.g").agg(F.count("*").alias("n")), length)
+
+
+def _md() -> Column:
+    return F.expr("element_at(tags, 'MD').s")
+
+
+def shows_mismatches(length: int, q_cut: int = 30) -> Column:
     nm = F.expr("element_at(tags, 'NM').i")
-    rows = reads.where(R.keeps("mismatch_profile", q_cut)).where(nm.isNull() | (nm != 0)).where(md.isNull() | ~F.contains(md, F.lit("^")))
-    rows = rows.where((F.length("seq") == length) & (C.length_of("M") == length) & ~F.contains("seq", F.lit("N")))
-    rows = _first(rows.withColumn("md", md).select("rid", "flag", "seq", "md"), most).where("md is not null")
-    found = rows.select("flag", F.explode(md_mismatches("md", "seq")).alias("m"))
-    found = found.select(F.when(R.has(R.REVERSE), length - 1 - F.col("m.pos")).otherwise(F.col("m.pos")).cast("long").alias("pos"), F.concat("m.ref", F.lit("2"), "m.read").alias("g"))
-    counts = found.groupBy("pos").agg(F.count("*").alias("sum"), *[_count(F.col("g") == g, g) for g in GENOTYPES])
-    return _filled(counts, length, ["sum", *GENOTYPES])
+    kept = R.keeps("mismatch_profile", q_cut) & (nm.isNull() | (nm != 0)) & (_md().isNull() | ~F.contains(_md(), F.lit("^")))
+    return kept & (F.length("seq") == length) & (C.length_of("M") == length) & ~F.contains("seq", F.lit("N"))
+
+
+def mismatches(md: str, length: int) -> Column:
+    """(pos, g) of each mismatch: the read position, and its genotype."""
+    pos = lambda m: F.when(R.has(R.REVERSE), length - 1 - m["pos"]).otherwise(m["pos"]).cast("long")
+    return F.transform(md_mismatches(md, "seq"), lambda m: F.struct(pos(m).alias("pos"), F.concat(m["ref"], F.lit("2"), m["read"]).alias("g")))
+
+
+def mismatches_of(counts: DataFrame, length: int) -> DataFrame:
+    """mismatch_profile of counts (pos, g, n)."""
+    sums = counts.groupBy("pos").agg(F.sum("n").alias("sum"), *[F.sum(F.when(F.col("g") == g, F.col("n"))).alias(g) for g in GENOTYPES])
+    return filled(sums, length, ["sum", *GENOTYPES])
 
 
 def strand_inference(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
     """paired, key, reads: how read strand and gene strand go together over the first ``sample`` usable reads (all if None)."""
-    rows = reads.where(R.keeps("infer_experiment", q_cut)).withColumn("paired", R.has(R.PAIRED))
-    rows = rows.where(~F.col("paired") | R.has(R.READ1) | R.has(R.READ2))
-    number = F.when(~F.col("paired"), "").when(R.has(R.READ1), "1").otherwise("2")
-    rows = rows.select("rid", "chrom", F.col("pos0").alias("start"), (F.col("pos0") + C.aligned_length()).alias("end"), "paired", F.concat(number, R.strand()).alias("own"))
+    rows = reads.where(infers(q_cut)).select("rid", *inference_key(), F.lit(1).alias("n"))
+    return inference_of(rows, tx, ["rid"], sample)
+
+
+def infers(q_cut: int = 30) -> Column:
+    return R.keeps("infer_experiment", q_cut) & (R.lacks(R.PAIRED) | R.has(R.READ1) | R.has(R.READ2))
+
+
+def inference_key() -> list[Column]:
+    """chrom, start, end, paired, own: all that strand inference looks at."""
+    number = F.when(R.lacks(R.PAIRED), "").when(R.has(R.READ1), "1").otherwise("2")
+    return [F.col("chrom"), F.col("pos0").alias("start"), (F.col("pos0") + C.aligned_length()).alias("end"), R.has(R.PAIRED).alias("paired"), F.concat(number, R.strand()).alias("own")]
+
+
+def inference_of(rows: DataFrame, tx: DataFrame, key: list[str], sample: int | None = None) -> DataFrame:
+    """strand_inference of rows with inference_key that stand for n reads each and differ in ``key``; a sample needs rid there."""
     genes = tx.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), F.col("strand").alias("gene"))
-    met = overlap_join(rows, genes).groupBy("rid", "paired", "own").agg(F.array_join(F.array_sort(F.collect_set("gene")), ":").alias("genes"))
-    return _first(met, sample).groupBy("paired", F.concat("own", "genes").alias("key")).agg(F.count("*").alias("reads"))
+    own = list(dict.fromkeys([*key, "paired", "own", "n"]))
+    met = overlap_join(rows, genes).groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set("gene")), ":").alias("genes"))
+    return first_rows(met, sample).groupBy("paired", F.concat("own", "genes").alias("key")).agg(F.sum("n").cast("long").alias("reads"))
 
 
 SPEC1, SPEC2 = ("1++", "1--", "2+-", "2-+"), ("1+-", "1-+", "2++", "2--")
@@ -167,7 +248,11 @@ SINGLE1, SINGLE2 = ("++", "--"), ("+-", "-+")
 
 def infer_experiment(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
     """protocol, spec1, spec2, other: fractions of reads that each strand rule explains."""
-    keys = strand_inference(reads, tx, sample, q_cut)
+    return protocol_of(strand_inference(reads, tx, sample, q_cut))
+
+
+def protocol_of(keys: DataFrame) -> DataFrame:
+    """infer_experiment of the counts that strand_inference gives."""
     sums = keys.agg(
         F.coalesce(F.sum("reads"), F.lit(0)).alias("n"),
         F.count_if("paired").alias("pe"),

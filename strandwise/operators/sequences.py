@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandwise.functions import cigar as C
 from strandwise.functions.sequence import differences, kmers
 from strandwise.operators import filters as R
+from strandwise.operators.order import before_break, first_rows
 
 CODES = "ACGT"
 
@@ -37,7 +38,7 @@ def logo_counts(seqs: DataFrame, most: int | None = None, without_n: bool = Fals
 
     Records with N count towards ``most``, but when they are left out the stop comes with the next kept record.
     """
-    rows = seqs.orderBy("rec_no").limit(most) if most else seqs
+    rows = first_rows(seqs, most or None, "rec_no")
     if without_n:
         rows = rows.where(~F.contains("seq", F.lit("N")))
     letters = rows.select("rec_no", F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
@@ -48,12 +49,16 @@ def logo_counts(seqs: DataFrame, most: int | None = None, without_n: bool = Fals
     return counts.join(F.broadcast(order), "base").select("pos", "base", "reads", "rank")
 
 
-def barcode_qualities(seqs: DataFrame, most: int | None = None) -> DataFrame:
-    """pos, score, reads, fraction: Phred scores (33 off) by position."""
-    rows = seqs.orderBy("rec_no").limit(most) if most else seqs
+def barcode_qualities(seqs: DataFrame, most: int | None = None, must_have: bool = False) -> DataFrame:
+    """pos, score, reads, fraction: Phred scores (33 off) by position.  must_have: no records at all are an error, found while the query is made."""
+    rows = first_rows(seqs, most or None, "rec_no")
     scores = rows.select(F.posexplode(F.split("qual", "")).alias("pos", "c")).where("c <> ''").select("pos", (F.ascii("c") - 33).alias("score"))
     counts = scores.groupBy("pos", "score").agg(F.count("*").alias("reads"))
     totals = counts.groupBy("pos").agg(F.sum("reads").alias("total"))
+    if must_have:
+        found = totals.count()  # a row for each position
+        if not found:
+            raise ValueError("no usable quality records")
     return counts.join(totals, "pos").select("pos", "score", "reads", (F.col("reads") / F.col("total")).alias("fraction"))
 
 
@@ -69,7 +74,7 @@ def _codes(reads: DataFrame, raw: str, corrected: str, limit: int | None) -> Dat
     if limit is not None:
         if limit <= 0:
             raise ValueError("the limit must be above zero")
-        reads = reads.orderBy("rid").limit(limit)
+        reads = first_rows(reads, limit)
     clean = lambda t: F.replace(tag_text(t), F.lit("-1"), F.lit(""))
     return reads.select("rid", clean(raw).alias("raw"), clean(corrected).alias("code"))
 
@@ -103,16 +108,22 @@ def edit_matrix(reads: DataFrame, raw: str, corrected: str, limit: int | None =
     return found.groupBy(F.col("d.pos").alias("pos"), F.concat_ws(":", "d.old", "d.new").alias("edit")).agg(F.count("*").alias("reads"))
 
 
-def single_cell_stat(reads: DataFrame, mito: str = "chrM") -> DataFrame:
+def tag_given(name: str):
+    return F.expr(f"element_at(tags, '{name}')").isNotNull()
+
+
+def single_cell_stat(reads: DataFrame, mito: str = "chrM", contigs: DataFrame | None = None) -> DataFrame:
     """One row of counters over placed reads; the confident ones have bit 0 of the tag xf.
 
-    A confident read without the tag RE stops the run.  RE other than E or I counts nowhere.
+    A confident read without the tag RE stops the run.  RE that begins with other letters than E and I counts nowhere.  contigs
+    (ref_id, chrom): reads from the first on that breaks their order are left out; without it all reads are taken to be in order.
     """
+    reads = reads if contigs is None else before_break(reads, contigs)
     rows = reads.where("chrom is not null").select(
-        "qname", "flag", "chrom", (F.coalesce(tag_number("xf"), F.lit(0)).bitwiseAND(F.lit(1)) == 1).alias("ok"), tag_text("RE").alias("re"),
-        tag_text("TX").isNotNull().alias("sense"), tag_text("AN").isNotNull().alias("anti"), tag_text("CB").isNotNull().alias("cb"), tag_text("UB").isNotNull().alias("ub"), C.shape().alias("shape"),
+        "qname", "flag", "chrom", (F.coalesce(tag_number("xf"), F.lit(0)).bitwiseAND(F.lit(1)) == 1).alias("ok"), tag_given("RE").alias("has_re"), F.substring(tag_text("RE"), 1, 1).alias("re"),
+        tag_given("TX").alias("sense"), tag_given("AN").alias("anti"), tag_given("CB").alias("cb"), tag_given("UB").alias("ub"), C.shape().alias("shape"),
     )
-    rows = rows.withColumn("re", F.when(F.col("ok") & F.col("re").isNull(), F.raise_error(F.lit("a confident read has no RE tag"))).otherwise(F.col("re")))
+    rows = rows.withColumn("re", F.when(F.col("ok") & ~F.col("has_re"), F.raise_error(F.lit("a confident read has no RE tag"))).otherwise(F.col("re")))
     ok = F.col("ok")
     return rows.agg(
         F.count("*").alias("alignments"),
@@ -134,7 +145,18 @@ def single_cell_stat(reads: DataFrame, mito: str = "chrM") -> DataFrame:
     )
 
 
-def single_cell_shapes(reads: DataFrame) -> DataFrame:
-    """shape, reads of confident reads."""
+def single_cell_shares(stat: DataFrame) -> DataFrame:
+    """One row of percentages: confident names of all names, and the other counters of confident names; either total at zero is an error."""
+
+    def some(name: str):
+        return F.when(F.col(name) > 0, F.col(name)).otherwise(F.raise_error(F.lit(f"no {name.replace('_', ' ')} to divide by")).cast("long"))
+
+    parts = ("duplicates", "not_duplicates", "forward", "reverse", "sense", "antisense", "other_direction", "exon", "intron", "with_cb", "with_ub", "mito")
+    return stat.select((F.col("confident_names") * 100.0 / some("names")).alias("confident_names"), *[(F.col(c) * 100.0 / some("confident_names")).alias(c) for c in parts])
+
+
+def single_cell_shapes(reads: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """shape, reads of confident reads; contigs: as in single_cell_stat."""
+    reads = reads if contigs is None else before_break(reads, contigs)
     rows = reads.where("chrom is not null").where(F.coalesce(tag_number("xf"), F.lit(0)).bitwiseAND(F.lit(1)) == 1)
     return rows.groupBy(C.shape().alias("shape")).agg(F.count("*").alias("reads"))

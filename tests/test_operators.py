@@ -442,3 +442,86 @@ def test_long_ranges_have_few_rows_and_a_hot_bin_many_parts(spark):
     a, b = I._salted(I._exploded(reads, F.col("start"), F.col("end"), I.JOIN_BIN), I._renamed(I._exploded(reads, F.col("start"), F.col("end"), I.JOIN_BIN)), {"chrom": "_chrom", "_bin": "_rbin"}, 100)
     assert a.groupBy("chrom", "_bin", "_salt").count().agg(F.max("count")).first()[0] < 200 and a.where("_bin = 0").select("_salt").distinct().count() == 20
     assert b.where("_rbin = 0").count() == 20 * 2000
+
+
+def test_ten_reports_of_one_pass(spark):
+    from strandwise.plans import multi, views
+
+    sf = "/root/testdata/sf0.001"
+    reads, tx = views.reads(spark, sf, "MD", "NM"), views.transcripts(spark, sf)
+    names = list(multi.REPORTS)
+    options = {"deletion_profile": {"length": 32}, "mismatch_profile": {"length": 32}, "read_gc": {"q_cut": 20}}
+    got = run_reports(reads, names, tx, options)
+    alone = {
+        "bam_stat": P.bam_stat(reads), "read_gc": P.read_gc(reads, 20), "read_nvc": P.read_nvc(reads), "read_quality": P.read_quality(reads),
+        "clipping_profile": P.cycle_profile(reads, "S", "clipping_profile"), "insertion_profile": P.cycle_profile(reads, "I", "insertion_profile"),
+        "deletion_profile": P.deletion_profile(reads, 32), "mismatch_profile": P.mismatch_profile(reads, 32), "infer_experiment": P.infer_experiment(reads, tx), "read_distribution": G.read_distribution(reads, tx),
+    }
+    assert list(got) == names == list(alone)
+    for name in names:
+        assert got[name].columns == alone[name].columns and sorted(map(str, got[name].collect())) == sorted(map(str, alone[name].collect())), name
+    plan = multi.tagged_counts(reads, names, options)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and plan.count("Exchange") == 1 and plan.count("Generate") == 1
+    first = run_reports(reads, ["deletion_profile", "infer_experiment"], tx, {"deletion_profile": {"length": 32, "most": 5}, "infer_experiment": {"sample": 50}})
+    assert first["deletion_profile"].agg(F.sum("deletions")).first()[0] == 5 and first["infer_experiment"].count() == 1
+
+
+def test_first_rows(spark, monkeypatch):
+    from strandwise.operators import order
+
+    monkeypatch.setattr(order, "ONE_TASK", 50)
+    monkeypatch.setattr(order, "RANGES", 8)
+    for keys in ([(7 * i) % 1009 for i in range(900)], [2**60 + i * i * i for i in range(900)], [5] * 900, [None] * 30 + [-(2**40) + 3 * i for i in range(600)], []):
+        rows = spark.createDataFrame([(k,) for k in keys], "rid long").repartition(5)
+        order_of = sorted(keys, key=lambda k: (k is not None, k or 0))
+        for n in (3, 20, 333, 899, 900, 5000, None):
+            got = [r["rid"] for r in order.first_rows(rows, n).collect()]
+            assert sorted(got, key=lambda k: (k is not None, k or 0)) == order_of[: len(order_of) if n is None else n]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 100, 70_000, 300_001])
+def test_sums_in_numpy_order(spark, n):
+    from strandwise.operators.order import ordered_mean_std
+
+    values = (np.random.RandomState(n).standard_normal(n) * 10.0 ** np.random.RandomState(n + 1).randint(-8, 9, n)).tolist()
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(7)
+    mean, std = ordered_mean_std(rows, "v", ["i"])
+    if not n:
+        assert math.isnan(mean) and math.isnan(std)
+    else:
+        x = np.array(values)
+        assert mean == np.sum(x) / n and std == np.sqrt(np.sum((x - mean) * (x - mean)) / n)
+        assert V.tin_summary(rows.select("i", F.abs("v").alias("tin")), ["i"]).first()["mean"] == np.mean(np.abs(x[x != 0]))
+
+
+def test_reads_that_break_the_order_of_contigs(spark):
+    import random
+
+    from strandwise.operators.order import before_break
+
+    contigs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "ref_id int, chrom string")
+    for seed in range(6):
+        draw = random.Random(seed)
+        chroms = sorted(draw.choice("aabc") for _ in range(40))
+        for _ in range(seed % 3):
+            chroms[draw.randrange(40)] = draw.choice(["a", "c", None, "elsewhere"])
+        kept, top = 0, 0
+        for c in chroms:
+            k = {"a": 0, "b": 1, "c": 2}.get(c)
+            if k is None or k < top:
+                break
+            kept, top = kept + 1, k
+        rows = spark.createDataFrame([(i, c) for i, c in enumerate(chroms)], "rid long, chrom string").repartition(4)
+        assert sorted(r["rid"] for r in before_break(rows, contigs).collect()) == list(range(kept))
+
+
+def test_single_cell_letters_and_totals(spark):
+    tags = "map<string,struct<t:string,i:bigint,s:string>>"
+    rows = [(0, "q", 0, "a", [("M", 5)], {"xf": ("i", 1, None), "RE": ("Z", None, "Exon")}), (1, "r", 0, "a", [("M", 5)], {"xf": ("i", 1, None), "RE": ("i", 4, None)})]
+    reads = spark.createDataFrame(rows, f"rid long, qname string, flag int, chrom string, cigar array<struct<op:string,len:int>>, tags {tags}")
+    stat = S.single_cell_stat(reads, "a")
+    assert (stat.first()["exon"], stat.first()["confident"]) == (1, 2) and S.single_cell_shares(stat).first()["exon"] == 50
+    with pytest.raises(Exception, match="to divide by"):
+        S.single_cell_shares(S.single_cell_stat(reads.where("false"))).collect()
+    with pytest.raises(ValueError):
+        S.barcode_qualities(spark.createDataFrame([], "rec_no long, qual string"), must_have=True)
