@@ -525,3 +525,35 @@ def test_single_cell_letters_and_totals(spark):
         S.single_cell_shares(S.single_cell_stat(reads.where("false"))).collect()
     with pytest.raises(ValueError):
         S.barcode_qualities(spark.createDataFrame([], "rec_no long, qual string"), must_have=True)
+
+
+@pytest.mark.parametrize("by", ["sequence", "position"])
+def test_duplication_over_three_batches(spark, tmp_path, by):
+    from strandwise.plans import views
+    from strandwise.streaming.counters import duplication_changes, duplication_so_far
+
+    reads = views.reads(spark, "/root/testdata/sf0.001").where("rid % 23 = 0").withColumns({"seq": F.substring("seq", 1, 4), "pos0": F.col("pos0") % 5, "cigar": F.slice("cigar", 1, 1)})
+    for k in range(3):
+        reads.where(f"rid % 3 = {k}").coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"b{k}").glob("part-*"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = duplication_changes(stream, by).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert len(query.recentProgress) >= 3 and query.exception() is None
+    whole = P.duplication(spark.read.parquet(str(tmp_path / "in")), by)
+    got = duplication_so_far(spark.read.parquet(str(tmp_path / "out")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 2
+
+
+def test_running_junctions(spark, tmp_path):
+    from strandwise.plans import views
+    from strandwise.streaming.counters import running_junctions
+
+    reads, tx = views.reads(spark, "/root/testdata/sf0.001"), views.transcripts(spark, "/root/testdata/sf0.001")
+    reads.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = running_junctions(stream, tx).writeStream.outputMode("complete").format("memory").queryName("junctions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert sorted(map(tuple, spark.table("junctions").collect())) == sorted(map(tuple, G.junction_annotation(reads, tx).drop("first_rid").collect()))
