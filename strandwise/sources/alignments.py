@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.cigar import parse_cigar
 from strandwise.sources.bam import FEW_PARTS, SAM_SCHEMA, BamSource, read_bam
+from strandwise.sources.cram import read_cram
 
 __all__ = ["SAM_SCHEMA", "BamSource", "decode_sam", "numbered_lines", "read_alignments", "read_sam", "sam_contigs"]
 SAM, BAM, CRAM = (".sam",), (".bam",), (".cram",)
@@ -19,12 +20,12 @@ SAM, BAM, CRAM = (".sam",), (".bam",), (".cram",)
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Reads of a file, by its extension."""
     name = path.lower()
-    if name.endswith((*SAM, ".sam.gz", ".sam.bz2")):
+    if name.endswith((*SAM, *(x + y for x in SAM for y in (".gz", ".bz2")))):
         return read_sam(spark, path)
     if name.endswith(BAM):
         return read_bam(spark, path)
     if name.endswith(CRAM):
-        raise NotImplementedError("CRAM is not read; convert it to BAM or SAM")
+        return read_cram(spark, path)
     raise ValueError(f"unknown kind of alignment file: {path}")
 
 
