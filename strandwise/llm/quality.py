@@ -81,18 +81,27 @@ class Model:
     """The projection and the sample's unit vectors and labels: at most SAMPLE x FACTORS and TERMS x FACTORS numbers."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
-        rows = damped(counts)
-        self.idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
-        weighted = unit(rows * self.idf)
-        self.mean = weighted.mean(axis=0)
-        centred = weighted - self.mean
-        values, vectors = np.linalg.eigh(centred.T @ centred)
+        """Rows are weighted a block at a time, so the driver holds little more than the counts."""
+        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+        blocks = [slice(i, i + 256) for i in range(0, len(counts), 256)]
+        self.mean = sum(self._weighted(counts[b]).sum(axis=0) for b in blocks) / len(counts)
+        spread = np.zeros((counts.shape[1], counts.shape[1]))
+        for b in blocks:
+            centred = self._weighted(counts[b]) - self.mean
+            spread += centred.T @ centred
+        values, vectors = np.linalg.eigh(spread)
         self.basis = vectors[:, np.argsort(values)[::-1][:FACTORS]].astype(np.float32)
-        self.vectors = unit(centred @ self.basis).astype(np.float32)
+        self.vectors = np.concatenate([self._placed(counts[b]) for b in blocks])
         self.labels = labels.astype(np.float32)
 
+    def _weighted(self, counts: np.ndarray) -> np.ndarray:
+        return unit(damped(counts) * self.idf)
+
+    def _placed(self, counts: np.ndarray) -> np.ndarray:
+        return unit((self._weighted(counts) - self.mean) @ self.basis).astype(np.float32)
+
     def score(self, counts: np.ndarray) -> np.ndarray:
-        own = unit((unit(damped(counts) * self.idf) - self.mean) @ self.basis).astype(np.float32)
+        own = self._placed(counts)
         near = own @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         top = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -106,12 +115,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from labelled rows that are not held out."""
+    """Learn from labelled rows that are not held out, in the same way whenever and however they are dealt.
+
+    A doc_id with labels of both kinds is left out; of several texts under one doc_id the one with the smallest hash counts.
+    """
     spark = docs.sparkSession
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = rows.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     order = F.md5(F.concat(F.lit("sample"), F.col("doc_id").cast("string")))
-    picked = [rows.where(F.col("quality") == q).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(sample // 2) for q in (0, 1)]
+    picked = [rows.where(F.col("quality") == q).select("doc_id", "quality").orderBy(order, "doc_id").limit(sample // 2) for q in (0, 1)]
     chosen = {r["doc_id"]: r["quality"] for r in picked[0].unionByName(picked[1]).collect()}  # at most `sample` rows
     if not chosen:
         return None
@@ -119,14 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            counts = term_counts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([c.astype(np.float32).tobytes() for c in counts], pa.binary())], ["doc_id", "quality", "counts"])
+            counts = pa.array([c.astype(np.float32).tobytes() for c in term_counts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("hash"), counts], ["doc_id", "quality", "hash", "counts"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    table = own.mapInArrow(run, "doc_id long, quality int, counts binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("hash")).join(F.broadcast(few), "doc_id")
+    rows = own.mapInArrow(run, "doc_id long, quality int, hash string, counts binary").groupBy("doc_id")
+    rows = rows.agg(F.first("quality").alias("quality"), F.min(F.struct("hash", "counts"))["counts"].alias("counts"))
+    table = rows.toArrow().sort_by("doc_id")  # at most `sample` rows of TERMS numbers
     if not table.num_rows:
         return None
-    counts = np.stack([np.frombuffer(c, np.float32) for c in table["counts"].to_pylist()])
+    counts = np.frombuffer(b"".join(c.as_buffer() for c in table["counts"]), np.float32).reshape(-1, TERMS)
     return Model(counts, table["quality"].to_numpy())
 
 

@@ -584,3 +584,16 @@ def test_ranges_of_cuts(spark):
     for cuts in ([], [5], [1, 3, 3, 8], list(range(0, 3000, 7))):
         got = spark.range(-3, 60).select("id", fingerprints._bisect(F.col("id"), cuts).alias("r")).collect()
         assert all(r["r"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
+def test_fit_repeats_itself(spark):
+    """One doc_id with several texts and one with both labels: models are equal however rows are dealt."""
+    rows = [(i, make_text(i, 30)) for i in range(60)] + [(5, "other text"), (5, "a third"), (7, "x")]
+    labels = [(i, i % 2) for i in range(60)] + [(9, 0), (9, 1), (5, 1)]
+    models = []
+    for n in (1, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand(n)).repartition(n)
+        models.append(quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int").repartition(n)))
+    assert all((m.vectors == models[0].vectors).all() and (m.labels == models[0].labels).all() for m in models)
+    taught = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5} - {9}
+    assert len(models[0].labels) == len(taught)
