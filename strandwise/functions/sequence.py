@@ -38,12 +38,12 @@ def md_mismatches(md: str, seq: str) -> Column:
 
     Reading stops where a token lies beyond the read's end.
     """
+    token = "([0-9]+)([A-Z]+)"
     return F.expr(
-        f"aggregate(regexp_extract_all({md}, '[0-9]+[A-Z]+', 0),"
+        f"aggregate(zip_with(regexp_extract_all({md}, '{token}', 1), regexp_extract_all({md}, '{token}', 2), (n, l) -> named_struct('n', int(n), 'l', l)),"
         " named_struct('p', 0, 'out', cast(array() as array<struct<pos:int,ref:string,read:string>>)),"
-        " (a, t) -> named_struct('p', a.p + int(regexp_extract(t, '[0-9]+', 0)) + length(regexp_extract(t, '[A-Z]+', 0)),"
-        f" 'out', if(a.p + int(regexp_extract(t, '[0-9]+', 0)) < length({seq}),"
-        f" array_append(a.out, named_struct('pos', a.p + int(regexp_extract(t, '[0-9]+', 0)), 'ref', regexp_extract(t, '[A-Z]+', 0), 'read', substring({seq}, a.p + int(regexp_extract(t, '[0-9]+', 0)) + 1, 1))), a.out)),"
+        f" (a, t) -> named_struct('p', a.p + t.n + length(t.l), 'out', if(a.p + t.n < length({seq}),"
+        f" array_append(a.out, named_struct('pos', a.p + t.n, 'ref', t.l, 'read', substring({seq}, a.p + t.n + 1, 1))), a.out)),"
         " a -> a.out)"
     )
 

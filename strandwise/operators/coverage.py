@@ -10,7 +10,7 @@ from strandwise.functions import cigar as C
 from strandwise.functions.sequence import name_bit, strand_rule
 from strandwise.operators import filters as R
 from strandwise.operators.genes import exons, with_length
-from strandwise.operators.intervals import as_right, coverage, merge, overlap_join, point_join
+from strandwise.operators.intervals import BIN, as_right, coverage, merge, overlap_join, point_join
 from strandwise.operators.order import ordered_mean_std
 from strandwise.sources.storage import stored
 
@@ -72,6 +72,11 @@ def _with_marks(tx: DataFrame) -> DataFrame:
     return with_length(tx).withColumn("marks", marks)
 
 
+def _spread(tx: DataFrame) -> DataFrame:
+    """A model is a small file, but each transcript lists many places: it is dealt over tasks first."""
+    return tx.repartition(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx_id")
+
+
 def _base(i: str) -> str:
     """The 1-based position of a transcript's base number i, from the sums of exon lengths; bases are never listed."""
     return f"aggregate(marks, 0L, (a, m) -> if(m.before <= {i}, m.start + {i} - m.before + 1, a))"
@@ -83,7 +88,7 @@ def sampled_positions(tx: DataFrame, n: int = 100) -> DataFrame:
     Short transcripts list their range's ends and every exon base, ends twice; long ones exon ends and every
     (length / n)-th base, once.
     """
-    rows = _with_marks(tx).where("length > 0").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("length") / n)))
+    rows = _with_marks(_spread(tx)).where("length > 0").withColumn("step", F.greatest(F.lit(1), F.floor(F.col("length") / n)))
     short = F.col("length") <= n
     ends = F.when(short, F.array(F.col("tx_start") + 1, F.col("tx_end"))).otherwise(F.flatten(F.transform("blocks", lambda b: F.array(b["start"] + 1, b["end"]))))
     some = F.expr(f"transform(sequence(0L, length - 1, step), i -> {_base('i')})")
@@ -96,7 +101,7 @@ def percentile_positions(tx: DataFrame, shortest: int = 100, distinct: bool = Tr
 
     from_end: bases of the reverse strand are counted from the last to the first.
     """
-    rows = _with_marks(tx).where(F.col("length") >= shortest)
+    rows = _with_marks(_spread(tx)).where(F.col("length") >= shortest)
     rows = rows.withColumn("back", (F.col("strand") == "-") & F.lit(from_end))
     at = "(length - 1) * i / 100D"
     low, high = (_base(f"if(back, length - 1 - bigint({f}({at})), bigint({f}({at})))") for f in ("floor", "ceil"))
@@ -114,20 +119,25 @@ _PARTS = (
 )
 
 
-def _pileup_parts(reads: DataFrame) -> DataFrame:
-    """chrom, rid, qname, pos0, paired, meets (a mate overlaps), and of each part op, r_start, r_end, bases and quals."""
+def _pileup_parts(reads: DataFrame, points: DataFrame) -> DataFrame:
+    """chrom, rid, qname, pos0, paired (a mate may overlap), and of each part op, r_start, r_end, bases and quals.
+
+    Only parts in bins that hold one of the points (chrom, p0) stay: reads are where they were, so what is cut from them moves only
+    if it is asked for.  Parts that are longer than a bin stay all.
+    """
     rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null").where(C.reference_span() > 0)
     end = F.col("pos0") + C.reference_span()
     far = (F.abs(F.coalesce("tlen", F.lit(0))) >= 2 * F.length("seq")) & (F.coalesce("mate_pos0", F.lit(-1)) >= end)
     paired = R.has(R.PROPER) & R.lacks(R.MATE_UNMAPPED) & F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False)) & ~far & F.col("qname").isNotNull()
     rows = rows.select("chrom", "rid", "qname", F.col("pos0").cast("long").alias("pos0"), end.alias("r_end"), paired.alias("paired"), "seq", "qual", "cigar")
-    mates = W.partitionBy("chrom", "qname", F.when(~F.col("paired"), F.col("rid"))).orderBy("pos0", "rid")
-    reach, coming = F.max("r_end").over(mates.rowsBetween(W.unboundedPreceding, -1)), F.lead("pos0").over(mates)
-    meets = F.coalesce(reach > F.col("pos0"), F.lit(False)) | F.coalesce(coming < F.col("r_end"), F.lit(False))
-    rows = rows.withColumn("meets", F.col("paired") & meets)
-    parts = rows.select("chrom", "rid", "qname", "pos0", "paired", "meets", "seq", "qual", F.explode_outer(F.expr(_PARTS)).alias("p"))
+    parts = rows.select("chrom", "rid", "qname", "pos0", "paired", "seq", "qual", F.explode_outer(F.expr(_PARTS)).alias("p"))
+    asked = points.select(F.col("chrom").alias("_chrom"), F.floor(F.col("p0") / BIN).alias("_bin")).distinct()  # a row for each BIN bases of the genome at most
+    for name, place in (("_first", F.col("p.start")), ("_last", F.col("p.end") - 1)):
+        here = asked.withColumnsRenamed({"_chrom": f"_chrom{name}", "_bin": name})
+        parts = parts.join(F.broadcast(here), (F.col("chrom") == F.col(f"_chrom{name}")) & (F.floor(place / BIN) == F.col(name)), "left")
+    parts = parts.where(F.col("_first").isNotNull() | F.col("_last").isNotNull() | (F.col("p.end") - F.col("p.start") > BIN))
     own = "int(p.off + 1), int(p.end - p.start)"
-    return parts.select("chrom", "rid", "qname", "pos0", "paired", "meets", F.col("p.op").alias("op"), F.col("p.start").alias("r_start"), F.col("p.end").alias("r_end"), F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
+    return parts.select("chrom", "rid", "qname", "pos0", "paired", F.col("p.op").alias("op"), F.col("p.start").alias("r_start"), F.col("p.end").alias("r_end"), F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
 
 
 def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
@@ -138,15 +148,15 @@ def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
     at all, as the name's hash bit says.  Of the reads so rewritten the first DEPTH count at a position, by start and
     file order.  Positions that several transcripts list are counted once.  Builds tables while the query is made.
     """
-    parts = stored(_pileup_parts(reads), "pileup")
     listed = positions.select("tx_id", "chrom", F.explode_outer("positions").alias("pos")).where("pos is not null")
     listed = stored(listed, "listed")
     points = listed.select("chrom", "pos", (F.col("pos") - 1).alias("p0")).distinct()
+    parts = stored(_pileup_parts(reads, points), "pileup")
     quality = F.expr("coalesce(get(quals, int(p0 - r_start)), 0)")
     own = ["chrom", "pos", "pos0", "rid"]
-    alone = point_join(points, "p0", parts.where("not meets and op <> 'N'").drop("bases"), size=256).select(*own, (quality >= BASE_QUALITY).cast("int").alias("good"))
+    alone = point_join(points, "p0", parts.where("not paired and op <> 'N'").drop("bases"), size=256).select(*own, (quality >= BASE_QUALITY).cast("int").alias("good"))
     skipped = point_join(points, "p0", parts.where("op = 'N'").drop("bases", "quals")).select(*own, F.lit(0).alias("good"))
-    at = point_join(points, "p0", parts.where("meets and op <> 'N'"), size=256)
+    at = point_join(points, "p0", parts.where("paired and op <> 'N'"), size=256)
     ranked = at.select(*own, "qname", quality.alias("q"), F.expr("if(op = 'D', null, substring(bases, int(p0 - r_start + 1), 1))").alias("base"), (F.col("op") == "D").alias("gap"))
     # Mates at one position, by start and file order; the name's hash bit says which of two equal ones keeps the quality.
     mates = W.partitionBy("chrom", "pos", "qname").orderBy("pos0", "rid")
@@ -256,6 +266,23 @@ def genebody_coverage(reads: DataFrame, tx: DataFrame, shortest: int = 100) -> D
     return sums
 
 
+def genebody_by_sample(reads: DataFrame, tx: DataFrame, shortest: int = 100) -> DataFrame:
+    """sample, slot, covered: genebody_coverage of every sample (a column of reads) in one pass.
+
+    A sample's contigs are contigs of their own, so all samples share one pile-up; places are worked out once.
+    """
+    if shortest < 100:
+        raise ValueError("the shortest transcript must have 100 bases or more")
+    own = lambda c: F.concat("sample", F.lit("\x1f"), c)
+    apart = reads.withColumns({c: own(c) for c in ("chrom", "mate_chrom")})
+    samples = F.broadcast(reads.select("sample").distinct())  # one for each input file
+    listed = stored(percentile_positions(tx, shortest), "places").crossJoin(samples)
+    slots = listed.select("sample", "tx_id", "strand", F.size("positions").alias("n"), F.posexplode_outer(F.array_sort("positions")).alias("i", "pos"))
+    slots = slots.select("sample", own("tx_id").alias("tx_id"), "pos", F.when(F.col("strand") == "-", F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("slot"))
+    depth = position_depth(apart, listed.select(own("tx_id").alias("tx_id"), own("chrom").alias("chrom"), "positions"))
+    return slots.join(depth, ["tx_id", "pos"], "left").groupBy("sample", "slot").agg(F.sum(F.coalesce("covered", F.lit(0))).cast("long").alias("covered"))
+
+
 def curve_shape(curve: DataFrame) -> DataFrame:
     """sample, skewness and the curve scaled between its ends: the mean cubed distance from the middle element in deviations.
 

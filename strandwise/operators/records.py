@@ -36,6 +36,8 @@ def split_reads(reads: DataFrame, tx: DataFrame) -> DataFrame:
 
     The mate's start is looked up on the read's own contig, and only where the mate is mapped.
     """
+    if not exons(tx).where("start < end").limit(1).count():
+        raise ValueError("the gene model has no exons")
     regions = as_right(merge(exons(tx).withColumn("chrom", F.upper("chrom"))))
     live = reads.where(R.lacks(R.QC_FAIL | R.UNMAPPED)).select("rid", F.upper("chrom").alias("chrom"), F.col("pos0").alias("p"))
     mates = reads.where(R.lacks(R.QC_FAIL | R.UNMAPPED | R.MATE_UNMAPPED)).select("rid", F.upper("chrom").alias("chrom"), F.coalesce("mate_pos0", F.lit(0)).alias("p"))

@@ -24,31 +24,28 @@ GROUPS = ("CDS_Exons", "5'UTR_Exons", "3'UTR_Exons", "Introns", "TSS_up_1kb", "T
 def region_segments(tx: DataFrame) -> DataFrame:
     """chrom, start, end, mask, before: runs of bases that lie in the same regions; bit k stands for region k of GROUPS.
 
-    One sweep over the ends of all parts of all transcripts gives the counts of each kind at every base.  A kind is
-    taken out where one before it holds: UTRs give way to coding exons, introns to both, flanks to all of these.
-    ``before`` is the mask of the base before the run.
+    Parts of a kind are merged, so that each base has a kind once or not: one sweep over all ends, each of which adds or takes the
+    kind's bit, gives the kinds at every base.  A kind is taken out where one before it holds: UTRs give way to coding exons, introns to
+    both, flanks to all of these.  ``before`` is the mask of the base before the run.
     """
     tx = tx.withColumn("chrom", F.upper("chrom"))
     sides = [flanks(tx, n, n) for n in (1000, 5000, 10000)]
     kinds = [cds_exons(tx), utr_exons(tx, 5), utr_exons(tx, 3), introns(tx), *[s[0] for s in sides], *[s[1] for s in sides]]
-    parts = reduce(DataFrame.unionByName, [k.select("chrom", "start", "end", F.lit(i).alias("kind")) for i, k in enumerate(kinds)]).where("start < end")
-    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
-    names = [f"c{i}" for i in range(len(kinds))]
-    events = parts.select("chrom", "kind", ends.alias("e")).groupBy("chrom", F.col("e.pos").alias("start")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("e.d"))), F.lit(0)).alias(n) for i, n in enumerate(names)])
+    parts = reduce(DataFrame.unionByName, [k.select("chrom", "start", "end", F.lit(1 << i).alias("kind")) for i, k in enumerate(kinds)])
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("kind").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("kind")).alias("d"))))
+    events = merge(parts, "kind", "chrom").select("chrom", ends.alias("e")).groupBy("chrom", F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
     events = events.withColumn("_bin", F.floor(F.col("start") / BIN))
     order = W.partitionBy("chrom").orderBy("_bin")  # a row for each bin that has events
-    bins = events.groupBy("chrom", "_bin").agg(*[F.sum(n).alias(n) for n in names], F.min("start").alias("_low"))
-    bins = bins.select("chrom", "_bin", *[(F.sum(n).over(order) - F.col(n)).alias(f"_{n}") for n in names], F.lead("_low").over(order).alias("_after"))
+    bins = events.groupBy("chrom", "_bin").agg(F.sum("d").alias("_all"), F.min("start").alias("_low"))
+    bins = bins.select("chrom", "_bin", (F.sum("_all").over(order) - F.col("_all")).alias("_base"), F.lead("_low").over(order).alias("_after"))
     line = W.partitionBy("chrom", "_bin").orderBy("start")
-    placed = events.join(bins, ["chrom", "_bin"]).select("chrom", "start", F.coalesce(F.lead("start").over(line), "_after").alias("end"), *[F.struct((F.col(f"_{n}") + F.sum(n).over(line)).alias("now"), F.col(n).alias("d")).alias(n) for n in names])
+    placed = events.join(bins, ["chrom", "_bin"]).select("chrom", "start", F.coalesce(F.lead("start").over(line), "_after").alias("end"), (F.col("_base") + F.sum("d").over(line)).alias("now"), "d")
 
-    def mask(count) -> Column:
-        inside = [count(F.col(n)) > 0 for n in names]
-        gene = inside[0] | inside[1] | inside[2]
-        kept = [inside[0], inside[1] & ~inside[0], inside[2] & ~inside[0], inside[3] & ~gene, *[f & ~gene & ~inside[3] for f in inside[4:]]]
-        return reduce(lambda x, y: x + y, [F.when(k, F.lit(1 << (i + 1))).otherwise(F.lit(0)) for i, k in enumerate(kept)])
+    def mask(now: Column) -> Column:
+        some = lambda bits: now.bitwiseAND(F.lit(bits))
+        return F.when(some(1) != 0, 1 << 1).when(some(6) != 0, some(6) * 2).when(some(8) != 0, 1 << 4).otherwise(now * 2).cast("int")
 
-    return placed.select("chrom", "start", "end", mask(lambda c: c["now"]).alias("mask"), mask(lambda c: c["now"] - c["d"]).alias("before")).where("mask <> 0 and end is not null")
+    return placed.select("chrom", "start", "end", mask(F.col("now")).alias("mask"), mask(F.col("now") - F.col("d")).alias("before")).where("mask <> 0 and end is not null")
 
 
 def gene_regions(tx: DataFrame) -> DataFrame:

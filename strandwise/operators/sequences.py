@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
-from strandwise.functions.sequence import differences, kmers
+from strandwise.functions.sequence import differences
 from strandwise.operators import filters as R
 from strandwise.operators.order import before_break, first_rows
 
@@ -19,8 +19,10 @@ def hexamer_counts(seqs: DataFrame, k: int = 6, by: str | None = None) -> DataFr
     by: a column, such as the input file, whose values have a table each; it comes first.  Values without words have one of zeros.
     """
     keys = [by] if by else []
-    words = seqs.select(*keys, F.explode_outer(kmers("seq", k)).alias("kmer")).where(F.translate("kmer", CODES, "") == "")
-    counts = words.groupBy(*keys, "kmer").agg(F.count("*").alias("reads"))
+    # places are exploded and words cut from them afterwards, in generated code; words of other letters are few once they are counted
+    places = seqs.where(F.length("seq") >= k).select(*keys, "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("at"))
+    counts = places.groupBy(*keys, F.substring(F.col("seq"), F.col("at"), F.lit(k)).alias("kmer")).agg(F.count("*").alias("reads"))
+    counts = counts.where(F.translate("kmer", CODES, "") == "")
     spark = seqs.sparkSession
     digit = lambda i: F.substring(F.lit(CODES), ((F.shiftright(F.col("id"), 2 * (k - 1 - i)) % 4) + 1).cast("int"), F.lit(1))
     frame = spark.range(4**k).select(F.concat(*[digit(i) for i in range(k)]).alias("kmer"))

@@ -21,6 +21,8 @@ def track_sum(track: DataFrame, regions: DataFrame | None = None) -> DataFrame:
 
 def normalize_track(track: DataFrame, target: float = 1e8, chunk: int = 500_000, regions: DataFrame | None = None) -> DataFrame:
     """chrom, start, end, value scaled to the target sum, zeros left out; equal neighbours join inside a chunk only."""
+    if target <= 0 or chunk <= 0:
+        raise ValueError("the target sum and the chunk size must be above zero")
     total = track_sum(track, regions)
     rows = track.where(~F.isnan("value") & (F.col("value") != 0)).crossJoin(F.broadcast(total))  # one row
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))))
@@ -53,8 +55,21 @@ def segments(a: DataFrame, b: DataFrame) -> DataFrame:
     return at.select("chrom", F.col("at").alias("start"), F.lead("at").over(line).alias("end"), held("x"), held("y")).where("end is not null")
 
 
-def overlay_tracks(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
-    """chrom, start, end, value of two tracks combined base by base; missing counts 0 and zero results are left out."""
+def common_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """chrom, length of the contigs of two tracks (chrom, length each); one that both have with different lengths is an error."""
+    both = a.select("chrom", "length").unionByName(b.select("chrom", "length")).groupBy("chrom").agg(F.min("length").alias("length"), F.max("length").alias("other"))
+    differs = F.raise_error(F.concat_ws(" ", F.lit("contig sizes differ:"), "chrom", F.col("length").cast("string"), F.col("other").cast("string")))
+    return both.select("chrom", F.when(F.col("length") == F.col("other"), F.col("length")).otherwise(differs.cast("long")).alias("length"))
+
+
+def overlay_tracks(a: DataFrame, b: DataFrame, operation: str, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """chrom, start, end, value of two tracks combined base by base; missing counts 0 and zero results are left out.
+
+    sizes: the tracks' contigs (chrom, length), which must agree where both have one.
+    """
+    if sizes is not None:
+        contigs = F.broadcast(common_sizes(*sizes))  # headers' contigs
+        a, b = (t.join(contigs, "chrom").where("length is not null").select(*t.columns) for t in (a, b))
     if operation not in OPERATIONS:
         raise ValueError(f"no such operation: {operation}")
     x, y = F.col("x"), F.col("y")

@@ -148,7 +148,7 @@ def part_runs(part: _Part) -> tuple[list[str], Records, Iterator[tuple[bytes, np
     names = [c for c, _ in contigs]
     if part.chunk:
         found = Records(raw, part.start >> 16)
-        return names, found, record_runs(found, part.start & 0xFFFF, part.end) if part.start < part.end else iter(())
+        return names, found, record_runs(found, part.start & 0xFFFF, part.end, 1 << 16) if part.start < part.end else iter(())
     if not part.start:
         return names, head, record_runs(head, at, part.end << 16)
     block = first_block(raw, part.start, part.end, part.size)

@@ -14,14 +14,14 @@ BLOCK = 1 << 16
 
 def read_permissive(spark: SparkSession, path: str) -> DataFrame:
     """rec_no, name, seq of FASTA or FASTQ: lines in upper case, of letters ACGTN only, after each line that starts with > or @."""
-    lines = numbered_lines(spark, path).select("line", F.upper(F.trim("value")).alias("value")).where("value <> ''")
+    lines = numbered_lines(spark, path).select("file", "line", F.upper(F.trim("value")).alias("value")).where("value <> ''")
     head = F.rlike("value", F.lit("^[>@]"))
     rows = lines.where(head | F.rlike("value", F.lit("^[ACGTN]+$"))).withColumns({"head": head, "block": F.floor(F.col("line") / BLOCK)})
-    # The running header: the last one in the block, or else the last one of the blocks before.
-    tops = rows.groupBy("block").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("top"))
-    carried = tops.select("block", F.last("top", ignorenulls=True).over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))  # a row a block
-    within = F.max(F.when(F.col("head"), F.col("line"))).over(W.partitionBy("block").orderBy("line"))
-    placed = rows.withColumn("own", within).join(F.broadcast(carried), "block").withColumn("record", F.coalesce("own", "carried"))
+    # The running header: the last one in the block, or else the last one of the file's blocks before.
+    tops = rows.groupBy("file", "block").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("top"))
+    carried = tops.select("file", "block", F.last("top", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))  # a row a block
+    within = F.max(F.when(F.col("head"), F.col("line"))).over(W.partitionBy("file", "block").orderBy("line"))
+    placed = rows.withColumn("own", within).join(carried, ["file", "block"]).withColumn("record", F.coalesce("own", "carried"))
     parts = placed.where("record is not null").groupBy("record").agg(F.max(F.when(F.col("head"), F.substr("value", F.lit(2)))).alias("name"), F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("line", "value")))).alias("s"))
     return parts.select(F.col("record").alias("rec_no"), "name", F.array_join(F.transform("s", lambda x: x["value"]), "").alias("seq")).where("seq <> ''")
 

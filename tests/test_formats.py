@@ -281,3 +281,51 @@ def test_running_gc(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("gc").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sum(r["reads"] for r in spark.table("gc").collect()) == 3
+
+
+def test_other_endings_of_compressed_text(spark, tmp_path):
+    import bz2
+    import gzip
+
+    data = (HEAD + "".join(sam_line(n) for n in range(7))).encode()
+    want = None
+    for ending, pack in ((".gz", gzip.compress), (".Z", gzip.compress), (".z", lambda d: gzip.compress(d[:300]) + gzip.compress(d[300:])), (".bz2", bz2.compress), (".bz", bz2.compress), (".bzip2", bz2.compress)):
+        path = tmp_path / f"a.sam{ending}"
+        path.write_bytes(pack(data))
+        got = [r.asDict(True) for r in alignments.read_alignments(spark, str(path)).orderBy("rid").collect()]
+        want = want or got
+        assert got == want and [r["rid"] for r in got] == list(range(7))
+
+
+def test_sequences_of_several_files_keep_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fa").write_text(">one\nACG\nTTN\n")
+    (tmp_path / "in" / "b.fa").write_text("GGG\n>two\nCC\n")
+    got = {r["name"]: r["seq"] for r in fastx.read_permissive(spark, str(tmp_path / "in")).collect()}
+    assert got == {"ONE": "ACGTTN", "TWO": "CC"}
+
+
+def test_curves_of_samples_are_those_of_each(spark):
+    from strandwise.plans import views
+
+    tx = views.transcripts(spark, "/root/testdata/sf0.001")
+    reads = views.reads(spark, "/root/testdata/sf0.001").withColumn("sample", F.concat(F.lit("s"), (F.col("rid") % 3).cast("string")))
+    got = {(r["sample"], r["slot"]): r["covered"] for r in V.genebody_by_sample(reads, tx).collect()}
+    want = {(s, r["slot"]): r["covered"] for s in ("s0", "s1", "s2") for r in V.genebody_coverage(reads.where(F.col("sample") == s), tx).collect()}
+    assert got == want and len(got) == 300 and len(set(got.values())) > 20
+
+
+def test_error_rules(spark):
+    from strandwise.operators import records as O
+    from strandwise.operators import tracks as T
+
+    track = spark.createDataFrame([("c", 0, 5, 1.0)], "chrom string, start long, end long, value double")
+    sizes = lambda n: spark.createDataFrame([("c", n), ("d", 5)], "chrom string, length long")
+    assert T.overlay_tracks(track, track, "Add", (sizes(9), sizes(9))).first()["value"] == 2
+    with pytest.raises(Exception, match="sizes differ"):
+        T.overlay_tracks(track, track, "Add", (sizes(9), sizes(8))).collect()
+    with pytest.raises(ValueError):
+        T.normalize_track(track, 0)
+    tx = spark.createDataFrame([], "tx_id string, chrom string, tx_start long, tx_end long, strand string, cds_start long, cds_end long, blocks array<struct<start:long,end:long>>, line long")
+    with pytest.raises(ValueError, match="no exons"):
+        O.split_reads(spark.createDataFrame([], alignments.SAM_SCHEMA), tx)
