@@ -159,18 +159,19 @@ def find_personal(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; a span that begins inside another adds nothing of its own."""
     columns = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))  # names cannot clash
     before = W.partitionBy("doc_id", "hash").orderBy("start", "end", "kind").rowsBetween(W.unboundedPreceding, -1)
     spans = personal_spans(docs.select("doc_id", "text")).withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(0)))
-    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "reach"))).alias("_spans"), F.max("end").alias("_last")
+    lists = spans.groupBy(F.col("doc_id").alias("id"), F.col("hash").alias("of")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "reach"))).alias("spans"), F.max("end").alias("last")
     )
-    joined = rows.join(lists, rows["doc_id"].cast("long").eqNullSafe(lists["_id"]) & (rows["_hash"] == lists["_of"]), "left")
+    joined = rows.join(lists, F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")), "left")
     cut = F.expr(
-        "concat(array_join(transform(_spans, s -> if(s.start >= s.reach, concat(substring(text, int(s.reach + 1), int(s.start - s.reach)), '[', s.kind, ']'), '')), ''),"
-        " substring(text, int(_last + 1)))"
+        "concat(array_join(transform(spans, s -> if(s.start >= s.reach, concat(substring(row.text, int(s.reach + 1), int(s.start - s.reach)), '[', s.kind, ']'), '')), ''),"
+        " substring(row.text, int(last + 1)))"
     )
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*columns)
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut)
+    return joined.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:

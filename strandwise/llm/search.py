@@ -31,7 +31,7 @@ TOP, SCALE, EVERY = 10, 1024, 100
 #: Fewest and most pivots, and vectors for each; rows of a block, queries that meet a block at once; points of a leaf
 #: among data and among queries.
 PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 1024, 1 << 16
-BLOCK, CHUNK, LEAF, QUERY_LEAF = 4096, 4096, 512, 32
+BLOCK, CHUNK, LEAF, QUERY_LEAF = 4096, 4096, 32, 8
 
 
 def integer_vectors(table: DataFrame) -> DataFrame:
@@ -99,6 +99,7 @@ class Best:
     def __init__(self, n: int, floor: np.ndarray) -> None:
         self.rows = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(n)]
         self.floor = floor.astype(np.float64)  # the k-th score known so far, -inf where there are fewer
+        self.pairs = self.pruned = self.products = 0  # of nodes that were looked at, of these cut off, and scores worked out
 
     def offer(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         for k in np.flatnonzero(scores.max(axis=1) >= self.floor[queries]):
@@ -122,7 +123,9 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
     stack = [(q_root, d_root, upper(q_root, d_root))]
     while stack:
         q, d, bound = stack.pop()
+        best.pairs += 1
         if bound < best.floor[q.points].min():
+            best.pruned += 1
             continue
         if not q.children and not d.children:
             if most < 2.0**52:
@@ -134,6 +137,7 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
                 if max(map(abs, exact.flat)) >= 1 << 63:
                     raise OverflowError("a score is beyond 64 bits")
                 scores = exact.astype(np.int64)
+            best.products += scores.size
             best.offer(q.points, scores, d_id[d.points], d_uid[d.points][None, :] == q_uid[q.points][:, None])
             continue
         if q.children and (not d.children or q.radius >= d.radius):
@@ -205,8 +209,9 @@ def top_products(table: DataFrame, every: int = EVERY, k: int = TOP) -> DataFram
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 v = matrix(batch.column("v").take(pa.array(own)), d).astype(np.float64)
-                gaps = np.stack([np.linalg.norm(v - c, axis=1) for c in centres_of(d)], axis=1)
-                cell[own], far[own] = np.argmin(gaps, axis=1), gaps.min(axis=1)
+                centres = centres_of(d)
+                cell[own] = np.argmin((centres**2).sum(axis=1) - 2 * (v @ centres.T), axis=1)  # any centre would do, the nearest prunes most
+                far[own] = np.linalg.norm(v - centres[cell[own]], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
 
     dealt = stored(rows.mapInArrow(deal, "uid long, vec_id long, dims int, v array<bigint>, cell int, far double"), "cells")
