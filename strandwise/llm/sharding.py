@@ -12,6 +12,8 @@ empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,18 +21,19 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import documents, stored
 
 RACKS, SHARDS = 2, 2
-#: Shards at the start, unless another number is given.
+#: Shards at the start in the query.
 FOUNDED = 8
 #: Hexadecimal digits of a hash that cut each shard in parts, numbered apart; no task numbers a whole shard.
 PART_DIGITS = 3
 
 
-def tree(n_shards: int, founded: int | None = None) -> dict[str, dict[str, list[int]]]:
+def tree(n_shards: int, founded: int = 0) -> dict[str, dict[str, list[int]]]:
     """region > rack > shards, for equal shards: those of the start in regions of RACKS x SHARDS, the others each in its own.
 
-    founded: the number at the start, FOUNDED at most where not given; it must stay the same when shards are added.
+    founded: the number at the start; it must stay the same when shards are added.
     """
-    founded = min(n_shards, FOUNDED) if founded is None else founded
+    if founded > n_shards:
+        raise ValueError(f"{founded} shards at the start are more than {n_shards}")
     out: dict[str, dict[str, list[int]]] = {}
     for i in range(n_shards):
         region = f"r{i // (RACKS * SHARDS)}" if i < founded else f"x{i}"
@@ -38,35 +41,33 @@ def tree(n_shards: int, founded: int | None = None) -> dict[str, dict[str, list[
     return out
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
+def _draw(key: Column, name: Column, weight: Column) -> Column:
     """The hash draw of a child: 52 bits of md5 as a number in (0, 1], to an exponential with rate ``weight``."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{name}"))), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 1) / float(2**52)) / float(weight)
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), name)), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 1) / float(2**52)) / weight
 
 
-def _least(draws: list[Column], values: list[Column]) -> Column:
-    """The value whose draw is least, the first of equals."""
-    if len(values) == 1:
-        return values[0]
-    low = F.least(*draws)
-    out = values[-1]
-    for d, v in reversed(list(zip(draws[:-1], values[:-1]))):
-        out = F.when(d == low, v).otherwise(out)
-    return out
+def _least(key: Column, children: Column) -> Column:
+    """The child whose draw is least, the first of equals."""
+    drawn = lambda c, i: F.struct(_draw(key, c["name"], c["weight"]).alias("draw"), i.alias("i"), c.alias("child"))
+    return F.array_min(F.transform(children, drawn))["child"]
 
 
-def tree_shard(key: Column, n_shards: int, weights: dict[int, float] | None = None, founded: int | None = None) -> Column:
-    """The shard of ``key`` (a string column) among shards 0 to n_shards - 1; weights: of shards, 1 where not given."""
-    weight = lambda i: (weights or {}).get(i, 1.0)
-    regions, region_draws, region_values = tree(n_shards, founded), [], []
-    for region, racks in regions.items():
-        rack_draws, rack_values = [], []
-        for rack, shards in racks.items():
-            rack_draws.append(_draw(key, rack, sum(map(weight, shards))))
-            rack_values.append(_least([_draw(key, f"s{i}", weight(i)) for i in shards], [F.lit(i) for i in shards]))
-        region_draws.append(_draw(key, region, sum(weight(i) for s in racks.values() for i in s)))
-        region_values.append(_least(rack_draws, rack_values))
-    return _least(region_draws, region_values).cast("int")
+def tree_shard(key: Column, n_shards: int, weights: dict[int, float] | None = None, founded: int = 0) -> Column:
+    """The shard of ``key`` (a string column) among shards 0 to n_shards - 1; weights: of shards, 1 where not given.
+
+    The tree is one constant, an array of regions of racks of shards, and only the chosen region's racks and the chosen rack's
+    shards are drawn, so the expression doesn't grow with the number of shards.
+    """
+    weight = lambda i: float((weights or {}).get(i, 1.0))
+    node = lambda name, held, **more: {"name": name, "weight": sum(map(weight, held)), **more}
+    regions = [
+        node(region, [i for s in racks.values() for i in s], kids=[node(rack, s, kids=[node(f"s{i}", [i], shard=i) for i in s]) for rack, s in racks.items()])
+        for region, racks in tree(n_shards, founded).items()
+    ]
+    kind = "array<struct<name:string,weight:double,kids:array<struct<name:string,weight:double,kids:array<struct<name:string,weight:double,shard:int>>>>>>"
+    constant = F.from_json(F.lit(json.dumps(regions)), kind)
+    return _least(key, _least(key, _least(key, constant)["kids"])["kids"])["shard"]
 
 
 def numbered(rows: DataFrame, group: str, key: Column, order: list[str], name: str) -> DataFrame:
@@ -80,9 +81,11 @@ def numbered(rows: DataFrame, group: str, key: Column, order: list[str], name: s
     return placed.withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_base", "_at")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, founded: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    founded = min(n_shards, FOUNDED) if founded is None else founded
+def shard_documents(docs: DataFrame, n_shards: int = 8, founded: int = 0) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
+
+    The law holds from any number of shards to the next as long as ``founded`` stays the same; with none, every shard has a region of its own.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -99,7 +102,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, founded: int | None = No
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(documents(spark, sf_dir))
+    return shard_documents(documents(spark, sf_dir), 8, FOUNDED)
 
 
 def _sql_least(draws: list[str], values: list[str]) -> str:
@@ -114,7 +117,7 @@ def _sql_shard(n_shards: int) -> str:
         return f"(-ln((CAST('0x' || substr(md5(k || '|{name}'), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE) / {float(weight)}::DOUBLE)"
 
     region_draws, region_values = [], []
-    for region, racks in tree(n_shards).items():
+    for region, racks in tree(n_shards, FOUNDED).items():
         rack_draws, rack_values = [], []
         for rack, shards in racks.items():
             rack_draws.append(draw(rack, len(shards)))

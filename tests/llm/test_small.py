@@ -271,9 +271,9 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("founded", [1, 8])
+@pytest.mark.parametrize("founded", [0, 1, 8])
 def test_growth_moves_keys_to_the_new_shard_alone(spark, founded):
-    numbers = range(founded, 22)
+    numbers = range(max(founded, 1), 22)
     ids = spark.range(1500).select(F.col("id").cast("string").alias("k"))
     got = ids.select(*[sharding.tree_shard(F.col("k"), n, None, founded).alias(str(n)) for n in numbers]).toPandas()
     for n in numbers[:-1]:
@@ -597,3 +597,35 @@ def test_fit_repeats_itself(spark):
     assert all((m.vectors == models[0].vectors).all() and (m.labels == models[0].labels).all() for m in models)
     taught = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5} - {9}
     assert len(models[0].labels) == len(taught)
+
+
+def test_growth_by_the_default_call_and_many_shards(spark, docs):
+    for n in (1, 3, 7, 8):
+        small, grown = (sharding.shard_documents(docs, k).select("doc_id", "text_crc32", "shard", "grown_shard").toPandas() for k in (n, n + 1))
+        key = ["doc_id", "text_crc32"]
+        assert sorted(map(str, small[[*key, "grown_shard"]].values.tolist())) == sorted(map(str, grown[[*key, "shard"]].values.tolist()))
+    many = spark.range(20_000).select(sharding.tree_shard(F.col("id").cast("string"), 1500).alias("s")).groupBy("s").count().toPandas()
+    assert len(many) > 1490 and many.s.max() == 1499 and many["count"].max() < 45
+    with pytest.raises(ValueError):
+        sharding.tree(3, 8)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["_spans", "_last", "_id", "_of", "_hash", "hash", "spans", "last", "row", "id", "of", "reach", "start", "kind", "a.b"]
+    made = spark.createDataFrame([(1, "mail a.b@c.de now"), (None, "none"), (2, None)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = {r["doc_id"]: r for r in personal.redact(made).collect()}
+    assert {d: r["text"] for d, r in got.items()} == {1: "mail [email] now", None: "none", 2: None}
+    assert all(r[c] == c for r in got.values() for c in names) and personal.redact(made).columns == made.columns
+
+
+def test_dual_trees_prune_clustered_vectors():
+    rng = np.random.RandomState(4)
+    centres = rng.randint(-2000, 2000, (40, 16))
+    data = (centres[rng.randint(40, size=3000)] + rng.randint(-20, 20, (3000, 16))).astype(np.int64)
+    queries = (centres[rng.randint(40, size=60)] + rng.randint(-20, 20, (60, 16))).astype(np.int64)
+    best = search.dual_search(queries, -1 - np.arange(60), np.full(60, -np.inf), data, np.arange(3000), np.arange(3000))
+    scores = queries @ data.T
+    for q in range(60):
+        order = np.lexsort((np.arange(3000), -scores[q]))[: search.TOP]
+        assert best.rows[q][1].tolist() == order.tolist()
+    assert best.products < 0.2 * scores.size and best.pruned > 0.2 * best.pairs
