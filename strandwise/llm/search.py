@@ -29,9 +29,9 @@ from strandwise.llm.jaccard import bounds, runs
 
 TOP, SCALE, EVERY = 10, 1024, 100
 #: Fewest and most pivots, and vectors for each; rows of a block, queries that meet a block at once; points of a leaf
-#: among data and among queries.
+#: among data and among queries; data points of a page, whose leaves are bounded together.
 PIVOTS, MOST_PIVOTS, PER_PIVOT = 16, 1024, 1 << 16
-BLOCK, CHUNK, LEAF, QUERY_LEAF = 4096, 4096, 32, 8
+BLOCK, CHUNK, LEAF, QUERY_LEAF, PAGE = 4096, 4096, 32, 32, 512
 
 
 def integer_vectors(table: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 class Node:
     """A cover tree's node: a centre, the radius that covers its points, and children or, in a leaf, the points."""
 
-    __slots__ = ("centre", "norm", "radius", "points", "children")
+    __slots__ = ("centre", "norm", "radius", "points", "children", "page")
 
     def __init__(self, vectors: np.ndarray, points: np.ndarray, at: int, leaf: int = LEAF) -> None:
         self.centre = vectors[at]
@@ -93,6 +93,34 @@ def upper(q: Node, d: Node) -> float:
     return x + abs(x) * 1e-9 + 1e-6
 
 
+class Page:
+    """The leaves under a node: centres, radii, and the points of all, leaf by leaf."""
+
+    def __init__(self, node: Node) -> None:
+        leaves, stack = [], [node]
+        while stack:
+            n = stack.pop()
+            stack += n.children
+            if not n.children:
+                leaves.append(n)
+        self.centres, self.radii = np.stack([n.centre for n in leaves]), np.array([n.radius for n in leaves])
+        self.points, self.sizes = np.concatenate([n.points for n in leaves]), np.array([len(n.points) for n in leaves])
+
+    def near(self, vectors: np.ndarray, norms: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Leaves in which some query may reach its floor: a point's product is the centre's and its norm times the radius at most."""
+        bound = vectors @ self.centres.T + norms[:, None] * self.radii
+        return (bound + np.abs(bound) * 1e-9 + 1e-6 >= floor[:, None]).any(axis=0)
+
+
+def pages(node: Node, most: int = PAGE) -> Node:
+    """The tree with pages as its leaves: nodes of ``most`` points at most, and leaves of more."""
+    if len(node.points) <= most or not node.children:
+        node.page, node.children = Page(node), []
+    else:
+        node.children = [pages(c, most) for c in node.children]
+    return node
+
+
 class Best:
     """The best scores of each query so far."""
 
@@ -119,7 +147,8 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
     most = data.shape[1] * float(np.abs(qf).max(initial=0)) * float(np.abs(df).max(initial=0))
     best = Best(len(queries), floor)
     q_root = Node(qf, np.arange(len(queries)), 0, QUERY_LEAF)
-    d_root = Node(df, np.arange(len(data)), 0)
+    d_root = pages(Node(df, np.arange(len(data)), 0))
+    norms = np.linalg.norm(qf, axis=1)
     stack = [(q_root, d_root, upper(q_root, d_root))]
     while stack:
         q, d, bound = stack.pop()
@@ -128,17 +157,23 @@ def dual_search(queries: np.ndarray, q_uid: np.ndarray, floor: np.ndarray, data:
             best.pruned += 1
             continue
         if not q.children and not d.children:
+            near = d.page.near(qf[q.points], norms[q.points], best.floor[q.points])
+            best.pairs += len(near) - 1
+            best.pruned += len(near) - int(near.sum())
+            if not near.any():
+                continue
+            points = d.page.points if near.all() else d.page.points[np.repeat(near, d.page.sizes)]
             if most < 2.0**52:
-                scores = (qf[q.points] @ df[d.points].T).astype(np.int64)
+                scores = (qf[q.points] @ df[points].T).astype(np.int64)
             elif most < 2.0**62:
-                scores = queries[q.points] @ data[d.points].T
+                scores = queries[q.points] @ data[points].T
             else:
-                exact = queries[q.points].astype(object) @ data[d.points].astype(object).T
+                exact = queries[q.points].astype(object) @ data[points].astype(object).T
                 if max(map(abs, exact.flat)) >= 1 << 63:
                     raise OverflowError("a score is beyond 64 bits")
                 scores = exact.astype(np.int64)
             best.products += scores.size
-            best.offer(q.points, scores, d_id[d.points], d_uid[d.points][None, :] == q_uid[q.points][:, None])
+            best.offer(q.points, scores, d_id[points], d_uid[points][None, :] == q_uid[q.points][:, None])
             continue
         if q.children and (not d.children or q.radius >= d.radius):
             pairs = [(c, d, upper(c, d)) for c in q.children]
