@@ -78,8 +78,8 @@ def test_bam_is_read_like_sam(spark, reads, tmp_path):
     (tmp_path / "a.bam").write_bytes(bgzf(data))
     got = alignments.read_alignments(spark, str(tmp_path / "a.bam")).orderBy("rid").collect()
     assert [r.asDict(True) for r in got] == [r.asDict(True) for r in rows]
-    with pytest.raises(NotImplementedError):
-        alignments.read_alignments(spark, "a.cram")
+    with pytest.raises(ValueError):
+        alignments.read_alignments(spark, "a.txt")
 
 
 @pytest.mark.parametrize(
