@@ -122,8 +122,8 @@ _PARTS = (
 def _pileup_parts(reads: DataFrame, points: DataFrame) -> DataFrame:
     """chrom, rid, qname, pos0, paired (a mate may overlap), and of each part op, r_start, r_end, bases and quals.
 
-    Only parts in bins that hold one of the points (chrom, p0) stay: reads are where they were, so what is cut from them moves only
-    if it is asked for.  Parts that are longer than a bin stay all.
+    Only parts in bins that hold one of the points (chrom, p0) stay, and the few that cross a bin's edge: what is cut from reads moves
+    only where it may be asked for.
     """
     rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null").where(C.reference_span() > 0)
     end = F.col("pos0") + C.reference_span()
@@ -132,10 +132,8 @@ def _pileup_parts(reads: DataFrame, points: DataFrame) -> DataFrame:
     rows = rows.select("chrom", "rid", "qname", F.col("pos0").cast("long").alias("pos0"), end.alias("r_end"), paired.alias("paired"), "seq", "qual", "cigar")
     parts = rows.select("chrom", "rid", "qname", "pos0", "paired", "seq", "qual", F.explode_outer(F.expr(_PARTS)).alias("p"))
     asked = points.select(F.col("chrom").alias("_chrom"), F.floor(F.col("p0") / BIN).alias("_bin")).distinct()  # a row for each BIN bases of the genome at most
-    for name, place in (("_first", F.col("p.start")), ("_last", F.col("p.end") - 1)):
-        here = asked.withColumnsRenamed({"_chrom": f"_chrom{name}", "_bin": name})
-        parts = parts.join(F.broadcast(here), (F.col("chrom") == F.col(f"_chrom{name}")) & (F.floor(place / BIN) == F.col(name)), "left")
-    parts = parts.where(F.col("_first").isNotNull() | F.col("_last").isNotNull() | (F.col("p.end") - F.col("p.start") > BIN))
+    first, last = (F.floor(place / BIN) for place in (F.col("p.start"), F.col("p.end") - 1))
+    parts = parts.join(F.broadcast(asked), (F.col("chrom") == F.col("_chrom")) & (first == F.col("_bin")), "left").where(F.col("_bin").isNotNull() | (first != last))
     own = "int(p.off + 1), int(p.end - p.start)"
     return parts.select("chrom", "rid", "qname", "pos0", "paired", F.col("p.op").alias("op"), F.col("p.start").alias("r_start"), F.col("p.end").alias("r_end"), F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
 
