@@ -16,6 +16,8 @@ from strandwise.sources.storage import stored
 
 #: Reads that count at a position at most, in order of start, and the base quality that counts.
 DEPTH, BASE_QUALITY = 8000, 13
+#: Bases of a bin in which positions and pieces of reads meet; BIN is a multiple.
+PIECE = 64
 #: Ranges of rid that are counted at the start where DEPTH ends.
 RANGES = 4096
 
@@ -120,41 +122,66 @@ _PARTS = (
 
 
 def _pileup_parts(reads: DataFrame, points: DataFrame) -> DataFrame:
-    """chrom, rid, qname, pos0, paired (a mate may overlap), and of each part op, r_start, r_end, bases and quals.
+    """chrom, rid, qname, pos0, paired (a mate may overlap), and of each piece op, r_start, r_end, bin, bases and quals.
 
-    Only parts in bins that hold one of the points (chrom, p0) stay, and the few that cross a bin's edge: what is cut from reads moves
-    only where it may be asked for.
+    Parts with bases and deletions are cut at multiples of PIECE, so a piece is in one bin (number bin) and long reads cost what they hold;
+    skips stay whole and have no bin.  Only pieces in bins of BIN bases that hold one of the points (chrom, p0) stay: what is cut from
+    reads moves only where it may be asked for.
     """
     rows = reads.where(R.keeps("pileup")).where(R.lacks(R.DUPLICATE)).where(R.lacks(R.PAIRED) | R.has(R.PROPER)).where("chrom is not null").where(C.reference_span() > 0)
     end = F.col("pos0") + C.reference_span()
     far = (F.abs(F.coalesce("tlen", F.lit(0))) >= 2 * F.length("seq")) & (F.coalesce("mate_pos0", F.lit(-1)) >= end)
     paired = R.has(R.PROPER) & R.lacks(R.MATE_UNMAPPED) & F.coalesce(F.col("mate_chrom") == F.col("chrom"), F.lit(False)) & ~far & F.col("qname").isNotNull()
-    rows = rows.select("chrom", "rid", "qname", F.col("pos0").cast("long").alias("pos0"), end.alias("r_end"), paired.alias("paired"), "seq", "qual", "cigar")
-    parts = rows.select("chrom", "rid", "qname", "pos0", "paired", "seq", "qual", F.explode_outer(F.expr(_PARTS)).alias("p"))
-    asked = points.select(F.col("chrom").alias("_chrom"), F.floor(F.col("p0") / BIN).alias("_bin")).distinct()  # a row for each BIN bases of the genome at most
-    first, last = (F.floor(place / BIN) for place in (F.col("p.start"), F.col("p.end") - 1))
-    parts = parts.join(F.broadcast(asked), (F.col("chrom") == F.col("_chrom")) & (first == F.col("_bin")), "left").where(F.col("_bin").isNotNull() | (first != last))
-    own = "int(p.off + 1), int(p.end - p.start)"
-    return parts.select("chrom", "rid", "qname", "pos0", "paired", F.col("p.op").alias("op"), F.col("p.start").alias("r_start"), F.col("p.end").alias("r_end"), F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
+    rows = rows.select("chrom", "rid", "qname", F.col("pos0").cast("long").alias("pos0"), paired.alias("paired"), "seq", "qual", "cigar")
+    kept = ["chrom", "rid", "qname", "pos0", "paired"]
+    parts = rows.select(*kept, "seq", "qual", F.explode(F.expr(_PARTS)).alias("p")).where("p.end > p.start")
+    bins = F.expr(f"if(p.op = 'N', array(cast(null as bigint)), sequence(p.start div {PIECE}, (p.end - 1) div {PIECE}))")
+    pieces = parts.select(*kept, "seq", "qual", "p", F.explode(bins).alias("bin"))
+    asked = points.select(F.col("chrom").alias("_chrom"), F.floor(F.col("p0") / BIN).alias("_asked")).distinct()  # a row for each BIN bases of the genome at most
+    pieces = pieces.join(F.broadcast(asked), (F.col("chrom") == F.col("_chrom")) & (F.expr(f"bin div {BIN // PIECE}") == F.col("_asked")), "left").where("_asked is not null or bin is null")
+    pieces = pieces.select(*kept, "seq", "qual", "bin", "p.op", "p.off", F.col("p.start").alias("first"), F.expr(f"greatest(p.start, bin * {PIECE})").alias("r_start"), F.expr(f"least(p.end, (bin + 1) * {PIECE})").alias("r_end"))
+    own = "int(off + r_start - first + 1), int(r_end - r_start)"
+    return pieces.select(*kept, "op", "r_start", "r_end", "bin", F.expr(f"substring(seq, {own})").alias("bases"), F.expr(f"slice(qual, {own})").alias("quals"))
+
+
+def _at_pieces(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Points and the pieces that hold them."""
+    a, b = points.withColumn("_at", F.expr(f"p0 div {PIECE}")), pieces.withColumnRenamed("chrom", "_chrom")
+    return a.join(b, (F.col("chrom") == F.col("_chrom")) & (F.col("_at") == F.col("bin")) & (F.col("r_start") <= F.col("p0")) & (F.col("p0") < F.col("r_end"))).drop("_chrom", "_at", "bin")
+
+
+def _skips(points: DataFrame, gaps: DataFrame, least: int) -> DataFrame | None:
+    """chrom, pos, skips: how many of the gaps (chrom, r_start, r_end) hold a point, where that may be above ``least``; None if nowhere.
+
+    Gaps are summed as runs of depth, so their number does not meet the number of points.
+    """
+    cut = F.explode(F.expr(f"sequence(r_start div {BIN}, (r_end - 1) div {BIN})")).alias("_bin")
+    cut = gaps.select("chrom", "r_start", "r_end", cut)
+    busy = stored(cut.groupBy("chrom", "_bin").agg(F.count("*").alias("n")).where(F.col("n") > least).select("chrom", "_bin"), "busy")
+    if not busy.limit(1).count():
+        return None
+    inside = cut.join(F.broadcast(busy), ["chrom", "_bin"])  # a row for each BIN bases of the genome at most
+    runs = coverage(inside.select("chrom", F.greatest("r_start", F.col("_bin") * BIN).alias("start"), F.least("r_end", (F.col("_bin") + 1) * BIN).alias("end")))
+    return point_join(points, "p0", as_right(runs, "depth"), size=PIECE).groupBy("chrom", "pos").agg(F.sum("depth").alias("skips"))
 
 
 def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
-    """tx_id, pos, covered: reads of good base quality at listed positions.
+    """tx_id, pos, covered: reads of good base quality at listed positions; those that no read's base or deletion meets have no row.
 
     Duplicates and improper pairs are left out.  Where two mates overlap, they count once: equal bases pool their
     qualities, of unequal ones the better counts at 0.8 of its quality; a base against a deletion counts at 0.8 or not
-    at all, as the name's hash bit says.  Of the reads so rewritten the first DEPTH count at a position, by start and
+    at all, as the name's hash bit says.  Of the reads so rewritten, skips included, the first DEPTH count at a position, by start and
     file order.  Positions that several transcripts list are counted once.  Builds tables while the query is made.
     """
-    listed = positions.select("tx_id", "chrom", F.explode_outer("positions").alias("pos")).where("pos is not null")
+    listed = positions.select("tx_id", "chrom", F.explode("positions").alias("pos")).where("pos is not null")
     listed = stored(listed, "listed")
     points = listed.select("chrom", "pos", (F.col("pos") - 1).alias("p0")).distinct()
     parts = stored(_pileup_parts(reads, points), "pileup")
+    gaps = parts.where("op = 'N'").select("chrom", "pos0", "rid", F.col("r_start"), F.col("r_end"))
     quality = F.expr("coalesce(get(quals, int(p0 - r_start)), 0)")
     own = ["chrom", "pos", "pos0", "rid"]
-    alone = point_join(points, "p0", parts.where("not paired and op <> 'N'").drop("bases"), size=256).select(*own, (quality >= BASE_QUALITY).cast("int").alias("good"))
-    skipped = point_join(points, "p0", parts.where("op = 'N'").drop("bases", "quals")).select(*own, F.lit(0).alias("good"))
-    at = point_join(points, "p0", parts.where("paired and op <> 'N'"), size=256)
+    alone = _at_pieces(points, parts.where("not paired and op <> 'N'").drop("bases", "qname")).select(*own, (quality >= BASE_QUALITY).cast("int").alias("good"))
+    at = _at_pieces(points, parts.where("paired and op <> 'N'"))
     ranked = at.select(*own, "qname", quality.alias("q"), F.expr("if(op = 'D', null, substring(bases, int(p0 - r_start + 1), 1))").alias("base"), (F.col("op") == "D").alias("gap"))
     # Mates at one position, by start and file order; the name's hash bit says which of two equal ones keeps the quality.
     mates = W.partitionBy("chrom", "pos", "qname").orderBy("pos0", "rid")
@@ -174,11 +201,17 @@ def position_depth(reads: DataFrame, positions: DataFrame) -> DataFrame:
         .otherwise(F.col("q"))
     )
     met = pairs.select(*own, (rewritten >= BASE_QUALITY).cast("int").alias("good"))
-    counted = alone.unionByName(skipped).unionByName(met)
-    crowded = stored(counted.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "depth")  # a row for each listed position
-    depth = crowded.where(F.col("n") <= DEPTH).select("chrom", "pos", F.col("good").alias("covered"))
-    if crowded.where(F.col("n") > DEPTH).limit(1).count():
-        deep = counted.join(crowded.where(F.col("n") > DEPTH).select("chrom", "pos"), ["chrom", "pos"])
+    counted = alone.unionByName(met)
+    counts = stored(counted.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "depth")  # a row for each listed position
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    skips = _skips(points, gaps, max(DEPTH - most, 0))
+    if skips is not None:
+        counts = counts.join(skips, ["chrom", "pos"], "left").withColumn("n", F.col("n") + F.coalesce("skips", F.lit(0)))
+    depth = counts.where(F.col("n") <= DEPTH).select("chrom", "pos", F.col("good").alias("covered"))
+    if most > DEPTH or skips is not None:
+        crowded = stored(counts.where(F.col("n") > DEPTH).select("chrom", "pos", (F.col("pos") - 1).alias("p0")), "crowded")
+        skipped = point_join(crowded, "p0", gaps).select(*own, F.lit(0).alias("good"))
+        deep = counted.join(crowded.select("chrom", "pos"), ["chrom", "pos"]).unionByName(skipped)
         depth = depth.unionByName(_first_reads(stored(deep, "deep")))
     return listed.join(depth, ["chrom", "pos"]).select("tx_id", "pos", "covered")
 
@@ -223,7 +256,7 @@ def tin(reads: DataFrame, tx: DataFrame, least: int = 10, n: int = 100, subtract
 
     subtract: take the introns' noise off every position's depth, down to whole reads and not below none.
     """
-    listed = sampled_positions(tx, n)
+    listed = stored(sampled_positions(tx, n), "places")
     starts = reads.where(R.keeps("pileup")).where("chrom is not null").select("chrom", "pos0").distinct()
     inside = point_join(starts, "pos0", tx.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), "tx_id"))
     enough = inside.groupBy("tx_id").agg(F.count("*").alias("n")).where(F.col("n") > least).select("tx_id")
@@ -256,7 +289,7 @@ def genebody_coverage(reads: DataFrame, tx: DataFrame, shortest: int = 100) -> D
     """slot, covered: depth summed over transcripts by place along them, 5' to 3'."""
     if shortest < 100:
         raise ValueError("the shortest transcript must have 100 bases or more")
-    listed = percentile_positions(tx, shortest)
+    listed = stored(percentile_positions(tx, shortest), "places")
     slots = listed.select("tx_id", "strand", F.size("positions").alias("n"), F.posexplode_outer(F.array_sort("positions")).alias("i", "pos"))
     slots = slots.select("tx_id", "pos", F.when(F.col("strand") == "-", F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("slot"))
     depth = position_depth(reads, listed)

@@ -68,9 +68,15 @@ def _cigar(text: str) -> Column:
     return F.array(*[F.struct(F.lit(op).alias("op"), F.lit(int(n)).alias("len")) for n, op in parts])
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table, dealt over the cores by its key if it has fewer files than there are cores; of more files Spark deals the parts itself."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
+
+
 def reads(spark: SparkSession, sf_dir: str, *tags: str) -> DataFrame:
     """The projected reads, with the tags that are asked for."""
-    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    table = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     kept = [n for n in READS if n not in _ONCE and n not in TAGS.values()]
     plain = {n: READS[n].replace(_SEQ, "seq") for n in (TAGS[t] for t in tags)}
     rows = table.selectExpr("*", *[f"{READS[n]} AS {n}" for n in _ONCE]).selectExpr(*_ONCE, *[f"{READS[n]} AS {n}" for n in kept], *[f"{e} AS {n}" for n, e in plain.items()])
@@ -86,7 +92,7 @@ def reads(spark: SparkSession, sf_dir: str, *tags: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in TRANSCRIPTS.items()])
+    rows = _table(spark, sf_dir, "part", "p_partkey").selectExpr("p_partkey", *[f"{e} AS {n}" for n, e in TRANSCRIPTS.items()])
     blocks = F.expr("transform(sequence(0L, nb - 1), k -> named_struct('start', tx_start + k * 400, 'end', tx_start + k * 400 + 150 + (p_partkey * 7 + k * 31) % 200))")
     rows = rows.withColumn("blocks", blocks).withColumn("tx_end", F.expr("blocks[int(nb - 1)].end"))
     return rows.select("tx_id", "chrom", "tx_start", "tx_end", "strand", (F.col("tx_start") + 60).alias("cds_start"), (F.col("tx_end") - 60).alias("cds_end"), "blocks", "line")
@@ -97,7 +103,7 @@ TRACK_B = "SELECT concat('chr', cast(user_id % 3 as varchar(5))) AS chrom, event
 
 
 def track(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = _table(spark, sf_dir, "events", "event_id")
     start, end, value = ("event_id * 10", "event_id * 10 + 3 + user_id % 7", "cast(floor(value) + 1 as double)") if which == "a" else ("event_id * 10 + 4", "event_id * 10 + 6 + user_id % 5", "cast(user_id % 9 as double)")
     return rows.selectExpr("concat('chr', cast(user_id % 3 as varchar(5))) AS chrom", f"{start} AS start", f"{end} AS end", f"{value} AS value")
 

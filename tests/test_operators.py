@@ -322,6 +322,29 @@ def test_deep_positions_pool_mates_before_the_cut(spark, monkeypatch, depth):
     assert {r["pos"]: r["covered"] for r in V.position_depth(reads, positions).collect()} == want
 
 
+@pytest.mark.parametrize("depth", [3, 9, 25, 8000])
+def test_long_reads_in_pieces_and_skips_against_brute_force(spark, monkeypatch, depth):
+    monkeypatch.setattr(V, "DEPTH", depth)
+    rng = np.random.RandomState(depth)
+    rows, counts = [], {}
+    edge = 2 * I.BIN  # bins and pieces are crossed
+    for rid in range(60):
+        pos, ops = int(edge - 400 + rng.randint(300)), [("S", 3), ("M", int(rng.randint(1, 300))), (["D", "N"][rid % 2], int(rng.randint(1, 500))), ("I", 2), ("=", int(rng.randint(1, 200))), ("X", 5)]
+        n = sum(k for op, k in ops if op in "SMI=X")
+        qual = [int(q) for q in rng.choice([5, 12, 13, 30], n)]
+        rows.append((rid, f"q{rid}", 0, "c", pos, 60, ops, None, None, 0, "A" * n, qual))
+        at, off = pos, 0
+        for op, k in ops:
+            for j in range(k if op in "MDN=X" else 0):
+                counts.setdefault(at + j, []).append((pos, rid, op != "N", op in "M=X" and qual[off + j] >= V.BASE_QUALITY))
+            at, off = at + (k if op in "MDN=X" else 0), off + (k if op in "MSI=X" else 0)
+    reads = spark.createDataFrame(rows, "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos0 long, tlen int, seq string, qual array<int>")
+    asked = list(range(edge - 450, edge + 950, 3))
+    positions = spark.createDataFrame([("t", "c", [p + 1 for p in asked])], "tx_id string, chrom string, positions array<bigint>")
+    got = {r["pos"] - 1: r["covered"] for r in V.position_depth(reads, positions).collect()}
+    assert got == {p: sum(good for *_, good in sorted(counts[p])[:depth]) for p in asked if any(base for _, _, base, _ in counts.get(p, []))}
+
+
 def test_track_bases_are_listed_from_the_end_on_the_reverse_strand(spark):
     """250 bases 1 to 250: place i of the forward list is base 1 + 2.49 i, of the reverse list base 250 - 2.49 i, half to even."""
     block = "array<struct<start:bigint,end:bigint>>"
