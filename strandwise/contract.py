@@ -305,6 +305,11 @@ def bam2wig_signal(spark, sf):
     return V.signal(D.reads(spark, sf))
 
 
+@query("SELECT strand, chrom, start, \"end\", depth FROM runs", _SIGNAL.replace(_LIVE, _FULL))
+def bam2wig_unique(spark, sf):
+    return V.signal(D.reads(spark, sf), unique=True)
+
+
 @query("""SELECT strand, chrom, start, "end", depth, round(CASE WHEN strand = '-' THEN -1 ELSE 1 END * depth * 1e6::DOUBLE / (SELECT sum("end" - start) FROM mb), 6) AS value FROM runs""",
        f"""mb AS (SELECT CASE WHEN (flag & 64 <> 0) = (flag & 16 = 0) THEN '+' ELSE '-' END AS strand, r.chrom, pos0 + off AS start, pos0 + off + len AS "end" FROM {_JOIN} WHERE op = 'M' AND {_LIVE} AND flag & 1 <> 0), """ + _coverage_sql("mb", "strand, chrom"))
 def bam2wig_stranded(spark, sf):
@@ -360,6 +365,27 @@ def fragment_totals(spark, sf):
     return X.fragment_totals(D.reads(spark, sf), D.transcripts(spark, sf))
 
 
+#: Fragments by strand: of pairs 1++,1--,2+-,2-+; single ends have no rule and count on neither strand.
+_STRANDED = _FRAGMENTS + ", " + _merge_sql("exons", "mx") + """,
+ef AS (SELECT CAST(sum(w) AS DOUBLE) AS big FROM (SELECT w, flag, EXISTS (SELECT 1 FROM mx WHERE mx.chrom = w.chrom AND start < pos0 + 32 AND pos0 < "end") AS o, EXISTS (SELECT 1 FROM mx WHERE mx.chrom = w.chrom AND start < mate_pos0 + 32 AND mate_pos0 < "end") AS m FROM w WHERE w > 0)
+  WHERE CASE WHEN flag & 1 = 0 OR (flag & 4 = 0 AND flag & 8 <> 0) THEN o WHEN flag & 4 <> 0 THEN m ELSE o AND m END),
+sf AS (SELECT tx_id, sum(w) AS n FROM (SELECT DISTINCT tx.tx_id, w.rid, w.w FROM w JOIN tx ON tx.chrom = w.chrom AND pos0 < tx_end AND tx.tx_start < pos0 + sp JOIN exons e ON e.tx_id = tx.tx_id
+  AND ((e.start <= pos0 AND pos0 < e."end") OR (e.start <= mate_pos0 AND mate_pos0 < e."end")) WHERE w.w > 0 AND flag & 1 <> 0 AND (flag & 16 <> 0) = (tx.strand = '-')) GROUP BY tx_id)"""
+
+
+@query("SELECT tx_id, CAST(coalesce(n, 0) AS DOUBLE) AS fragments, round(CAST(coalesce(n, 0) AS DOUBLE) * 1e6 / big, 6) AS fpm, round(CAST(coalesce(n, 0) AS DOUBLE) * 1e9 / (big * length), 6) AS fpkm FROM tx LEFT JOIN sf USING (tx_id), ef", _STRANDED)
+def fpkm_stranded(spark, sf):
+    rows = X.fpkm(D.reads(spark, sf), D.transcripts(spark, sf), "1++,1--,2+-,2-+", only_exonic=True)
+    return rows.select("tx_id", "fragments", F.round("fpm", 6).alias("fpm"), F.round("fpkm", 6).alias("fpkm"))
+
+
+@query("SELECT tx_id, CAST(coalesce(n, 0) AS DOUBLE) AS fragments, round(CAST(coalesce(n, 0) AS DOUBLE) * 1e6 / big, 6) AS fpm, round(CAST(coalesce(n, 0) AS DOUBLE) * 1e9 / (big * length), 6) AS fpkm FROM tx LEFT JOIN tf USING (tx_id), (SELECT CAST(sum(w) AS DOUBLE) AS big FROM w)",
+       _FRAGMENTS.replace("ELSE 1.0 END AS w", "WHEN flag & 12 <> 0 THEN 0.5 ELSE 1.0 END AS w").replace(_bits(512, 1024, 256), _bits(512, 1024, 256) + " AND mapq >= 30"))
+def fpkm_single_ends(spark, sf):
+    rows = X.fpkm(D.reads(spark, sf), D.transcripts(spark, sf), single=0.5, unique=True)
+    return rows.select("tx_id", "fragments", F.round("fpm", 6).alias("fpm"), F.round("fpkm", 6).alias("fpkm"))
+
+
 def _gene_tables(spark, sf):
     counts = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("gene_id")).agg(F.count("*").alias("reads"))
     info = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 50 <> 0").selectExpr("concat('g', cast(p_partkey as string)) AS gene_id", "CASE WHEN p_partkey % 3 = 0 THEN 'lncRNA' ELSE 'protein_coding' END AS gene_type", "cast(500 + p_size * 20 as bigint) AS exon_length")
@@ -455,6 +481,11 @@ def track_sum(spark, sf):
     return T.track_sum(D.track(spark, sf, "a"))
 
 
+@query("""SELECT CAST(coalesce(sum(value * (least(ta."end", mx."end") - greatest(ta.start, mx.start))), 0) AS DOUBLE) AS total FROM ta JOIN mx ON ta.chrom = mx.chrom AND ta.start < mx."end" AND mx.start < ta."end" """, _merge_sql("exons", "mx"))
+def track_sum_exons(spark, sf):
+    return T.track_sum(D.track(spark, sf, "a"), exons(D.transcripts(spark, sf)))
+
+
 @query("""SELECT chrom, min(start) AS start, max("end") AS "end", round(any_value(value), 6) AS value FROM (
   SELECT *, sum(CASE WHEN pe = start AND pv = value THEN 0 ELSE 1 END) OVER (PARTITION BY chrom, c ORDER BY start) AS g FROM (
     SELECT *, lag("end") OVER w AS pe, lag(value) OVER w AS pv FROM cut WINDOW w AS (PARTITION BY chrom, c ORDER BY start))) GROUP BY chrom, c, g""",

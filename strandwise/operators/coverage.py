@@ -351,7 +351,3 @@ def exon_coverage(reads: DataFrame, tx: DataFrame) -> DataFrame:
     runs = signal(reads).select("chrom", "start", "end", "depth")
     met = overlap_join(runs, as_right(exons(tx, "tx_id"), "tx_id"))
     return met.groupBy("tx_id").agg(F.sum((F.least("end", "r_end") - F.greatest("start", "r_start")) * F.col("depth")).cast("long").alias("bases"))
-
-
-def merged_exons(tx: DataFrame) -> DataFrame:
-    return merge(exons(tx))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def float_text(value: Column) -> Column:
     return F.coalesce(named, F.when(~F.contains(text, F.lit("E")), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short))
 
 
+def digits_text(value: Column, digits: int = 12) -> Column:
+    """A double with so many significant digits at most and no zeros at the end: 0.25, 1e-05, 1.5e+16; zeros are 0, nulls stay.
+
+    The exact value is rounded; a JVM formatter would round the shortest text, which is another rule where that ends in a 5.
+    """
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: "0" if x == 0 else format(x, f".{digits}g"))
+
+    plain = F.when(F.isnan(value), "nan").otherwise(shown(F.coalesce(value.cast("double"), F.lit(0.0))))  # a null would come as NaN
+    return F.when(value.isNotNull(), plain)
+
+
 def write_bedgraph(track: DataFrame, path: str) -> None:
     """Lines chrom, start, end, value, in order inside ranges of contig and start."""
     line = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), float_text(F.col("value")))
@@ -71,9 +86,13 @@ def write_wig(track: DataFrame, path: str, sizes: DataFrame) -> None:
     heads.unionByName(body).repartitionByRange("line", "pos").sortWithinPartitions("line", "pos").select("text").write.mode("errorifexists").text(path)
 
 
-def write_table(rows: DataFrame, path: str, order: list[str], sep: str = "\t") -> None:
-    """Rows as text with a head line in each file, in order inside ranges of the given columns; doubles as float_text."""
-    shown = [float_text(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+def write_table(rows: DataFrame, path: str, order: list[str], sep: str = "\t", digits: int | None = None) -> None:
+    """Rows as text with a head line in each file, in order inside ranges of the given columns.
+
+    Doubles are written as float_text, or as digits_text if a number of digits is given.
+    """
+    number = float_text if digits is None else lambda c: digits_text(c, digits)
+    shown = [number(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*shown).write.mode("errorifexists").option("sep", sep).option("header", True).csv(path)
 
 

@@ -207,6 +207,18 @@ def test_text_of_numbers(spark):
     assert tables.percent_text(1, 3) == "33.33"
 
 
+def test_text_of_a_number_of_digits(spark, tmp_path):
+    values = [0.0, -0.0, 5.0, 0.25, 1 / 3, -2 / 3, 1e11, 1e12, 123456789012.5, 123456789013.5, 1234567890125.0, 0.1234567890125, 1.0000000000005, 1e-4, 0.00012345678901250001, 1e-5, -2.5e-7, 1e100, 5e-324, 1.7976931348623157e308, float("nan"), float("inf"), -float("inf")]
+    rows = spark.createDataFrame([*enumerate(values), (99, None)], "i long, v double")
+    want = ["0" if v == 0 else "%.12g" % v for v in values]
+    got = rows.select("i", tables.digits_text(F.col("v")).alias("t"), tables.digits_text(F.col("v"), 3).alias("short")).orderBy("i").collect()
+    assert [r["t"] for r in got] == [*want, None]
+    assert [r["short"] for r in got] == [*["0" if v == 0 else "%.3g" % v for v in values], None]
+    tables.write_table(rows.where("i in (2, 4)").coalesce(1), str(tmp_path / "t"), ["i"], digits=12)
+    lines = {line for part in (tmp_path / "t").glob("part-*") for line in part.read_text().split("\n") if line}
+    assert lines == {"i\tv", "2\t5", "4\t0.333333333333"}
+
+
 def test_sinks(spark, tmp_path):
     track = spark.createDataFrame([("c2", 4, 6, 1.5), ("c1", 0, 1, -2.0), ("x", 0, 9, 1.0)], "chrom string, start long, end long, value double")
     sizes = spark.createDataFrame([(0, "c2"), (1, "none"), (2, "c1")], "line long, chrom string")
