@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,35 @@ def exons(tx: DataFrame, *keep: str) -> DataFrame:
     return tx.select("chrom", *keep, F.explode("blocks").alias("b")).select("chrom", *keep, F.col("b.start").alias("start"), F.col("b.end").alias("end"))
 
 
+#: Kinds of parts, before the flanks: coding, 5' and 3' untranslated, introns.
+CODING, UTR5, UTR3, INTRON = range(4)
+_BLOCK_PARTS = f"""coalesce(flatten(transform(blocks, (b, i) -> array(
+    named_struct('kind', if(b.end >= cds_start and b.start <= cds_end, {CODING}, null), 'start', greatest(b.start, cds_start), 'end', least(b.end, cds_end)),
+    named_struct('kind', if(b.start < cds_start, case strand when '+' then {UTR5} when '-' then {UTR3} end, null), 'start', b.start, 'end', least(b.end, cds_start)),
+    named_struct('kind', if(b.end > cds_end, case strand when '+' then {UTR3} when '-' then {UTR5} end, null), 'start', greatest(b.start, cds_end), 'end', b.end),
+    named_struct('kind', {INTRON}, 'start', b.end, 'end', get(blocks, i + 1).start)))), array())"""
+
+
+def _flank(side: str, size: int) -> tuple[Column, Column]:
+    before = (F.col("strand") == "-") if side == "down" else (F.col("strand") != "-")
+    start = F.when(before, F.greatest(F.col("tx_start") - size, F.lit(0))).otherwise(F.col("tx_end"))
+    return start.cast("long").alias("start"), F.when(before, F.col("tx_start")).otherwise(F.col("tx_end") + size).cast("long").alias("end")
+
+
+def model_parts(tx: DataFrame, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """chrom, start, end, kind of all parts of all transcripts, from one pass over the model.
+
+    sizes: of flanks, whose kinds follow INTRON: those before the transcripts in the order of sizes, then those after them.
+    """
+    sides = [(side, n) for side in ("up", "down") for n in sizes]
+    flank = [F.struct(F.lit(INTRON + 1 + i).alias("kind"), *_flank(*x)) for i, x in enumerate(sides)]
+    rows = tx.select("chrom", F.explode(F.concat(F.expr(_BLOCK_PARTS), F.array(*flank)) if flank else F.expr(_BLOCK_PARTS)).alias("p"))
+    return rows.select("chrom", "p.start", "p.end", "p.kind").where("kind is not null and start < end")
+
+
 def cds_exons(tx: DataFrame) -> DataFrame:
     """Parts of exons inside the coding range."""
-    rows = exons(tx, "cds_start", "cds_end").where("end >= cds_start and start <= cds_end")
-    return rows.select("chrom", F.greatest("start", "cds_start").alias("start"), F.least("end", "cds_end").alias("end")).where("start < end")
+    return model_parts(tx).where(F.col("kind") == CODING).drop("kind")
 
 
 def introns(tx: DataFrame, *keep: str) -> DataFrame:
@@ -24,23 +49,12 @@ def introns(tx: DataFrame, *keep: str) -> DataFrame:
 
 def utr_exons(tx: DataFrame, side: int) -> DataFrame:
     """Parts of exons outside the coding range at the 5' or 3' end of the strand."""
-    rows = exons(tx, "strand", "cds_start", "cds_end", "tx_id")
-    left = rows.where("start < cds_start").select("chrom", "strand", "start", F.least("end", "cds_start").alias("end"), F.lit("left").alias("at"))
-    right = rows.where("end > cds_end").select("chrom", "strand", F.greatest("start", "cds_end").alias("start"), "end", F.lit("right").alias("at"))
-    first = F.when(F.col("strand") == "+", "left").when(F.col("strand") == "-", "right")
-    last = F.when(F.col("strand") == "+", "right").when(F.col("strand") == "-", "left")
-    return left.unionByName(right).where(F.col("at") == (first if side == 5 else last)).select("chrom", "start", "end")
+    return model_parts(tx).where(F.col("kind") == (UTR5 if side == 5 else UTR3)).drop("kind")
 
 
 def flanks(tx: DataFrame, up: int, down: int) -> tuple[DataFrame, DataFrame]:
     """Ranges before and after transcripts in the strand's direction, not below 0."""
-    def cut(side: str, size: int) -> DataFrame:
-        before = (F.col("strand") == "-") if side == "down" else (F.col("strand") != "-")
-        start = F.when(before, F.greatest(F.col("tx_start") - size, F.lit(0))).otherwise(F.col("tx_end"))
-        end = F.when(before, F.col("tx_start")).otherwise(F.col("tx_end") + size)
-        return tx.select("chrom", start.alias("start"), end.alias("end"))
-
-    return cut("up", up), cut("down", down)
+    return tx.select("chrom", *_flank("up", up)), tx.select("chrom", *_flank("down", down))
 
 
 def with_length(tx: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
 from strandwise.operators import filters as R
-from strandwise.operators.genes import cds_exons, exons, flanks, introns, utr_exons
+from strandwise.operators.genes import exons, introns, model_parts
 from strandwise.operators.order import first_rows
 from strandwise.operators.intervals import BIN, as_right, merge, overlap_join, point_join
 from strandwise.sources.storage import stored
@@ -29,9 +29,7 @@ def region_segments(tx: DataFrame) -> DataFrame:
     both, flanks to all of these.  ``before`` is the mask of the base before the run.
     """
     tx = tx.withColumn("chrom", F.upper("chrom"))
-    sides = [flanks(tx, n, n) for n in (1000, 5000, 10000)]
-    kinds = [cds_exons(tx), utr_exons(tx, 5), utr_exons(tx, 3), introns(tx), *[s[0] for s in sides], *[s[1] for s in sides]]
-    parts = reduce(DataFrame.unionByName, [k.select("chrom", "start", "end", F.lit(1 << i).alias("kind")) for i, k in enumerate(kinds)])
+    parts = model_parts(tx, (1000, 5000, 10000)).withColumn("kind", F.expr("shiftleft(1, kind)"))
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.col("kind").alias("d")), F.struct(F.col("end").alias("pos"), (-F.col("kind")).alias("d"))))
     events = merge(parts, "kind", "chrom").select("chrom", ends.alias("e")).groupBy("chrom", F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
     events = events.withColumn("_bin", F.floor(F.col("start") / BIN))
@@ -74,6 +72,7 @@ def distribution_of(tags: DataFrame, tx: DataFrame) -> DataFrame:
     met = point_join(tags, "p", as_right(runs, "mask", "before"))
     # A region's first base is not strictly inside it: there, only what holds the base before counts too.
     per = met.select(F.when(F.col("p") == F.col("r_start"), F.col("mask").bitwiseAND(F.col("before"))).otherwise(F.col("mask")).alias("m"), "n")
+    per = per.groupBy("m").agg(F.sum("n").alias("n"))  # 2^11 masks at most, so what follows is worked out on few rows
     inside = lambda k: F.col("m").bitwiseAND(F.lit(1 << k)) != 0
     spot = (
         F.when(inside(1), 1)

@@ -68,10 +68,16 @@ def _cigar(text: str) -> Column:
     return F.array(*[F.struct(F.lit(op).alias("op"), F.lit(int(n)).alias("len")) for n, op in parts])
 
 
+#: Bytes of files that are not worth dealing, as many as Spark reckons for opening one.
+SMALL = 1 << 22
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     """A table, dealt over the cores by its key if it has fewer files than there are cores; of more files Spark deals the parts itself."""
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if len(rows.inputFiles()) < cores else rows
+    if len(rows.inputFiles()) >= cores or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return rows
+    return rows.repartition(cores, *keys)
 
 
 def reads(spark: SparkSession, sf_dir: str, *tags: str) -> DataFrame:

@@ -17,6 +17,7 @@ from strandwise.operators import regions as G
 from strandwise.operators import reports as P
 from strandwise.operators import sequences as S
 from strandwise.operators import tracks as T
+from strandwise.operators.genes import cds_exons, model_parts, utr_exons
 from strandwise.plans.multi import run_reports
 from strandwise.sources import alignments, bed, fastx, tables
 
@@ -345,6 +346,29 @@ def test_long_reads_in_pieces_and_skips_against_brute_force(spark, monkeypatch,
     assert got == {p: sum(good for *_, good in sorted(counts[p])[:depth]) for p in asked if any(base for _, _, base, _ in counts.get(p, []))}
 
 
+def test_parts_of_a_model(spark):
+    rows = [
+        ("+", 150, 450, [(100, 200), (300, 350), (400, 500)]), ("-", 150, 450, [(100, 200), (400, 500)]), (".", 150, 450, [(100, 200)]),
+        ("+", None, None, [(100, 200), (200, 300)]), ("-", 100, 300, None), ("+", 300, 300, [(100, 300)]),
+    ]
+    table = [(f"t{i}", f"c{i}", 100, 500, *row, i) for i, row in enumerate(rows)]
+    tx = spark.createDataFrame(table, "tx_id string, chrom string, tx_start long, tx_end long, strand string, cds_start long, cds_end long, blocks array<struct<start:bigint,end:bigint>>, line long")
+    want = []
+    for i, (strand, low, high, blocks) in enumerate(rows):
+        for k, (a, b) in enumerate(blocks or []):
+            first, last = {"+": (1, 2), "-": (2, 1)}.get(strand, (None, None))
+            if low is not None:
+                want += [(i, 0, max(a, low), min(b, high)), (i, first, a, min(b, low)), (i, last, max(a, high), b)]
+            if k + 1 < len(blocks):
+                want.append((i, 3, b, blocks[k + 1][0]))
+        before, after = (50, 100), (500, 550)
+        want += [(i, 4, *(after if strand == "-" else before)), (i, 5, *(before if strand == "-" else after))]
+    got = [(int(r["chrom"][1:]), r["kind"], r["start"], r["end"]) for r in model_parts(tx, (50,)).collect()]
+    assert sorted(got) == sorted(w for w in want if w[1] is not None and w[2] < w[3])
+    assert sorted(tuple(r) for r in utr_exons(tx, 3).collect()) == sorted((f"c{i}", a, b) for i, k, a, b in want if k == 2 and a < b)
+    assert sorted(tuple(r) for r in cds_exons(tx).collect()) == sorted((f"c{i}", a, b) for i, k, a, b in want if k == 0 and a < b)
+
+
 def test_track_bases_are_listed_from_the_end_on_the_reverse_strand(spark):
     """250 bases 1 to 250: place i of the forward list is base 1 + 2.49 i, of the reverse list base 250 - 2.49 i, half to even."""
     block = "array<struct<start:bigint,end:bigint>>"
