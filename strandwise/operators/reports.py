@@ -14,6 +14,7 @@ from strandwise.functions.sequence import md_mismatches, oriented
 from strandwise.operators import filters as R
 from strandwise.operators.intervals import as_right, overlap_join
 from strandwise.operators.order import first_rows
+from strandwise.operators.windows import at_home, sole_genes
 
 
 def _count(condition: Column, name: str) -> Column:
@@ -269,12 +270,14 @@ def protocol_of(keys: DataFrame) -> DataFrame:
 def gene_counts(reads: DataFrame, exon_rows: DataFrame, q_cut: int = 10) -> DataFrame:
     """gene_id, reads: unstranded counts of reads whose blocks all lie over one gene only (non-empty intersection).
 
-    Each block's genes are those that cover all of it; blocks without any are passed over.
+    Each block's genes are those that cover all of it; blocks without any are passed over.  Reads with the same blocks are counted first.
     """
-    rows = reads.where(R.lacks(R.UNMAPPED | R.SECONDARY | R.QC_FAIL)).where(R.good_quality(q_cut))
-    parts = rows.select("rid", "chrom", F.posexplode(C.exon_blocks()).alias("i", "b")).select("rid", "i", "chrom", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
-    met = overlap_join(parts, as_right(exon_rows, "gene_id")).where("r_start <= start and end <= r_end")
-    per = met.groupBy("rid", "i").agg(F.collect_set("gene_id").alias("g"))
-    whole = per.groupBy("rid").agg(F.collect_list("g").alias("gs"))
-    common = F.aggregate(F.slice("gs", F.lit(2), F.greatest(F.size("gs") - 1, F.lit(0))), F.element_at("gs", 1), lambda a, g: F.array_intersect(a, g))
-    return whole.select(common.alias("g")).where(F.size("g") == 1).groupBy(F.element_at("g", 1).alias("gene_id")).agg(F.count("*").alias("reads"))
+    rows = reads.where(R.lacks(R.UNMAPPED | R.SECONDARY | R.QC_FAIL)).where(R.good_quality(q_cut)).where("pos0 is not null")
+    rows = rows.select("chrom", C.exon_blocks().alias("b")).where(F.size("b") > 0)
+    r_start, r_end = F.col("b")[0]["start"], F.element_at("b", -1)["end"]
+    rows = rows.select("chrom", r_start.alias("r_start"), F.greatest(r_end, r_start + 1).alias("r_end"), F.expr("flatten(transform(b, x -> array(int(x.start - b[0].start), int(x.end - b[0].start))))").alias("places"))
+    genes = exon_rows.where("gene_id is not null and start < end").groupBy("chrom", "gene_id").agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("x"))
+    genes = genes.select("chrom", F.col("gene_id").alias("id"), F.col("x.start").alias("starts"), F.col("x.end").alias("ends"), F.array_min("x.start").alias("start"), F.array_max("x.end").alias("end"))
+    kind = exon_rows.schema["gene_id"].dataType.simpleString()
+    found = at_home(genes, rows, (["starts", "ends"], [F.min("id").alias("gene_id"), F.count("*").alias("many")]), (["r_start", "places"], [F.count("*").alias("n")]), sole_genes, f"gene_id {kind}, reads long")
+    return found.groupBy("gene_id").agg(F.sum("reads").alias("reads"))
