@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
+from strandwise.operators import coverage as V
+from strandwise.operators import expression as X
+from strandwise.operators import intervals as I
+from strandwise.operators import regions as G
 from strandwise.operators import reports as P
 
 READ = "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar string, mate_chrom string, mate_pos0 long, tlen int, seq string"
@@ -74,3 +78,40 @@ def test_gene_counts_of_many_genes(spark, seed):
             want[min(both)] = want.get(min(both), 0) + 1
     assert want and {r["gene_id"]: r["reads"] for r in got.collect()} == want
     assert not pairs_joined(got)
+
+
+def test_range_joins_are_not_broadcast(spark):
+    points = spark.range(20).selectExpr("'a' AS chrom", "id AS p")
+    regions = spark.range(20).selectExpr("'a' AS chrom", "id AS r_start", "id + 5000 AS r_end")
+    for df in (I.point_join(points, "p", regions), I.overlap_join(points.selectExpr("chrom", "p AS start", "p + 9 AS end"), regions)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert I.point_join(points, "p", regions).count() == 210
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_in_one_transcript_by_reach(spark, monkeypatch, seed):
+    monkeypatch.setattr(I, "BIN", 256)  # reach is carried over bins
+    rng = random.Random(seed)
+    reads, rows = some_reads(spark, rng, 400)
+    models, model_rows = some_models(spark, rng, 40)
+    listed = I.reach(models.selectExpr("chrom", "tx_start AS r_start", "tx_end AS r_end"))
+    for r in listed.collect():
+        assert r["reach"] == max(m[3] for m in model_rows if m[1] == r["chrom"] and m[2] <= r["r_start"])
+    held = {(r["chrom"], p) for r in listed.collect() for p in range(r["r_start"], r["r_end"])}
+    assert held == {(m[1], p) for m in model_rows for p in range(m[2], m[3])}
+    known = [m for m in model_rows if m[8] > min(x[8] for x in model_rows if x[1] == m[1])]
+    got = {r["rid"]: r["label"].startswith(("sameTranscript=Yes", "readPair")) for r in G.inner_distance(reads, models).where("label <> 'sameChrom=No'").collect()}
+    done = {r["rid"]: r["pos0"] + r["n"] for r in reads.select("rid", "pos0", (C.aligned_length() + F.expr("aggregate(cigar, 0L, (a, c) -> a + if(c.op = 'N', c.len, 0))")).alias("n")).collect()}
+    want = {r[0]: any(m[1] == r[3] and m[2] <= min(done[r[0]] - 1, r[8]) and max(done[r[0]] - 1, r[8]) < m[3] for m in known) for r in rows if r[0] in got}
+    assert got == want and set(got.values()) == {True, False}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sums_over_ranges(spark, monkeypatch, seed):
+    monkeypatch.setattr(I, "BIN", 64)
+    rng = random.Random(seed)
+    points = [(rng.choice("ab"), rng.randrange(300), rng.randrange(5)) for _ in range(200)]
+    ranges = [(rng.choice("ab"), s, s + rng.randrange(-3, 150), rng.choice("xyz")) for s in (rng.randrange(300) for _ in range(40))]
+    got = I.range_sums(spark.createDataFrame(points, "chrom string, p long, w int"), "p", spark.createDataFrame(ranges, "chrom string, r_start long, r_end long, k string"), "k", n=F.count("w"), w=F.sum("w"))
+    hits = lambda k: [w for c, p, w in points for rc, s, e, rk in ranges if rk == k and rc == c and s <= p < e]
+    assert {r["k"]: (r["n"], r["w"]) for r in got.collect()} == {k: (len(hits(k)), sum(hits(k))) for k in "xyz"}
