@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def at_home(rows: DataFrame, homes: DataFrame, alike: tuple[list, list], homes_a
 
     homes: chrom, r_start, r_end and others; each is in one window, which holds it wholly: two bins of the first level whose bins are no
     shorter than it.  rows: chrom, start, end and others; each is in all windows that it touches.
-    alike: the columns by which rows of a window are grouped, and the aggregates that stand for them (no grouping without aggregates).
+    alike: the columns by which rows of a window are grouped, and the aggregates that stand for them (rows stay as they are without aggregates).
     """
     level = F.lit(LEVELS - 1)
     for k in range(LEVELS - 2, -1, -1):
@@ -44,7 +45,7 @@ def at_home(rows: DataFrame, homes: DataFrame, alike: tuple[list, list], homes_a
     rows = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / _width(size)) - 1, F.floor((F.col("end") - 1) / _width(size)))))
 
     def grouped(df: DataFrame, columns: list, sums: list) -> DataFrame:
-        df = df.select(*_KEYS, *dict.fromkeys([*columns, *[c for c in df.columns if sums and c not in _KEYS]])).repartition(*_KEYS)
+        df = df.repartition(*_KEYS)
         return df.groupBy(*_KEYS, *columns).agg(*sums) if sums else df
 
     a, b = grouped(rows, *alike), grouped(homes, *homes_alike)
@@ -107,3 +108,72 @@ def sole_genes(genes: pa.Table, reads: pa.Table) -> pa.Table:
     found[many > 1] = 0
     some = np.flatnonzero(found)
     return pa.table({"gene_id": genes["gene_id"].take(pa.array(some)), "reads": pa.array(found[some], pa.int64())})
+
+
+#: Columns of transcripts; those of one shape are counted together.
+ALIKE = ["r_start", "r_end", "starts", "ends"]
+
+
+def _ids(models: pa.Table) -> pa.ChunkedArray:
+    """Lists of names whose items may be null, as Spark's schema has them."""
+    return models["tx_ids"].cast(pa.list_(pa.string()))
+
+
+def _each(models: pa.Table):
+    """Number, start, end and exons of each transcript."""
+    n, starts = _lists(models, "starts")
+    at, ends = np.concatenate([[0], np.cumsum(n)]), _lists(models, "ends")[1]
+    for i, (ts, te) in enumerate(zip(_numbers(models, "r_start"), _numbers(models, "r_end"))):
+        yield i, ts, te, list(zip(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]]))
+
+
+def fragments_of(reads: pa.Table, models: pa.Table) -> pa.Table:
+    """tx_ids, kinds: how many reads of each of six kinds lie on transcripts.
+
+    reads: start, end, upto (end by the sequence, null for pairs), mate, kind.  A read touches the transcript, and an exon holds its own or its
+    mate's start; a single one has bases in an exon.
+    """
+    parts = []
+    for paired in (False, True):
+        mine = reads.filter(pc.is_null(reads["upto"]) if paired else pc.is_valid(reads["upto"])).sort_by("start")
+        if mine.num_rows:
+            p, end = _numbers(mine, "start"), _numbers(mine, "end")
+            parts.append((paired, p, end, _numbers(mine, "mate" if paired else "upto"), _numbers(mine, "kind"), (end - p).max()))
+    found = np.zeros((models.num_rows, 6), np.int64)
+    for i, ts, te, exons in _each(models) if parts else ():
+        for paired, starts, ends, others, kinds, longest in parts:
+            a, b = np.searchsorted(starts, (ts - longest, te))
+            p, other, hit = starts[a:b], others[a:b], np.zeros(b - a, bool)
+            for s, e in exons:
+                if paired:
+                    low, high = np.searchsorted(p, (s, e))
+                    hit[low:high] = True
+                    hit |= (other >= s) & (other < e)
+                else:
+                    high = np.searchsorted(p, e)
+                    hit[:high] |= other[:high] > s
+            hit &= ends[a:b] > ts
+            found[i] += np.bincount(kinds[a:b][hit], minlength=6)
+    return pa.table({"tx_ids": _ids(models), "kinds": pa.array(list(found), pa.list_(pa.int64()))})
+
+
+def sizes_of(reads: pa.Table, models: pa.Table) -> pa.Table:
+    """tx_ids, fragments, mean, median, std of the sizes of fragments inside transcripts, as fragment_size says.
+
+    reads: start (the first of both mates' starts), hi (the last), at (the read's own), n.
+    """
+    reads = reads.sort_by("start")
+    los, his, ats, ns = (_numbers(reads, c) for c in ("start", "hi", "at", "n"))
+    out = np.zeros((models.num_rows, 4))
+    for i, ts, te, exons in _each(models):
+        a, b = np.searchsorted(los, (ts, te))
+        kept = np.flatnonzero((his[a:b] <= te) & (ats[a:b] < te)) + a
+        if not len(kept):
+            continue
+        lo, hi, size = los[kept], his[kept], ns[kept].copy()
+        for s, e in exons:  # bases s + 1 to e + 1 above lo and up to hi
+            size += np.clip(hi - s, 0, e - s + 1) - np.clip(lo - s, 0, e - s + 1)
+        middle = np.partition(size, ((len(size) - 1) // 2, len(size) // 2))
+        out[i] = len(size), size.mean(), (middle[(len(size) - 1) // 2] + middle[len(size) // 2]) / 2, size.std()
+    n, mean, median, std = out.T
+    return pa.table({"tx_ids": _ids(models), "fragments": pa.array(n.astype(np.int64)), "mean": mean, "median": median, "std": std}).filter(pa.array(n > 0))

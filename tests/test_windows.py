@@ -1,12 +1,14 @@
 """Reads over many transcripts: results against brute force, and plans that make no row of each pair."""
 
 import random
+import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strandwise import contract
 from strandwise.functions import cigar as C
-from strandwise.operators import coverage as V
 from strandwise.operators import expression as X
 from strandwise.operators import intervals as I
 from strandwise.operators import regions as G
@@ -115,3 +117,80 @@ def test_sums_over_ranges(spark, monkeypatch, seed):
     got = I.range_sums(spark.createDataFrame(points, "chrom string, p long, w int"), "p", spark.createDataFrame(ranges, "chrom string, r_start long, r_end long, k string"), "k", n=F.count("w"), w=F.sum("w"))
     hits = lambda k: [w for c, p, w in points for rc, s, e, rk in ranges if rk == k and rc == c and s <= p < e]
     assert {r["k"]: (r["n"], r["w"]) for r in got.collect()} == {k: (len(hits(k)), sum(hits(k))) for k in "xyz"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fragments_of_many_transcripts(spark, seed):
+    rng = random.Random(seed)
+    reads, rows = some_reads(spark, rng, 400)
+    models, model_rows = some_models(spark, rng, 40)
+    made = X.transcript_fragments(reads, models, "1++,1--,2+-,2-+", single=0.5)
+    spans = {r["rid"]: r["n"] for r in reads.select("rid", C.reference_span().alias("n")).collect()}
+    want = {}
+    for rid, _, flag, chrom, at, _, _, _, mate, _, _ in rows:
+        w = 1.0 if not flag & 1 else 0.0 if flag & 128 or flag & 12 == 12 else 0.5 if flag & 12 else 1.0
+        for m in model_rows:
+            if w and m[1] == chrom and at < m[3] and m[2] < at + spans[rid]:
+                if any((s < at + 20 and at < e) if not flag & 1 else s <= at < e or s <= mate < e for s, e in m[7]):
+                    n = want.setdefault(m[0], [0.0, 0.0, 0.0])
+                    n[2] += w
+                    if flag & 1:
+                        n[1 if flag & 16 else 0] += w
+    assert want and {r["tx_id"]: [r["forward"], r["reverse"], r["either"]] for r in made.collect()} == want
+    assert not pairs_joined(made)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fragment_sizes_of_many_transcripts(spark, seed):
+    rng = random.Random(seed)
+    reads, rows = some_reads(spark, rng, 600, flags=(67, 83, 99, 73, 131))
+    models, model_rows = some_models(spark, rng, 40)
+    want = {m[0]: [] for m in model_rows}
+    for _, _, flag, chrom, at, _, _, _, mate, _, _ in rows:
+        lo, hi = min(at, mate), max(at, mate)
+        for m in model_rows:
+            if not flag & 136 and m[1] == chrom and m[2] <= lo and hi <= m[3] and at < m[3]:
+                want[m[0]].append(20 + sum(max(0, min(e + 1, hi) - max(s + 1, lo + 1) + 1) for s, e in m[7]))
+    made = G.fragment_size(reads, models)
+    got = {r["tx_id"]: tuple(r)[1:] for r in made.collect()}
+    assert any(len(v) >= 3 for v in want.values()) and got.keys() == want.keys()
+    for name, sizes in want.items():
+        stats = (statistics.mean(sizes), statistics.median(sizes), statistics.pstdev(sizes)) if len(sizes) >= 3 else (0, 0, 0)
+        assert got[name] == pytest.approx((len(sizes), *stats))
+    assert not pairs_joined(made)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strands_over_many_transcripts(spark, seed):
+    rng = random.Random(seed)
+    reads, rows = some_reads(spark, rng, 400, cigars=("20M", "8M30N12M", "20S"))
+    models, model_rows = some_models(spark, rng, 40)
+    want = {}
+    for _, _, flag, chrom, at, _, cigar, _, _, _, _ in rows:
+        end = at + (0 if cigar == "20S" else 20)
+        genes = sorted({m[4] for m in model_rows if m[1] == chrom and at < m[3] and m[2] < end})
+        if genes:
+            own = ("" if not flag & 1 else "1" if flag & 64 else "2") + ("-" if flag & 16 else "+")
+            want[(bool(flag & 1), own + ":".join(genes))] = want.get((bool(flag & 1), own + ":".join(genes)), 0) + 1
+    flat = reads.where("not (flag & 1 = 1 and flag & 192 = 0)")
+    for sample in (None, 10**6):
+        assert {(r["paired"], r["key"]): r["reads"] for r in P.strand_inference(flat, models, sample).collect()} == want
+
+
+def test_saturation_and_starts_make_no_pairs(spark):
+    rng = random.Random(3)
+    reads, _ = some_reads(spark, rng, 50)
+    models, _ = some_models(spark, rng, 10)
+    assert not pairs_joined(X.rpkm_saturation(reads, models))
+
+
+def test_mismatches_where_keys_outgrow_the_read_number(spark, tmp_path):
+    table = spark.range(400).selectExpr("id + 1 AS l_orderkey", "300000 + id * 7 AS l_partkey", "5000 + id * 11 AS l_suppkey", "int(1 + id % 7) AS l_linenumber", "double(40) AS l_quantity")
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    for t in ("part", "orders", "events"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    got = [tuple(r) for r in contract.mismatch_profile(spark, str(tmp_path)).orderBy("pos").collect()]
+    want = sorted(con.execute(contract.ORACLES["mismatch_profile"]).fetchall())
+    assert sum(r[1] for r in want) > 0 and got == want
