@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandwise.functions import cigar as C
 from strandwise.functions.sequence import md_mismatches, oriented
 from strandwise.operators import filters as R
-from strandwise.operators.intervals import as_right, overlap_join
+from strandwise.operators.intervals import merge, overlap_join
 from strandwise.operators.order import first_rows
 from strandwise.operators.windows import at_home, sole_genes
 
@@ -221,14 +221,21 @@ def mismatches_of(counts: DataFrame, length: int) -> DataFrame:
 
 def strand_inference(reads: DataFrame, tx: DataFrame, sample: int | None = None, q_cut: int = 30) -> DataFrame:
     """paired, key, reads: how read strand and gene strand go together over the first ``sample`` usable reads (all if None)."""
-    rows = reads.where(infers(q_cut)).select("rid", *inference_key(), F.lit(1).alias("n"))
-    return inference_of(rows, tx, ["rid"], sample)
+    rows = reads.where(infers(q_cut))
+    if sample is None:
+        place = [c.alias(n) for c, n in zip(inference_key(), PLACE)]
+        return inference_of(rows.groupBy(*place).agg(F.count("*").alias("n")), tx, list(PLACE))
+    return inference_of(rows.select("rid", *inference_key(), F.lit(1).alias("n")), tx, ["rid"], sample)
 
 
 def infers(q_cut: int = 30) -> Column:
     return R.keeps("infer_experiment", q_cut) & (R.lacks(R.PAIRED) | R.has(R.READ1) | R.has(R.READ2))
 
 
+#: Names of the columns of inference_key.
+PLACE = ("chrom", "start", "end", "paired", "own")
+
+
 def inference_key() -> list[Column]:
     """chrom, start, end, paired, own: all that strand inference looks at."""
     number = F.when(R.lacks(R.PAIRED), "").when(R.has(R.READ1), "1").otherwise("2")
@@ -237,9 +244,14 @@ def inference_key() -> list[Column]:
 
 def inference_of(rows: DataFrame, tx: DataFrame, key: list[str], sample: int | None = None) -> DataFrame:
     """strand_inference of rows with inference_key that stand for n reads each and differ in ``key``; a sample needs rid there."""
-    genes = tx.select("chrom", F.col("tx_start").alias("r_start"), F.col("tx_end").alias("r_end"), F.col("strand").alias("gene"))
+    # A read needs the strands that hold it, not their transcripts: those of a strand are merged.  A read without bases is held where the
+    # base before it is in the same transcript, so it meets ranges of its own.
+    hollow = tx.select("chrom", (F.col("tx_start") + 1).alias("start"), F.col("tx_end").alias("end"), "strand", F.lit(True).alias("hollow"))
+    spans = tx.select("chrom", F.col("tx_start").alias("start"), F.col("tx_end").alias("end"), "strand", F.lit(False).alias("hollow")).unionByName(hollow)
+    genes = merge(spans.where("strand is not null"), "hollow", "strand", "chrom").select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("strand").alias("gene"), "hollow")
     own = list(dict.fromkeys([*key, "paired", "own", "n"]))
-    met = overlap_join(rows, genes).groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set("gene")), ":").alias("genes"))
+    rows = rows.withColumns({"_empty": F.col("start") >= F.col("end"), "end": F.greatest("end", F.col("start") + 1)})
+    met = overlap_join(rows, genes).where("hollow = _empty").groupBy(*own).agg(F.array_join(F.array_sort(F.collect_set("gene")), ":").alias("genes"))
     return first_rows(met, sample).groupBy("paired", F.concat("own", "genes").alias("key")).agg(F.sum("n").cast("long").alias("reads"))
 
 
