@@ -224,7 +224,7 @@ def strand_inference(reads: DataFrame, tx: DataFrame, sample: int | None = None,
     rows = reads.where(infers(q_cut))
     if sample is None:
         place = [c.alias(n) for c, n in zip(inference_key(), PLACE)]
-        return inference_of(rows.groupBy(*place).agg(F.count("*").alias("n")), tx, list(PLACE))
+        return inference_of(rows.groupBy(*place).agg(F.count_distinct("rid").alias("n")), tx, list(PLACE))
     return inference_of(rows.select("rid", *inference_key(), F.lit(1).alias("n")), tx, ["rid"], sample)
 
 
@@ -285,11 +285,11 @@ def gene_counts(reads: DataFrame, exon_rows: DataFrame, q_cut: int = 10) -> Data
     Each block's genes are those that cover all of it; blocks without any are passed over.  Reads with the same blocks are counted first.
     """
     rows = reads.where(R.lacks(R.UNMAPPED | R.SECONDARY | R.QC_FAIL)).where(R.good_quality(q_cut)).where("pos0 is not null")
-    rows = rows.select("chrom", C.exon_blocks().alias("b")).where(F.size("b") > 0)
+    rows = rows.select("rid", "chrom", C.exon_blocks().alias("b")).where(F.size("b") > 0)
     r_start, r_end = F.col("b")[0]["start"], F.element_at("b", -1)["end"]
-    rows = rows.select("chrom", r_start.alias("r_start"), F.greatest(r_end, r_start + 1).alias("r_end"), F.expr("flatten(transform(b, x -> array(int(x.start - b[0].start), int(x.end - b[0].start))))").alias("places"))
+    rows = rows.select("rid", "chrom", r_start.alias("r_start"), F.greatest(r_end, r_start + 1).alias("r_end"), F.expr("flatten(transform(b, x -> array(int(x.start - b[0].start), int(x.end - b[0].start))))").alias("places"))
     genes = exon_rows.where("gene_id is not null and start < end").groupBy("chrom", "gene_id").agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("x"))
     genes = genes.select("chrom", F.col("gene_id").alias("id"), F.col("x.start").alias("starts"), F.col("x.end").alias("ends"), F.array_min("x.start").alias("start"), F.array_max("x.end").alias("end"))
     kind = exon_rows.schema["gene_id"].dataType.simpleString()
-    found = at_home(genes, rows, (["starts", "ends"], [F.min("id").alias("gene_id"), F.count("*").alias("many")]), (["r_start", "places"], [F.count("*").alias("n")]), sole_genes, f"gene_id {kind}, reads long")
+    found = at_home(genes, rows, (["starts", "ends"], [F.min("id").alias("gene_id"), F.count("*").alias("many")]), (["r_start", "places"], [F.count_distinct("rid").alias("n")]), sole_genes, f"gene_id {kind}, reads long")
     return found.groupBy("gene_id").agg(F.sum("reads").alias("reads"))
