@@ -194,3 +194,16 @@ def test_mismatches_where_keys_outgrow_the_read_number(spark, tmp_path):
     got = [tuple(r) for r in contract.mismatch_profile(spark, str(tmp_path)).orderBy("pos").collect()]
     want = sorted(con.execute(contract.ORACLES["mismatch_profile"]).fetchall())
     assert sum(r[1] for r in want) > 0 and got == want
+
+
+def test_bins_fit_deep_ranges(spark):
+    rng = random.Random(7)
+    make = lambda n, most, far: [(rng.choice("ab"), s, s + rng.randrange(most), i) for i in range(n) for s in [rng.randrange(far)]]
+    frame = lambda rows: spark.createDataFrame(rows, "chrom string, start long, end long, id long")
+    a, b = make(2000, 20, 4000), make(2000, 60, 4000)
+    left, right = frame(a), I.as_right(frame(b).withColumnRenamed("id", "b_id"), "b_id")
+    size = I.fitted_bin(left, right)
+    assert 16 <= size <= 256  # bins of JOIN_BIN would look at pairs that are far apart
+    assert I.fitted_bin(left.where("false"), right) == I.JOIN_BIN == I.fitted_bin(frame(make(50, 20, 10**8)), right)
+    want = sorted((i, j) for c, s, e, i in a for d, t, f, j in b if c == d and s < f and t < e)
+    assert want and sorted((r["id"], r["b_id"]) for r in I.overlap_join(left, right, size).collect()) == want
