@@ -12,6 +12,8 @@ from strandwise.sources.storage import stored
 
 #: Rows that one task may put in order, and ranges that a count is made of.
 ONE_TASK, RANGES = 1 << 16, 1 << 12
+#: Bytes of rows, as Spark reckons them, that go to one task of near(), and the most that is taken for a reckoning at all.
+SHARE, KNOWN = 1 << 22, 1 << 50
 #: Values that are summed together, as a piece of the tree of sums.
 PIECE = 1 << 16
 
@@ -58,6 +60,13 @@ def numbered_rows(rows: DataFrame, order: list[str], name: str = "number") -> Da
     return placed.join(F.broadcast(parts), "_part").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name))
 
 
+def near(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, in so many tasks that none holds more of a larger input."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = size // SHARE + 1 if size < KNOWN else 0
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def _piece(n: int) -> Column:
     """Where the piece of the sum tree over n values begins that holds a row's number: halves, the first in whole eights, until PIECE or fewer are left."""
     depth = max(0, (n - 1).bit_length() - PIECE.bit_length() + 3)
@@ -111,4 +120,4 @@ def before_break(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     return reads.crossJoin(F.broadcast(ends)).where("_end is null or rid < _end").drop("_end")  # one row
 
 
-__all__ = ["before_break", "first_rows", "numbered_rows", "ordered_mean_std"]
+__all__ = ["before_break", "first_rows", "near", "numbered_rows", "ordered_mean_std"]

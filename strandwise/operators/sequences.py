@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as C
 from strandwise.functions.sequence import differences
 from strandwise.operators import filters as R
-from strandwise.operators.order import before_break, first_rows
+from strandwise.operators.order import before_break, first_rows, near
 
 CODES = "ACGT"
 
@@ -114,37 +116,45 @@ def tag_given(name: str):
     return F.expr(f"element_at(tags, '{name}')").isNotNull()
 
 
-def single_cell_stat(reads: DataFrame, mito: str = "chrM", contigs: DataFrame | None = None) -> DataFrame:
+def single_cell_stat(reads: DataFrame, mito: str = "chrM", contigs: DataFrame | None = None, names: bool = True) -> DataFrame:
     """One row of counters over placed reads; the confident ones have bit 0 of the tag xf.
 
     A confident read without the tag RE stops the run.  RE that begins with other letters than E and I counts nowhere.  contigs
     (ref_id, chrom): reads from the first on that breaks their order are left out; without it all reads are taken to be in order.
+    names: count names as well, for which reads move to the place of their name as a name and a number of bits, and no task gathers the names
+    of reads that lie anywhere; without it the two columns are left out and nothing moves.
     """
     reads = reads if contigs is None else before_break(reads, contigs)
     rows = reads.where("chrom is not null").select(
         "qname", "flag", "chrom", (F.coalesce(tag_number("xf"), F.lit(0)).bitwiseAND(F.lit(1)) == 1).alias("ok"), tag_given("RE").alias("has_re"), F.substring(tag_text("RE"), 1, 1).alias("re"),
-        tag_given("TX").alias("sense"), tag_given("AN").alias("anti"), tag_given("CB").alias("cb"), tag_given("UB").alias("ub"), C.shape().alias("shape"),
+        tag_given("TX").alias("sense"), tag_given("AN").alias("anti"), tag_given("CB").alias("cb"), tag_given("UB").alias("ub"),
     )
     rows = rows.withColumn("re", F.when(F.col("ok") & ~F.col("has_re"), F.raise_error(F.lit("a confident read has no RE tag"))).otherwise(F.col("re")))
     ok = F.col("ok")
-    return rows.agg(
-        F.count("*").alias("alignments"),
-        F.count_if(ok).alias("confident"),
-        F.countDistinct("qname").alias("names"),
-        F.countDistinct(F.when(ok, F.col("qname"))).alias("confident_names"),
-        F.count_if(ok & R.has(R.DUPLICATE)).alias("duplicates"),
-        F.count_if(ok & ~R.has(R.DUPLICATE)).alias("not_duplicates"),
-        F.count_if(ok & R.has(R.REVERSE)).alias("reverse"),
-        F.count_if(ok & ~R.has(R.REVERSE)).alias("forward"),
-        F.count_if(ok & (F.col("re") == "E")).alias("exon"),
-        F.count_if(ok & (F.col("re") == "I")).alias("intron"),
-        F.count_if(ok & F.col("sense")).alias("sense"),
-        F.count_if(ok & ~F.col("sense") & F.col("anti")).alias("antisense"),
-        F.count_if(ok & ~F.col("sense") & ~F.col("anti")).alias("other_direction"),
-        F.count_if(ok & (F.col("chrom") == mito)).alias("mito"),
-        F.count_if(ok & F.col("cb")).alias("with_cb"),
-        F.count_if(ok & F.col("ub")).alias("with_ub"),
-    )
+    counters = {
+        "confident": ok,
+        "duplicates": ok & R.has(R.DUPLICATE),
+        "not_duplicates": ok & ~R.has(R.DUPLICATE),
+        "reverse": ok & R.has(R.REVERSE),
+        "forward": ok & ~R.has(R.REVERSE),
+        "exon": ok & (F.col("re") == "E"),
+        "intron": ok & (F.col("re") == "I"),
+        "sense": ok & F.col("sense"),
+        "antisense": ok & ~F.col("sense") & F.col("anti"),
+        "other_direction": ok & ~F.col("sense") & ~F.col("anti"),
+        "mito": ok & (F.col("chrom") == mito),
+        "with_cb": ok & F.col("cb"),
+        "with_ub": ok & F.col("ub"),
+    }
+    if not names:
+        return rows.agg(F.count("*").alias("alignments"), *[F.count_if(c).alias(n) for n, c in counters.items()])
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(counters.values())])
+    rows = near(rows.select("qname", bits.alias("bits")), "qname")
+    own = rows.groupBy("qname").agg(F.count("*").alias("alignments"), *[F.count_if(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0).alias(n) for i, n in enumerate(counters)])
+    sums = {n: F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("alignments", *counters)}
+    named = {"names": F.count("qname"), "confident_names": F.count_if(F.col("qname").isNotNull() & (F.col("confident") > 0))}
+    first = ("alignments", "confident")
+    return own.agg(*[sums.pop(n) for n in first], *[c.alias(n) for n, c in named.items()], *sums.values())
 
 
 def single_cell_shares(stat: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from strandwise.operators import expression as X
 from strandwise.operators import intervals as I
 from strandwise.operators import regions as G
 from strandwise.operators import reports as P
+from strandwise.operators import sequences as S
 
 READ = "rid long, qname string, flag int, chrom string, pos0 long, mapq int, cigar string, mate_chrom string, mate_pos0 long, tlen int, seq string"
 
@@ -207,3 +208,19 @@ def test_bins_fit_deep_ranges(spark):
     assert I.fitted_bin(left.where("false"), right) == I.JOIN_BIN == I.fitted_bin(frame(make(50, 20, 10**8)), right)
     want = sorted((i, j) for c, s, e, i in a for d, t, f, j in b if c == d and s < f and t < e)
     assert want and sorted((r["id"], r["b_id"]) for r in I.overlap_join(left, right, size).collect()) == want
+
+
+def test_names_are_counted_where_they_meet(spark):
+    tags = "map<string,struct<t:string,i:bigint,s:string>>"
+    rows = [(i, f"q{i % 7}" if i % 5 else None, 16 * (i % 2) + 1024 * (i % 3 == 0), "ab"[i % 2], [("M", 5)], {"xf": ("i", i % 4, None), "RE": ("Z", None, "EIN"[i % 3]), **({"TX": ("Z", None, "x")} if i % 2 else {"AN": ("Z", None, "x")})}) for i in range(60)]
+    reads = spark.createDataFrame(rows, f"rid long, qname string, flag int, chrom string, cigar array<struct<op:string,len:int>>, tags {tags}").repartition(5)
+    stat = S.single_cell_stat(reads, "a")
+    sure = [r for r in rows if r[0] % 4 % 2]
+    got = stat.first().asDict()
+    assert got["alignments"] == 60 and got["confident"] == len(sure) and got["mito"] == 0 and got["reverse"] == len(sure)
+    assert got["names"] == len({r[1] for r in rows} - {None}) and got["confident_names"] == len({r[1] for r in sure} - {None})
+    assert got["duplicates"] + got["not_duplicates"] == got["sense"] == len(sure) and got["exon"] == sum(r[0] % 3 == 0 for r in sure)
+    plan = stat._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("qname") and "REPARTITION_BY_COL" in plan  # no hash table of names before they are dealt by name
+    assert {n: n_ for n, n_ in got.items() if "names" not in n} == S.single_cell_stat(reads, "a", names=False).first().asDict()
+    assert set(S.single_cell_stat(reads.where("false"), "a").first()) == {0}
