@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise import contract
 from strandwise.functions import cigar as C
+from strandwise.operators import coverage as V
 from strandwise.operators import expression as X
 from strandwise.operators import intervals as I
 from strandwise.operators import regions as G
@@ -224,3 +225,23 @@ def test_names_are_counted_where_they_meet(spark):
     assert "Expand" not in plan and plan.count("qname") and "REPARTITION_BY_COL" in plan  # no hash table of names before they are dealt by name
     assert {n: n_ for n, n_ in got.items() if "names" not in n} == S.single_cell_stat(reads, "a", names=False).first().asDict()
     assert set(S.single_cell_stat(reads.where("false"), "a").first()) == {0}
+
+
+def test_pile_up_lays_out_crossing_mates_only(spark, monkeypatch):
+    kept, store = {}, V.stored
+    monkeypatch.setattr(V, "stored", lambda df, name: kept.setdefault(name, []).append(store(df, name)) or kept[name][-1])
+    rng = random.Random(11)
+    reads, _ = some_reads(spark, rng, 500)
+    models, rows = some_models(spark, rng, 40)
+    curve = {r["slot"]: r["covered"] for r in V.genebody_coverage(reads, models).collect()}
+    (parts,), (places,) = kept["pileup"], kept["places"]
+    assert parts.where("mated and bases is not null").count() and not parts.where("not mated and (qname is not null or bases is not null or quals is not null)").count()
+    long = [r for r in rows if sum(e - s for s, e in r[7]) >= 100]
+    assert places.count() == len({(r[1], r[4], str(r[7])) for r in long}) < len(long)  # transcripts of one shape list their places once
+    listed = V.percentile_positions(models)
+    depth = {(r["tx_id"], r["pos"]): r["covered"] for r in V.position_depth(reads, listed).collect()}
+    want = {}
+    for r in listed.collect():
+        for i, pos in enumerate(sorted(r["positions"], reverse=r["strand"] == "-")):
+            want[i] = want.get(i, 0) + depth.get((r["tx_id"], pos), 0)
+    assert sum(want.values()) and curve == want
