@@ -1,12 +1,13 @@
 """Reads and models that meet in one window of the genome, where numpy counts for each of them: a pair of the two is never a row of a table.
 
 In deep data a read lies over hundreds of transcripts, so their pairs grow with the product of both tables; rows that are alike are
-counted together here, and what is kept of a pair is a bit.
+counted together here, and what is kept of a pair is a bit.  Only overlap_pairs, which is asked for the pairs themselves, makes them rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.operators.intervals import JOIN_BIN, WIDER
+from strandwise.operators.intervals import JOIN_BIN, WIDER, _exploded, fit
 
 #: Levels of windows, each WIDER times as wide as the one below.
 LEVELS = 8
@@ -177,3 +178,83 @@ def sizes_of(reads: pa.Table, models: pa.Table) -> pa.Table:
         out[i] = len(size), size.mean(), (middle[(len(size) - 1) // 2] + middle[len(size) // 2]) / 2, size.std()
     n, mean, median, std = out.T
     return pa.table({"tx_ids": _ids(models), "fragments": pa.array(n.astype(np.int64)), "mean": mean, "median": median, "std": std}).filter(pa.array(n > 0))
+
+
+#: Rows in bins and pairs that one task of overlap_pairs has, about: so few that its file lists each key once, in a dictionary, and pairs by numbers.
+TASK_ROWS, TASK_PAIRS = 1 << 17, 1 << 26
+#: Right and left rows of a bin that are laid against each other at once, and pairs that are worth a batch of their own.
+TILE, STRIP, FULL = 128, 1 << 10, 1 << 16
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """a and b of all pairs with left.start < right.end and right.start < left.end on one contig.
+
+    left: chrom, start, end and a; right: chrom, r_start, r_end and b.  Both sides are sent to the bins they touch, as in overlap_join, and are
+    laid against each other in tiles, both in order of start.  The pairs can't be fewer, but so laid out they are runs of one a whose
+    lists of b repeat, and a columnar file holds a pair in a fraction of a byte.  A task holds one bin's right rows and a batch of left ones.
+    """
+    size, rows, pairs = fit(left, right)
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, round(rows / TASK_ROWS), round(pairs / TASK_PAIRS))
+
+    def side(df: DataFrame, start: str, end: str, is_left: bool) -> DataFrame:
+        df = df.select("chrom", F.col(start).alias("start"), F.col(end).alias("end"), a if is_left else b).where("chrom is not null and start is not null and end is not null")
+        at_start = F.col("_bin") == F.floor(F.col("start") / size)
+        return _exploded(df, F.col("start"), F.col("end"), size).withColumns({"_left": F.lit(is_left), "_here": at_start})
+
+    both = side(left, "start", "end", True).unionByName(side(right, "r_start", "r_end", False), allowMissingColumns=True)
+    dealt = both.repartition(parts, "chrom", "_bin").sortWithinPartitions("chrom", "_bin", "_left", "start", "end")
+    met = dealt.mapInArrow(partial(_pairs, a=a, b=b), both.select(a, F.array(b).alias(b)).schema)
+    return met.select(a, F.explode(b).alias(b))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, bool, pa.RecordBatch]]:
+    """Whether a new bin begins, whether these are left rows, and rows of one side of one bin, as far as a batch holds them."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chrom = batch["chrom"].dictionary_encode()
+        codes, bins, lefts = chrom.indices.to_numpy(), batch["_bin"].to_numpy(), batch["_left"].to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (bins[1:] != bins[:-1]) | (lefts[1:] != lefts[:-1])) + 1
+        for at, to in zip([0, *cuts], [*cuts, batch.num_rows]):
+            key = chrom.dictionary[codes[at]].as_py(), bins[at]
+            yield key != last, bool(lefts[at]), batch.slice(at, to - at)
+            last = key
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], a: str, b: str) -> Iterator[pa.RecordBatch]:
+    """a and a list of b that overlap it, of rows in order of chrom, _bin, _left (right rows come first) and start.
+
+    A pair is kept in the bin of its later start, which is the one where _here holds for either row.
+    """
+    columns = lambda rows: [rows[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "_here")]
+    held, tiles, found, n = [], None, [], 0
+    for new, is_left, rows in _runs(batches):
+        if new:
+            held, tiles = [], None
+        if not is_left:
+            held.append(rows)
+            continue
+        if tiles is None:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+            tiles = [(t[b], *columns(t)) for r in table for t in (r.slice(at, TILE) for at in range(0, r.num_rows, TILE))]
+        for strip in (rows.slice(at, STRIP) for at in range(0, rows.num_rows if tiles else 0, STRIP)):
+            start, end, here = columns(strip)
+            first, last = start[0], end.max()
+            for names, r_start, r_end, r_here in tiles:
+                if r_start[0] >= last or r_end.max() <= first:
+                    continue
+                met = (start[:, None] < r_end) & (r_start < end[:, None]) & (here[:, None] | r_here)
+                of_right = np.broadcast_to(np.arange(len(r_start), dtype=np.int32), met.shape)[met]
+                if len(of_right):
+                    each = np.count_nonzero(met, axis=1)
+                    some = np.flatnonzero(each)
+                    ends = np.concatenate([[0], np.cumsum(each[some])])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(of_right)))
+                    found.append(pa.RecordBatch.from_arrays([strip[a].take(pa.array(some)), lists], [a, b]))
+                    n += len(of_right)
+                if n >= FULL:
+                    yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                    found, n = [], 0
+    if found:
+        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
